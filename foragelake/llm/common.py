@@ -120,7 +120,7 @@ def shingles(texts: Iterable[bytes], width: int) -> Iterator[np.ndarray]:
             if b - a >= width:
                 yield np.unique(rolled[a : b - width + 1])
             else:
-                short = np.uint64(b - a)
+                short = np.full(min(1, b - a), b - a, np.uint64)
                 for x in h[a:b]:
                     short = mix(short * np.uint64(_P) + x)
-                yield np.array([short] if b > a else [], np.uint64)
+                yield short

@@ -6,6 +6,7 @@ from foragelake.llm.chat import OP8_SQL, op8_format_chats
 from foragelake.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from foragelake.llm.licenses import op10_license_scan
 from foragelake.llm.mixing import op1_mix_sources
+from foragelake.llm.ngram_join import op5_ngram_join
 from foragelake.llm.quality import op9_quality
 from foragelake.llm.secrets import op7_secret_scan
 from foragelake.llm.sharding import op6_shard
@@ -13,6 +14,7 @@ from foragelake.llm.sharding import op6_shard
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_ngram_join": op5_ngram_join,
     "op6_shard": op6_shard,
     "op7_secret_scan": op7_secret_scan,
     "op8_format_chats": op8_format_chats,
