@@ -30,7 +30,8 @@ def _combine(docs: DataFrame, best, salts: int) -> DataFrame:
         .groupBy("digest", "salt", "text")
         .agg(F.max(best).alias("best"), F.count(F.lit(1)).alias("group_size"))
     )
-    return salted.groupBy("digest", "text").agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
+    # Dealt by the digest alone, so that the texts of a digest can also be counted without another shuffle.
+    return salted.repartition("digest").groupBy("digest", "text").agg(F.max("best").alias("best"), F.sum("group_size").alias("group_size"))
 
 
 def report(docs: DataFrame, salts: int = SALTS) -> DataFrame:
