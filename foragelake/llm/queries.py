@@ -7,12 +7,14 @@ from foragelake.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from foragelake.llm.licenses import op10_license_scan
 from foragelake.llm.mixing import op1_mix_sources
 from foragelake.llm.ngram_join import op5_ngram_join
+from foragelake.llm.packing import op2_pack
 from foragelake.llm.quality import op9_quality
 from foragelake.llm.secrets import op7_secret_scan
 from foragelake.llm.sharding import op6_shard
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
+    "op2_pack": op2_pack,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_shard": op6_shard,
