@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from foragelake.llm.audio import op3_audio_features
 from foragelake.llm.chat import OP8_SQL, op8_format_chats
 from foragelake.llm.exact_dedup import OP4_SQL, op4_exact_dedup
 from foragelake.llm.licenses import op10_license_scan
@@ -15,6 +16,7 @@ from foragelake.llm.sharding import op6_shard
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_pack": op2_pack,
+    "op3_audio_features": op3_audio_features,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_ngram_join": op5_ngram_join,
     "op6_shard": op6_shard,
