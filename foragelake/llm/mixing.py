@@ -125,6 +125,19 @@ def mix(docs: DataFrame, seed: int = 17, buckets: int = BUCKETS, **targets) -> D
     )
 
 
+def take_copies(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them, with all their columns; see mix().
+
+    The mix names rows by doc_id, source and a hash of doc_id and text, so rows equal in these are taken equally often.
+    """
+    seed = options.get("seed", 17)
+    taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("draw").alias("__draw"), "copies")
+    taken = taken.groupBy("__id", "__source", "__draw").agg(F.max("copies").alias("__copies"))
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.xxhash64(F.lit(seed), "doc_id", "text") == F.col("__draw"))
+    times = F.transform(F.sequence(F.lit(1), F.col("__copies")), lambda i: i)
+    return docs.join(taken, same).withColumn("__copy", F.explode(times)).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_mix_sources(spark, sf_dir: str) -> DataFrame:
     from foragelake.llm.common import table
 

@@ -227,7 +227,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose text scores THRESHOLD or more, with all their columns."""
+    """The rows of docs whose text scores THRESHOLD or more, with all their columns; fitted on the labelled ones."""
     return docs.filter(scorer(train(docs, labels))(F.col("text")) >= THRESHOLD)
 
 
