@@ -10,9 +10,11 @@ and linear in practice:
   (one and a half times as many as a partner may lack) a partner shares at least a known number; documents that fall
   short are done, and for most corpora that is nearly all of them.
 * Of the rest, two documents that link share an n-gram of their prefixes in the global order (rare n-grams, so the
-  n-grams of a passage that many documents share don't count). Each n-gram's documents are first compared with one of
-  them, and the links found make components; only pairs of different components are compared after that. No link
-  between components is lost, and a group of n near copies needs about n comparisons instead of n squared.
+  n-grams of a passage that many documents share don't count). First every document is compared with a centre: the
+  document with the most common n-grams among those that share a few fixed ones with it. The links found make
+  components; only pairs of different components are compared after that, and only those whose n-grams that other
+  documents have could suffice. No link between components is lost, and a group of n near copies
+  needs about n comparisons instead of n squared.
 """
 
 from __future__ import annotations
@@ -23,11 +25,18 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foragelake.llm.common import materialize, shingles, table
 
 #: Parts into which each frequency level of the order of n-grams is cut, for counting; a power of two.
-FRAGMENTS = 4
+FRAGMENTS = 2
+#: N-grams by which a document looks for the centre of its group.
+VOTES = 16
+#: A list of classes up to this length (64 MB) is broadcast; a longer one is joined by shuffling.
+BROADCAST_ROWS = 4_000_000
+#: Bits of a hash that say in which cell it is counted, for bounds on what two documents share.
+CELL_BITS = 6
 
 
 def _bytes(texts: pd.Series) -> Iterator[bytes]:
@@ -150,28 +159,35 @@ def _grams_of(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
                 sizes = np.array([len(s) for s in sets], np.int64)
                 yield pd.DataFrame({"class": np.repeat(part["class"].to_numpy(), sizes), "n": np.repeat(sizes, sizes), "gram": np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)})
 
-    texts = docs.select("text").mapInPandas(classed, "class long, text string").groupBy("class").agg(F.min("text").alias("text"))
-    return texts.join(chosen.select("class"), "class", "left_semi").mapInPandas(cut, "class long, n long, gram long")
+    # Few classes are chosen as a rule: then their list goes to the texts, and only their texts are shuffled.
+    few = chosen.count() <= BROADCAST_ROWS
+    texts = docs.select("text").mapInPandas(classed, "class long, text string")
+    texts = texts.join(F.broadcast(chosen.select("class")) if few else chosen.select("class"), "class", "left_semi")
+    return texts.groupBy("class").agg(F.min("text").alias("text")).mapInPandas(cut, "class long, n long, gram long")
 
 
-def _ordered(grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Prefixes (gram, class, n), and fragments (class, fragment, n, grams).
+def _ordered(grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Votes (gram, class, n, common), prefixes (gram, class, n, left), and fragments (class, fragment, n, grams).
 
     The global order is by the power of two of an n-gram's frequency, then by its hash. An n-gram of one class only is
-    in no overlap: it takes its place at the front of the prefix and is dropped.
+    in no overlap: it takes its place at the front of the prefix and is dropped; `left` n-grams of n remain. Votes are
+    the VOTES n-grams with the smallest hashes of each class; `common` says how frequent the n-grams of a class are.
     """
     frequent = grams.withColumn("frequency", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter(F.col("frequency") > 1)
-    frequent = frequent.withColumn("level", F.floor(F.log2("frequency")).cast("int"))
     by = Window.partitionBy("class")
-    placed = frequent.withColumn("left", F.count(F.lit(1)).over(by)).withColumn("place", F.row_number().over(by.orderBy("level", "gram")))
+    placed = frequent.select("class", "n", "gram", F.log2("frequency").alias("log"), F.floor(F.log2("frequency")).cast("int").alias("level"))
+    placed = placed.withColumn("left", F.count(F.lit(1)).over(by)).withColumn("common", F.sum("log").over(by) / F.col("n"))
+    placed = placed.withColumn("place", F.row_number().over(by.orderBy("level", "gram"))).withColumn("vote", F.row_number().over(by.orderBy("gram")) <= VOTES)
     # Consecutive parts of the order: the frequency level, and inside it a range of hashes.
     fragment = F.col("level") * FRAGMENTS + F.shiftrightunsigned("gram", 65 - FRAGMENTS.bit_length()).cast("int")
     prefix_size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("left"))
     placed = placed.withColumn("in_prefix", F.col("place") <= prefix_size).withColumn("fragment", fragment)
-    per_class = placed.groupBy("class", "n", "fragment").agg(F.collect_list("gram").alias("grams"), F.collect_list(F.when(F.col("in_prefix"), F.col("gram"))).alias("prefix"))
+    chosen = {x: F.collect_list(F.when(F.col(y), F.col("gram"))).alias(x) for x, y in (("prefix", "in_prefix"), ("votes", "vote"))}
+    per_class = placed.groupBy("class", "n", "left", "common", "fragment").agg(F.collect_list("gram").alias("grams"), *chosen.values())
     per_class = materialize(per_class, "join-fragments")
-    prefixes = per_class.select("class", "n", F.explode("prefix").alias("gram"))
-    return prefixes, per_class.select("class", "fragment", "n", "grams")
+    votes = per_class.select("class", "n", "common", F.explode("votes").alias("gram"))
+    prefixes = per_class.select("class", "n", "left", F.explode("prefix").alias("gram"))
+    return votes, prefixes, per_class.select("class", "fragment", "n", "grams")
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -217,26 +233,35 @@ def class_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """(node, root) of the classes that link with another class."""
     chosen = materialize(_survivors(docs, width, percent), "join-survivors")
     grams = _grams_of(docs, chosen, width)
-    prefixes, fragments = _ordered(grams, percent)
+    votes, prefixes, fragments = _ordered(grams, percent)
+    most = F.max(F.struct("common", "class", "n")).over(Window.partitionBy("gram"))
+    votes = votes.withColumn("centre", most).filter(F.col("class") != F.col("centre.class"))
+    votes = votes.filter(_similar_sizes(F.col("n"), F.col("centre.n"), percent)).select("class", F.col("centre.class").alias("centre"))
+    votes = materialize(votes.groupBy("class", "centre").agg(F.count(F.lit(1)).alias("times")), "join-votes")
     links = None
     roots = None
-    for way in (F.min, F.max):
-        # Every document against one document of each of its prefix n-grams.
-        centre = way(F.struct("class", "n")).over(Window.partitionBy("gram"))
-        star = prefixes.withColumn("centre", centre).filter(F.col("class") != F.col("centre.class"))
-        star = star.filter(_similar_sizes(F.col("n"), F.col("centre.n"), percent))
-        pairs = star.select(F.least("class", "centre.class").alias("a"), F.greatest("class", "centre.class").alias("b")).distinct()
+    # The centre of most votes first; where that makes no link, the others too.
+    for centres in (votes.groupBy("class").agg(F.max_by("centre", F.struct("times", "centre")).alias("centre")), votes):
+        pairs = centres.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
         if roots is not None:
             pairs = _apart(pairs, roots)
         found = _verified(pairs, fragments, percent)
         links = materialize(found if links is None else links.unionByName(found), "join-links")
         roots = materialize(connected(links), "join-roots")
     # What is left: pairs that share a prefix n-gram and whose components are still different.
-    rooted = prefixes.join(roots, F.col("class") == F.col("node"), "left").select("gram", "class", "n", F.coalesce("root", "class").alias("root"))
+    rooted = prefixes.join(roots, F.col("class") == F.col("node"), "left").select("gram", "class", "n", "left", F.coalesce("root", "class").alias("root"))
     low, high = F.min("root").over(Window.partitionBy("gram")), F.max("root").over(Window.partitionBy("gram"))
-    mixed = rooted.withColumn("low", low).withColumn("high", high).filter("low <> high").select("gram", "class", "n", "root")
+    mixed = rooted.withColumn("low", low).withColumn("high", high).filter("low <> high").select("gram", "class", "n", "left", "root")
+    mixed = materialize(mixed, "join-mixed")
+    whole = fragments.join(mixed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.flatten(F.collect_list("grams")).alias("grams"))
+    cells = whole.select("class", _cells("grams").alias("cells")).select("class", *[F.get("cells", F.lit(i)).alias(f"cell{i}") for i in range(1 << CELL_BITS)])
+    mixed = mixed.join(cells, "class")
     x, y = mixed.alias("x"), mixed.alias("y")
     meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _similar_sizes(F.col("x.n"), F.col("y.n"), percent)
+    # No more can be shared than, in each cell of hashes, the one of fewer n-grams has there.
+    most = sum((F.least(f"x.cell{i}", f"y.cell{i}") for i in range(1 << CELL_BITS)), F.lit(0))
+    for bound in (F.least("x.left", "y.left"), most):
+        meet = meet & (bound * 100 >= (F.col("x.n") + F.col("y.n") - bound) * percent)
     rest = x.join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     more = materialize(_verified(rest, fragments, percent), "join-links")
     if more.isEmpty():
@@ -244,6 +269,12 @@ def class_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return connected(links.unionByName(more))
 
 
+@F.pandas_udf(T.ArrayType(T.IntegerType()))
+def _cells(grams: pd.Series) -> pd.Series:
+    """How many n-grams have each value of the first CELL_BITS bits of their hashes."""
+    return pd.Series([np.bincount(np.asarray(g).view(np.uint64) >> np.uint64(64 - CELL_BITS), minlength=1 << CELL_BITS) for g in grams])
+
+
 def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs whose ends are in different components so far."""
     ra, rb = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))

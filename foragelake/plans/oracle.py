@@ -1,3 +1,169 @@
-"""SQL that DuckDB checks the queries with."""
+"""SQL that DuckDB checks the queries with.
 
-ORACLE_SQL: dict[str, str] = {}
+Written for DuckDB's dialect: its regular expressions have no lookaround, and `\\b` is ASCII there.
+"""
+
+from __future__ import annotations
+
+from foragelake.plans import inputs as I
+from foragelake.plans import queries as Q
+
+WS = r"[\s\x{0b}\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+URL = r"(?i)^(https?)://([^/?#:@\s]+)(?::(\d+))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def collapse(x: str) -> str:
+    return f"trim(regexp_replace({x}, '{WS}+', ' ', 'g'), ' ')"
+
+
+def trim(x: str) -> str:
+    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+
+
+def part(i: int, x: str = "url") -> str:
+    return f"regexp_extract({x}, '{URL}', {i})"
+
+
+def parsed(source: str, keep: str = "*") -> str:
+    """source with fh (full host), h (host), p (path), lp, port, q (query) of its url."""
+    return f"""SELECT {keep}, CASE WHEN regexp_matches(url, '{URL}') THEN lower({part(2)}) END AS fh,
+  CASE WHEN regexp_matches(url, '{URL}') THEN regexp_replace(lower({part(2)}), '^www\\.', '') END AS h,
+  lower({part(1)}) AS scheme, {part(3)} AS port, CASE WHEN {part(4)} = '' THEN '/' ELSE {part(4)} END AS p, lower({part(4)}) AS lp, {part(5)} AS q FROM ({source}) s"""
+
+
+TRACKING = "('utm_source','utm_medium','utm_campaign','utm_term','utm_content','utm_name','fbclid','gclid')"
+QUERY = f"array_to_string(list_filter(string_split(substr(q, 2), '&'), lambda x: lower(string_split(x, '=')[1]) NOT IN {TRACKING}), '&')"
+
+
+def canonical(host: str) -> str:
+    shown = "CASE WHEN port = '' OR port = CASE WHEN scheme = 'https' THEN '443' ELSE '80' END THEN '' ELSE ':' || port END"
+    return f"CASE WHEN h IS NOT NULL THEN regexp_replace(scheme || '://' || {host} || {shown} || p || CASE WHEN {QUERY} = '' THEN '' ELSE '?' || {QUERY} END, '/$', '') END"
+
+
+FORUM = "(contains(lp, '/forum/') OR contains(lp, '/forums/') OR contains(lp, '/t/') OR contains(lp, '/topic/') OR contains(lp, '/threads/'))"
+KIND = f"""CASE WHEN (h = 'playwright.dev' AND lp LIKE '/docs/api/%') OR (h = 'vitest.dev' AND lp LIKE '/config/%') THEN 'official-api'
+  WHEN (h = 'playwright.dev' AND lp LIKE '/docs/%') OR (h = 'vitest.dev' AND lp LIKE '/guide/%') OR h = 'learn.microsoft.com'
+    OR (h = 'github.com' AND lp LIKE '/vitest-dev/vitest/%' AND contains(lp, '/docs/')) THEN 'official-docs'
+  WHEN h = 'github.com' AND (contains(lp, '/issues/') OR contains(lp, '/discussions/')) THEN 'issue-thread'
+  WHEN (h = 'reddit.com' AND contains(lp, '/comments/')) OR (h = 'stackoverflow.com' AND lp LIKE '/questions/%')
+    OR (regexp_matches(h || '.', '(^|\\.)(community|forum|forums|discuss|discourse)\\.') AND {FORUM}) THEN 'forum-thread'
+  WHEN h = 'npmjs.com' AND lp LIKE '/package/%' THEN 'package-page' ELSE 'community' END"""
+SOURCE = "CASE WHEN kind = 'forum-thread' THEN 'community' ELSE kind END"
+RANK = "CASE source_kind WHEN 'primary-content' THEN -1 WHEN 'official-docs' THEN 0 WHEN 'official-api' THEN 1 WHEN 'official-discussion' THEN 2 WHEN 'issue-thread' THEN 3 WHEN 'community' THEN 4 WHEN 'package-page' THEN 5 ELSE 6 END"
+URLS = f"SELECT page_id, url FROM ({I.oracle(I.URLS)}) a"
+WITH_URLS = f"WITH u AS ({parsed(URLS)})"
+
+
+def decode(x: str) -> str:
+    """Entities of a text, once: numbers and five names."""
+    tokens = f"regexp_extract_all({x}, '(?i)&(?:#\\d+|#x[\\da-f]+|nbsp|amp|lt|gt|quot);|[^&]+|&')"
+    one = r"""CASE WHEN regexp_matches(t, '^&#\d+;$') THEN chr(CAST(regexp_extract(t, '\d+') AS INTEGER))
+      WHEN regexp_matches(t, '(?i)^&#x[\da-f]+;$') THEN chr(CAST(('0x' || regexp_extract(t, '(?i)x([\da-f]+)', 1)) AS INTEGER))
+      WHEN lower(t) = '&nbsp;' THEN ' ' WHEN lower(t) = '&amp;' THEN '&' WHEN lower(t) = '&lt;' THEN '<'
+      WHEN lower(t) = '&gt;' THEN '>' WHEN lower(t) = '&quot;' THEN '"' ELSE t END"""
+    return f"array_to_string(list_transform({tokens}, lambda t: {one}), '')"
+
+
+_TITLE = "regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '<[^>]+>', ' ', 'g')"
+TITLE = f"nullif({decode(collapse(_TITLE))}, '')"
+
+
+def _section() -> str:
+    out = "html"
+    for tag in ("body", "article", "main"):
+        pattern = rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"
+        out = f"CASE WHEN regexp_matches(html, '{pattern}') THEN regexp_extract(html, '{pattern}', 1) ELSE {out} END"
+    for tag in ("script", "style", "noscript", "svg", "template"):
+        out = rf"regexp_replace({out}, '(?is)<{tag}\b[^>]*>.*?</{tag}>', ' ', 'g')"
+    return out
+
+
+_STRIPPED = f"regexp_replace({decode('inner_html')}, '<[^>]+>', ' ', 'g')"
+TEXT = f"substr({collapse(_STRIPPED)}, 1, 4000)"
+HTML = f"h0 AS ({I.oracle(I.HTML)}), h1 AS (SELECT *, {_section()} AS inner_html FROM h0), h AS (SELECT page_id, url, html, content_type, {TITLE} AS title, {TEXT} AS text FROM h1)"
+BOT = "performing security verification|security service|verify you are not a bot|just a moment|checking your browser"
+BOT_CHECK = f"regexp_matches(coalesce(title, '') || chr(10) || text, '(?i){BOT}')"
+SHELL = "(contains(lower(html), '<script') AND (contains(lower(html), 'id=\"app\"') OR contains(lower(html), 'id=\"root\"')))"
+WEAK = f"""(length({collapse('text')}) > 0 AND length({collapse('text')}) < 120 AND ((length({collapse('html')}) > 0 AND length({collapse('text')}) / length({collapse('html')}) < 0.02)
+  OR regexp_matches(html, '(?i)enable javascript|javascript required|please turn on javascript')))"""
+STATUS = f"CASE WHEN NOT contains(content_type, 'text/html') THEN 'unsupported' WHEN {SHELL} OR length(text) < 40 OR {WEAK} THEN 'needs_headless' ELSE 'ok' END"
+
+STOP = r"(?i)\b(find|current|tell|me|how|to|the|and|with|for|in|a|an)\b"
+_WORDS = f"regexp_replace({collapse('query')}, '{STOP}', ' ', 'g')"
+IMPORTANT = collapse(_WORDS)
+QUESTIONS = f"qs AS ({I.oracle(I.QUESTIONS)}), t AS (SELECT query_id, query, {IMPORTANT} AS terms FROM qs)"
+OFFICIAL = "CASE WHEN contains(lower(query), 'vitest') THEN 'site:vitest.dev ' || terms WHEN contains(lower(query), 'playwright') THEN 'site:playwright.dev ' || terms WHEN contains(lower(query), 'edge') THEN 'site:learn.microsoft.com ' || terms ELSE terms || ' official docs' END"
+
+ORACLE_SQL = {
+    "url_canonical": f"{WITH_URLS} SELECT page_id, {canonical('h')} AS canonical, {canonical('fh')} AS with_www, coalesce(h, lower(url)) AS host_key FROM u",
+    "url_dedupe": f"{WITH_URLS} SELECT {canonical('h')} AS canonical, min(page_id) AS first_page, arg_min(url, page_id) AS url, count(*) AS n FROM u GROUP BY 1",
+    "host_counts": f"{WITH_URLS} SELECT h AS host, count(*) AS n FROM u GROUP BY 1",
+    "source_profile": f"{WITH_URLS}, k AS (SELECT page_id, {KIND} AS kind FROM u), s AS (SELECT *, {SOURCE} AS source_kind FROM k) SELECT page_id, kind, source_kind, kind IN ('issue-thread', 'forum-thread') AS prefers_rendering, ({RANK})::INTEGER AS rank FROM s",
+    "html_title": f"WITH {HTML} SELECT page_id, title FROM h",
+    "html_fallback_text": f"WITH {HTML} SELECT page_id, text FROM h",
+    "entity_decode": f"SELECT page_id, {decode('t')} AS decoded FROM ({I.oracle(Q._ENCODED)}) a",
+    "rendered_cleanup": "SELECT page_id, " + collapse(r"regexp_replace(regexp_replace(t, '(?i)(Show more)(\s+Show more)+', '\1', 'g'), '(?i)(Privacy Terms)(\s+Privacy Terms)+', '\1', 'g')") + f" AS cleaned FROM ({I.oracle(Q._RENDERED)}) a",
+    "word_excerpt": f"""SELECT doc_id, CASE WHEN {collapse('text')} <> '' THEN len(string_split({collapse('text')}, ' '))::BIGINT END AS words,
+      CASE WHEN text = '' THEN NULL WHEN length(text) <= 240 THEN text ELSE regexp_replace(substr(text, 1, 240), '{WS}+$', '') || '…' END AS short,
+      CASE WHEN text = '' THEN NULL WHEN length(text) <= 500 THEN text ELSE regexp_replace(substr(text, 1, 500), '{WS}+$', '') || '…' END AS long,
+      substr({collapse('text')}, 1, 120) AS support FROM documents""",
+    "fetch_status": f"WITH {HTML} SELECT page_id, {SHELL} AS shell, {WEAK} AS weak, {BOT_CHECK} AS bot_check, {STATUS} AS status FROM h",
+    "page_profile": f"WITH {HTML}, u AS ({parsed('SELECT * FROM h')}) SELECT page_id, {canonical('u.h')} AS canonical, u.h AS host, {KIND} AS kind, title, {STATUS} AS status, {BOT_CHECK} AS bot_check, substr({collapse('text')}, 1, 180) AS summary FROM u",
+    "important_words": f"WITH {QUESTIONS} SELECT query_id, terms AS words, regexp_matches(query, '(?i)reddit|forum|forums|discussion|thread|comments|community|user experience|people recommend') AS discussion, {trim('query')} = '' AS invalid FROM t",
+    "query_plan": f"""WITH {QUESTIONS},
+      a AS (SELECT query_id, list_filter([{collapse('query')}], lambda x: x <> '') AS f, list_filter([{collapse(OFFICIAL)}, {collapse("'site:github.com ' || terms")}, {collapse("terms || ' discussion'")}], lambda x: x <> '') AS l FROM t),
+      b AS (SELECT query_id, f || list_filter(l, lambda x: NOT list_contains(f, x)) AS q FROM a)
+      SELECT query_id, (i - 1)::INTEGER AS step, CASE WHEN i = 1 THEN 0 ELSE 1 END::INTEGER AS pass_index, q[i] AS query FROM b, range(1, 5) r(i) WHERE i <= len(q)""",
+    "direct_urls": f"""WITH qs AS ({I.oracle(I.QUESTIONS)}),
+      m AS (SELECT query_id, unnest(regexp_extract_all(query, '(?i)https?://[^\\s]+')) AS raw, generate_subscripts(regexp_extract_all(query, '(?i)https?://[^\\s]+'), 1) AS i FROM qs),
+      u AS ({parsed("SELECT query_id, i, regexp_replace(raw, '[),.;!?\\]]+$', '') AS url FROM m")}),
+      d AS (SELECT query_id, c, min(i) AS i FROM (SELECT query_id, i, {canonical('fh')} AS c FROM u) WHERE c IS NOT NULL GROUP BY ALL),
+      n AS (SELECT query_id, string_agg(c, ' ' ORDER BY i) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS k FROM d) WHERE k <= 3 GROUP BY 1)
+      SELECT qs.query_id, coalesce(urls, '') AS urls FROM qs LEFT JOIN n USING (query_id)""",
+    "redirect_unwrap": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://a.com/' || page_id WHEN 1 THEN 'https://duckduckgo.com/l/?x=1' ELSE url END AS url,
+      'https://html.duckduckgo.com/html/?q=a+b%26' || page_id AS search_url FROM pages""",
+    "serp_outcome": """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END::INTEGER AS n, CASE WHEN page_id % 4 = 0 THEN 'A t' END AS title, CASE WHEN page_id % 4 = 0 THEN 'https://a.com/' || page_id END AS url,
+      CASE WHEN page_id % 4 = 0 THEN 's ' || page_id END AS snippet, CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'NO_RESULTS' WHEN 2 THEN 'BLOCKED' ELSE 'PARSE_FAILED' END AS outcome FROM pages""",
+    "search_fallback": f"""SELECT page_id, CASE WHEN u THEN f.backend ELSE p.backend END AS backend, CASE WHEN u THEN f.status ELSE p.status END AS status, CASE WHEN u THEN f.message ELSE p.message END AS message,
+      CASE WHEN u THEN p.backend END AS fallback_from, CASE WHEN u THEN p.message END AS fallback_reason FROM ({I.oracle(Q._PRIMARY)}) p LEFT JOIN ({I.oracle(Q._FALLBACK)}) f USING (page_id), LATERAL (SELECT p.status = 'error' AND f.status IS NOT NULL AS u) x""",
+    "fetch_fallback": f"""SELECT page_id, CASE WHEN u THEN f.backend ELSE p.backend END AS backend, CASE WHEN u THEN f.status ELSE p.status END AS status, CASE WHEN u THEN f.message ELSE p.message END AS message,
+      CASE WHEN u THEN p.backend END AS fallback_from, CASE WHEN u THEN p.message END AS fallback_reason FROM ({I.oracle(Q._PRIMARY)}) p LEFT JOIN ({I.oracle(Q._FALLBACK)}) f USING (page_id), LATERAL (SELECT p.status IN ('error', 'needs_headless') AND f.status IS NOT NULL AS u) x""",
+    "ttl_cache_hits": f"""WITH RECURSIVE a AS (SELECT user_id || '|' || event_type AS key, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+      r AS (SELECT key, event_id, i, false AS hit, ms + {Q.TTL_MS} AS expires FROM a WHERE i = 1
+        UNION ALL SELECT a.key, a.event_id, a.i, r.expires > a.ms, CASE WHEN r.expires > a.ms THEN r.expires ELSE a.ms + {Q.TTL_MS} END FROM r JOIN a ON a.key = r.key AND a.i = r.i + 1)
+      SELECT key, event_id, hit FROM r""",
+    "repo_listing": r"""SELECT page_id % 20 AS repo, 'readme' || chr(10) || chr(10) || 'Top-level contents:' || chr(10) || string_agg(CASE WHEN page_id % 3 = 0 THEN '[dir] ' ELSE '' END || 'n' || page_id, chr(10) ORDER BY page_id) AS text FROM pages GROUP BY 1""",
+    "fanout_weak": "",
+}
+SERP = I.SERP.replace("{urls}", f"({I.oracle(I.URLS)})").replace("{pages}", "pages")
+WITH_SERP = f"WITH serp AS ({SERP}), u AS ({parsed('SELECT * FROM serp')})"
+GOOD = "status = 'ok' AND latency_ms <= 8000"
+ORACLE_SQL["fanout_weak"] = f"""{WITH_SERP}, g AS (SELECT query_id, count(*) FILTER (provider_pos = 0 AND {GOOD}) AS n_results, count(DISTINCT h) FILTER (provider_pos = 0 AND {GOOD}) AS n_hosts FROM u GROUP BY 1)
+  SELECT *, n_results < 3 OR n_hosts <= 1 AS weak FROM g"""
+ORACLE_SQL["fanout_providers"] = f"""WITH serp AS ({SERP}), g AS (SELECT query_id, provider, provider_pos, bool_or({GOOD}) AS good FROM serp GROUP BY ALL)
+  SELECT query_id, coalesce(string_agg(provider, ',' ORDER BY provider_pos) FILTER (good), '') AS providers, coalesce(string_agg(provider, ',' ORDER BY provider_pos) FILTER (NOT good), '') AS skipped FROM g GROUP BY 1"""
+_MERGED = f"""k AS (SELECT *, coalesce({canonical('h')}, url) AS key FROM u WHERE {GOOD}),
+  o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, key, provider_pos ORDER BY rank) AS first FROM k) WHERE first = 1),
+  m AS (SELECT query_id, key, arg_max(title, length(title) * 1000000 - provider_pos * 10000 - rank) AS title, arg_min(url, provider_pos * 10000 + rank) AS url,
+    arg_max(snippet, length(snippet) * 1000000 - provider_pos * 10000 - rank) AS snippet, count(*) AS n_providers, min(rank) AS best_rank, min(provider_pos * 10000 + rank) AS seen FROM o GROUP BY ALL)"""
+ORACLE_SQL["fanout_merge"] = f"""{WITH_SERP}, {_MERGED}
+  SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY n_providers DESC, best_rank, seen) - 1)::INTEGER AS pos, title, url, snippet, n_providers, best_rank FROM m"""
+_EVIDENCE = f"""e AS (SELECT page_id % 30 AS query_id, page_id AS ordinal, 't' || page_id AS title, url, {SOURCE} AS source_kind,
+  CASE WHEN page_id % 7 = 0 THEN 'this is deprecated, not recommended' WHEN page_id % 5 = 0 THEN 'the recommended way' ELSE 'plain' END AS summary, h FROM (SELECT *, {KIND} AS kind FROM u)),
+  b AS (SELECT *, {RANK} AS r, min(ordinal) OVER (PARTITION BY query_id, url) AS seen, row_number() OVER (PARTITION BY query_id, url ORDER BY {RANK}, ordinal) AS k FROM e WHERE source_kind <> 'package-page'),
+  ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY r, seen) - 1)::INTEGER AS pos FROM b WHERE k = 1)"""
+ORACLE_SQL["evidence_rank"] = f"{WITH_URLS}, {_EVIDENCE} SELECT query_id, pos, title, url, source_kind FROM ranked"
+ORACLE_SQL["candidate_topk"] = f"""{WITH_SERP}, f AS (SELECT query_id, url, min(rank) AS pos, arg_min(title, rank) AS title, any_value(h) AS h, any_value(lp) AS lp FROM u WHERE provider_pos = 0 GROUP BY 1, 2),
+  k AS (SELECT *, {KIND} AS kind, coalesce(h = 'github.com' OR h LIKE '%.github.com', false) AS repo, query_id % 2 = 0 AS talk FROM f),
+  s AS (SELECT *, CASE WHEN kind = 'official-docs' THEN 0 WHEN kind = 'official-api' THEN 1 WHEN talk THEN CASE WHEN kind = 'forum-thread' THEN 2 WHEN kind = 'issue-thread' THEN 3 WHEN repo THEN 4 WHEN kind = 'package-page' THEN 6 ELSE 5 END
+    ELSE CASE WHEN kind = 'issue-thread' THEN 2 WHEN repo THEN 3 WHEN kind = 'package-page' THEN 5 ELSE 4 END END AS score FROM k)
+  SELECT query_id, candidate::INTEGER AS candidate, url, title, score::INTEGER AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, pos) AS candidate FROM s) WHERE candidate <= 4"""
+ORACLE_SQL["tool_call_verdict"] = f"""WITH l AS ({I.oracle(I.LOG)}), f AS (SELECT *, min(pos) FILTER (tool_name = 'web_explore') OVER (PARTITION BY session_id) AS f FROM l),
+  m AS (SELECT session_id, bool_or(tool_name = 'web_explore') AS explore_used, coalesce(arg_min(tool_name, pos) FILTER (tool_name IN ('web_explore','web_search','web_fetch','web_fetch_headless')) = 'web_explore', false) AS explore_first,
+    count(*) AS tool_calls, count(*) FILTER (tool_name IN ('web_explore','web_search','web_fetch','web_fetch_headless')) AS web_calls,
+    count(*) FILTER (tool_name = 'bash' AND regexp_matches(coalesce(command, ''), '(?i)\\b(Invoke-WebRequest|Invoke-RestMethod|curl(?:\\.exe)?|wget|npm\\s+(?:view|search|pack)|pip\\s+index)\\b|https?://') AND pos > f) AS shell_after FROM f GROUP BY 1),
+  n AS (SELECT *, session_id % 9 = 0 AS empty FROM m)
+  SELECT session_id, explore_used, explore_first, tool_calls, web_calls, shell_after,
+    CASE WHEN NOT explore_used THEN 'web_explore was not used' ELSE concat_ws(',', CASE WHEN NOT explore_first THEN 'web_explore was not the first web research tool' END,
+      CASE WHEN shell_after > 0 THEN 'network-capable shell fallback after web_explore (' || shell_after || ')' END, CASE WHEN empty THEN 'final answer text was empty' END) END AS notes,
+    CASE WHEN NOT explore_used OR empty THEN 'fail' WHEN explore_first AND shell_after = 0 THEN 'pass' ELSE 'mixed' END AS verdict FROM n"""
