@@ -149,7 +149,8 @@ def _grams_of(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
             for t, g in zip(batch["text"], shingles(_bytes(batch["text"]), width), strict=True):
                 if len(g):
                     seen.setdefault(_class_of(g), t)
-            yield pd.DataFrame({"class": np.fromiter(seen, np.int64, len(seen)), "text": list(seen.values())})
+            if seen:
+                yield pd.DataFrame({"class": np.fromiter(seen, np.int64, len(seen)), "text": list(seen.values())})
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
