@@ -104,7 +104,12 @@ def train(docs: DataFrame, prior: float = 1.0) -> np.ndarray:
     chance = inside / inside.sum(2, keepdims=True)
     # The values found are of few kinds, most of them hexadecimal: half of the random model is any string at all.
     chance[1] = (chance[1] + 1 / len(ALPHABET)) / 2
-    return np.log(chance[1] / chance[0])
+    ratio = np.log(chance[1] / chance[0])
+    # Separators stand in paths and identifiers as well as in encoded strings: pairs with them say nothing.
+    signs = [not c.isalnum() for c in ALPHABET]
+    ratio[signs, :] = 0
+    ratio[:, signs] = 0
+    return ratio
 
 
 def markov_spans(text: str, ratio: np.ndarray, taken: list[Span]) -> list[Span]:
