@@ -6,7 +6,6 @@ Each stage takes (spark, docs, sf_dir), with docs the rows its predecessor kept,
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from foragelake.llm.common import materialize, table
 from foragelake.llm.exact_dedup import deduplicate

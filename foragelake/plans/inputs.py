@@ -48,12 +48,12 @@ QUESTIONS = """SELECT conv_id AS query_id, CASE conv_id % 8
 FROM {conversations} WHERE turn = 0"""
 
 SERP = """SELECT CAST(p.page_id % 40 AS BIGINT) AS query_id, CAST(0 AS INT) AS step, v.provider AS provider, CAST(v.provider_pos AS INT) AS provider_pos,
-  CAST(p.page_id / 40 AS INT) AS rank, concat(v.provider, ' ', substr('title title title', 1, CAST(5 + (p.page_id * v.m) % 9 AS INT))) AS title,
+  CAST(floor(p.page_id / 40) AS INT) AS rank, concat(v.provider, ' ', substr('title title title', 1, CAST(5 + (p.page_id * v.m) % 9 AS INT))) AS title,
   concat(p.url, CASE WHEN (p.page_id + v.m) % 3 = 0 THEN '/' ELSE '' END) AS url,
   substr('snippet text here', 1, CAST(3 + (p.page_id * v.m) % 11 AS INT)) AS snippet,
   CASE WHEN (p.page_id % 40 + v.m) % 9 = 0 THEN 'error' ELSE 'ok' END AS status,
   CAST(1000 + ((p.page_id % 40) * v.m * 777) % 9000 AS BIGINT) AS latency_ms
-FROM (SELECT page_id - page_id % 40 % 1 AS page_id, url FROM {urls} WHERE page_id % 16 <> 12) p
+FROM (SELECT page_id, url FROM {urls} WHERE page_id % 16 <> 12) p
 CROSS JOIN (SELECT 'duckduckgo' AS provider, 0 AS provider_pos, 1 AS m UNION ALL SELECT 'brave', 1, 2 UNION ALL SELECT 'exa', 2, 5) v
 WHERE (p.page_id * v.m) % 5 <> 1"""
 
