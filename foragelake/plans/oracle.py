@@ -135,6 +135,13 @@ ORACLE_SQL = {
     "repo_listing": r"""SELECT page_id % 20 AS repo, 'readme' || chr(10) || chr(10) || 'Top-level contents:' || chr(10) || string_agg(CASE WHEN page_id % 3 = 0 THEN '[dir] ' ELSE '' END || 'n' || page_id, chr(10) ORDER BY page_id) AS text FROM pages GROUP BY 1""",
     "fanout_weak": "",
 }
+ORACLE_SQL["ttl_cache_stream"] = ORACLE_SQL["ttl_cache_hits"]
+ORACLE_SQL["reader_route"] = rf"""{WITH_URLS}, s AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS seg FROM u),
+  k AS (SELECT *, CASE WHEN fh = 'github.com' THEN CASE WHEN len(seg) >= 5 AND seg[3] = 'blob' THEN 'blob' WHEN len(seg) >= 4 AND seg[3] = 'issues' THEN 'issue' WHEN len(seg) >= 4 AND seg[3] = 'pull' THEN 'pull' WHEN len(seg) = 2 THEN 'repo-root' END END AS shape,
+    CASE WHEN h = 'youtube.com' AND p = '/watch' THEN nullif(regexp_extract(q, '[?&]v=([^&]*)', 1), '') END AS video_id, h IS NOT NULL AND lp LIKE '%.pdf' AS pdf FROM s)
+  SELECT page_id, shape, CASE WHEN shape IS NOT NULL THEN 'github' WHEN pdf THEN 'pdf' WHEN video_id IS NOT NULL THEN 'youtube' WHEN regexp_matches(url, '^https?://') THEN 'http' ELSE 'unsupported' END AS route,
+    CASE WHEN shape = 'blob' THEN 'https://raw.githubusercontent.com/' || seg[1] || '/' || seg[2] || '/' || array_to_string(list_transform(seg[4:], lambda x: replace(replace(x, '%20', ' '), ' ', '%20')), '/') END AS raw_url,
+    video_id, CASE WHEN pdf THEN seg[-1] END AS pdf_title FROM k"""
 SERP = I.SERP.replace("{urls}", f"({I.oracle(I.URLS)})").replace("{pages}", "pages")
 WITH_SERP = f"WITH serp AS ({SERP}), u AS ({parsed('SELECT * FROM serp')})"
 GOOD = "status = 'ok' AND latency_ms <= 8000"
