@@ -174,3 +174,19 @@ ORACLE_SQL["tool_call_verdict"] = f"""WITH l AS ({I.oracle(I.LOG)}), f AS (SELEC
     CASE WHEN NOT explore_used THEN 'web_explore was not used' ELSE concat_ws(',', CASE WHEN NOT explore_first THEN 'web_explore was not the first web research tool' END,
       CASE WHEN shell_after > 0 THEN 'network-capable shell fallback after web_explore (' || shell_after || ')' END, CASE WHEN empty THEN 'final answer text was empty' END) END AS notes,
     CASE WHEN NOT explore_used OR empty THEN 'fail' WHEN explore_first AND shell_after = 0 THEN 'pass' ELSE 'mixed' END AS verdict FROM n"""
+ORACLE_SQL["fanout_auto"] = f"""{WITH_SERP}, {_MERGED},
+  g AS (SELECT query_id, count(*) FILTER (provider_pos = 0 AND {GOOD}) < 3 OR count(DISTINCT h) FILTER (provider_pos = 0 AND {GOOD}) <= 1 AS weak FROM u GROUP BY 1)
+  SELECT query_id, rank::INTEGER AS pos, title, url, snippet, 1::BIGINT AS n_providers, rank AS best_rank FROM u JOIN g USING (query_id) WHERE NOT weak AND provider_pos = 0 AND {GOOD}
+  UNION ALL SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY n_providers DESC, best_rank, seen) - 1)::INTEGER, title, url, snippet, n_providers, best_rank FROM m JOIN g USING (query_id) WHERE weak"""
+ORACLE_SQL["serp_parse_json"] = """SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'brave' WHEN 1 THEN 'exa' ELSE 'tavily' END AS provider, 0::INTEGER AS rank,
+  CASE WHEN page_id % 5 = 0 THEN 'T' || page_id ELSE 'T' END AS title, CASE WHEN page_id % 5 = 2 THEN 'http://a' ELSE 'http://a/' || page_id END AS url,
+  CASE page_id % 5 WHEN 0 THEN 'd' WHEN 1 THEN '' ELSE 'c' END AS snippet FROM pages WHERE page_id % 5 < 3"""
+ORACLE_SQL["thread_text"] = f"""WITH t AS (SELECT conv_id, turn, text, CASE WHEN turn % 3 = 1 THEN '' ELSE text END AS said FROM conversations),
+  g AS (SELECT conv_id, coalesce(string_agg(said, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY turn, text) FILTER (said <> ''), '') AS full_text,
+    coalesce(string_agg(said, ' ' ORDER BY turn, text), '') AS joined FROM t GROUP BY 1)
+  SELECT conv_id, substr(full_text, 1, 24000) AS text, length(full_text) >= 24000 AS truncated, {collapse('joined')} AS transcript FROM g"""
+_LINES = r"regexp_split_to_array(content, '\r?\n')"
+ORACLE_SQL["changelog_sections"] = rf"""WITH c AS ({I.oracle(Q._CHANGELOG)}), l AS (SELECT log_id, unnest({_LINES}) AS line, generate_subscripts({_LINES}, 1) AS i FROM c),
+  s AS (SELECT *, count(*) FILTER (starts_with(line, '## ')) OVER (PARTITION BY log_id ORDER BY i) AS section FROM l),
+  v AS (SELECT log_id, first(regexp_extract(line, '^##\s+\[?(\d+\.\d+\.\d+)\]?', 1) ORDER BY i) AS version, string_agg(line, chr(10) ORDER BY i) AS body FROM s WHERE section > 0 GROUP BY log_id, section)
+  SELECT log_id, version, {trim('body')} AS content, list_transform(string_split(version, '.'), lambda x: x::INTEGER) > [0, 9, 10] AS newer FROM v WHERE version <> ''"""
