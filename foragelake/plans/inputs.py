@@ -1,15 +1,19 @@
 """Inputs of the queries, derived from the given tables by SQL that Spark and DuckDB both read.
 
-The crawled pages have neither documentation hosts nor script shells, and no search results come with them; so every
-branch of the operators is reached by a rule on the row number.
+Every page, URL and first turn is read whole, as it is. The crawled pages have neither documentation hosts nor script
+shells, and no search results come with them; so rows with ids of their own (from EXTRA on) are added, in which a rule on
+the row number reaches every branch of the operators.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-URLS = """SELECT page_id, CASE page_id % 16
-  WHEN 0 THEN url
+#: Ids of added rows are those of the rows they come from plus this.
+EXTRA = 1_000_000_000_000
+
+URLS = f"""SELECT page_id, url FROM {{pages}}
+UNION ALL SELECT page_id + {EXTRA} AS page_id, CASE page_id % 16
   WHEN 1 THEN concat('https://playwright.dev/docs/api/p', page_id)
   WHEN 2 THEN concat('https://www.playwright.dev/docs/intro?utm_source=x&b=', page_id, '#frag')
   WHEN 3 THEN 'https://vitest.dev/config/'
@@ -25,37 +29,39 @@ URLS = """SELECT page_id, CASE page_id % 16
   WHEN 13 THEN concat('https://learn.microsoft.com/en-us/p', page_id, '.pdf')
   WHEN 14 THEN concat('https://www.youtube.com/watch?v=v', page_id, '&t=3')
   ELSE concat('https://github.com/o/r', page_id) END AS url
-FROM {pages}"""
+FROM {{pages}} WHERE page_id % 16 <> 0"""
 
-HTML = """SELECT page_id, url, CASE page_id % 7
+HTML = f"""SELECT page_id, url, html, 'text/html; charset=utf-8' AS content_type FROM {{pages}}
+UNION ALL SELECT page_id + {EXTRA} AS page_id, url, CASE page_id % 7
   WHEN 0 THEN concat('<html><head><title>App &amp; more</title></head><body><script src="a.js"></script><div id="root"></div></body></html>')
   WHEN 1 THEN concat('<html><head><title>Just a moment...</title></head><body><main>Checking your browser before you go on to page ', page_id, '</main></body></html>')
   WHEN 2 THEN '<html><body>Please enable JavaScript to see what this short page has to say.</body></html>'
   WHEN 3 THEN '<html><body>Too short</body></html>'
   ELSE html END AS html,
   CASE WHEN page_id % 11 = 0 THEN 'application/pdf' ELSE 'text/html; charset=utf-8' END AS content_type
-FROM {pages}"""
+FROM {{pages}} WHERE page_id % 16 <> 0"""
 
-QUESTIONS = """SELECT conv_id AS query_id, CASE conv_id % 8
-  WHEN 0 THEN concat('How to find the ', substr(text, 1, 30), ' in vitest')
-  WHEN 1 THEN concat('playwright  setup for ', substr(text, 1, 20))
+QUESTIONS = f"""SELECT conv_id AS query_id, text AS query FROM {{conversations}} WHERE turn = 0
+UNION ALL SELECT conv_id + {EXTRA} AS query_id, CASE conv_id % 8
+  WHEN 0 THEN concat('How to find the ', text, ' in vitest')
+  WHEN 1 THEN concat('playwright  setup for ', text)
   WHEN 2 THEN concat('tell me  about edge ', conv_id, ' and reddit comments')
   WHEN 3 THEN concat('see https://example.com/a', conv_id, '?utm_medium=m&x=1), (http://www.example.org/b/). and find more')
   WHEN 4 THEN concat('Read https://github.com/o/r/issues/', conv_id, ' please')
   WHEN 5 THEN '   '
-  WHEN 6 THEN concat('current ', substr(text, 1, 25), ' discussion')
-  ELSE substr(text, 1, 40) END AS query
-FROM {conversations} WHERE turn = 0"""
+  ELSE concat('current ', text, ' discussion') END AS query
+FROM {{conversations}} WHERE turn = 0 AND conv_id % 8 <> 7"""
 
-SERP = """SELECT CAST(p.page_id % 40 AS BIGINT) AS query_id, CAST(0 AS INT) AS step, v.provider AS provider, CAST(v.provider_pos AS INT) AS provider_pos,
-  CAST(floor(p.page_id / 40) AS INT) AS rank, concat(v.provider, ' ', substr('title title title', 1, CAST(5 + (p.page_id * v.m) % 9 AS INT))) AS title,
+# All providers find every crawled page; of the added rows each provider leaves out some.
+SERP = f"""SELECT CAST(p.page_id % 40 AS BIGINT) AS query_id, CAST(0 AS INT) AS step, v.provider AS provider, CAST(v.provider_pos AS INT) AS provider_pos,
+  CAST(2 * floor(p.page_id % {EXTRA} / 40) + CASE WHEN p.page_id < {EXTRA} THEN 0 ELSE 1 END AS INT) AS rank, concat(v.provider, ' ', substr('title title title', 1, CAST(5 + (p.page_id * v.m) % 9 AS INT))) AS title,
   concat(p.url, CASE WHEN (p.page_id + v.m) % 3 = 0 THEN '/' ELSE '' END) AS url,
   substr('snippet text here', 1, CAST(3 + (p.page_id * v.m) % 11 AS INT)) AS snippet,
   CASE WHEN (p.page_id % 40 + v.m) % 9 = 0 THEN 'error' ELSE 'ok' END AS status,
   CAST(1000 + ((p.page_id % 40) * v.m * 777) % 9000 AS BIGINT) AS latency_ms
-FROM (SELECT page_id, url FROM {urls} WHERE page_id % 16 <> 12) p
+FROM (SELECT page_id, url FROM {{urls}}) p
 CROSS JOIN (SELECT 'duckduckgo' AS provider, 0 AS provider_pos, 1 AS m UNION ALL SELECT 'brave', 1, 2 UNION ALL SELECT 'exa', 2, 5) v
-WHERE (p.page_id * v.m) % 5 <> 1"""
+WHERE p.page_id < {EXTRA} OR (p.page_id * v.m) % 5 <> 1"""
 
 LOG = """SELECT user_id AS session_id, event_id AS pos, CASE CAST(event_id * 7 % 10 AS INT)
   WHEN 0 THEN 'web_explore' WHEN 1 THEN 'web_search' WHEN 2 THEN 'web_fetch' WHEN 3 THEN 'web_fetch_headless' WHEN 4 THEN 'read' ELSE 'bash' END AS tool_name,

@@ -188,7 +188,7 @@ def _research(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     steps = steps_of(q)
     n = F.lit(7)
     searches = steps.select("query_id", "step", F.when((F.col("query_id") + F.col("step")) % 11 == 0, "error").otherwise("ok").alias("status"), F.when((F.col("query_id") + F.col("step")) % 22 == 0, "search down").alias("message"))
-    pages = _urls(spark, d).filter("page_id % 16 <> 12")
+    pages = _urls(spark, d)
     slots = pages.select((F.col("page_id") % 48).alias("slot"), "page_id", "url")
     hits = steps.withColumn("slot", (F.col("query_id") * 13 + F.col("step") * n) % 48).join(slots, "slot")
     hits = hits.select("query_id", "step", F.col("page_id").alias("pos"), F.concat(F.lit("hit "), F.col("page_id").cast("string")).alias("title"), "url", F.lit("s").alias("snippet"))
