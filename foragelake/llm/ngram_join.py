@@ -55,17 +55,18 @@ def _class_of(grams: np.ndarray) -> int:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, class (of equal sets; 0: empty), n_shingles."""
+    """doc_id, text_hash, class (of equal sets; 0: empty), n_shingles."""
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = [(_class_of(g), len(g)) for g in shingles(_bytes(batch["text"]), width)]
             out = pd.DataFrame(found, columns=["class", "n_shingles"], dtype="int64")
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
+            out.insert(1, "text_hash", batch["text_hash"].to_numpy())
             yield out
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(sign, f"doc_id {kind}, class long, n_shingles long")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(sign, f"doc_id {kind}, text_hash long, class long, n_shingles long")
 
 
 def _lacks(n, percent: int):
@@ -205,17 +206,17 @@ def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
     return summed.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
-def connected(links: DataFrame, tag: str = "components") -> DataFrame:
+def connected(links: DataFrame, tag: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of links (a, b).
 
     Alternating large-star and small-star steps: every node hands its larger neighbours, then its smaller ones, to the
-    smallest node it knows. A hub meets its neighbours only in an aggregation and a join on one row for each node.
+    smallest node it knows, until nothing changes; raises if that takes more than `rounds`. A hub meets its neighbours only in an aggregation and a join on one row for each node.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), tag)
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     state = None
-    for _ in range(60):
+    for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -227,6 +228,8 @@ def connected(links: DataFrame, tag: str = "components") -> DataFrame:
         if now == state and now[0] == now[2]:
             break
         state = now
+    else:
+        raise RuntimeError(f"components aren't finished after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -291,21 +294,39 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     that repeat a doc_id are told apart by their texts. An empty table gives an empty result; other columns are
     ignored, whatever their names. N-grams and sets are compared by 64-bit hashes.
     """
+    return _told(docs, width, percent).select("doc_id", "n_shingles", F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def _told(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The signatures with root (a class of the component) and component_id, both null for empty sets."""
     signed = materialize(signatures(docs, width), "join-signatures")
     roots = class_components(docs, width, percent)
     groups = signed.filter("class <> 0").groupBy("class").agg(F.min("doc_id").alias("least"))
     rooted = groups.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(least, "root").select("class", "component_id")
+    ids = rooted.join(least, "root").select("class", "root", "component_id")
     # A class of copies may hold a third of all rows: this join has one row on its other side, and is split at run time.
-    told = signed.join(ids, "class", "left")
-    return told.select("doc_id", "n_shingles", F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return signed.join(ids, "class", "left")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that stay: of each component the row with the smallest doc_id; texts without words all stay."""
-    stay = near_duplicates(docs, width, percent).filter("doc_id <=> component_id").select(F.col("doc_id").alias("__stay")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__stay")), "left_semi")
+    """The rows of docs that stay: exactly one of each component; texts without words all stay.
+
+    It is the row with the smallest doc_id (null last), of these that with the smallest hash of its text, and of rows
+    alike in both the first by all their columns.
+    """
+    told = _told(docs, width, percent)
+    alike = told.filter("class <> 0").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("k"))
+    first = first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"), (F.col("k.n") > 1).alias("__repeated"))
+    bare = told.filter("class = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(False).alias("__repeated"))
+    stay = materialize(first.unionByName(bare.distinct()), "join-stay")
+    kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    # Repeated keys are few; only their rows are dealt by key and ordered.
+    by = Window.partitionBy("__id", "__hash").orderBy(F.to_json(F.struct(*names)))
+    once = kept.filter("__repeated").withColumn("__at", F.row_number().over(by)).filter("__at = 1")
+    return kept.filter("NOT __repeated").select(*names).unionByName(once.select(*names))
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
