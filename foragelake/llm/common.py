@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from foragelake.sources.shared import discard, shared_dir
+from foragelake.sources.shared import written as materialize
+
+__all__ = ["SPACE", "Words", "blocks", "discard", "materialize", "mix", "shared_dir", "shingles", "table", "text_or_empty", "word_count"]
+
 #: ASCII white space: what separates words everywhere here.
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -18,23 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one where the session names none, as in local tests."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='foragelake-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -51,19 +37,7 @@ _WS = np.zeros(256, bool)
 _WS[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BYTE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _P = 0x9E3779B97F4A7C15
-_powers: dict[str, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    key = str(base)
-    if key not in _powers or len(_powers[key]) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        _powers[key] = np.cumprod(steps, dtype=np.uint64)
-    return _powers[key][:n]
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -88,10 +62,18 @@ class Words:
         self.first = np.searchsorted(self.start, at)
 
     def hashes(self) -> np.ndarray:
-        n = len(self.data)
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE[_LOWER[self.data]] * _power(_P, n), out=total[1:])
-        return mix((total[self.end] - total[self.start]) * _power(pow(_P, -1, 2**64), n)[self.start])
+        """The sum, over a word's bytes, of a pseudo-random number for each byte and place in the word.
+
+        So no rule of arithmetic makes long crafted words alike, as it does with polynomials modulo 2**64.
+        """
+        size = self.end - self.start
+        at = np.repeat(self.start, size)
+        place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
+        key = (place.astype(np.uint64) << np.uint64(8)) | _LOWER[self.data[at + place]].astype(np.uint64)
+        total = np.zeros(len(at) + 1, np.uint64)
+        np.cumsum(mix((key + np.uint64(1)) * np.uint64(_P)), out=total[1:])
+        last = np.cumsum(size)
+        return mix(total[last] - total[last - size] + size.astype(np.uint64))
 
 
 def blocks(texts: Iterable[bytes], limit: int = 1 << 21) -> Iterator[list[bytes]]:

@@ -19,7 +19,7 @@ and linear in practice:
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -27,14 +27,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foragelake.llm.common import materialize, shingles, table
+from foragelake.llm.common import discard, materialize, mix, shingles, table
 
 #: Parts into which each frequency level of the order of n-grams is cut, for counting; a power of two.
 FRAGMENTS = 2
 #: N-grams by which a document looks for the centre of its group.
 VOTES = 16
-#: A list of classes up to this length (64 MB) is broadcast; a longer one is joined by shuffling.
-BROADCAST_ROWS = 4_000_000
+#: A list of chosen documents up to this length (64 MB) is broadcast; a longer one is joined by shuffling.
+BROADCAST_ROWS = 2_000_000
 #: Bits of a hash that say in which cell it is counted, for bounds on what two documents share.
 CELL_BITS = 6
 
@@ -43,30 +43,34 @@ def _bytes(texts: pd.Series) -> Iterator[bytes]:
     return ((t or "").encode("utf-8", "replace") for t in texts)
 
 
-def _class_of(grams: np.ndarray) -> int:
-    """64-bit digest of a set of n-grams; 0 for the empty set."""
-    if not len(grams):
-        return 0
-    place = np.arange(1, len(grams) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    x = (grams ^ place) * np.uint64(0xD6E8FEB86659FD93)
-    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    total = int((x ^ (x >> np.uint64(29))).sum(dtype=np.uint64)) ^ len(grams)
-    return int(np.uint64(total or 1).astype(np.int64))
+def _digest(grams: np.ndarray) -> tuple[int, int]:
+    """128-bit digest of a set of n-grams, as two signed numbers; zeros for the empty set."""
+    out = []
+    for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        place = np.arange(1, len(grams) + 1, dtype=np.uint64) * np.uint64(k)
+        out.append(int(mix(mix(grams ^ place) + np.uint64(k)).sum(dtype=np.uint64).astype(np.int64)))
+    return out[0], out[1]
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, text_hash, class (of equal sets; 0: empty), n_shingles."""
+def signatures(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """row, doc_id, text_hash, high, low (digest of the set of n-grams), n_shingles, prefix (its smallest n-grams).
+
+    Texts are cut into n-grams here; what is needed of all documents later is kept, so only texts of documents that may
+    have a partner are read again.
+    """
 
     def sign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [(_class_of(g), len(g)) for g in shingles(_bytes(batch["text"]), width)]
-            out = pd.DataFrame(found, columns=["class", "n_shingles"], dtype="int64")
+            found = [(*_digest(g), len(g), g[: _prefix(len(g), percent)].view(np.int64)) for g in shingles(_bytes(batch["text"]), width)]
+            out = pd.DataFrame(found, columns=["high", "low", "n_shingles", "prefix"])
             out.insert(0, "doc_id", batch["doc_id"].to_numpy())
             out.insert(1, "text_hash", batch["text_hash"].to_numpy())
             yield out
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInPandas(sign, f"doc_id {kind}, text_hash long, class long, n_shingles long")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    signed = rows.mapInPandas(sign, f"doc_id {kind}, text_hash long, high long, low long, n_shingles long, prefix array<long>")
+    return signed.withColumn("row", F.monotonically_increasing_id())
 
 
 def _lacks(n, percent: int):
@@ -87,85 +91,71 @@ def _prefix(n: int, percent: int) -> int:
     return min(n, _lacks(n, percent) + _lacks(n, percent) // 2 + 1)
 
 
-def _scatter(width: int, percent: int) -> Callable:
-    """(gram, class, kind, n) of the smallest n-grams of every class in a batch.
+def _scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(class, n, prefix) -> (gram, class, kind, n) of the smallest n-grams of every class in a batch.
 
     An n-gram that several classes of the batch share is settled here: the classes count it and only two of them are
     sent on as witnesses for other batches. So a passage in a third of all documents sends two rows for each batch.
     kind: -1 needs to be settled, -2 witness, otherwise the number of n-grams of the class that are settled.
     """
-
-    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = {}
-            for g in shingles(_bytes(batch["text"]), width):
-                if len(g):
-                    sets.setdefault(_class_of(g), (g[: _prefix(len(g), percent)], len(g)))
-            if not sets:
-                continue
-            classes = np.fromiter(sets, np.int64, len(sets))
-            sizes = np.array([len(g) for g, _ in sets.values()])
-            grams = np.concatenate([g for g, _ in sets.values()])
-            owner = np.repeat(np.arange(len(classes)), sizes)
-            order = np.argsort(grams, kind="stable")
-            grams, owner = grams[order], owner[order]
-            first = np.ones(len(grams), bool)
-            first[1:] = grams[1:] != grams[:-1]
-            run = np.cumsum(first) - 1
-            shared = np.bincount(run)[run] > 1
-            settled = np.bincount(owner[shared], minlength=len(classes))
-            second = np.zeros(len(grams), bool)
-            second[1:] = first[:-1]
-            witness = shared & (first | second)
-            alone = ~shared
-            own = pd.DataFrame({"gram": np.zeros(len(classes), np.int64) + classes, "class": classes, "kind": settled, "n": [n for _, n in sets.values()]})
-            for part, kind in ((alone, -1), (witness, -2)):
-                yield pd.DataFrame({"gram": grams[part].view(np.int64), "class": classes[owner[part]], "kind": kind, "n": 0})
-            yield own
-
-    return scatter
-
-
-def _survivors(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Classes that may have a partner."""
-    rows = docs.select("text").mapInPandas(_scatter(width, percent), "gram long, class long, kind int, n int")
+    for batch in batches:
+        if not len(batch):
+            continue
+        classes, sizes = batch["class"].to_numpy(), np.array([len(p) for p in batch["prefix"]])
+        grams = np.concatenate([np.asarray(p, np.int64) for p in batch["prefix"]])
+        owner = np.repeat(np.arange(len(classes)), sizes)
+        order = np.argsort(grams, kind="stable")
+        grams, owner = grams[order], owner[order]
+        first = np.ones(len(grams), bool)
+        first[1:] = grams[1:] != grams[:-1]
+        run = np.cumsum(first) - 1
+        shared = np.bincount(run)[run] > 1
+        settled = np.bincount(owner[shared], minlength=len(classes))
+        second = np.zeros(len(grams), bool)
+        second[1:] = first[:-1]
+        witness = shared & (first | second)
+        for part, kind in ((~shared, -1), (witness, -2)):
+            yield pd.DataFrame({"gram": grams[part], "class": classes[owner[part]], "kind": kind, "n": 0})
+        yield pd.DataFrame({"gram": classes, "class": classes, "kind": settled, "n": batch["n"]})
+
+
+def _survivors(classes: DataFrame, percent: int) -> DataFrame:
+    """(class, n) of the classes that may have a partner.
+
+    Of an n-gram, a window holds at most two rows for each batch of classes, however many documents have it.
+    """
+    rows = classes.select("class", "n", "prefix").mapInPandas(_scatter, "gram long, class long, kind int, n int")
     of = Window.partitionBy("gram")
     is_gram = F.col("kind") < 0
     several = F.min(F.when(is_gram, F.col("class"))).over(of) != F.max(F.when(is_gram, F.col("class"))).over(of)
     told = rows.withColumn("several", several).filter((F.col("kind") >= 0) | ((F.col("kind") == -1) & F.col("several")))
-    # A class that several batches saw was counted in each: the same n-grams, so the largest count of each kind of
-    # batch bounds what it shares, and adding them up can only keep a class too many.
     counted = told.groupBy("class").agg(F.sum(F.when(is_gram, 1).otherwise(F.col("kind"))).alias("shared"), F.max("n").alias("n"))
     smallest = F.ceil(F.col("n") * percent / 100)
     needed = F.floor((smallest - F.ceil(smallest * percent / 100)) / 2) + 1
     return counted.filter(F.col("shared") >= needed).select("class", "n")
 
 
-def _grams_of(docs: DataFrame, chosen: DataFrame, width: int) -> DataFrame:
-    """(class, n, gram) of the chosen classes, from one text of each."""
-
-    def classed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            seen: dict[int, str] = {}
-            for t, g in zip(batch["text"], shingles(_bytes(batch["text"]), width), strict=True):
-                if len(g):
-                    seen.setdefault(_class_of(g), t)
-            if seen:
-                yield pd.DataFrame({"class": np.fromiter(seen, np.int64, len(seen)), "text": list(seen.values())})
+def _grams_of(docs: DataFrame, chosen: DataFrame, width: int, broadcast_rows: int) -> DataFrame:
+    """(class, n, gram) of the chosen documents (class, doc_id, text_hash, high, low), one for each class."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 500):
                 part = batch.iloc[lo : lo + 500]
-                sets = list(shingles(_bytes(part["text"]), width))
-                sizes = np.array([len(s) for s in sets], np.int64)
-                yield pd.DataFrame({"class": np.repeat(part["class"].to_numpy(), sizes), "n": np.repeat(sizes, sizes), "gram": np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)})
-
-    # Few classes are chosen as a rule: then their list goes to the texts, and only their texts are shuffled.
-    few = chosen.count() <= BROADCAST_ROWS
-    texts = docs.select("text").mapInPandas(classed, "class long, text string")
-    texts = texts.join(F.broadcast(chosen.select("class")) if few else chosen.select("class"), "class", "left_semi")
-    return texts.groupBy("class").agg(F.min("text").alias("text")).mapInPandas(cut, "class long, n long, gram long")
+                # The digest tells a text of another document with the same id and hash.
+                found = [(c, g) for c, high, low, g in zip(part["class"], part["high"], part["low"], shingles(_bytes(part["text"]), width), strict=True) if _digest(g) == (high, low)]
+                sizes = np.array([len(g) for _, g in found], np.int64)
+                classes = np.array([c for c, _ in found], np.int64)
+                yield pd.DataFrame({"class": np.repeat(classes, sizes), "n": np.repeat(sizes, sizes), "gram": np.concatenate([g for _, g in found]).view(np.int64) if found else np.zeros(0, np.int64)})
+
+    # Few documents are chosen as a rule: then their list goes to the texts, and only their texts are shuffled.
+    few = chosen.count() <= broadcast_rows
+    wanted = chosen.select("class", F.col("doc_id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"), "high", "low")
+    same = F.col("doc_id").eqNullSafe(F.col("wanted_id")) & (F.xxhash64("text") == F.col("wanted_hash"))
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, same).select("class", "high", "low", "text")
+    # Rows that repeat id and text are one.
+    once = texts.groupBy("class", "high", "low", F.sha2("text", 256).alias("sha")).agg(F.min("text").alias("text"))
+    return once.select("class", "high", "low", "text").mapInPandas(cut, "class long, n long, gram long")
 
 
 def _ordered(grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -175,7 +165,9 @@ def _ordered(grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Data
     in no overlap: it takes its place at the front of the prefix and is dropped; `left` n-grams of n remain. Votes are
     the VOTES n-grams with the smallest hashes of each class; `common` says how frequent the n-grams of a class are.
     """
-    frequent = grams.withColumn("frequency", F.count(F.lit(1)).over(Window.partitionBy("gram"))).filter(F.col("frequency") > 1)
+    # Counted before the shuffle, and joined back to one row for each n-gram: a frequent one is split at run time.
+    several = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("frequency")).filter(F.col("frequency") > 1)
+    frequent = grams.join(several, "gram")
     by = Window.partitionBy("class")
     placed = frequent.select("class", "n", "gram", F.log2("frequency").alias("log"), F.floor(F.log2("frequency")).cast("int").alias("level"))
     placed = placed.withColumn("left", F.count(F.lit(1)).over(by)).withColumn("common", F.sum("log").over(by) / F.col("n"))
@@ -223,7 +215,8 @@ def connected(links: DataFrame, tag: str = "components", rounds: int = 60) -> Da
         large = large.filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        edges = materialize(small.filter("u <> v").distinct(), tag)
+        before, edges = edges, materialize(small.filter("u <> v").distinct(), tag)
+        discard(before)
         now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first())
         if now == state and now[0] == now[2]:
             break
@@ -233,13 +226,15 @@ def connected(links: DataFrame, tag: str = "components", rounds: int = 60) -> Da
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def class_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """(node, root) of the classes that link with another class."""
-    chosen = materialize(_survivors(docs, width, percent), "join-survivors")
-    grams = _grams_of(docs, chosen, width)
+def class_components(docs: DataFrame, signed: DataFrame, ids: DataFrame, width: int, percent: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """(node, root) of the classes that link with another class; signed: signatures(), ids: the classes of their digests."""
+    own = signed.join(ids.select("class"), F.col("row") == F.col("class")).withColumnRenamed("n_shingles", "n")
+    own = materialize(own.select("class", "n", "prefix", "doc_id", "text_hash", "high", "low"), "join-classes")
+    chosen = materialize(own.drop("prefix", "n").join(_survivors(own, percent), "class"), "join-survivors")
+    grams = materialize(_grams_of(docs, chosen, width, broadcast_rows), "join-grams")
     votes, prefixes, fragments = _ordered(grams, percent)
-    most = F.max(F.struct("common", "class", "n")).over(Window.partitionBy("gram"))
-    votes = votes.withColumn("centre", most).filter(F.col("class") != F.col("centre.class"))
+    centres = votes.groupBy("gram").agg(F.max(F.struct("common", "class", "n")).alias("centre"))
+    votes = votes.join(centres, "gram").filter(F.col("class") != F.col("centre.class"))
     votes = votes.filter(_similar_sizes(F.col("n"), F.col("centre.n"), percent)).select("class", F.col("centre.class").alias("centre"))
     votes = materialize(votes.groupBy("class", "centre").agg(F.count(F.lit(1)).alias("times")), "join-votes")
     links = None
@@ -254,12 +249,13 @@ def class_components(docs: DataFrame, width: int, percent: int) -> DataFrame:
         roots = materialize(connected(links), "join-roots")
     # What is left: pairs that share a prefix n-gram and whose components are still different.
     rooted = prefixes.join(roots, F.col("class") == F.col("node"), "left").select("gram", "class", "n", "left", F.coalesce("root", "class").alias("root"))
-    low, high = F.min("root").over(Window.partitionBy("gram")), F.max("root").over(Window.partitionBy("gram"))
-    mixed = rooted.withColumn("low", low).withColumn("high", high).filter("low <> high").select("gram", "class", "n", "left", "root")
-    mixed = materialize(mixed, "join-mixed")
+    rooted = materialize(rooted, "join-rooted")
+    several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
+    mixed = materialize(rooted.join(several, "gram"), "join-mixed")
     whole = fragments.join(mixed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     cells = whole.select("class", _cells("grams").alias("cells")).select("class", *[F.get("cells", F.lit(i)).alias(f"cell{i}") for i in range(1 << CELL_BITS)])
-    mixed = mixed.join(cells, "class")
+    # A given number of partitions isn't merged at run time by size, which says little about the work here.
+    mixed = mixed.join(cells, "class").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")
     x, y = mixed.alias("x"), mixed.alias("y")
     meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _similar_sizes(F.col("x.n"), F.col("y.n"), percent)
     # No more can be shared than, in each cell of hashes, the one of fewer n-grams has there.
@@ -292,21 +288,26 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     count; with fewer than `width` words the whole sequence is the one n-gram). Null, empty and blank texts have no
     n-gram, link with nothing and are their own component; a null doc_id without partner has a null component. Rows
     that repeat a doc_id are told apart by their texts. An empty table gives an empty result; other columns are
-    ignored, whatever their names. N-grams and sets are compared by 64-bit hashes.
+    ignored, whatever their names. N-grams are compared by 64-bit hashes, sets by 128-bit digests.
+
+    A class of copies may hold a third of all rows, and an n-gram be in a third of all documents. Both are aggregated
+    before they are shuffled; where their rows are joined back, the other side has one row for each, and adaptive
+    execution (spark.sql.adaptive.skewJoin, on by default) splits the large side.
     """
-    return _told(docs, width, percent).select("doc_id", "n_shingles", F.when(F.col("class") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    return _told(docs, width, percent).select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def _told(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """The signatures with root (a class of the component) and component_id, both null for empty sets."""
-    signed = materialize(signatures(docs, width), "join-signatures")
-    roots = class_components(docs, width, percent)
-    groups = signed.filter("class <> 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    rooted = groups.join(roots, F.col("class") == F.col("node"), "left").select("class", "least", F.coalesce("root", "class").alias("root"))
+    signed = materialize(signatures(docs, width, percent), "join-signatures")
+    # A class is known by the number of its first row.
+    ids = signed.filter("n_shingles > 0").groupBy("high", "low").agg(F.min("row").alias("class"), F.min("doc_id").alias("least"))
+    ids = materialize(ids, "join-ids")
+    roots = class_components(docs, signed, ids, width, percent)
+    rooted = ids.join(roots, F.col("class") == F.col("node"), "left").select("high", "low", "least", F.coalesce("root", "class").alias("root"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = rooted.join(least, "root").select("class", "root", "component_id")
-    # A class of copies may hold a third of all rows: this join has one row on its other side, and is split at run time.
-    return signed.join(ids, "class", "left")
+    known = rooted.join(least, "root").select("high", "low", "root", "component_id")
+    return signed.select("doc_id", "text_hash", "high", "low", "n_shingles").join(known, ["high", "low"], "left")
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -316,10 +317,10 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     alike in both the first by all their columns.
     """
     told = _told(docs, width, percent)
-    alike = told.filter("class <> 0").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
+    alike = told.filter("n_shingles > 0").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
     first = alike.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "n")).alias("k"))
     first = first.select(F.col("k.doc_id").alias("__id"), F.col("k.text_hash").alias("__hash"), (F.col("k.n") > 1).alias("__repeated"))
-    bare = told.filter("class = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(False).alias("__repeated"))
+    bare = told.filter("n_shingles = 0").select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.lit(False).alias("__repeated"))
     stay = materialize(first.unionByName(bare.distinct()), "join-stay")
     kept = docs.join(stay, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
     names = [F.col(f"`{c}`") for c in docs.columns]

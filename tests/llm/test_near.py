@@ -26,3 +26,26 @@ def test_unfinished_components_are_an_error(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
     with pytest.raises(RuntimeError, match="finished"):
         ngram_join.connected(links, rounds=1)
+
+
+def test_hot_passages_and_copies_by_both_joins(spark):
+    """A passage in all documents, a class with a third of the rows, and the list of chosen documents joined both ways."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, f"{_text(0, 'c')}") for i in range(30)] + [(100 + i, f"{passage} {_text(400 * i)}") for i in range(20)] + [(200 + i, f"{passage} {_text(400 * i + 5)}") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    signed = ngram_join.materialize(ngram_join.signatures(docs, 5, 80), "test-signatures")
+    ids = signed.groupBy("high", "low").agg({"row": "min"}).withColumnRenamed("min(row)", "class")
+    found = [set(map(tuple, ngram_join.class_components(docs, signed, ids, 5, 80, n).collect())) for n in (0, 1000)]
+    assert found[0] == found[1] and len(found[0]) == 40
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs).collect()}
+    assert got == {**{i: 0 for i in range(30)}, **{100 + i: 100 + i for i in range(20)}, **{200 + i: 100 + i for i in range(20)}}
+
+
+def test_crafted_words_have_hashes_of_their_own():
+    """Thue-Morse words, which are alike to polynomials modulo 2**64."""
+    word = "a"
+    for _ in range(11):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    a, b = ngram_join.shingles([word.encode(), other.encode()], 1)
+    assert a != b
