@@ -33,8 +33,10 @@ from foragelake.llm.common import discard, materialize, mix, shingles, table
 FRAGMENTS = 2
 #: N-grams by which a document looks for the centre of its group.
 VOTES = 16
-#: A list of chosen documents up to this length (64 MB) is broadcast; a longer one is joined by shuffling.
-BROADCAST_ROWS = 2_000_000
+#: A list of chosen documents up to this length (about 50 MB) is broadcast; a longer one is joined by shuffling.
+BROADCAST_ROWS = 500_000
+#: Rows of an n-gram in a block of the last search for pairs, and how often at most its rows are repeated for that.
+BLOCK_ROWS, MOST_BLOCKS = 64, 32
 #: Bits of a hash that say in which cell it is counted, for bounds on what two documents share.
 CELL_BITS = 6
 
@@ -250,14 +252,20 @@ def class_components(docs: DataFrame, signed: DataFrame, ids: DataFrame, width:
     # What is left: pairs that share a prefix n-gram and whose components are still different.
     rooted = prefixes.join(roots, F.col("class") == F.col("node"), "left").select("gram", "class", "n", "left", F.coalesce("root", "class").alias("root"))
     rooted = materialize(rooted, "join-rooted")
-    several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("gram")
+    # The rows of a frequent n-gram meet in `blocks` squared blocks, each in a task of its own.
+    blocks = F.least(F.ceil(F.sqrt(F.count(F.lit(1)) / BLOCK_ROWS)), F.lit(MOST_BLOCKS)).cast("int")
+    several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks"))
+    several = several.filter("low <> high").select("gram", "blocks")
     mixed = materialize(rooted.join(several, "gram"), "join-mixed")
     whole = fragments.join(mixed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     cells = whole.select("class", _cells("grams").alias("cells")).select("class", *[F.get("cells", F.lit(i)).alias(f"cell{i}") for i in range(1 << CELL_BITS)])
+    mixed = mixed.join(cells, "class")
+    own, each = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     # A given number of partitions isn't merged at run time by size, which says little about the work here.
-    mixed = mixed.join(cells, "class").repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram")
-    x, y = mixed.alias("x"), mixed.alias("y")
-    meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _similar_sizes(F.col("x.n"), F.col("y.n"), percent)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = mixed.withColumn("i", own).withColumn("j", each).repartition(n, "gram", "i", "j").alias("x")
+    y = mixed.withColumn("j", own).withColumn("i", each).repartition(n, "gram", "i", "j").alias("y")
+    meet = (F.col("x.gram") == F.col("y.gram")) & (F.col("x.i") == F.col("y.i")) & (F.col("x.j") == F.col("y.j")) & (F.col("x.class") < F.col("y.class")) & (F.col("x.root") != F.col("y.root")) & _similar_sizes(F.col("x.n"), F.col("y.n"), percent)
     # No more can be shared than, in each cell of hashes, the one of fewer n-grams has there.
     most = sum((F.least(f"x.cell{i}", f"y.cell{i}") for i in range(1 << CELL_BITS)), F.lit(0))
     for bound in (F.least("x.left", "y.left"), most):

@@ -49,3 +49,16 @@ def test_crafted_words_have_hashes_of_their_own():
     other = word.translate(str.maketrans("ab", "ba"))
     a, b = ngram_join.shingles([word.encode(), other.encode()], 1)
     assert a != b
+
+
+def test_links_between_components_that_share_hot_grams(spark, monkeypatch):
+    """Many components share n-grams; blocks of one row find the same links as one block does."""
+    rows = [(1000 * g + i, f"{_text(0, 'p')} " + " ".join(f"g{g}n{k + 3 * i}" for k in range(30))) for g in range(6) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = []
+    for size in (1, 10**6):
+        monkeypatch.setattr(ngram_join, "BLOCK_ROWS", size)
+        got.append({r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(docs, 5, 80).collect()})
+    from tests.llm.test_contracts import components
+
+    assert got[0] == got[1] == {i: c for i, (_, c) in components(dict(rows), 5, 80).items()}
