@@ -86,6 +86,12 @@ def is_truncated(c: Column) -> Column:
     return F.length(c) >= READER_CAP
 
 
+def resolve(url: Column, status: Column, content_type: Column) -> Column:
+    """The reader that answers: that of the URL, or, where a plain read is told an unsupported type, that of the type."""
+    by_type = (route(url) == "http") & (status == "unsupported") & F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("application/pdf"))
+    return F.when(by_type, F.lit("pdf")).otherwise(route(url))
+
+
 def route(url: Column) -> Column:
     """The first reader that takes a URL: github, pdf, youtube, else http; unsupported without http(s)."""
     return (

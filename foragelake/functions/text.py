@@ -15,7 +15,7 @@ WS = r"[\s\x{0b}\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\
 NOT_WS = WS.replace("[", "[^", 1)
 
 # Fixed values.
-STOP_WORDS = "find current tell me how to the and with for in a an".split()
+STOP_WORDS = ("find", "current", "tell", "me", "how", "to", "the", "and", "with", "for", "in", "a", "an")
 DISCUSSION = "reddit|forum|forums|discussion|thread|comments|community|user experience|people recommend"
 BOT_CHECK = "performing security verification|security service|verify you are not a bot|just a moment|checking your browser"
 SHELL_COMMAND = r"(?i)(?<![A-Za-z0-9_])(Invoke-WebRequest|Invoke-RestMethod|curl(?:\.exe)?|wget|npm\s+(?:view|search|pack)|pip\s+index)(?![A-Za-z0-9_])|https?://"
@@ -90,12 +90,18 @@ def is_bot_check(title: Column, text: Column) -> Column:
     return F.concat(F.coalesce(title, F.lit("")), F.lit("\n"), text).rlike(f"(?i){BOT_CHECK}")
 
 
-def has_conflict(said: Column) -> Column:
-    """Cautionary and recommending words in one body of text."""
+def conflict_flags(said: Column) -> tuple[Column, Column]:
+    """Whether a text has cautionary words, and whether it has recommending ones that aren't part of a caution."""
     low = F.lower(said)
     edge = "(?<![A-Za-z0-9_])", "(?![A-Za-z0-9_])"
     caution = low.rlike(f"{edge[0]}deprecated{edge[1]}|not recommended|use at your own risk|should not")
-    return caution & F.regexp_replace(low, "not recommended", "").rlike(f"{edge[0]}recommended{edge[1]}")
+    return caution, F.regexp_replace(low, "not recommended", "").rlike(f"{edge[0]}recommended{edge[1]}")
+
+
+def has_conflict(said: Column) -> Column:
+    """Cautionary and recommending words in one body of text."""
+    caution, praise = conflict_flags(said)
+    return caution & praise
 
 
 def version_parts(v: Column) -> Column:

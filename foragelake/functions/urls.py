@@ -10,7 +10,7 @@ from foragelake.functions.text import NOT_WS, let, trim
 URL = r"(?i)^(https?)://([^/?#:@\s]+)(?::(\d+))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 # Fixed values.
-TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content utm_name fbclid gclid".split()
+TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_name", "fbclid", "gclid")
 FORUM_LABELS = "community|forum|forums|discuss|discourse"
 FORUM_PATHS = ("/forum/", "/forums/", "/t/", "/topic/", "/threads/")
 
@@ -55,7 +55,7 @@ def canonical(url: Column, drop_www: bool = True) -> Column:
             name = F.regexp_replace(name, r"^www\.", "")
         default = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
         shown = F.when((x["port"] == "") | (x["port"] == default), F.lit("")).otherwise(F.concat(F.lit(":"), x["port"]))
-        kept = F.filter(F.split(F.substring(x["query"], 2, 1 << 30), "&"), lambda p: ~F.lower(F.get(F.split(p, "="), F.lit(0))).isin(TRACKING))
+        kept = F.filter(F.split(F.substring(x["query"], 2, 1 << 30), "&"), lambda p: ~F.lower(F.get(F.split(p, "="), F.lit(0))).isin(*TRACKING))
         query = let(F.array_join(kept, "&"), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
         whole = F.concat(scheme, F.lit("://"), name, shown, F.when(x["path"] == "", F.lit("/")).otherwise(x["path"]), query)
         return F.when(x["scheme"] != "", F.regexp_replace(whole, r"/\z", ""))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foragelake.functions.text import has_conflict, is_bot_check, summary, trim
+from foragelake.functions.text import conflict_flags, is_bot_check, summary, trim
 from foragelake.functions.urls import host_or_url, profile, source_rank
 
 READERS = ("github", "pdf", "youtube")
@@ -62,7 +62,7 @@ def rank_evidence(evidence: DataFrame, *keys: str) -> DataFrame:
 def quality(ranked: DataFrame, gaps: DataFrame, low_values: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
     """Counts, flags and ordered caveat reasons for each row of groups (keys)."""
     k = F.col("source_kind")
-    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", F.concat_ws("\n", "summary", "support").alias("t")))), lambda x: x["t"]), "\n")
+    caution, praise = conflict_flags(F.concat_ws("\n", "summary", "support"))
     facts = ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(k.isin("official-docs", "official-api")).alias("official"),
@@ -73,7 +73,7 @@ def quality(ranked: DataFrame, gaps: DataFrame, low_values: DataFrame, groups: D
         F.count_if(k == "official-docs").alias("docs"),
         F.count_if(k == "official-api").alias("api"),
         F.count_distinct(host_or_url(F.col("url"))).alias("distinct_hosts"),
-        has_conflict(said).alias("conflict"),
+        (F.bool_or(caution) & F.bool_or(praise)).alias("conflict"),
     )
     unread = gaps.groupBy(*keys).agg(F.bool_or(F.col("message").rlike(f"(?i){DIRECT_UNREADABLE}")).alias("direct"), F.bool_or(F.col("message").rlike(f"(?i){THREAD_UNREADABLE}")).alias("threads"))
     bots = low_values.groupBy(*keys).agg(F.bool_or(F.col("kind") == "bot-check").alias("bot"))

@@ -111,6 +111,21 @@ def providers_used(serp: DataFrame, *keys: str) -> DataFrame:
     return each.groupBy(*keys).agg(names(1).alias("providers"), names(0).alias("skipped"))
 
 
+def providers_over_passes(used: DataFrame, key: str, step: str) -> DataFrame:
+    """providers_used() of many passes -> key, providers and skipped in the order in which passes first named them.
+
+    Who contributed in any pass isn't skipped.
+    """
+    rows = used.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(step, "providers", "skipped"))).alias("u"))
+
+    def names(field: str) -> Column:
+        each = F.transform("u", lambda x: F.filter(F.split(x[field], ","), lambda n: n != ""))
+        return F.array_distinct(F.flatten(each))
+
+    rows = rows.select(key, names("providers").alias("p"), names("skipped").alias("s"))
+    return rows.select(key, F.array_join("p", ",").alias("providers"), F.array_join(F.array_except("s", "p"), ",").alias("skipped"))
+
+
 def weak_primary(serp: DataFrame, *keys: str) -> DataFrame:
     """keys, n_results, n_hosts, weak: whether the first provider's list is too short or of one host."""
     first = F.col("provider_pos") == 0

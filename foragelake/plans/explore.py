@@ -50,6 +50,7 @@ def direct_phase(questions: DataFrame, fetches: DataFrame, rendered: DataFrame)
     r = rendered.select(F.col("url").alias("r_url"), F.col("status").alias("r_status"), F.col("title").alias("r_title"), F.col("text").alias("r_text"))
     read = read.join(r, (F.col("final_url") == F.col("r_url")) & F.col("renders"), "left").withColumn("re", _rendered_evidence("r_title", "r_text", "r_status"))
     read = read.withColumn("step", F.lit(-1)).withColumn("ordinal", F.col("at").cast("long")).withColumn("e", F.coalesce("e", "re"))
+    read = written(read.select("query_id", "step", "ordinal", "e", "retry", "renders", "status", "f_message", "final_url"), "direct")
     other = F.coalesce("f_message", F.concat(F.lit("Direct URL fetch failed for "), F.col("final_url")))
     message = F.when(~F.col("retry") & (F.col("status") != "ok"), other).otherwise(unreadable_message(F.col("final_url")))
     evidence = read.filter("e IS NOT NULL").selectExpr(*EVIDENCE.split(", "))
@@ -71,10 +72,11 @@ def worker_passes(steps: DataFrame, searches: DataFrame, hits: DataFrame, fetche
     read = candidates.withColumnRenamed("title", "hit_title").join(_pages(fetches), F.col("url") == F.col("f_url"), "left")
     read = read.withColumn("final_url", F.coalesce("final_url", "url")).withColumn("status", F.coalesce("status", F.lit("error"))).withColumn("o", read_outcome())
     read = read.withColumn("e", F.col("o.evidence")).withColumn("ordinal", (F.col("step") + 1) * 1000 + F.col("candidate"))
+    read = written(read.select(*on, "ordinal", "e", "status", "f_message", "final_url", "url", "candidate", F.col("o.low_value").alias("low_value")), "reads")
     weak = F.col("status") == "needs_headless"
     message = F.when(weak, F.concat(F.lit("HTTP fetch was weak for "), F.col("final_url"))).otherwise(F.coalesce("f_message", F.concat(F.lit("Fetch failed for "), F.col("url"))))
     gaps = read.filter("status <> 'ok'").select(*on, message.alias("message")).unionByName(failures)
-    low = read.filter("o.low_value IS NOT NULL").select(*on, F.col("o.low_value").alias("kind")).unionByName(empty)
+    low = read.filter("low_value IS NOT NULL").select(*on, F.col("low_value").alias("kind")).unionByName(empty)
     render = read.filter(weak).groupBy(*on).agg(F.min_by("final_url", "candidate").alias("url"))
     return read.filter("e IS NOT NULL").selectExpr(*EVIDENCE.split(", ")), gaps, low, render
 
@@ -95,11 +97,10 @@ def explore(questions: DataFrame, searches: DataFrame, hits: DataFrame, fetches:
     steps = written(steps_of(questions), "steps")
     direct, direct_gaps, attempts = direct_phase(questions, fetches, rendered)
     own, own_gaps, low, render = worker_passes(steps, searches, hits, fetches)
-    direct, direct_gaps, attempts = written(direct, "direct"), written(direct_gaps, "direct-gaps"), written(attempts, "attempts")
     evidence = _onwards(direct.unionByName(own)).join(steps.select(*on), on, "left_semi")
     gaps = _onwards(direct_gaps.unionByName(own_gaps)).join(steps.select(*on), on, "left_semi")
     low = _onwards(low).join(steps.select(*on), on, "left_semi")
-    evidence, gaps, low = written(evidence, "evidence"), written(gaps, "gaps"), written(low, "low-value")
+    gaps, low = written(gaps, "gaps"), written(low, "low-value")
     ranked = written(rank_evidence(evidence, *on), "ranked")
     state = quality(ranked, gaps, low, steps, *on).join(steps, on).join(attempts, "query_id", "left").fillna(0, ["attempts"])
     page = _onwards(render.filter(~F.contains("url", F.lit("npmjs.com/package/"))).withColumn("from", F.col("step")))

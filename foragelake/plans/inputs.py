@@ -47,47 +47,80 @@ UNION ALL SELECT conv_id + {EXTRA} AS query_id, CASE conv_id % 8
   WHEN 1 THEN concat('playwright  setup for ', text)
   WHEN 2 THEN concat('tell me  about edge ', conv_id, ' and reddit comments')
   WHEN 3 THEN concat('see https://example.com/a', conv_id, '?utm_medium=m&x=1), (http://www.example.org/b/). and find more')
-  WHEN 4 THEN concat('Read https://github.com/o/r/issues/', conv_id, ' please')
+  WHEN 4 THEN concat('Read https://github.com/o/r/issues/', conv_id + 2, ' please')
   WHEN 5 THEN '   '
   ELSE concat('current ', text, ' discussion') END AS query
 FROM {{conversations}} WHERE turn = 0 AND conv_id % 8 <> 7"""
 
 # All providers find every crawled page; of the added rows each provider leaves out some.
-SERP = f"""SELECT CAST(p.page_id % 40 AS BIGINT) AS query_id, CAST(0 AS INT) AS step, v.provider AS provider, CAST(v.provider_pos AS INT) AS provider_pos,
-  CAST(2 * floor(p.page_id % {EXTRA} / 40) + CASE WHEN p.page_id < {EXTRA} THEN 0 ELSE 1 END AS INT) AS rank, concat(v.provider, ' ', substr('title title title', 1, CAST(5 + (p.page_id * v.m) % 9 AS INT))) AS title,
-  concat(p.url, CASE WHEN (p.page_id + v.m) % 3 = 0 THEN '/' ELSE '' END) AS url,
-  substr('snippet text here', 1, CAST(3 + (p.page_id * v.m) % 11 AS INT)) AS snippet,
-  CASE WHEN (p.page_id % 40 + v.m) % 9 = 0 THEN 'error' ELSE 'ok' END AS status,
-  CAST(1000 + ((p.page_id % 40) * v.m * 777) % 9000 AS BIGINT) AS latency_ms
-FROM (SELECT page_id, url FROM {{urls}}) p
+# All providers find every crawled page; of the added rows each provider leaves out some. A question has 40 pages.
+SERP = f"""SELECT query_id, CAST(0 AS INT) AS step, v.provider AS provider, CAST(v.provider_pos AS INT) AS provider_pos,
+  CAST(2 * (n % 40) + CASE WHEN page_id < {EXTRA} THEN 0 ELSE 1 END AS INT) AS rank, concat(v.provider, ' ', substr('title title title', 1, CAST(5 + (page_id * v.m) % 9 AS INT))) AS title,
+  concat(url, CASE WHEN (page_id + v.m) % 3 = 0 THEN '/' ELSE '' END) AS url,
+  substr('snippet text here', 1, CAST(3 + (page_id * v.m) % 11 AS INT)) AS snippet,
+  CASE WHEN (query_id + v.m) % 9 = 0 THEN 'error' ELSE 'ok' END AS status,
+  CAST(1000 + ((query_id % 40) * v.m * 777) % 9000 AS BIGINT) AS latency_ms
+FROM (SELECT page_id, url, page_id % {EXTRA} AS n, CAST(floor((page_id % {EXTRA}) / 40) AS BIGINT) AS query_id FROM {{urls}}) p
 CROSS JOIN (SELECT 'duckduckgo' AS provider, 0 AS provider_pos, 1 AS m UNION ALL SELECT 'brave', 1, 2 UNION ALL SELECT 'exa', 2, 5) v
-WHERE p.page_id < {EXTRA} OR (p.page_id * v.m) % 5 <> 1"""
+WHERE page_id < {EXTRA} OR (page_id * v.m) % 5 <> 1"""
 
 LOG = """SELECT user_id AS session_id, event_id AS pos, CASE CAST(event_id * 7 % 10 AS INT)
   WHEN 0 THEN 'web_explore' WHEN 1 THEN 'web_search' WHEN 2 THEN 'web_fetch' WHEN 3 THEN 'web_fetch_headless' WHEN 4 THEN 'read' ELSE 'bash' END AS tool_name,
   CASE CAST(event_id % 6 AS INT) WHEN 0 THEN 'curl -s x' WHEN 1 THEN 'ls -la' WHEN 2 THEN 'npm  view a' WHEN 3 THEN 'cat http://a.b' WHEN 4 THEN 'mycurl x' ELSE NULL END AS command
 FROM {events}"""
 
-CONFIGS = """SELECT n_nationkey AS config_id,
-  CASE n_nationkey % 3 WHEN 0 THEN 'searxng' WHEN 1 THEN 'brave' END AS g_search,
-  CASE n_nationkey % 2 WHEN 0 THEN 'http://s' END AS g_url,
-  CASE n_nationkey % 4 WHEN 0 THEN 'duckduckgo' END AS g_fallback,
-  CASE n_nationkey % 5 WHEN 0 THEN 'tavily' WHEN 1 THEN 'searxng' END AS p_search,
-  CASE n_nationkey % 7 WHEN 0 THEN 3 WHEN 1 THEN 1 END AS p_safe,
-  CASE n_nationkey % 6 WHEN 0 THEN ' ' WHEN 1 THEN 'en' END AS p_lang,
-  CASE n_nationkey % 3 WHEN 2 THEN 'firecrawl' END AS p_fetch,
-  CASE n_nationkey % 4 WHEN 1 THEN 'http' END AS p_ffall
-FROM {nation}"""
+
+
+def _files(texts: list[str | None]) -> str:
+    cases = "".join(f" WHEN {i} THEN '{t.replace('{', '{{').replace('}', '}}')}'" for i, t in enumerate(texts) if t is not None)
+    return f"CASE c_custkey % {len(texts)}{cases} END"
+
+
+_GLOBAL = [
+    '{"backends":{"search":{"provider":"searxng","baseUrl":"http://s","options":{"categories":["a","b"],"language":"en","safesearch":1}}},"presentation":{"defaultMode":"preview","tools":{"web_search":{"mode":"verbose"},"web_fetch":{"mode":"loud"}}}}',
+    '{"backends":{"search":{"provider":"brave","fallback":"duckduckgo"}},"presentation":{"defaultMode":5}}',
+    '{"backends":{"search":{"fanout":{"mode":"auto","providers":["exa","searxng"]}}}}',
+    "no json",
+    '{"backends":{"search":{"provider":"bing"},"fetch":{"provider":"firecrawl","apiKey":"k","options":{"formats":[],"onlyMainContent":true}}}}',
+    '{"backends":{"search":{"provider":"searxng","options":{"categories":[],"safesearch":"1","language":" "}}}}',
+    None,
+    '{"backends":{"search":{"provider":"tavily","baseUrl":"x","fanout":{"mode":"on","providers":["exa","bing"]}},"headless":{"provider":"local-browser"}},"presentation":{"tools":{"web_explore":null,"web_fetch":{"mode":"compact"}}}}',
+]
+_PROJECT = [
+    None,
+    '{"backends":{"search":{"provider":"searxng","options":{"language":"de"}}},"presentation":{"tools":{"web_search":{"mode":"compact"}}}}',
+    '{"backends":{"fetch":{"provider":"http","fallback":"http"},"search":{"provider":"duckduckgo","fallback":"duckduckgo"}}}',
+    '{"backends":{"search":{"fanout":{"mode":"off","providers":["searxng"]}},"fetch":{"provider":"firecrawl","baseUrl":"http://f","fallback":"http","options":{"formats":["markdown",3]}}},"presentation":{"defaultMode":"verbose"}}',
+    '{"backends":{"search":{"fanout":{"mode":"sometimes"}},"fetch":{"baseUrl":"http://g"}}}',
+]
+#: A user's and a project's configuration file for each customer, and what stands in the environment.
+CONFIGS = f"""SELECT c_custkey AS config_id, {_files(_GLOBAL)} AS own, {_files(_PROJECT)} AS project,
+  CASE c_custkey % 3 WHEN 0 THEN 'k' WHEN 1 THEN ' ' END AS brave_key, CASE c_custkey % 4 WHEN 0 THEN 'k' END AS exa_key
+FROM {{customer}}"""
+
+# What a scraping service answers for each page: its text, raw HTML, nothing, an error, or no JSON.
+SCRAPED = """SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN 503 ELSE 200 END AS http_status, CASE page_id % 7
+  WHEN 0 THEN '{{"success":false,"error":"quota"}}' WHEN 1 THEN '{{"success":false,"error":7}}' WHEN 2 THEN '{{"data":{{"markdown":"  "}}}}' WHEN 3 THEN 'oops'
+  WHEN 4 THEN concat('{{"data":{{"markdown":5,"html":"<p>', page_id, '</p>","metadata":{{"title":"T', page_id, '","sourceURL":"http://final/', page_id, '"}}}}}}')
+  ELSE concat('{{"success":true,"data":{{"markdown":"', repeat('word ', CAST(page_id % 900 AS INT)), 'end","metadata":{{"title":["x"]}}}}}}') END AS body FROM {pages}"""
+
+# Calls of tools: every event starts one, most of them end, some twice.
+CALLS = """SELECT user_id AS session_id, event_id AS call_id, 2 * event_id AS pos, 'start' AS phase, event_id * 1000 AS ms, CAST(NULL AS BOOLEAN) AS failed FROM {events}
+UNION ALL SELECT user_id, event_id, 2 * event_id + 1, 'end', event_id * 1000 + event_id % 700, event_id % 13 = 0 FROM {events} WHERE event_id % 10 <> 3
+UNION ALL SELECT user_id, event_id, 2 * event_id + 3, 'end', event_id * 1000 + 900, true FROM {events} WHERE event_id % 10 = 4"""
+
+
+TABLES = ("pages", "conversations", "events", "nation", "documents", "customer")
 
 
 def load(spark: SparkSession, sf_dir: str, sql: str, **more: DataFrame) -> DataFrame:
     """Runs one of these texts, or another, over the tables that it names in braces."""
-    names = [n for n in ("pages", "conversations", "events", "nation", "documents") if "{" + n + "}" in sql]
+    names = [n for n in TABLES if "{" + n + "}" in sql]
     tables = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in names}
     return spark.sql(sql, **tables, **more)
 
 
 def oracle(sql: str) -> str:
     """The same text for DuckDB."""
-    names = {n: n for n in ("pages", "conversations", "events", "nation", "documents")}
+    names = {n: n for n in TABLES}
     return sql.format(**names, urls="urls")

@@ -132,7 +132,7 @@ ORACLE_SQL = {
       r AS (SELECT key, event_id, i, false AS hit, ms + {Q.TTL_MS} AS expires FROM a WHERE i = 1
         UNION ALL SELECT a.key, a.event_id, a.i, r.expires > a.ms, CASE WHEN r.expires > a.ms THEN r.expires ELSE a.ms + {Q.TTL_MS} END FROM r JOIN a ON a.key = r.key AND a.i = r.i + 1)
       SELECT key, event_id, hit FROM r""",
-    "repo_listing": r"""SELECT page_id % 20 AS repo, 'readme' || chr(10) || chr(10) || 'Top-level contents:' || chr(10) || string_agg(CASE WHEN page_id % 3 = 0 THEN '[dir] ' ELSE '' END || 'n' || page_id, chr(10) ORDER BY page_id) AS text FROM pages GROUP BY 1""",
+    "repo_listing": r"""SELECT CAST(floor(page_id / 20) AS BIGINT) AS repo, 'readme' || chr(10) || chr(10) || 'Top-level contents:' || chr(10) || string_agg(CASE WHEN page_id % 3 = 0 THEN '[dir] ' ELSE '' END || 'n' || page_id, chr(10) ORDER BY page_id) AS text FROM pages GROUP BY 1""",
     "fanout_weak": "",
 }
 ORACLE_SQL["ttl_cache_stream"] = ORACLE_SQL["ttl_cache_hits"]
@@ -155,7 +155,7 @@ _MERGED = f"""k AS (SELECT *, coalesce({canonical('h')}, url) AS key FROM u WHER
     arg_max(snippet, length(snippet) * 1000000 - provider_pos * 10000 - rank) AS snippet, count(*) AS n_providers, min(rank) AS best_rank, min(provider_pos * 10000 + rank) AS seen FROM o GROUP BY ALL)"""
 ORACLE_SQL["fanout_merge"] = f"""{WITH_SERP}, {_MERGED}
   SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY n_providers DESC, best_rank, seen) - 1)::INTEGER AS pos, title, url, snippet, n_providers, best_rank FROM m"""
-_EVIDENCE = f"""e AS (SELECT page_id % 30 AS query_id, page_id AS ordinal, 't' || page_id AS title, url, {SOURCE} AS source_kind,
+_EVIDENCE = f"""e AS (SELECT CAST(floor((page_id % {I.EXTRA}) / 30) AS BIGINT) AS query_id, page_id AS ordinal, 't' || page_id AS title, url, {SOURCE} AS source_kind,
   CASE WHEN page_id % 7 = 0 THEN 'this is deprecated, not recommended' WHEN page_id % 5 = 0 THEN 'the recommended way' ELSE 'plain' END AS summary, h FROM (SELECT *, {KIND} AS kind FROM u)),
   b AS (SELECT *, {RANK} AS r, min(ordinal) OVER (PARTITION BY query_id, url) AS seen, row_number() OVER (PARTITION BY query_id, url ORDER BY {RANK}, ordinal) AS k FROM e WHERE source_kind <> 'package-page'),
   ranked AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY r, seen) - 1)::INTEGER AS pos FROM b WHERE k = 1)"""
@@ -190,3 +190,133 @@ ORACLE_SQL["changelog_sections"] = rf"""WITH c AS ({I.oracle(Q._CHANGELOG)}), l
   s AS (SELECT *, count(*) FILTER (starts_with(line, '## ')) OVER (PARTITION BY log_id ORDER BY i) AS section FROM l),
   v AS (SELECT log_id, first(regexp_extract(line, '^##\s+\[?(\d+\.\d+\.\d+)\]?', 1) ORDER BY i) AS version, string_agg(line, chr(10) ORDER BY i) AS body FROM s WHERE section > 0 GROUP BY log_id, section)
   SELECT log_id, version, {trim('body')} AS content, list_transform(string_split(version, '.'), lambda x: x::INTEGER) > [0, 9, 10] AS newer FROM v WHERE version <> ''"""
+
+
+# --- configuration --------------------------------------------------------------------------------------------------
+
+
+def _s(x: str, path: str) -> str:
+    return f"CASE WHEN json_type({x}, '$.{path}') = 'VARCHAR' THEN json_extract_string({x}, '$.{path}') END"
+
+
+def _list(x: str, path: str) -> str:
+    items = f"json_extract({x}, '$.{path}[*]')"
+    return f"CASE WHEN json_type({x}, '$.{path}') = 'ARRAY' AND len(list_filter({items}, lambda e: json_type(e) <> 'VARCHAR')) = 0 THEN list_transform({items}, lambda e: e->>'$') END"
+
+
+def _in(x: str, *values: str) -> str:
+    listed = ", ".join(f"'{v}'" for v in values)
+    return f"CASE WHEN {x} IN ({listed}) THEN {x} END"
+
+
+PROVIDERS = ("duckduckgo", "searxng", "brave", "youcom", "exa", "tavily")
+
+
+def _layer(x: str) -> str:
+    """Columns of one file, named after its column x."""
+    search, fetch = "backends.search", "backends.fetch"
+    safe = f"json_extract({x}, '$.{search}.options.safesearch')"
+    known = f"len(list_filter({x}_names, lambda p: p NOT IN {PROVIDERS})) = 0"
+    listed = f"json_type({x}, '$.{search}.fanout.providers') = 'ARRAY'"
+    return f"""{_in("(" + _s(x, search + ".provider") + ")", *PROVIDERS)} AS {x}_p, {_in("(" + _s(x, fetch + ".provider") + ")", "http", "firecrawl")} AS {x}_fp,
+      {_list(x, search + ".fanout.providers")} AS {x}_names, {_in("(" + _s(x, search + ".fanout.mode") + ")", "off", "on", "auto")} AS {x}_mode0,
+      CASE WHEN {x}_mode0 IS NOT NULL AND (NOT coalesce({listed}, false) OR coalesce({known}, false)) THEN {{'mode': {x}_mode0, 'providers': CASE WHEN len({x}_names) > 0 THEN {x}_names END}} END AS {x}_fan,
+      CASE WHEN {x}_p = 'searxng' THEN {_s(x, search + ".baseUrl")} END AS {x}_url, CASE WHEN {x}_p IS NOT NULL THEN {_in("(" + _s(x, search + ".fallback") + ")", "duckduckgo")} END AS {x}_fb,
+      {_list(x, search + ".options.categories")} AS {x}_cat, {_s(x, search + ".options.language")} AS {x}_lang, CASE WHEN json_type({safe}) IN ('UBIGINT', 'BIGINT', 'DOUBLE') AND ({safe})::DOUBLE IN (0, 1, 2) THEN ({safe})::INTEGER END AS {x}_safe,
+      CASE WHEN {x}_p = 'searxng' AND ({x}_cat IS NOT NULL OR {x}_lang IS NOT NULL OR {x}_safe IS NOT NULL) THEN {{'cat': {x}_cat, 'lang': {x}_lang, 'safe': {x}_safe}} END AS {x}_opt,
+      CASE WHEN {x}_fp IS NOT NULL THEN {_s(x, fetch + ".baseUrl")} END AS {x}_furl, CASE WHEN {x}_fp IS NOT NULL THEN {_s(x, fetch + ".apiKey")} END AS {x}_key, CASE WHEN {x}_fp IS NOT NULL THEN {_in("(" + _s(x, fetch + ".fallback") + ")", "http")} END AS {x}_ffb,
+      {_list(x, fetch + ".options.formats")} AS {x}_form, CASE WHEN json_type({x}, '$.{fetch}.options.onlyMainContent') = 'BOOLEAN' THEN json_extract({x}, '$.{fetch}.options.onlyMainContent')::BOOLEAN END AS {x}_main,
+      CASE WHEN {x}_fp IS NOT NULL AND ({x}_form IS NOT NULL OR {x}_main IS NOT NULL) THEN {{'form': {x}_form, 'main': {x}_main}} END AS {x}_fopt"""
+
+
+def _over(name: str, switched: str) -> str:
+    return f"CASE WHEN {switched} THEN b_{name} ELSE coalesce(b_{name}, a_{name}) END AS {name}"
+
+
+_FILES = f"c0 AS ({I.oracle(I.CONFIGS)}), c AS (SELECT *, CASE WHEN json_valid(own) THEN own END AS a, CASE WHEN json_valid(project) THEN project END AS b FROM c0)"
+_ISSUES = """concat_ws('; ', CASE WHEN provider = 'searxng' AND no_url THEN 'search provider searxng requires backends.search.baseUrl' END,
+  CASE WHEN fetch_provider = 'firecrawl' AND coalesce(furl, '') = '' THEN 'fetch provider firecrawl requires backends.fetch.baseUrl' END,
+  CASE WHEN fb = 'duckduckgo' AND provider = 'duckduckgo' THEN 'search fallback duckduckgo is only supported when search provider is searxng, brave, youcom, exa, or tavily' END,
+  CASE WHEN ffb = 'http' AND fetch_provider <> 'firecrawl' THEN 'fetch fallback http is only supported when fetch provider is firecrawl' END,
+  CASE WHEN len(opt.cat) = 0 THEN 'search options.categories must contain at least one category when provided' END,
+  CASE WHEN trim(opt.lang) = '' THEN 'search options.language must not be empty when provided' END,
+  CASE WHEN len(fopt.form) = 0 THEN 'fetch options.formats must contain at least one format when provided' END,
+  CASE WHEN list_contains(fan.providers, 'searxng') AND no_url THEN 'search fanout with searxng requires backends.search.baseUrl' END)"""
+ORACLE_SQL["config_merge"] = f"""WITH {_FILES}, l AS (SELECT *, {_layer('a')}, {_layer('b')} FROM c),
+  w AS (SELECT *, b_p IS NOT NULL AND b_p <> coalesce(a_p, 'duckduckgo') AS sw, b_fp IS NOT NULL AND b_fp <> coalesce(a_fp, 'http') AS fsw FROM l),
+  m AS (SELECT config_id, brave_key, exa_key, coalesce(b_p, a_p, 'duckduckgo') AS provider, coalesce(b_fp, a_fp, 'http') AS fetch_provider,
+    {_over('url', 'sw')}, {_over('fb', 'sw')}, {_over('opt', 'sw')}, {_over('fan', 'sw')}, {_over('furl', 'fsw')}, {_over('key', 'fsw')}, {_over('ffb', 'fsw')}, {_over('fopt', 'fsw')} FROM w),
+  n AS (SELECT *, coalesce(url, '') = '' AS no_url, list_filter(['duckduckgo', CASE WHEN trim(url) <> '' THEN 'searxng' END, CASE WHEN trim(brave_key) <> '' THEN 'brave' END, CASE WHEN trim(exa_key) <> '' THEN 'exa' END], lambda x: x IS NOT NULL) AS u FROM m)
+  SELECT config_id, provider, url AS base_url, fb AS fallback, array_to_string(opt.cat, ',') AS categories, opt.lang AS language, opt.safe AS safesearch, fan.mode AS fanout_mode, array_to_string(fan.providers, ',') AS fanout_providers,
+    fetch_provider, furl AS fetch_base_url, key AS api_key, ffb AS fetch_fallback, array_to_string(fopt.form, ',') AS formats, fopt.main AS only_main, {_ISSUES} AS issues, array_to_string(u, ',') AS usable,
+    array_to_string([provider] || list_filter(u, lambda x: x <> provider), ',') AS provider_order, CASE WHEN provider = 'searxng' AND no_url THEN 'BACKEND_CONFIG_INVALID' END AS search_code,
+    CASE WHEN fetch_provider = 'firecrawl' AND coalesce(furl, '') = '' THEN 'Firecrawl fetch requires backends.fetch.baseUrl.' END AS fetch_message FROM n"""
+
+
+def _mode(tool: str) -> str:
+    own = [_in("(" + _s(x, f"presentation.{path}") + ")", "compact", "preview", "verbose") for path in (f"tools.{tool}.mode", "defaultMode") for x in "ba"]
+    return f"coalesce({', '.join(own)}, 'compact') AS {tool}"
+
+
+ORACLE_SQL["presentation_modes"] = f"WITH {_FILES} SELECT config_id, {', '.join(map(_mode, ('web_explore', 'web_search', 'web_fetch', 'web_fetch_headless')))} FROM c"
+ORACLE_SQL["scrape_outcome"] = f"""WITH s0 AS ({I.oracle(I.SCRAPED)}), s AS (SELECT *, CASE WHEN json_valid(body) THEN body END AS v FROM s0),
+  f AS (SELECT *, CASE WHEN http_status NOT BETWEEN 200 AND 299 THEN 'HTTP ' || http_status WHEN v IS NULL THEN 'invalid JSON' WHEN json_type(v, '$.success') = 'BOOLEAN' AND NOT json_extract(v, '$.success')::BOOLEAN THEN coalesce({_s('v', 'error')}, 'Firecrawl scrape failed.') END AS failed,
+    coalesce({_s('v', 'data.markdown')}, {_s('v', 'data.html')}, '') AS found FROM s),
+  g AS (SELECT *, {trim('found')} = '' AS blank FROM f)
+  SELECT page_id, CASE WHEN failed IS NOT NULL THEN 'error' WHEN blank THEN 'needs_headless' ELSE 'ok' END AS status, CASE WHEN failed IS NOT NULL THEN url ELSE coalesce({_s('v', 'data.metadata.sourceURL')}, url) END AS url,
+    CASE WHEN failed IS NULL AND NOT blank THEN {_s('v', 'data.metadata.title')} END AS title, CASE WHEN failed IS NULL AND NOT blank THEN found END AS text,
+    CASE WHEN failed IS NOT NULL THEN 'FETCH_FAILED' WHEN blank THEN 'WEAK_EXTRACTION' END AS code, CASE WHEN failed IS NOT NULL THEN 'Firecrawl scrape failed: ' || failed WHEN blank THEN 'Firecrawl did not return useful page text.' END AS message,
+    failed IS NULL AND NOT blank AND length(found) >= 4000 AS truncated FROM g"""
+ORACLE_SQL["reader_resolve"] = f"""WITH {HTML}, st AS (SELECT page_id, url, content_type, {STATUS} AS status FROM h), u AS ({parsed('SELECT * FROM st')}), s AS (SELECT *, list_filter(string_split(p, '/'), lambda x: x <> '') AS seg FROM u)
+  SELECT page_id, CASE WHEN fh = 'github.com' AND (len(seg) = 2 OR (len(seg) >= 5 AND seg[3] = 'blob') OR (len(seg) >= 4 AND seg[3] IN ('issues', 'pull'))) THEN 'github' WHEN h IS NOT NULL AND lp LIKE '%.pdf' THEN 'pdf'
+    WHEN h = 'youtube.com' AND p = '/watch' AND regexp_matches(q, '[?&]v=[^&]') THEN 'youtube' WHEN NOT regexp_matches(url, '^https?://') THEN 'unsupported' WHEN status = 'unsupported' AND contains(lower(content_type), 'application/pdf') THEN 'pdf' ELSE 'http' END AS reader FROM s"""
+ORACLE_SQL["fanout_passes"] = f"""WITH serp AS ({SERP}), g AS (SELECT query_id, floor(rank % 8 / 2) AS pass, provider, provider_pos, bool_or({GOOD} AND (rank + provider_pos) % 3 <> 0) AS good FROM serp GROUP BY ALL),
+  n AS (SELECT query_id, provider, provider_pos, min(pass) FILTER (good) AS used, min(pass) FILTER (NOT good) AS missed FROM g GROUP BY ALL)
+  SELECT query_id, coalesce(string_agg(provider, ',' ORDER BY used, provider_pos) FILTER (used IS NOT NULL), '') AS providers, coalesce(string_agg(provider, ',' ORDER BY missed, provider_pos) FILTER (used IS NULL), '') AS skipped FROM n GROUP BY 1"""
+ORACLE_SQL["failure_code"] = f"SELECT conv_id, CASE WHEN regexp_matches(lower(message), 'blocked|rate limit|rate-limit|403|429|captcha|challenge') THEN 'BLOCKED' ELSE 'FETCH_FAILED' END AS code FROM ({I.oracle(Q._MESSAGES)}) m"
+ORACLE_SQL["tool_call_times"] = f"""WITH c AS ({I.oracle(I.CALLS)}), g AS (SELECT session_id, call_id, min(pos) FILTER (phase = 'start') AS pos, min(ms) FILTER (phase = 'start') AS started, min(ms) FILTER (phase = 'end') AS ended,
+    arg_min(failed, ms) FILTER (phase = 'end') AS failed FROM c GROUP BY ALL) SELECT session_id, call_id, pos, started, ended, ended - started AS took_ms, failed FROM g"""
+
+
+def _parts(version: str) -> str:
+    return f"list_transform(string_split({version}, '.'), lambda x: x::INTEGER)"
+
+
+ORACLE_SQL["update_notice"] = f"""WITH v AS (SELECT *, row_number() OVER () AS r FROM ({ORACLE_SQL['changelog_sections']}) x), i AS ({I.oracle(Q._INSTALLED)}),
+  o AS (SELECT log_id, version, content, CASE WHEN content LIKE '## [1.%' THEN 1 WHEN content LIKE '## 0.9%' THEN 2 END AS place FROM v)
+  SELECT i.log_id, string_agg(content, chr(10) || chr(10) ORDER BY place) FILTER (i.seen IS NOT NULL AND {_parts('i.version')} > {_parts('i.seen')} AND {_parts('o.version')} > {_parts('i.seen')}) AS notice, arg_min(content, place) AS latest FROM i LEFT JOIN o USING (log_id) GROUP BY 1"""
+
+# --- evidence and views ---------------------------------------------------------------------------------------------
+
+_SENTENCES = """CASE r WHEN 'community-only' THEN 'the strongest readable sources were mostly community/practical context' WHEN 'low-diversity' THEN 'the source set was narrow'
+  WHEN 'unreadable-direct-source' THEN 'one or more linked sources could not be read reliably' WHEN 'unreadable-thread-source' THEN 'one or more thread sources could not be read reliably'
+  WHEN 'possible-conflict' THEN 'readable sources include cautionary or possibly conflicting guidance' ELSE 'some candidate sources showed bot-check or security verification pages' END"""
+ORACLE_SQL["evidence_quality"] = rf"""{WITH_URLS}, {_EVIDENCE}, f AS (SELECT query_id, count(*) AS total, count(*) FILTER (source_kind IN ('official-docs', 'official-api')) AS official, count(*) FILTER (source_kind = 'community') AS community,
+    count(*) FILTER (source_kind = 'issue-thread') AS thread, count(DISTINCT coalesce(h, lower(url))) AS distinct_hosts, count(*) FILTER (source_kind = 'official-docs') AS docs, count(*) FILTER (source_kind = 'official-api') AS api,
+    bool_or(regexp_matches(summary, '\bdeprecated\b|not recommended|use at your own risk|should not')) AND bool_or(regexp_matches(replace(summary, 'not recommended', ''), '\brecommended\b')) AS conflict FROM ranked GROUP BY 1),
+  g AS (SELECT *, official AS strong, official = 0 AS only_community, total > 1 AND distinct_hosts <= 1 AS low_diversity, query_id % 4 = 0 AND query_id % 8 <> 0 AS direct, query_id % 8 = 0 AS threads, query_id % 5 = 0 AS bot FROM f),
+  k AS (SELECT *, list_filter([CASE WHEN only_community THEN 'community-only' END, CASE WHEN low_diversity THEN 'low-diversity' END, CASE WHEN direct THEN 'unreadable-direct-source' END, CASE WHEN threads THEN 'unreadable-thread-source' END,
+    CASE WHEN conflict THEN 'possible-conflict' END, CASE WHEN bot THEN 'bot-check' END], lambda x: x IS NOT NULL) AS rs FROM g),
+  c AS (SELECT *, list_transform(rs, lambda r: {_SENTENCES}) AS said, docs > 0 AND api > 0 AS two FROM k)
+  SELECT query_id, total, official, community, thread, distinct_hosts, strong, only_community, low_diversity, conflict, array_to_string(rs, ',') AS reasons,
+    CASE WHEN strong >= 2 AND (only_community OR (low_diversity AND NOT two)) THEN 'search-again' WHEN strong >= 2 AND len(list_filter(rs, lambda x: NOT (two AND x = 'low-diversity'))) > 0 THEN 'answer-with-caveat' WHEN strong >= 2 THEN 'answer'
+      WHEN query_id % 3 = 0 THEN 'headless' ELSE 'search-again' END AS next_step,
+    CASE WHEN len(said) = 0 THEN 'Evidence is partial, so this answer is based on the strongest source found within the bounded research budget.'
+      WHEN len(said) = 1 THEN 'Evidence is partial: ' || said[1] || '.' ELSE 'Evidence is partial: ' || array_to_string(said[:-2], ', ') || ', and ' || said[-1] || '.' END AS caveat FROM c"""
+
+
+def _short(x: str, n: int) -> str:
+    return f"CASE WHEN {x} = '' THEN NULL WHEN length({x}) <= {n} THEN {x} ELSE regexp_replace(substr({x}, 1, {n}), '{WS}+$', '') || '…' END"
+
+
+_PREVIEW = trim(f"title || chr(10) || coalesce({_short('text', 240)}, '')")
+ORACLE_SQL["fetch_views"] = f"""WITH {HTML}, s AS (SELECT *, {STATUS} AS status FROM h)
+  SELECT page_id, CASE status WHEN 'ok' THEN 'Fetched page · article extracted' || CASE WHEN {collapse('text')} <> '' THEN ' · ' || len(string_split({collapse('text')}, ' ')) || ' words' ELSE '' END
+      WHEN 'needs_headless' THEN 'Needs headless rendering: Headless rendering recommended.' ELSE 'Fetch failed: Unknown fetch failure.' END AS compact,
+    CASE WHEN title <> '' THEN {_PREVIEW} ELSE {_short('text', 240)} END AS preview,
+    CASE WHEN status = 'ok' THEN concat_ws(chr(10), 'URL: ' || url, 'Title: ' || title, {_short('text', 500)}) END AS verbose FROM s"""
+ORACLE_SQL["search_views"] = f"""WITH f AS ({ORACLE_SQL['fanout_merge']}), p AS ({ORACLE_SQL['fanout_providers']}),
+  v AS (SELECT query_id, count(*) AS n, string_agg((pos + 1) || '. ' || title, chr(10) ORDER BY pos) FILTER (pos < 3) AS preview, string_agg((pos + 1) || '. ' || title || chr(10) || '   ' || url || chr(10) || '   ' || snippet, chr(10) ORDER BY pos) FILTER (pos < 5) AS verbose FROM f GROUP BY 1),
+  t AS (SELECT p.*, coalesce(n, 0) AS n, preview, v.verbose AS listing, CASE WHEN query_id % 5 = 0 THEN 'searxng failed; used duckduckgo fallback. ' ELSE '' END AS prefix,
+    CASE WHEN providers <> '' THEN ' (fanout: ' || replace(providers, ',', ', ') || CASE WHEN skipped <> '' THEN '; skipped: ' || replace(skipped, ',', ', ') ELSE '' END || ')' WHEN skipped <> '' THEN ' (fanout; skipped: ' || replace(skipped, ',', ', ') || ')' ELSE '' END AS note FROM p LEFT JOIN v USING (query_id))
+  SELECT query_id, prefix || CASE WHEN n = 0 THEN 'Search failed: Unknown search failure.' ELSE 'Found ' || n || CASE WHEN n = 1 THEN ' result' ELSE ' results' END END || note AS compact, preview, listing AS verbose FROM t"""

@@ -10,12 +10,13 @@ from foragelake.functions import readers as R
 from foragelake.functions import text as T
 from foragelake.functions import urls as U
 from foragelake.functions import views as V
+from foragelake.operators import config as B
 from foragelake.operators import evidence as E
 from foragelake.operators import records as C
 from foragelake.operators import search as S
 from foragelake.plans import inputs as I
 from foragelake.plans.explore import explore, steps_of
-from foragelake.sources.shared import shared_dir
+from foragelake.sources.shared import shared_dir, written
 from foragelake.streaming.ttl import cache_hits, stream_cache_hits
 
 TTL_MS = 6 * 3600 * 1000
@@ -166,7 +167,7 @@ def candidate_topk(spark, d):
 def _evidence_rows(spark: SparkSession, d: str) -> DataFrame:
     u = _urls(spark, d)
     said = F.when(F.col("page_id") % 7 == 0, "this is deprecated, not recommended").when(F.col("page_id") % 5 == 0, "the recommended way").otherwise("plain")
-    return u.select((F.col("page_id") % 30).alias("query_id"), F.col("page_id").alias("ordinal"), F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), "url", U.profile(F.col("url"))["source_kind"].alias("source_kind"), F.lit("http").alias("method"), said.alias("summary"), said.alias("support"))
+    return u.select(F.floor((F.col("page_id") % I.EXTRA) / 30).alias("query_id"), F.col("page_id").alias("ordinal"), F.concat(F.lit("t"), F.col("page_id").cast("string")).alias("title"), "url", U.profile(F.col("url"))["source_kind"].alias("source_kind"), F.lit("http").alias("method"), said.alias("summary"), said.alias("support"))
 
 
 def evidence_rank(spark, d):
@@ -183,21 +184,29 @@ def evidence_quality(spark, d):
     return q.select("query_id", "total", "official", "community", "thread", "distinct_hosts", "strong", "only_community", "low_diversity", "conflict", F.array_join("reasons", ",").alias("reasons"), step.alias("next_step"), E.caveat_text(F.lit(True), F.col("reasons")).alias("caveat"))
 
 
-def _research(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def research_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, ...]:
+    """questions, searches, hits, fetches and rendered pages of the research run."""
     q = _questions(spark, d).filter(T.trim(F.col("query")) != "")
     steps = steps_of(q)
     n = F.lit(7)
     searches = steps.select("query_id", "step", F.when((F.col("query_id") + F.col("step")) % 11 == 0, "error").otherwise("ok").alias("status"), F.when((F.col("query_id") + F.col("step")) % 22 == 0, "search down").alias("message"))
-    pages = _urls(spark, d)
-    slots = pages.select((F.col("page_id") % 48).alias("slot"), "page_id", "url")
-    hits = steps.withColumn("slot", (F.col("query_id") * 13 + F.col("step") * n) % 48).join(slots, "slot")
+    # A step finds the pages of one slot, 12 crawled and up to 12 added ones, however many pages there are.
+    pages = _urls(spark, d).withColumn("slot", F.floor((F.col("page_id") % I.EXTRA) / 12))
+    slots = pages.agg(F.max("slot")).first()[0] + 1
+    hits = steps.withColumn("slot", (F.col("query_id") * 13 + F.col("step") * n) % slots).join(pages, "slot")
     hits = hits.select("query_id", "step", F.col("page_id").alias("pos"), F.concat(F.lit("hit "), F.col("page_id").cast("string")).alias("title"), "url", F.lit("s").alias("snippet"))
-    html = I.load(spark, d, I.HTML).withColumn("text", H.text(F.col("html"))).select("page_id", H.fetch_status(F.lit("text/html"), F.col("html"), F.col("text")).alias("status"), H.title(F.col("html")).alias("title"), "text")
+    # One page stands for each URL, and its HTML is read once.
+    first = pages.groupBy("url").agg(F.min("page_id").alias("page_id"))
+    html = I.load(spark, d, I.HTML).select("page_id", "html").join(first, "page_id").withColumn("text", H.text(F.col("html")))
     method = R.route(F.col("url"))
-    fetches = pages.join(html, "page_id").select("url", F.col("url").alias("final_url"), "status", F.when(method.isin("github", "pdf", "youtube"), method).otherwise(F.lit("http")).alias("method"), "title", "text", F.lit(None).cast("string").alias("message"), "page_id")
-    fetches = fetches.groupBy("url").agg(F.min_by(F.struct("final_url", "status", "method", "title", "text", "message"), "page_id").alias("r")).select("url", "r.*")
+    fetches = html.select("url", F.col("url").alias("final_url"), H.fetch_status(F.lit("text/html"), F.col("html"), F.col("text")).alias("status"), F.when(method.isin("github", "pdf", "youtube"), method).otherwise(F.lit("http")).alias("method"), H.title(F.col("html")).alias("title"), "text", F.lit(None).cast("string").alias("message"))
+    fetches = written(fetches, "fetches")
     rendered = fetches.filter("status = 'needs_headless'").select("url", F.when(F.length("url") % 2 == 0, "ok").otherwise("blocked").alias("status"), F.lit("Rendered").alias("title"), F.lit("rendered text that is recommended").alias("text"))
-    return explore(q, searches, hits, fetches, rendered)
+    return q, searches, hits, fetches, rendered
+
+
+def _research(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    return explore(*research_inputs(spark, d))
 
 
 def explore_answers(spark, d):
@@ -250,7 +259,7 @@ def thread_text(spark, d):
 
 
 def repo_listing(spark, d):
-    n = I.load(spark, d, "SELECT page_id % 20 AS repo, page_id, url FROM {pages}")
+    n = I.load(spark, d, "SELECT CAST(floor(page_id / 20) AS BIGINT) AS repo, page_id, url FROM {pages}")
     g = n.groupBy("repo").agg(F.array_sort(F.collect_list(F.struct("page_id", F.when(F.col("page_id") % 3 == 0, "dir").otherwise("file").alias("type"), F.concat(F.lit("n"), F.col("page_id").cast("string")).alias("name")))).alias("entries"))
     return g.select("repo", R.listing(F.lit("readme"), F.col("entries")).alias("text"))
 
@@ -260,26 +269,59 @@ def tool_call_verdict(spark, d):
     return C.verdict(m).drop("final_answer")
 
 
-def _configs(spark: SparkSession, d: str) -> DataFrame:
-    c = I.load(spark, d, I.CONFIGS)
-    none = F.lit(None).cast("string")
+def config_merge(spark, d):
+    """Both files of each configuration over the defaults: what holds, what is wrong, and which providers are asked."""
+    c = I.load(spark, d, I.CONFIGS).withColumn("m", B.merge_backends(B.parse_backends(F.col("own")), B.parse_backends(F.col("project"))))
+    s, f = F.col("m.search"), F.col("m.fetch")
+    keys = {"brave": F.col("brave_key"), "exa": F.col("exa_key"), "youcom": F.lit(" "), "tavily": F.lit(None).cast("string")}
+    usable = B.usable_providers(s["base_url"], keys)
 
-    def layer(**x: Column) -> Column:
-        names = ["search_provider", *C.SEARCH_FIELDS, "fetch_provider", *C.FETCH_FIELDS]
-        return F.struct(*[x.get(n, F.lit(None).cast("int") if n == "safesearch" else none).alias(n) for n in names])
+    def joined(x: Column) -> Column:
+        return F.array_join(x, ",")
 
-    base = layer(search_provider=F.lit("duckduckgo"), fetch_provider=F.lit("http"))
-    own = layer(search_provider=F.col("g_search"), search_base_url=F.col("g_url"), search_fallback=F.col("g_fallback"))
-    project = layer(search_provider=F.col("p_search"), safesearch=F.col("p_safe"), language=F.col("p_lang"), fetch_provider=F.col("p_fetch"), fetch_fallback=F.col("p_ffall"))
-    return C.merge_layers(c.select("config_id", base.alias("base"), own.alias("own"), project.alias("project"), "g_url", "p_lang"), "base", "own", "project")
+    return c.select(
+        "config_id", s["provider"].alias("provider"), s["base_url"].alias("base_url"), s["fallback"].alias("fallback"), joined(s["options"]["categories"]).alias("categories"),
+        s["options"]["language"].alias("language"), s["options"]["safesearch"].alias("safesearch"), s["fanout"]["mode"].alias("fanout_mode"), joined(s["fanout"]["providers"]).alias("fanout_providers"),
+        f["provider"].alias("fetch_provider"), f["base_url"].alias("fetch_base_url"), f["api_key"].alias("api_key"), f["fallback"].alias("fetch_fallback"), joined(f["options"]["formats"]).alias("formats"), f["options"]["only_main"].alias("only_main"),
+        F.array_join(B.backend_issues(F.col("m")), "; ").alias("issues"), joined(usable).alias("usable"), joined(B.provider_order(s["provider"], usable, s["fallback"])).alias("provider_order"),
+        B.invalid_backend(F.col("m"), "search")["code"].alias("search_code"), B.invalid_backend(F.col("m"), "fetch")["message"].alias("fetch_message"),
+    )
 
 
-def config_merge(spark, d):
-    m = F.col("merged")
-    fields = ["search_provider", "search_base_url", "search_fallback", "safesearch", "language", "fetch_provider", "fetch_fallback"]
-    keys = {"searxng": F.col("g_url"), "brave": F.col("p_lang"), "youcom": F.lit(" "), "exa": F.lit("k"), "tavily": F.lit(None).cast("string")}
-    usable = C.usable_providers(keys)
-    return _configs(spark, d).select("config_id", *[m[f].alias(f) for f in fields], F.array_join(C.config_issues(m), "; ").alias("issues"), F.array_join(usable, ",").alias("usable"), F.array_join(C.provider_order(m["search_provider"], usable, m["search_fallback"]), ",").alias("provider_order"))
+def presentation_modes(spark, d):
+    own, project = B.parse_presentation(F.col("own")), B.parse_presentation(F.col("project"))
+    c = I.load(spark, d, I.CONFIGS).select("config_id", own.alias("o"), project.alias("p"))
+    return c.select("config_id", *[B.resolve_mode(F.lit(t), F.col("o"), F.col("p")).alias(t) for t in C.WEB_TOOLS])
+
+
+def scrape_outcome(spark, d):
+    p = I.load(spark, d, I.SCRAPED).withColumn("r", B.scrape_outcome(F.col("url"), F.col("http_status"), F.col("body")))
+    return p.select("page_id", "r.*")
+
+
+def reader_resolve(spark, d):
+    """Every page's reader, once its plain read has told status and type."""
+    p = I.load(spark, d, I.HTML)
+    status = H.fetch_status(F.col("content_type"), F.col("html"), H.text(F.col("html")))
+    return p.select("page_id", R.resolve(F.col("url"), status, F.col("content_type")).alias("reader"))
+
+
+def fanout_passes(spark, d):
+    """Providers over all passes of a question; its pages are searched in four passes."""
+    serp = _serp(spark, d).withColumn("step", (F.col("rank") % 8 / 2).cast("int")).withColumn("status", F.when((F.col("rank") + F.col("provider_pos")) % 3 == 0, "error").otherwise(F.col("status")))
+    return S.providers_over_passes(S.providers_used(serp, "query_id", "step"), "query_id", "step")
+
+
+_MESSAGES = "SELECT conv_id, concat(text, CASE conv_id % 6 WHEN 0 THEN ' HTTP 429' WHEN 1 THEN ' Request BLOCKED' WHEN 2 THEN ' solve the Captcha' WHEN 3 THEN ' rate-limit' WHEN 4 THEN ' time-out' ELSE '' END) AS message FROM {conversations} WHERE turn = 0"
+
+
+def failure_code(spark, d):
+    """The code of a search that failed, by its message: every first turn, with what a provider may say behind it."""
+    return I.load(spark, d, _MESSAGES).select("conv_id", S.failure_code(F.col("message")).alias("code"))
+
+
+def tool_call_times(spark, d):
+    return C.timed_calls(I.load(spark, d, I.CALLS))
 
 
 _CHANGELOG = "SELECT n_nationkey AS log_id, concat('# Log', chr(10), '## [1.', n_nationkey % 4, '.0] - x', chr(10), '- a', chr(10), chr(10), '## Unreleased', chr(10), '- b', chr(13), chr(10), '## 0.9.', n_nationkey, chr(10), '- c') AS content FROM {nation}"
@@ -289,6 +331,13 @@ def changelog_sections(spark, d):
     return C.changelog_sections(I.load(spark, d, _CHANGELOG)).withColumn("newer", C.is_newer(F.col("version"), F.lit("0.9.10"))).select("log_id", "version", "content", "newer")
 
 
+_INSTALLED = "SELECT n_nationkey AS log_id, concat('1.', n_nationkey % 5, '.0') AS version, CASE n_nationkey % 4 WHEN 0 THEN '0.9.3' WHEN 1 THEN '1.2.0' WHEN 2 THEN '0.0.1' END AS seen FROM {nation}"
+
+
+def update_notice(spark, d):
+    return C.update_notice(I.load(spark, d, _CHANGELOG), I.load(spark, d, _INSTALLED))
+
+
 def _accesses(spark: SparkSession, d: str) -> DataFrame:
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
@@ -317,5 +366,6 @@ QUERIES = {f.__name__: f for f in (
     rendered_cleanup, word_excerpt, fetch_status, query_plan, important_words, serp_parse_json, serp_outcome, redirect_unwrap,
     fanout_merge, fanout_auto, fanout_providers, fanout_weak, search_fallback, fetch_fallback, candidate_topk, evidence_rank,
     evidence_quality, explore_answers, explore_evidence, explore_views, search_views, fetch_views, reader_route, thread_text,
-    repo_listing, tool_call_verdict, config_merge, changelog_sections, ttl_cache_hits, ttl_cache_stream,
+    repo_listing, tool_call_verdict, tool_call_times, config_merge, presentation_modes, scrape_outcome, reader_resolve, fanout_passes,
+    failure_code, changelog_sections, update_notice, ttl_cache_hits, ttl_cache_stream,
 )}
