@@ -23,8 +23,8 @@ from foragelake.llm.common import Words, blocks, table
 
 PASSAGE = 64
 THRESHOLD = 0.7
-#: Bounds of the fit: labelled documents, and passages of one of them (evenly spaced over the whole text).
-SAMPLE, SAMPLE_PASSAGES = 6000, 64
+#: Bound of the fit: labelled documents, each with all its passages.
+SAMPLE = 4000
 FOLDS, HELD_OUT = 4, 2
 
 _SIGNS = b"!#$%&*|.,:;-_=+/<>()[]{}@\"'?~^`\\"
@@ -172,21 +172,13 @@ def fold(doc_id: str = "doc_id") -> Column:
 
 def _bags(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for block, labels in _by_block(batch):
+        at = 0
+        for block in blocks((t or "").encode("utf-8", "replace") for t in batch["text"]):
             x, n = passages(block)
             ends = np.cumsum(n)
-            rows = []
-            for end, size in zip(ends, n, strict=True):
-                keep = end - size + np.unique(np.linspace(0, size - 1, min(size, SAMPLE_PASSAGES)).astype(int))
-                rows.append(x[keep].astype(np.float32).tobytes())
-            yield pd.DataFrame({"quality": labels, "bag": rows})
-
-
-def _by_block(batch: pd.DataFrame) -> Iterator[tuple[list[bytes], np.ndarray]]:
-    at = 0
-    for block in blocks((t or "").encode("utf-8", "replace") for t in batch["text"]):
-        yield block, batch["quality"].to_numpy()[at : at + len(block)]
-        at += len(block)
+            part = batch.iloc[at : at + len(block)]
+            yield pd.DataFrame({"quality": part["quality"], "draw": part["draw"], "bag": [x[b - k : b].tobytes() for b, k in zip(ends, n, strict=True)]})
+            at += len(block)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -195,7 +187,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(sample)
     # At most `sample` pairs of two numbers: small whatever the corpus.
     bags = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text", F.xxhash64("doc_id", "text").alias("draw"))
-    rows = bags.orderBy("draw", "quality").limit(sample).select("quality", "text").mapInPandas(_bags, "quality int, bag binary").collect()
+    # Passages are encoded where the texts are; only their features are put in order and gathered.
+    rows = bags.mapInPandas(_bags, "quality int, draw long, bag binary").orderBy("draw", "quality", "bag").limit(sample).collect()
     rows.sort(key=lambda r: (bytes(r["bag"]), r["quality"]))
     bags_ = [np.frombuffer(r["bag"], np.float32).reshape(-1, FEATURES) for r in rows]
     y = np.array([r["quality"] for r in rows], float)
@@ -227,7 +220,11 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs whose text scores THRESHOLD or more, with all their columns; fitted on the labelled ones."""
+    """The rows of docs whose text scores THRESHOLD or more, with all their columns; fitted on the labelled ones.
+
+    As classify() scores: a null or empty text is one passage without words. Repeated rows stay or go alike, labels of
+    documents that aren't there count for nothing, and an empty table gives an empty one.
+    """
     return docs.filter(scorer(train(docs, labels))(F.col("text")) >= THRESHOLD)
 
 
