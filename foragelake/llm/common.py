@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from foragelake.sources.shared import discard, shared_dir
 from foragelake.sources.shared import written as materialize
 
-__all__ = ["SPACE", "Words", "blocks", "discard", "materialize", "mix", "shared_dir", "shingles", "table", "text_or_empty", "word_count"]
+__all__ = ["SPACE", "Words", "blocks", "bucket_count", "discard", "materialize", "mix", "shared_dir", "shingles", "table", "text_or_empty", "word_count"]
 
 #: ASCII white space: what separates words everywhere here.
 SPACE = " \t\n\x0b\x0c\r"
@@ -21,6 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bucket_count(rows: int, least: int, rows_each: int = 100_000, most: int = 1 << 20) -> int:
+    """A power of two of buckets, so that one of them holds about rows_each rows at most."""
+    return min(most, max(least, 1 << max(0, -(-rows // rows_each) - 1).bit_length()))
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

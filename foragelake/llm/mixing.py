@@ -17,12 +17,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foragelake.llm.common import materialize, word_count
+from foragelake.llm.common import bucket_count, materialize, word_count
 
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_REPEATS = 2
+#: Buckets at least; more where there are more rows. The order doesn't depend on their number.
 BUCKETS = 2048
 
 
@@ -56,13 +57,14 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return levelled.select("source_key", "source_size", target.alias("target"), "budget")
 
 
-def mix(docs: DataFrame, seed: int = 17, buckets: int = BUCKETS, **targets) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 17, least_buckets: int = BUCKETS, **targets) -> DataFrame:
     """doc_id, source, size, source_size, target, taken (words), copies (how often the mix takes the row).
 
     Null and blank texts have size 0 and are never taken. Null sources are one source, which comes last. Repeated rows
     stay repeated: each counts. Where all sizes are 0, all targets are 0. An empty table gives an empty result. Other
     columns are ignored, whatever their names. The budget may end inside one document, which is then left out; so a
-    source misses its target by about one document at most.
+    source misses its target by about one document at most. Rows alike in doc_id and text have one place in the order
+    and so one bucket; the list of sources (not of rows) passes through one task.
     """
     sized = docs.select(
         "doc_id",
@@ -71,7 +73,9 @@ def mix(docs: DataFrame, seed: int = 17, buckets: int = BUCKETS, **targets) -> D
         F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
     )
     # Narrow rows: reading them again is far cheaper than counting words again.
-    sized = materialize(sized, "mix-sizes").withColumn("bucket", F.shiftrightunsigned("draw", 64 - (buckets - 1).bit_length()))
+    sized = materialize(sized, "mix-sizes")
+    buckets = bucket_count(sized.count(), least_buckets)
+    sized = sized.withColumn("bucket", F.shiftrightunsigned("draw", 64 - (buckets - 1).bit_length()))
     cells = sized.groupBy("source_key", "bucket").agg(F.sum("size").alias("cell_size"))
     targets_by_source = source_targets(cells.groupBy("source_key").agg(F.sum("cell_size").alias("source_size")), **targets)
     cells = cells.withColumn("cell_before", F.coalesce(F.sum("cell_size").over(_running(True, "source_key", by=["bucket"])), F.lit(0)))
@@ -128,7 +132,9 @@ def mix(docs: DataFrame, seed: int = 17, buckets: int = BUCKETS, **targets) -> D
 def take_copies(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as often as the mix takes them, with all their columns; see mix().
 
-    The mix names rows by doc_id, source and a hash of doc_id and text, so rows equal in these are taken equally often.
+    The mix names rows by doc_id, source and a hash of doc_id and text, so rows equal in these are taken equally often:
+    as often as the one that is taken most. Null and blank texts have no words and are never taken; null doc_ids and
+    sources are values like others; an empty table gives an empty one.
     """
     seed = options.get("seed", 17)
     taken = mix(docs, **options).filter("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("draw").alias("__draw"), "copies")
