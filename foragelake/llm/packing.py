@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from foragelake.llm.common import materialize, table
+from foragelake.llm.common import bucket_count, materialize, table
 
 CAPACITY = 1024
 END_ID = 0
+#: Buckets of each length at least; more where there are more rows.
 BUCKETS = 256
 #: Lengths are planned in steps of so many tokens; padding is about half a step for each piece.
 STEP = 8
@@ -310,7 +311,7 @@ def _ranked(tokens: DataFrame, capacity: int, buckets: int) -> DataFrame:
     return placed.select("doc_id", "n_tokens", "ids", "rest", (F.col("cell_rank") + F.col("at")).alias("rank"), (F.col("rest_chunk") + F.col("cell_chunk") + F.col("chunk_at")).alias("chunk"))
 
 
-def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, buckets: int = BUCKETS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPACITY, least_buckets: int = BUCKETS) -> DataFrame:
     """One row for each piece: doc_id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id, offset.
 
     Every document ends with id 0, so null and empty texts are one token. Each id is in one piece. A sequence holds at
@@ -321,6 +322,7 @@ def pack(docs: DataFrame, tokenizer: str = "byte_bpe_50k", capacity: int = CAPAC
     tokens = materialize(tokenize(docs, tokenizer), "pack-tokens")
     # At most `capacity` rows.
     histogram = tokens.groupBy((F.col("n_tokens") % capacity).alias("rest")).count().collect()
+    buckets = bucket_count(max((int(r["count"]) for r in histogram), default=0), least_buckets)
     plan = Plan({int(r["rest"]): int(r["count"]) for r in histogram if r["rest"]}, capacity)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
