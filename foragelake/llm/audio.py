@@ -157,26 +157,33 @@ def from_tensors(stream: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
     return tensors, list(zip(t["start_s"].to_pylist(), t["end_s"].to_pylist(), strict=True))
 
 
+def _raw(text: str | None) -> bytes:
+    return (text or "").encode("utf-8", "replace")
+
+
 def payload_of(text: str | None) -> bytes:
-    raw = (text or "").encode()
+    raw = _raw(text)
     return raw + b"\0" * (ALIGN - len(raw) % ALIGN if len(raw) % ALIGN or not raw else 0)
 
 
-def _analyse(media: bytes) -> tuple[bytes, bytes, str]:
-    """Payload, tensors and summary of a stored wave file."""
+def _analyse(media: bytes) -> tuple[bytes, bytes, list[dict[str, float]], str]:
+    """Payload, tensors, segments (in seconds) and summary of a stored wave file."""
     payload, rate = decode_wave(media)
     x = (np.frombuffer(payload, np.uint8).astype(np.float32) - 128) / 128
     mel, energy = log_mel(resample(x, TARGET_RATE, rate), TARGET_RATE)
     stream = to_tensors(mel, len(x) / rate)
     tensors, spans = from_tensors(stream)
-    found = segments(energy)
-    active = sum(b - a for a, b in found) / len(energy)
+    step = HOP / TARGET_RATE
+    found = [{"start_s": a * step, "end_s": b * step} for a, b in segments(energy)]
+    active = sum(s["end_s"] - s["start_s"] for s in found) / (len(energy) * step)
     loud = float(np.round(tensors.reshape(-1, MELS)[: len(mel)].mean(), 3))
-    return payload, stream, f"frames={len(mel)};tensors={len(spans)};end={spans[-1][1]:.4f};segments={len(found)};active={active:.4f};mel={loud:.3f}"
+    return payload, stream, found, f"frames={len(mel)};tensors={len(spans)};end={spans[-1][1]:.4f};segments={len(found)};active={active:.4f};mel={loud:.3f}"
 
 
 def audio_features(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes, media (wave file), payload (read back from it), tensors (Arrow stream), summary.
+    """doc_id, n_bytes, media (wave file), payload (read back from it), tensors (Arrow stream), segments, summary.
+
+    segments are the (start_s, end_s) in which the energy is high, with hysteresis; a segment lasts through its last frame.
 
     Null counts as the empty text, whose payload is 64 zero bytes. Every row is worked on whole and by itself, in blocks
     of samples, so equal texts have equal results, and repeated rows are repeated. An empty table gives an empty
@@ -191,15 +198,16 @@ def audio_features(docs: DataFrame) -> DataFrame:
                 told = [_analyse(m) for m in media]
                 yield pd.DataFrame({
                     "doc_id": part["doc_id"],
-                    "n_bytes": [len((t or "").encode()) for t in part["text"]],
+                    "n_bytes": [len(_raw(t)) for t in part["text"]],
                     "media": media,
                     "payload": [x[0] for x in told],
                     "tensors": [x[1] for x in told],
-                    "summary": [x[2] for x in told],
+                    "segments": [x[2] for x in told],
+                    "summary": [x[3] for x in told],
                 })
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text").mapInPandas(extract, f"doc_id {kind}, n_bytes long, media binary, payload binary, tensors binary, summary string")
+    return docs.select("doc_id", "text").mapInPandas(extract, f"doc_id {kind}, n_bytes long, media binary, payload binary, tensors binary, segments array<struct<start_s:double,end_s:double>>, summary string")
 
 
 def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -212,7 +220,5 @@ def op3_audio_features(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.crc32(F.substring("payload", -ALIGN, ALIGN)).alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
-        F.concat("summary", F.lit(";tensors_sha256="), F.sha2("tensors", 256)).alias("feature"),
+        F.concat("summary", F.lit(";segments_crc32="), F.crc32(F.to_json("segments").cast("binary")).cast("string"), F.lit(";tensors_sha256="), F.sha2("tensors", 256)).alias("feature"),
     )
-
-
