@@ -322,7 +322,7 @@ def drop_near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) ->
     """The rows of docs that stay: exactly one of each component; texts without words all stay.
 
     It is the row with the smallest doc_id (null last), of these that with the smallest hash of its text, and of rows
-    alike in both the first by all their columns.
+    alike in both the first by all their columns. An empty table gives an empty one; columns keep names and order.
     """
     told = _told(docs, width, percent)
     alike = told.filter("n_shingles > 0").groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("n"))
