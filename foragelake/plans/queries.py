@@ -354,10 +354,11 @@ def ttl_cache_stream(spark, d):
     out = f"{shared_dir(spark)}/ttl-{uuid.uuid4().hex}"
     schema = spark.read.parquet(f"{d}/events.parquet").schema
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{d}/events*.parquet")
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 64).parquet(f"{d}/events*.parquet")
     accesses = events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     job = stream_cache_hits(accesses, TTL_MS).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").outputMode("append").trigger(availableNow=True).start()
     job.awaitTermination()
+    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
     return spark.read.schema("key string, event_id long, hit boolean").parquet(out)
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -28,20 +28,35 @@ def _fold(ms: list[int], ttl_ms: int, expires: int | None) -> tuple[list[bool],
 def cache_hits(accesses: DataFrame, ttl_ms: int) -> DataFrame:
     """(key, event_id, ms) -> key, event_id, hit. Accesses of a key are in the order of (ms, event_id).
 
-    A key's accesses are streamed in sorted batches with one number of state, so a hot key needs little memory.
+    Rows with a null key or time are no accesses and are left out. An access that comes ttl_ms or more after the one
+    before it is a miss whatever happened earlier, so a key falls into segments there, which are folded independently:
+    a hot key is split at its pauses, and an access that is a segment by itself needs no fold. Segments are streamed in
+    sorted batches with one number of state.
     """
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, expires = None, None
+        at, expires = None, None
         for batch in batches:
-            for k, rows in batch.groupby("key", sort=False):
-                if k != key:
-                    key, expires = k, None
-                hits, expires = _fold(rows["ms"].tolist(), ttl_ms, expires)
-                yield pd.DataFrame({"key": k, "event_id": rows["event_id"], "hit": hits})
-
-    ordered = accesses.select(F.col("key").cast("string").alias("key"), "event_id", "ms").filter("key IS NOT NULL AND ms IS NOT NULL")
-    return ordered.repartition("key").sortWithinPartitions("key", "ms", "event_id").mapInPandas(fold, OUT)
+            hits = []
+            for k, segment, now in zip(batch["key"].tolist(), batch["segment"].tolist(), batch["ms"].tolist(), strict=True):
+                if (k, segment) != at:
+                    at, expires = (k, segment), None
+                hit = expires is not None and expires > now
+                if not hit:
+                    expires = now + ttl_ms
+                hits.append(hit)
+            yield pd.DataFrame({"key": batch["key"], "event_id": batch["event_id"], "hit": hits})
+
+    rows = accesses.select(F.col("key").cast("string").alias("key"), "event_id", "ms").filter("key IS NOT NULL AND ms IS NOT NULL")
+    own = Window.partitionBy("key").orderBy("ms", "event_id")
+    rows = rows.withColumn("before", F.lag("ms").over(own)).withColumn("after", F.lead("ms").over(own))
+    begins = F.col("before").isNull() | (F.col("ms") - F.col("before") >= ttl_ms)
+    rows = rows.withColumn("begins", begins).withColumn("segment", F.count_if("begins").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    alone = F.col("begins") & (F.col("after").isNull() | (F.col("after") - F.col("ms") >= ttl_ms))
+    rows = rows.withColumn("alone", alone)
+    misses = rows.filter("alone").select("key", "event_id", F.lit(False).alias("hit"))
+    folded = rows.filter("NOT alone").select("key", "segment", "ms", "event_id").repartition("key", "segment").sortWithinPartitions("key", "segment", "ms", "event_id")
+    return misses.unionByName(folded.mapInPandas(fold, OUT))
 
 
 class TtlCache(StatefulProcessor):
@@ -66,5 +81,8 @@ class TtlCache(StatefulProcessor):
 
 
 def stream_cache_hits(accesses: DataFrame, ttl_ms: int) -> DataFrame:
-    """cache_hits() of a streaming DataFrame; within a micro-batch accesses are ordered, across them arrival decides."""
+    """cache_hits() of a streaming DataFrame; within a micro-batch accesses are ordered, across them arrival decides.
+
+    The accesses of a key in one micro-batch are held together, so the source should bound what a micro-batch reads.
+    """
     return accesses.select(F.col("key").cast("string").alias("key"), "event_id", "ms").groupBy("key").transformWithStateInPandas(TtlCache(ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="None")

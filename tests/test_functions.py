@@ -105,3 +105,20 @@ def test_entry_works_without_the_corpus_operators(tmp_path):
             (tmp_path / "foragelake" / p.name).symlink_to(p)
     said = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"], cwd=tmp_path, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, check=True)
     assert int(said.stdout.split()[0]) == len(importlib.import_module("foragelake.plans.queries").QUERIES)
+
+
+def test_cache_segments_give_what_one_fold_gives(spark):
+    """Keys with pauses and without, one of them hot, with ties and repeated rows."""
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = [("hot" if i % 3 else f"k{i % 7}", i, int(t)) for i, t in enumerate(np.cumsum(rng.choice([0, 1, 3, 9, 10, 11, 40], 600)))]
+    rows += rows[:5] + [("k0", None, 3), ("k0", 9999, None)]
+    got = sorted((r["key"], r["event_id"] or -1, r["hit"]) for r in cache_hits(spark.createDataFrame(rows, "key string, event_id long, ms long"), 10).collect())
+    expires, wanted = {}, []
+    for key, event, ms in sorted((r for r in rows if r[2] is not None), key=lambda r: (r[2], -1 if r[1] is None else r[1])):
+        hit = expires.get(key, -1) > ms
+        if not hit:
+            expires[key] = ms + 10
+        wanted.append((key, event or -1, hit))
+    assert got == sorted(wanted)
