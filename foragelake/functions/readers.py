@@ -101,3 +101,27 @@ def route(url: Column) -> Column:
         .when(url.rlike("^https?://"), F.lit("http"))
         .otherwise(F.lit("unsupported"))
     )
+
+
+def repo_outcome(url: Column, target: Column, http_status: Column, title: Column, body: Column, failure: Column) -> Column:
+    """Struct (status, url, title, text, truncated, code, message) of reading a repository's page through `target`.
+
+    failure is what went wrong before an answer came; a status that isn't 2xx, or none, is one too.
+    """
+    where = F.when(F.contains(target, F.lit("://api.")), F.lit("GitHub API returned ")).otherwise(F.lit("GitHub returned "))
+    told = F.when(~http_status.between(200, 299), F.concat(where, http_status.cast("string"), F.lit(" for "), target)).when(http_status.isNull(), "GitHub read failed.")
+    bad = F.when(repo_shape(url).isNull(), "Unsupported GitHub URL shape for the reader.").otherwise(F.coalesce(failure, told))
+
+    def build(x: Column) -> Column:
+        good, said = x["bad"].isNull(), F.coalesce(x["body"], F.lit(""))
+        return F.struct(
+            F.when(good, "ok").otherwise("error").alias("status"),
+            x["url"].alias("url"),
+            F.when(good, x["title"]).alias("title"),
+            F.when(good, capped(said)).alias("text"),
+            (good & is_truncated(said)).alias("truncated"),
+            F.when(~good, "GITHUB_FETCH_FAILED").alias("code"),
+            x["bad"].alias("message"),
+        )
+
+    return let(F.struct(bad.alias("bad"), url.alias("url"), title.alias("title"), body.alias("body")), build)

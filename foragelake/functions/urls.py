@@ -120,6 +120,20 @@ def _score(kind: Column, h: Column, discussion: Column) -> Column:
     return F.when(kind == "official-docs", 0).when(kind == "official-api", 1).when(discussion, talk).otherwise(plain)
 
 
+def settings_url(raw: Column) -> Column:
+    """Struct (ok, value, message) of a base URL in a configuration: any http(s) URL, without one last slash."""
+
+    def build(x: Column) -> Column:
+        scheme, port = F.lower(_part(x, 1)), _part(x, 3)
+        default = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
+        shown = F.when((port == "") | (port == default), F.lit("")).otherwise(F.concat(F.lit(":"), port))
+        whole = F.concat(scheme, F.lit("://"), full_host(x), shown, path(x), _part(x, 5), _part(x, 6))
+        ok = F.coalesce(is_web(x), F.lit(False))
+        return F.struct(ok.alias("ok"), F.when(ok, F.regexp_replace(whole, r"/\z", "")).alias("value"), F.when(~ok, "Invalid URL. Include http:// or https://.").alias("message"))
+
+    return let(trim(raw), build)
+
+
 def search_url(query: Column) -> Column:
     return F.concat(F.lit("https://html.duckduckgo.com/html/?q="), F.url_encode(query))
 

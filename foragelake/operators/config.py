@@ -183,3 +183,66 @@ def scrape_outcome(url: Column, http_status: Column, body: Column) -> Column:
         )
 
     return let(F.struct(url.alias("u"), http_status.alias("s"), F.try_parse_json(body).alias("v")), read)
+
+
+def _same(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b)
+
+
+def backend_override(c: Column, inherited: Column) -> Column:
+    """Struct (search, fetch) of what a merged configuration sets apart from the one it inherits; null sections are alike.
+
+    Another provider takes its section along whole, else only fields that differ stay. Keys never become part of it, and
+    a field that was taken back can't be told from one that was left alone.
+    """
+
+    def section(name: str, kind: str, fields: tuple[str, ...]) -> Column:
+        a, b = c[name], inherited[name]
+        moved = ~_same(a["provider"], b["provider"])
+        parts = [F.when(moved | ~_same(a[f], b[f]), a[f]).alias(f) for f in fields]
+        differs = moved
+        for f in fields:
+            differs = differs | (~_same(a[f], b[f]) & a[f].isNotNull())
+        whole = {"provider": F.when(moved, a["provider"]).alias("provider"), **dict(zip(fields, parts, strict=True))}
+        if name == "fetch":
+            whole["api_key"] = F.lit(None).cast("string").alias("api_key")
+        order = ("provider", "base_url", "fallback", "options", "fanout") if name == "search" else ("provider", "base_url", "api_key", "fallback", "options")
+        return F.when(differs, F.struct(*[whole[k] for k in order])).cast(kind).alias(name)
+
+    return F.struct(section("search", SEARCH, ("base_url", "fallback", "options", "fanout")), section("fetch", FETCH, ("base_url", "fallback", "options")))
+
+
+def _named(label: str, value: Column) -> Column:
+    return F.when(value != "", F.concat(F.lit(f"{label} "), value))
+
+
+def backend_summary(c: Column, usable: Column) -> Column:
+    """One line each for search, fetch and rendering of a merged configuration."""
+    s, f = c["search"], c["fetch"]
+    asked = F.array_join(F.coalesce(s["fanout"]["providers"], usable), ", ")
+    fanout = F.when(s["fanout"]["mode"] != "off", F.concat(F.lit("fanout "), s["fanout"]["mode"], F.lit(" ("), asked, F.lit(")")))
+    search = (_named("fallback", s["fallback"]), _named("categories", F.array_join(s["options"]["categories"], ",")), _named("language", s["options"]["language"]), _named("safesearch", s["options"]["safesearch"].cast("string")), fanout)
+    fetch = (_named("fallback", f["fallback"]), _named("formats", F.array_join(f["options"]["formats"], ",")), _named("onlyMainContent", f["options"]["only_main"].cast("string")))
+
+    def line(name: str, x: Column, parts: tuple[Column, ...]) -> Column:
+        url = F.when(x["base_url"] != "", F.concat(F.lit("("), x["base_url"], F.lit(")")))
+        return F.concat_ws(" ", F.concat(F.lit(f"{name}: "), x["provider"]), url, *parts)
+
+    return F.concat_ws("\n", line("search", s, search), line("fetch", f, fetch), F.lit("headless: local-browser"))
+
+
+def presentation_override(tools: tuple[str, ...], own: Column, *inherited: Column) -> Column:
+    """Struct (default_mode, tools) of what a presentation layer sets apart from the layers below it.
+
+    A default mode like the inherited one is left out, and so is a tool's mode that it would have anyway.
+    """
+    below = F.coalesce(*[x["default_mode"] for x in reversed(inherited)], F.lit("compact"))
+    modes = F.map_filter(own["tools"], lambda tool, mode: tool.isin(*tools) & (mode != resolve_mode(tool, *inherited)))
+    return F.struct(F.nullif(own["default_mode"], below).alias("default_mode"), modes.alias("tools"))
+
+
+def presentation_summary(tools: tuple[str, ...], *layers: Column) -> Column:
+    """The default mode and each tool's own mode over all layers, one line each."""
+    default = F.coalesce(*[x["default_mode"] for x in reversed(layers)], F.lit("compact"))
+    lines = [F.concat(F.lit(f"{t}: "), F.coalesce(*[x["tools"][t] for x in reversed(layers)], F.lit("inherit"))) for t in tools]
+    return F.concat_ws("\n", F.concat(F.lit("defaultMode: "), default), *lines)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from foragelake.functions.text import trim, wants_discussion
 from foragelake.functions.urls import candidate_score, canonical, host, unwrap_redirect
+from foragelake.streaming.ttl import cache_hits
 
-FANOUT_TIMEOUT_MS, LEAST_RESULTS, MOST_CANDIDATES = 8000, 3, 4
+FANOUT_TIMEOUT_MS, LEAST_RESULTS, MOST_CANDIDATES, SEARCH_TTL_MS = 8000, 3, 4, 30_000
 
 # Where each provider's payload has its rows, and the field that becomes the snippet.
 SHAPES = {
@@ -20,6 +21,12 @@ SHAPES = {
 }
 BLOCKED_PAGE = ("captcha", "challenge", "verify you are human", "are you a robot", "unusual traffic")
 BLOCKED_ERROR = ("blocked", "rate limit", "rate-limit", "403", "429", "captcha", "challenge")
+MESSAGES = {
+    "INVALID_QUERY": "Query must not be empty.",
+    "NO_RESULTS": "DuckDuckGo returned no usable results for this query.",
+    "BLOCKED": "DuckDuckGo search appears to be blocked or rate limited.",
+    "PARSE_FAILED": "DuckDuckGo returned a page, but it did not match the expected results format.",
+}
 NO_RESULTS = ("no results found", "no more results", "did not match any documents")
 
 
@@ -75,6 +82,28 @@ def failure_code(message: Column) -> Column:
     return F.when(_any(F.lower(message), BLOCKED_ERROR), "BLOCKED").otherwise("FETCH_FAILED")
 
 
+def keyless_search(requests: DataFrame, answers: DataFrame, ttl_ms: int = SEARCH_TTL_MS) -> DataFrame:
+    """requests (request_id, query, ms), answers (query, html, failure) -> request_id, status, results, code, message, cache_hit.
+
+    answers has what the engine says to a trimmed query: a result page, or the message of what failed; the smallest row of
+    a query counts. A blank or null query is invalid and asks nothing; a query without an answer has failed. Good answers
+    are kept for ttl_ms by query, others are asked for again. Requests without a time are answered past the cache.
+    """
+    c, none = F.col, F.array().cast("array<struct<title:string,url:string,snippet:string>>")
+    said = answers.groupBy(c("query").alias("key")).agg(F.min(F.struct("failure", "html")).alias("a")).select("key", "a.*", F.coalesce(parse_result_page(c("a.html")), none).alias("results"))
+    code = F.when(c("failure").isNotNull() | c("html").isNull(), failure_code(F.coalesce("failure", F.lit("")))).otherwise(page_outcome(c("html"), F.size("results")))
+    said = said.select("key", "failure", "results", code.alias("code"))
+    asked = requests.select("request_id", "ms", trim(F.coalesce("query", F.lit(""))).alias("key"))
+    rows = asked.join(said, "key", "left").withColumn("code", F.when(c("key") == "", "INVALID_QUERY").otherwise(F.coalesce("code", F.lit("FETCH_FAILED"))))
+    hits = cache_hits(rows.filter("code = 'ok'").select("key", c("request_id").alias("event_id"), "ms"), ttl_ms)
+    message = F.when(c("code") == "FETCH_FAILED", F.concat(F.lit("DuckDuckGo search request failed: "), F.coalesce("failure", F.lit("Unknown search failure."))))
+    for name, text in MESSAGES.items():
+        message = message.when(c("code") == name, text)
+    good = c("code") == "ok"
+    out = rows.join(hits.select(c("event_id").alias("request_id"), "hit"), "request_id", "left")
+    return out.select("request_id", F.when(good, "ok").otherwise("error").alias("status"), F.when(good, c("results")).otherwise(none).alias("results"), F.when(~good, c("code")).alias("code"), message.alias("message"), F.coalesce("hit", F.lit(False)).alias("cache_hit"))
+
+
 def in_time(serp: DataFrame) -> DataFrame:
     """Rows of providers that answered, in time."""
     return serp.filter((F.col("status") == "ok") & (F.col("latency_ms") <= FANOUT_TIMEOUT_MS))

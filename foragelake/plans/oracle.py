@@ -320,3 +320,98 @@ ORACLE_SQL["search_views"] = f"""WITH f AS ({ORACLE_SQL['fanout_merge']}), p AS
   t AS (SELECT p.*, coalesce(n, 0) AS n, preview, v.verbose AS listing, CASE WHEN query_id % 5 = 0 THEN 'searxng failed; used duckduckgo fallback. ' ELSE '' END AS prefix,
     CASE WHEN providers <> '' THEN ' (fanout: ' || replace(providers, ',', ', ') || CASE WHEN skipped <> '' THEN '; skipped: ' || replace(skipped, ',', ', ') ELSE '' END || ')' WHEN skipped <> '' THEN ' (fanout; skipped: ' || replace(skipped, ',', ', ') || ')' ELSE '' END AS note FROM p LEFT JOIN v USING (query_id))
   SELECT query_id, prefix || CASE WHEN n = 0 THEN 'Search failed: Unknown search failure.' ELSE 'Found ' || n || CASE WHEN n = 1 THEN ' result' ELSE ' results' END END || note AS compact, preview, listing AS verbose FROM t"""
+
+# --- the composed search and read, settings, releases and reports ---------------------------------------------------
+
+ORACLE_SQL["search_tool"] = f"""WITH RECURSIVE q AS (SELECT request_id, {trim('query')} AS key, epoch_ms(ts) AS ms FROM ({I.oracle(Q._REQUESTS)}) x),
+  s AS (SELECT query AS key, html, failure, nullif(regexp_extract(html, 'class="result__a" href="[^"]+">([^<]*)<', 1), '') AS title FROM ({I.oracle(Q._ANSWERS)}) y),
+  j AS (SELECT request_id, q.key, ms, failure, title, CASE WHEN q.key = '' THEN 'INVALID_QUERY' WHEN html IS NULL AND regexp_matches(failure, '429') THEN 'BLOCKED' WHEN html IS NULL THEN 'FETCH_FAILED' WHEN title IS NOT NULL THEN 'ok'
+    WHEN contains(lower(html), 'no results found') THEN 'NO_RESULTS' WHEN contains(lower(html), 'captcha') THEN 'BLOCKED' ELSE 'PARSE_FAILED' END AS code FROM q LEFT JOIN s ON q.key = s.key),
+  a AS (SELECT request_id, key, ms, row_number() OVER (PARTITION BY key ORDER BY ms, request_id) AS i FROM j WHERE code = 'ok' AND ms IS NOT NULL),
+  r AS (SELECT key, request_id, i, false AS hit, ms + {Q.TTL_MS} AS expires FROM a WHERE i = 1
+    UNION ALL SELECT a.key, a.request_id, a.i, r.expires > a.ms, CASE WHEN r.expires > a.ms THEN r.expires ELSE a.ms + {Q.TTL_MS} END FROM r JOIN a ON a.key = r.key AND a.i = r.i + 1)
+  SELECT j.request_id, CASE WHEN code = 'ok' THEN 'ok' ELSE 'error' END AS status, nullif(code, 'ok') AS code, coalesce(hit, false) AS cache_hit, title,
+    CASE code WHEN 'INVALID_QUERY' THEN 'Query must not be empty.' WHEN 'NO_RESULTS' THEN 'DuckDuckGo returned no usable results for this query.' WHEN 'BLOCKED' THEN 'DuckDuckGo search appears to be blocked or rate limited.'
+      WHEN 'PARSE_FAILED' THEN 'DuckDuckGo returned a page, but it did not match the expected results format.' WHEN 'FETCH_FAILED' THEN 'DuckDuckGo search request failed: ' || coalesce(failure, 'Unknown search failure.') END AS message
+  FROM j LEFT JOIN r ON r.request_id = j.request_id"""
+_RAW = f"SELECT page_id, {trim('url')} || CASE WHEN page_id % 3 = 0 THEN '#part/' ELSE '' END AS url FROM ({I.oracle(I.URLS)}) x"
+ORACLE_SQL["settings_url"] = f"""WITH u AS ({parsed(_RAW)}) SELECT page_id, fh IS NOT NULL AS ok, CASE WHEN fh IS NOT NULL THEN regexp_replace(scheme || '://' || fh || CASE WHEN port = '' OR port = CASE WHEN scheme = 'https' THEN '443' ELSE '80' END THEN '' ELSE ':' || port END || p || q || {part(6)}, '/$', '') END AS value,
+  CASE WHEN fh IS NULL THEN 'Invalid URL. Include http:// or https://.' END AS message FROM u"""
+_READS = Q._READS.replace("{urls}", f"({I.oracle(I.URLS)}) u")
+ORACLE_SQL["repo_read"] = f"""WITH t AS ({ORACLE_SQL['reader_route']}), r AS (SELECT r.*, shape, raw_url, CASE WHEN shape IS NULL THEN 'Unsupported GitHub URL shape for the reader.' WHEN failure IS NOT NULL THEN failure WHEN http_status IS NULL THEN 'GitHub read failed.'
+    WHEN http_status <> 200 THEN CASE WHEN raw_url IS NULL THEN 'GitHub API returned ' ELSE 'GitHub returned ' END || http_status || ' for ' || coalesce(raw_url, 'https://api.github.com/x') END AS message FROM ({_READS}) r JOIN t USING (page_id))
+  SELECT page_id, CASE WHEN message IS NULL THEN 'ok' ELSE 'error' END AS status, url, CASE WHEN message IS NULL THEN 'T' || page_id END AS title, CASE WHEN message IS NULL THEN substr(repeat('word ', (page_id % 6000)::BIGINT), 1, 24000) END AS text,
+    message IS NULL AND page_id % 6000 * 5 >= 24000 AS truncated, CASE WHEN message IS NOT NULL THEN 'GITHUB_FETCH_FAILED' END AS code, message FROM r"""
+
+
+def _own(tool: str) -> str:
+    return f"CASE WHEN {{x}} IN ('compact', 'preview', 'verbose') THEN {{x}} END".replace("{x}", f"json_extract_string({{f}}, '$.presentation.tools.{tool}.mode')")
+
+
+def _said_mode(field: str, none: str) -> str:
+    return "coalesce(" + ", ".join(field.replace("{f}", f"CASE WHEN json_valid({f}) THEN {f} END") for f in ("project", "own")) + f", '{none}')"
+
+
+_DEFAULT = "CASE WHEN json_extract_string({f}, '$.presentation.defaultMode') IN ('compact', 'preview', 'verbose') THEN json_extract_string({f}, '$.presentation.defaultMode') END"
+_TOOL_LINES = " || chr(10) || ".join(f"'{t}: ' || {_said_mode(_own(t), 'inherit')}" for t in ("web_explore", "web_search", "web_fetch", "web_fetch_headless"))
+ORACLE_SQL["config_summary"] = f"""WITH m AS ({ORACLE_SQL['config_merge']}), c AS ({I.oracle(I.CONFIGS)})
+  SELECT config_id, concat_ws(chr(10), concat_ws(' ', 'search: ' || provider, '(' || nullif(base_url, '') || ')', 'fallback ' || fallback, 'categories ' || nullif(categories, ''), 'language ' || nullif(language, ''), 'safesearch ' || safesearch,
+      CASE WHEN fanout_mode <> 'off' THEN 'fanout ' || fanout_mode || ' (' || replace(coalesce(fanout_providers, usable), ',', ', ') || ')' END),
+    concat_ws(' ', 'fetch: ' || fetch_provider, '(' || nullif(fetch_base_url, '') || ')', 'fallback ' || fetch_fallback, 'formats ' || nullif(formats, ''), 'onlyMainContent ' || only_main), 'headless: local-browser') AS backends,
+    'defaultMode: ' || {_said_mode(_DEFAULT, 'compact')} || chr(10) || {_TOOL_LINES} AS presentation FROM m JOIN c USING (config_id)"""
+ORACLE_SQL["release_texts"] = rf"""WITH c AS ({I.oracle(Q._RELEASES)}), b AS (SELECT *, regexp_extract(content, '## Unreleased\s*((?:.|\n)*?)(?:\n## \[|\z)', 1) AS body FROM c),
+  l AS (SELECT doc_id, generate_subscripts(string_split_regex(body, '\r?\n'), 1) AS i, unnest(string_split_regex(body, '\r?\n')) AS raw FROM b WHERE contains(content, '## Unreleased')),
+  t AS (SELECT doc_id, i, {trim('raw')} AS line FROM l), h AS (SELECT *, nullif(regexp_extract(line, '^###\s+(Added|Changed|Fixed|Breaking)$', 1), '') AS head FROM t),
+  p AS (SELECT *, last_value(head IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS part, {trim(r"regexp_replace(line, '^-\s*', '')")} AS entry FROM h),
+  e AS (SELECT doc_id, count(*) AS n, string_agg(part || ': ' || entry, '|' ORDER BY i) AS entries, bool_or(part = 'Breaking') AS breaks, bool_or(part = 'Added') AS adds FROM p WHERE head IS NULL AND part IS NOT NULL AND starts_with(line, '-') AND entry NOT IN ('', 'None.') GROUP BY 1),
+  g AS (SELECT b.*, contains(content, '## Unreleased') AS has, n, entries, CASE WHEN breaks THEN 'major' WHEN adds THEN 'minor' ELSE 'patch' END AS b2, string_split(content, '## [' || regexp_replace(tag, '^v', '') || ']') AS cut FROM b LEFT JOIN e USING (doc_id))
+  SELECT doc_id, CASE WHEN has THEN coalesce(n, 0) END AS n_entries, CASE WHEN has THEN coalesce(entries, '') END AS entries, CASE WHEN has THEN b2 END AS bump,
+    CASE WHEN has THEN CASE b2 WHEN 'major' THEN '2.0.0' WHEN 'minor' THEN '1.' || (doc_id % 20 + 1) || '.0' ELSE '1.' || (doc_id % 20) || '.4' END END AS next_version,
+    CASE WHEN len(cut) > 1 THEN {trim(r"regexp_extract(cut[2], '^[^\n]*\n((?:.|\n)*?)(?:\n## \[|\z)', 1)")} END AS notes FROM g"""
+ORACLE_SQL["message_texts"] = """SELECT conv_id, turn, CASE (conv_id + turn) % 7 WHEN 2 THEN CASE WHEN coalesce(text, '') = '' THEN '' ELSE text || chr(10) || text END WHEN 4 THEN CASE WHEN coalesce(text, '') = '' THEN '' ELSE text || chr(10) END || 'end'
+  WHEN 5 THEN '' WHEN 6 THEN '' ELSE coalesce(text, '') END AS said FROM conversations"""
+_ISO = "strftime(min(ts), '%Y-%m-%dT%H:%M:%S.%gZ')"
+ORACLE_SQL["evaluation_report"] = f"""WITH v AS ({ORACLE_SQL['tool_call_verdict']}), s AS (SELECT user_id AS session_id, {_ISO} AS started FROM events GROUP BY 1),
+  o AS (SELECT session_id, string_agg('  ' || k || '. ' || tool_name, chr(10) ORDER BY k) AS tools FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY pos) AS k FROM ({I.oracle(I.LOG)}) l) n GROUP BY 1)
+  SELECT v.session_id, started, replace(replace(started, ':', '-'), '.', '-') AS stamp, concat('## Session ', v.session_id, '
+
+Prompt: session ', v.session_id, '
+
+Verdict: **', verdict, '**
+
+Metrics:
+- web_explore used: ', explore_used, '
+- web_explore first web tool: ', explore_first,
+    '
+- total tool calls: ', tool_calls, '
+- total web tool calls: ', web_calls, '
+- network shell fallbacks after web_explore: ', shell_after, '
+Tool order:
+', tools, '
+
+Notes:
+- ', CASE WHEN notes = '' THEN 'none' ELSE replace(notes, ',', '
+- ') END,
+    '
+
+Final answer:
+
+', CASE WHEN v.session_id % 9 = 0 THEN '(empty)' ELSE 'done' END, '
+') AS section FROM v JOIN s USING (session_id) JOIN o USING (session_id)"""
+ORACLE_SQL["failure_report"] = f"""WITH f AS ({ORACLE_SQL['failure_code']}), m AS ({I.oracle(Q._MESSAGES)}),
+  j AS (SELECT conv_id, CASE WHEN conv_id % 6 < 4 THEN 'BLOCKED' ELSE 'FETCH_FAILED' END AS hoped, code, 'DuckDuckGo search appears to be blocked or rate limited.' AS wanted, CASE WHEN code = 'BLOCKED' THEN 'DuckDuckGo search appears to be blocked or rate limited.' ELSE 'DuckDuckGo search request failed: ' || message END AS said FROM f JOIN m USING (conv_id)),
+  n AS (SELECT *, concat_ws('
+- ', CASE WHEN hoped <> code THEN 'expected code ' || hoped || ' but got ' || code END, CASE WHEN wanted <> said THEN 'expected message "' || wanted || '" but got "' || said || '"' END) AS notes FROM j)
+  SELECT conv_id, CASE WHEN notes = '' THEN 'pass' ELSE 'fail' END AS verdict, '### case ' || conv_id || '
+
+Verdict: **' || CASE WHEN notes = '' THEN 'pass' ELSE 'fail' END || '**
+
+- expected code: ' || hoped || '
+- actual code: ' || code || '
+- expected message: ' || wanted
+    || '
+- actual message: ' || said || '
+
+Notes:
+- ' || CASE WHEN notes = '' THEN 'none' ELSE notes END || '
+' AS section FROM n"""

@@ -11,6 +11,7 @@ from foragelake.functions import text as T
 from foragelake.functions import urls as U
 from foragelake.functions import views as V
 from foragelake.operators import config as B
+from foragelake.operators import evaluation as A
 from foragelake.operators import evidence as E
 from foragelake.operators import records as C
 from foragelake.operators import search as S
@@ -312,6 +313,101 @@ def fanout_passes(spark, d):
     return S.providers_over_passes(S.providers_used(serp, "query_id", "step"), "query_id", "step")
 
 
+_REQUESTS = "SELECT event_id AS request_id, CASE WHEN event_id % 17 = 0 THEN '  ' ELSE concat(' question ', user_id, chr(10)) END AS query, ts FROM {events}"
+_ANSWERS = """SELECT DISTINCT concat('question ', user_id) AS query, CASE WHEN user_id % 6 < 3
+  THEN concat('<div class="result"><a class="result__a" href="https://a.com/', user_id, '">T ', user_id, '</a><a class="result__snippet">s</a></div>') WHEN user_id % 6 = 3 THEN 'No results found.' WHEN user_id % 6 = 4 THEN 'Captcha' WHEN user_id % 12 = 5 THEN '<p>' END AS html,
+  CASE WHEN user_id % 12 = 11 THEN concat(user_id, CASE WHEN user_id % 24 = 11 THEN ' HTTP 429' ELSE ' hang up' END) END AS failure FROM {events} WHERE user_id % 13 <> 4"""
+
+
+def search_tool(spark, d):
+    """The whole search: every event asks its user's question again, which a cache may answer."""
+    r = I.load(spark, d, _REQUESTS).withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    out = S.keyless_search(r, I.load(spark, d, _ANSWERS), TTL_MS)
+    return out.withColumn("title", F.get("results", F.lit(0))["title"]).drop("results")
+
+
+def settings_url(spark, d):
+    raw = F.concat(F.lit(" "), F.col("url"), F.when(F.col("page_id") % 3 == 0, F.lit("#part/")).otherwise(F.lit("")))
+    return _urls(spark, d).select("page_id", U.settings_url(raw).alias("r")).select("page_id", "r.*")
+
+
+_READS = "SELECT page_id, url, CASE page_id % 4 WHEN 0 THEN 404 WHEN 1 THEN NULL ELSE 200 END AS http_status, CASE WHEN page_id % 8 = 1 THEN 'socket hang up' END AS failure FROM {urls}"
+
+
+def repo_read(spark, d):
+    rows = I.load(spark, d, _READS, urls=_urls(spark, d))
+    target = F.coalesce(R.raw_url(F.col("url")), F.lit("https://api.github.com/x"))
+    body = F.repeat(F.lit("word "), (F.col("page_id") % 6000).cast("int"))
+    out = R.repo_outcome(F.col("url"), target, F.col("http_status"), F.concat(F.lit("T"), F.col("page_id").cast("string")), body, F.col("failure"))
+    return rows.select("page_id", out.alias("r")).select("page_id", "r.*")
+
+
+def config_override(spark, d):
+    """What each project's file really sets apart from the user's, and summaries of the whole."""
+    c = I.load(spark, d, I.CONFIGS).select("config_id", B.parse_backends(F.col("own")).alias("o"), B.parse_backends(F.col("project")).alias("p"), B.parse_presentation(F.col("own")).alias("po"), B.parse_presentation(F.col("project")).alias("pp"))
+    c = c.select("config_id", "po", "pp", B.merge_backends(F.col("o"), F.col("p")).alias("m"), B.merge_backends(F.col("o")).alias("i"))
+    modes = B.presentation_override(C.WEB_TOOLS, F.col("pp"), F.col("po"))
+    return c.select(
+        "config_id", F.to_json(B.backend_override(F.col("m"), F.col("i"))).alias("backends"), modes["default_mode"].alias("default_mode"),
+        F.array_join(F.transform(F.array_sort(F.map_entries(modes["tools"])), lambda e: F.concat_ws("=", e["key"], e["value"])), ",").alias("tools"),
+    )
+
+
+def config_summary(spark, d):
+    c = I.load(spark, d, I.CONFIGS).withColumn("m", B.merge_backends(B.parse_backends(F.col("own")), B.parse_backends(F.col("project"))))
+    keys = {"brave": F.col("brave_key"), "exa": F.col("exa_key"), "youcom": F.lit(" "), "tavily": F.lit(None).cast("string")}
+    usable = B.usable_providers(F.col("m.search.base_url"), keys)
+    shown = B.presentation_summary(C.WEB_TOOLS, B.parse_presentation(F.col("own")), B.parse_presentation(F.col("project")))
+    return c.select("config_id", B.backend_summary(F.col("m"), usable).alias("backends"), shown.alias("presentation"))
+
+
+_RELEASES = """SELECT doc_id, concat('# Log', chr(10), chr(10), CASE WHEN doc_id % 7 <> 3 THEN concat('## Unreleased', chr(10)) ELSE '' END, CASE doc_id % 5 WHEN 0 THEN concat('### Breaking', chr(10), '- None.', chr(10)) WHEN 1 THEN concat('### Breaking', chr(13), chr(10), ' -  b ', chr(10)) ELSE '' END,
+  CASE WHEN doc_id % 2 = 0 THEN '### Added' ELSE '### Fixed' END, chr(10), CASE WHEN doc_id % 3 = 0 THEN '- ' ELSE 'so ' END, coalesce(text, ''), chr(10), '-', chr(10), '- last', chr(10), '## [1.', doc_id % 20, '.3] - d', chr(10), ' n', doc_id, chr(10), coalesce(text, ''), chr(10), '## [0.1.0]', chr(10), 'end') AS content,
+  concat('1.', doc_id % 20, '.3') AS version, concat(CASE WHEN doc_id % 2 = 0 THEN 'v' ELSE '' END, CASE WHEN doc_id % 9 = 0 THEN '7.7.7' ELSE concat('1.', doc_id % 20, '.3') END) AS tag FROM {documents}"""
+
+
+def release_texts(spark, d):
+    """A changelog around every whole document: what is unreleased, which version follows, and notes of a tag."""
+    r = I.load(spark, d, _RELEASES).withColumn("e", C.unreleased_entries(F.col("content"))).withColumn("bump", C.version_bump(F.col("e")))
+    n = F.when(F.col("e").isNotNull(), F.size("e"))
+    said = F.array_join(F.transform("e", lambda e: F.concat_ws(": ", e["part"], e["entry"])), "|")
+    return r.select("doc_id", n.alias("n_entries"), said.alias("entries"), "bump", C.next_version(F.col("version"), F.col("bump")).alias("next_version"), C.release_notes(F.col("content"), F.col("tag")).alias("notes"))
+
+
+def message_texts(spark, d):
+    """Every turn in one of seven shapes of a message document, flattened again."""
+    c = I.load(spark, d, "SELECT conv_id, turn, text FROM {conversations}")
+    t, item = F.col("text"), F.struct("text")
+    other = F.struct(F.lit(None).cast("string").alias("text"))
+    nested = F.struct(F.struct(F.array(item).alias("content")).alias("message"))
+    shapes = [F.to_json(item), F.to_json(F.struct(t.alias("content"))), F.to_json(F.struct(F.array(item, other, item).alias("content"))), F.to_json(nested), F.concat(F.lit("["), F.to_json(item), F.lit(',"end",7]')), F.to_json(F.struct(F.struct(t.alias("content")).alias("message"))), F.lit("oops")]
+    json = F.element_at(F.array(*shapes), ((F.col("conv_id") + F.col("turn")) % 7 + 1).cast("int"))
+    return c.select("conv_id", "turn", A.message_text(json).alias("said"))
+
+
+def evaluation_report(spark, d):
+    """The report's section on every session, with the time stamp of its file."""
+    log = I.load(spark, d, I.LOG)
+    each = log.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "tool_name"))), lambda x: x["tool_name"]).alias("tools"))
+    started = I.load(spark, d, "SELECT user_id AS session_id, ts FROM {events}").groupBy("session_id").agg(F.min("ts").cast("timestamp").alias("ts"))
+    m = C.verdict(C.tool_metrics(log).withColumn("final_answer", F.when(F.col("session_id") % 9 == 0, " ").otherwise(" done ")))
+    name = F.concat(F.lit("Session "), F.col("session_id").cast("string"))
+    rows = m.join(each, "session_id").join(started, "session_id").withColumn("title", name).withColumn("prompt", F.lower("title"))
+    iso = A.iso_text(F.col("ts"))
+    return rows.select("session_id", iso.alias("started"), A.file_stamp(iso).alias("stamp"), A.session_section().alias("section"))
+
+
+def failure_report(spark, d):
+    """Failure cases held against what came: every first turn as a provider's message."""
+    c = I.load(spark, d, _MESSAGES)
+    blocked, code = F.lit(S.MESSAGES["BLOCKED"]), S.failure_code(F.col("message"))
+    hoped = F.when(F.col("conv_id") % 6 < 4, "BLOCKED").otherwise("FETCH_FAILED")
+    plain = F.concat(F.lit("DuckDuckGo search request failed: "), F.col("message"))
+    cases = c.select("conv_id", F.concat(F.lit("case "), F.col("conv_id").cast("string")).alias("title"), hoped.alias("expected_code"), code.alias("actual_code"), blocked.alias("expected_message"), F.when(code == "BLOCKED", blocked).otherwise(plain).alias("actual_message"))
+    out = A.judge_failures(cases)
+    return out.select("conv_id", "verdict", A.failure_section().alias("section"))
+
+
 _MESSAGES = "SELECT conv_id, concat(text, CASE conv_id % 6 WHEN 0 THEN ' HTTP 429' WHEN 1 THEN ' Request BLOCKED' WHEN 2 THEN ' solve the Captcha' WHEN 3 THEN ' rate-limit' WHEN 4 THEN ' time-out' ELSE '' END) AS message FROM {conversations} WHERE turn = 0"
 
 
@@ -368,5 +464,6 @@ QUERIES = {f.__name__: f for f in (
     fanout_merge, fanout_auto, fanout_providers, fanout_weak, search_fallback, fetch_fallback, candidate_topk, evidence_rank,
     evidence_quality, explore_answers, explore_evidence, explore_views, search_views, fetch_views, reader_route, thread_text,
     repo_listing, tool_call_verdict, tool_call_times, config_merge, presentation_modes, scrape_outcome, reader_resolve, fanout_passes,
-    failure_code, changelog_sections, update_notice, ttl_cache_hits, ttl_cache_stream,
+    failure_code, search_tool, settings_url, repo_read, config_override, config_summary, release_texts, message_texts, evaluation_report,
+    failure_report, changelog_sections, update_notice, ttl_cache_hits, ttl_cache_stream,
 )}
