@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from foragelake.functions.text import NOT_WS, let, trim
 
-URL = r"(?i)^(https?)://([^/?#:@\s]+)(?::(\d+))?([^?#]*)(\?[^#]*)?(#.*)?$"
+URL = r"(?i)^(https?)://(?:[^/?#\s]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\s]+)(?::(\d*))?(?=[/?#]|$)([^?#]*)(\?[^#]*)?(#.*)?$"
+USER = r"(?i)^https?://([^/?#\s]*@)"
+DOTS = r"(?i)/(\.|%2e){1,2}(/|\z)"
 
 # Fixed values.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "utm_name", "fbclid", "gclid")
@@ -27,8 +29,22 @@ def full_host(url: Column) -> Column:
     return F.when(is_web(url), F.lower(_part(url, 2)))
 
 
+def _resolved(p: Column) -> Column:
+    """A path without dot segments; / for none."""
+    plain = F.regexp_replace(p, "(?i)%2e", ".")
+    parts = F.split(plain, "/")
+
+    def step(held: Column, x: Column) -> Column:
+        return F.when(x == ".", held).when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.array_append(held, x))
+
+    kept = F.aggregate(F.slice(parts, 2, 1 << 20), F.array().cast("array<string>"), step)
+    # A dot segment at the end leaves a slash there.
+    end = F.when(plain.rlike(r"/\.{1,2}\z") & (F.size(kept) > 0), "/").otherwise("")
+    return F.when(p == "", F.lit("/")).when(p.rlike(DOTS), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(p)
+
+
 def path(url: Column) -> Column:
-    return F.when(_part(url, 4) == "", F.lit("/")).otherwise(_part(url, 4))
+    return let(_part(url, 4), _resolved)
 
 
 def host(url: Column) -> Column:
@@ -45,9 +61,22 @@ def query_value(url: Column, key: str) -> Column:
 
 
 def canonical(url: Column, drop_www: bool = True) -> Column:
-    """Without www (if asked), default port, tracking keys, fragment and one last slash; null unless http(s)."""
+    """Without www (if asked), default port, dot segments, tracking keys, fragment and one last slash; null unless http(s).
+
+    A query that loses a key is written anew, each pair form-encoded; another one stays as it is.
+    """
     names = ("scheme", "host", "port", "path", "query")
-    parts = F.struct(*[F.regexp_extract(url, URL, i).alias(n) for i, n in enumerate(names, 1)])
+    parts = F.struct(*[F.regexp_extract(url, URL, i).alias(n) for i, n in enumerate(names, 1)], F.regexp_extract(url, USER, 1).alias("user"))
+
+    def plain(x: Column) -> Column:
+        return F.coalesce(F.try_url_decode(x), x)
+
+    def pair(p: Column) -> Column:
+        return F.concat(F.url_encode(plain(F.regexp_extract(p, "^[^=]*", 0))), F.lit("="), F.url_encode(plain(F.regexp_extract(p, "^[^=]*=(.*)$", 1))))
+
+    def cleaned(pairs: Column) -> Column:
+        kept = F.filter(pairs, lambda p: ~F.lower(plain(F.get(F.split(p, "="), F.lit(0)))).isin(*TRACKING))
+        return F.when(F.size(kept) == F.size(pairs), F.array_join(pairs, "&")).otherwise(F.array_join(F.transform(F.filter(kept, lambda p: p != ""), pair), "&"))
 
     def build(x: Column) -> Column:
         scheme, name = F.lower(x["scheme"]), F.lower(x["host"])
@@ -55,9 +84,9 @@ def canonical(url: Column, drop_www: bool = True) -> Column:
             name = F.regexp_replace(name, r"^www\.", "")
         default = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
         shown = F.when((x["port"] == "") | (x["port"] == default), F.lit("")).otherwise(F.concat(F.lit(":"), x["port"]))
-        kept = F.filter(F.split(F.substring(x["query"], 2, 1 << 30), "&"), lambda p: ~F.lower(F.get(F.split(p, "="), F.lit(0))).isin(*TRACKING))
-        query = let(F.array_join(kept, "&"), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
-        whole = F.concat(scheme, F.lit("://"), name, shown, F.when(x["path"] == "", F.lit("/")).otherwise(x["path"]), query)
+        query = let(cleaned(F.split(F.substring(x["query"], 2, 1 << 30), "&")), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+        user = F.regexp_replace(x["user"], r"^:?@\z|:(?=@\z)", "")
+        whole = F.concat(scheme, F.lit("://"), user, name, shown, _resolved(x["path"]), query)
         return F.when(x["scheme"] != "", F.regexp_replace(whole, r"/\z", ""))
 
     return let(parts, build)

@@ -25,6 +25,20 @@ def one(spark, value, function):
         ("https://WWW.a.com/x/?utm_source=1&b=2#f", "https://a.com/x/?b=2"),
         ("http://a.com:80/", "http://a.com"),
         ("https://a.com:8443/x/", "https://a.com:8443/x"),
+        ("https://a.com:/x", "https://a.com/x"),
+        ("http://u:p@www.a.com/x", "http://u:p@a.com/x"),
+        ("http://u@a.com", "http://u@a.com"),
+        ("http://:@a.com/", "http://a.com"),
+        ("http://[2001:DB8::1]:80/x", "http://[2001:db8::1]/x"),
+        ("http://a.com/a/./b/../c/%2e%2E/d", "http://a.com/a/d"),
+        ("http://a.com/a/b/..", "http://a.com/a"),
+        ("http://a.com/../..", "http://a.com"),
+        ("http://a.com/...", "http://a.com/..."),
+        ("http://a.com/?q=a%20b&utm%5Fsource=1&flag&x=1=2", "http://a.com/?q=a+b&flag=&x=1%3D2"),
+        ("http://a.com/?q=a%20b&flag", "http://a.com/?q=a%20b&flag"),
+        ("http://a.com/?UTM_TERM=1&&gclid", "http://a.com"),
+        ("http://a.com:x/", None),
+        ("http:///x", None),
         ("ftp://a.com", None),
         ("", None),
         (None, None),
