@@ -160,8 +160,8 @@ def _grams_of(docs: DataFrame, chosen: DataFrame, width: int, broadcast_rows: in
     return once.select("class", "high", "low", "text").mapInPandas(cut, "class long, n long, gram long")
 
 
-def _ordered(grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Votes (gram, class, n, common), prefixes (gram, class, n, left), and fragments (class, fragment, n, grams).
+def _ordered(grams: DataFrame, percent: int) -> DataFrame:
+    """(class, n, left, common, fragment, grams, prefix, votes): what a class has in each fragment of the order.
 
     The global order is by the power of two of an n-gram's frequency, then by its hash. An n-gram of one class only is
     in no overlap: it takes its place at the front of the prefix and is dropped; `left` n-grams of n remain. Votes are
@@ -179,11 +179,7 @@ def _ordered(grams: DataFrame, percent: int) -> tuple[DataFrame, DataFrame, Data
     prefix_size = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.col("left"))
     placed = placed.withColumn("in_prefix", F.col("place") <= prefix_size).withColumn("fragment", fragment)
     chosen = {x: F.collect_list(F.when(F.col(y), F.col("gram"))).alias(x) for x, y in (("prefix", "in_prefix"), ("votes", "vote"))}
-    per_class = placed.groupBy("class", "n", "left", "common", "fragment").agg(F.collect_list("gram").alias("grams"), *chosen.values())
-    per_class = materialize(per_class, "join-fragments")
-    votes = per_class.select("class", "n", "common", F.explode("votes").alias("gram"))
-    prefixes = per_class.select("class", "n", "left", F.explode("prefix").alias("gram"))
-    return votes, prefixes, per_class.select("class", "fragment", "n", "grams")
+    return placed.groupBy("class", "n", "left", "common", "fragment").agg(F.collect_list("gram").alias("grams"), *chosen.values())
 
 
 def _similar_sizes(a: Column, b: Column, percent: int) -> Column:
@@ -200,17 +196,24 @@ def _verified(pairs: DataFrame, fragments: DataFrame, percent: int) -> DataFrame
     return summed.filter(F.col("both") * 100 >= (F.col("na") + F.col("nb") - F.col("both")) * percent).select("a", "b")
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether in edges (u, v), u > v, every u has one v, and no v is a u: then v is the smallest node reachable."""
+    ends = edges.select("u", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("v").alias("u"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+    ends = ends.groupBy("u").agg(F.sum("out").alias("out"), F.max("in").alias("in"))
+    return ends.filter("out > 1 OR (out = 1 AND in = 1)").isEmpty()
+
+
 def connected(links: DataFrame, tag: str = "components", rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node reachable, for every node of links (a, b).
 
     Alternating large-star and small-star steps: every node hands its larger neighbours, then its smaller ones, to the
-    smallest node it knows, until nothing changes; raises if that takes more than `rounds`. A hub meets its neighbours only in an aggregation and a join on one row for each node.
+    smallest node it knows, until all components are stars; raises if that takes more than `rounds`. A hub meets its
+    neighbours only in an aggregation and a join on one row for each node. No links give no rows.
     """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), tag)
-    if edges.isEmpty():
-        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    state = None
     for _ in range(rounds):
+        if _are_stars(edges):
+            break
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -219,12 +222,9 @@ def connected(links: DataFrame, tag: str = "components", rounds: int = 60) -> Da
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         before, edges = edges, materialize(small.filter("u <> v").distinct(), tag)
         discard(before)
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.countDistinct("u")).first())
-        if now == state and now[0] == now[2]:
-            break
-        state = now
     else:
-        raise RuntimeError(f"components aren't finished after {rounds} rounds")
+        if not _are_stars(edges):
+            raise RuntimeError(f"components aren't finished after {rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
@@ -233,8 +233,13 @@ def class_components(docs: DataFrame, signed: DataFrame, ids: DataFrame, width:
     own = signed.join(ids.select("class"), F.col("row") == F.col("class")).withColumnRenamed("n_shingles", "n")
     own = materialize(own.select("class", "n", "prefix", "doc_id", "text_hash", "high", "low"), "join-classes")
     chosen = materialize(own.drop("prefix", "n").join(_survivors(own, percent), "class"), "join-survivors")
+    discard(own)
     grams = materialize(_grams_of(docs, chosen, width, broadcast_rows), "join-grams")
-    votes, prefixes, fragments = _ordered(grams, percent)
+    ordered = materialize(_ordered(grams, percent), "join-fragments")
+    discard(chosen, grams)
+    votes = ordered.select("class", "n", "common", F.explode("votes").alias("gram"))
+    prefixes = ordered.select("class", "n", "left", F.explode("prefix").alias("gram"))
+    fragments = ordered.select("class", "fragment", "n", "grams")
     centres = votes.groupBy("gram").agg(F.max(F.struct("common", "class", "n")).alias("centre"))
     votes = votes.join(centres, "gram").filter(F.col("class") != F.col("centre.class"))
     votes = votes.filter(_similar_sizes(F.col("n"), F.col("centre.n"), percent)).select("class", F.col("centre.class").alias("centre"))
@@ -257,6 +262,8 @@ def class_components(docs: DataFrame, signed: DataFrame, ids: DataFrame, width:
     several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks"))
     several = several.filter("low <> high").select("gram", "blocks")
     mixed = materialize(rooted.join(several, "gram"), "join-mixed")
+    discard(rooted)
+    dealt = mixed
     whole = fragments.join(mixed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.flatten(F.collect_list("grams")).alias("grams"))
     cells = whole.select("class", _cells("grams").alias("cells")).select("class", *[F.get("cells", F.lit(i)).alias(f"cell{i}") for i in range(1 << CELL_BITS)])
     mixed = mixed.join(cells, "class")
@@ -272,6 +279,7 @@ def class_components(docs: DataFrame, signed: DataFrame, ids: DataFrame, width:
         meet = meet & (bound * 100 >= (F.col("x.n") + F.col("y.n") - bound) * percent)
     rest = x.join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
     more = materialize(_verified(rest, fragments, percent), "join-links")
+    discard(dealt, ordered, votes)
     if more.isEmpty():
         return roots
     return connected(links.unionByName(more))
