@@ -1,10 +1,17 @@
-"""Reading text from HTML with Column expressions, and telling pages that can't be read."""
+"""Reading text from HTML, and telling pages that can't be read. Pages are read in Arrow batches, in time that follows their
+length; all other functions are Column expressions."""
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from foragelake.functions.readable import article, nested_style
+from foragelake.functions.tags import parse
 from foragelake.functions.text import collapse, cut, let
 
 PAGE_CAP, READER_CAP = 4000, 24_000
@@ -46,26 +53,97 @@ def decode_entities(c: Column) -> Column:
     return let(c, decode)
 
 
-def title(html: Column) -> Column:
-    found = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return F.nullif(decode_entities(collapse(F.regexp_replace(found, "<[^>]+>", " "))), F.lit(""))
+def _decode(m: re.Match) -> str:
+    if m[1] or m[2]:
+        number = float(int(m[1] or m[2], 10 if m[1] else 16)) if len(m[0]) < 300 else float("inf")
+        unit = 0 if number == float("inf") else int(number) % 65536
+        return chr(65533 if 55296 <= unit <= 57343 else unit)
+    return ENTITIES[m[0].lower()]
+
+
+def _between(page: str, tag: str, at: int = 0) -> tuple[int, int, int, int] | None:
+    """Start and end of the first opening tag that has an end tag after it, and of that end tag.
+
+    Beyond the last > no tag ends, and where the first opening tag has no end after it no later one has; so no text is
+    searched twice.
+    """
+    begin, end = _PAIRS[tag]
+    first = begin.search(page, at, page.rfind(">") + 1)
+    last = end.search(page, first.end()) if first else None
+    return (first.start(), first.end(), last.start(), last.end()) if last else None
+
+
+def _untagged(page: str) -> str:
+    stop = page.rfind(">") + 1
+    return _TAG.sub(" ", page[:stop]) + page[stop:]
 
 
-def section(html: Column) -> Column:
-    """Inside of the first main, article or body element, else everything."""
-    out = None
+def _squeezed(said: str) -> str:
+    return _SPACES.sub(" ", said).strip(" ")
+
+
+def plain_title(page: str) -> str | None:
+    found = _between(page, "title")
+    return _ENTITY.sub(_decode, _squeezed(_untagged(page[found[1] : found[2]]))) or None if found else None
+
+
+def plain_text(page: str) -> str:
+    """Text inside of the first main, article or body element, else of everything."""
     for tag in ("main", "article", "body"):
-        pattern = rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}>"
-        found = F.regexp_extract(html, pattern, 1)
-        out = F.when(html.rlike(pattern), found) if out is None else out.when(html.rlike(pattern), found)
-    return out.otherwise(html)
+        if found := _between(page, tag):
+            page = page[found[1] : found[2]]
+            break
+    for tag in DROPPED:
+        out, at = [], 0
+        while found := _between(page, tag, at):
+            out += [page[at : found[0]], " "]
+            at = found[3]
+        page = "".join([*out, page[at:]])
+    return _squeezed(_untagged(_ENTITY.sub(_decode, page)))
+
+
+_PAIRS = {t: (re.compile(rf"<{t}\b[^>]*>", re.I | re.A), re.compile(f"</{t}>", re.I | re.A)) for t in ("main", "article", "body", *DROPPED)}
+_PAIRS["title"] = (re.compile("<title[^>]*>", re.I | re.A), re.compile("</title>", re.I | re.A))
+_TAG = re.compile("<[^>]+>")
+_ENTITY = re.compile(r"&(?:#([0-9]+)|#x([0-9a-f]+)|nbsp|amp|lt|gt|quot);", re.I | re.A)
+_SPACE = "\t\n\x0b\x0c\r \xa0\ufeff\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACES = re.compile(f"[{_SPACE}]+")
+_PLAIN = StructType([StructField("title", StringType()), StructField("text", StringType())])
+_READ = StructType([*[StructField(n, StringType()) for n in ("title", "byline", "text", "mode")]])
+
+
+@F.pandas_udf(_PLAIN)
+def _plain(pages: pd.Series) -> pd.DataFrame:
+    rows = [(None, None) if p is None else (plain_title(p), plain_text(p)) for p in pages]
+    return pd.DataFrame(rows, columns=["title", "text"], dtype=object)
+
+
+def read_page(page: str) -> tuple[str | None, str | None, str, str]:
+    tree = parse(page)
+    if nested_style(tree):
+        return plain_title(page), None, plain_text(page), "fallback"
+    title, byline, text = article(tree)
+    return title or None, byline, text, "readability"
+
+
+@F.pandas_udf(_READ)
+def _read(pages: pd.Series) -> pd.DataFrame:
+    rows = [(None,) * 4 if p is None else read_page(p) for p in pages]
+    return pd.DataFrame(rows, columns=["title", "byline", "text", "mode"], dtype=object)
+
+
+def readable(html: Column, most: int = PAGE_CAP) -> Column:
+    """Struct (title, byline, text, mode): the article of a page, at most `most` characters of it. Pages whose style sheets
+    strict parsers reject are read the plain way, with mode 'fallback'. Null stays null."""
+    return F.transform(F.array(_read(html)), lambda r: F.struct(r["title"].alias("title"), r["byline"].alias("byline"), cut(r["text"], most).alias("text"), r["mode"].alias("mode")))[0]
+
+
+def title(html: Column) -> Column:
+    return _plain(html)["title"]
 
 
 def text(html: Column, most: int = PAGE_CAP) -> Column:
-    inner = section(html)
-    for tag in DROPPED:
-        inner = F.regexp_replace(inner, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", " ")
-    return cut(collapse(F.regexp_replace(decode_entities(inner), "<[^>]+>", " ")), most)
+    return cut(_plain(html)["text"], most)
 
 
 def clean_rendered(c: Column) -> Column:

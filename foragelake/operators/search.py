@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from foragelake.functions.tags import SPACE, parse
 from foragelake.functions.text import trim, wants_discussion
 from foragelake.functions.urls import candidate_score, canonical, host, unwrap_redirect
 from foragelake.streaming.ttl import cache_hits
@@ -57,19 +60,31 @@ def parse_payloads(payloads: DataFrame) -> DataFrame:
     return out.filter("title IS NOT NULL AND url IS NOT NULL").drop("body")
 
 
-def parse_result_page(html: Column) -> Column:
-    """Array of (title, url, snippet) of an HTML result page, for the markup with one link and snippet a result."""
-    blocks = F.slice(F.split(html, r"(?i)<div[^>]*class=\"[^\"]*\bresult\b[^\"]*\"[^>]*>"), 2, 1 << 20)
+def result_rows(page: str) -> list[tuple[str, str, str]]:
+    """(title, href, snippet) of each element of class `result`, from the first link and snippet inside it."""
+    tree = parse(page)
+    links, snippets = tree.of_class("result__a"), tree.of_class("result__snippet")
+    out = []
+    for i in tree.of_class("result"):
+        a, b = tree.within(i, links), tree.within(i, snippets)
+        title = tree.text(a).strip(SPACE) if a is not None else ""
+        href = tree.elements[a].attributes.get("href", "").strip(SPACE) if a is not None else ""
+        if title and href:
+            out.append((title, href, tree.text(b).strip(SPACE) if b is not None else ""))
+    return out
+
 
-    def inner(b: Column, name: str) -> Column:
-        return trim(F.regexp_replace(F.regexp_extract(b, rf'(?is)class="[^"]*\b{name}\b[^"]*"[^>]*>(.*?)</a>', 1), "<[^>]+>", ""))
+_HITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "url", "snippet")]))
 
-    def one(b: Column) -> Column:
-        link = F.regexp_extract(b, r'(?is)<a[^>]*class="[^"]*\bresult__a\b[^"]*"[^>]*>', 0)
-        href = trim(F.regexp_extract(link, r'(?i)href="([^"]*)"', 1))
-        return F.struct(inner(b, "result__a").alias("title"), unwrap_redirect(href).alias("url"), inner(b, "result__snippet").alias("snippet"))
 
-    return F.filter(F.transform(blocks, one), lambda r: (r["title"] != "") & (r["url"] != ""))
+@F.pandas_udf(_HITS)
+def _hits(pages: pd.Series) -> pd.Series:
+    return pd.Series([None if p is None else [dict(zip(("title", "url", "snippet"), r, strict=True)) for r in result_rows(p)] for p in pages], dtype=object)
+
+
+def parse_result_page(html: Column) -> Column:
+    """Array of (title, url, snippet) of an HTML result page, links of redirects followed; null for null."""
+    return F.transform(_hits(html), lambda r: F.struct(r["title"].alias("title"), unwrap_redirect(r["url"]).alias("url"), r["snippet"].alias("snippet")))
 
 
 def page_outcome(html: Column, n_results: Column) -> Column:
@@ -94,14 +109,17 @@ def keyless_search(requests: DataFrame, answers: DataFrame, ttl_ms: int = SEARCH
     code = F.when(c("failure").isNotNull() | c("html").isNull(), failure_code(F.coalesce("failure", F.lit("")))).otherwise(page_outcome(c("html"), F.size("results")))
     said = said.select("key", "failure", "results", code.alias("code"))
     asked = requests.select("request_id", "ms", trim(F.coalesce("query", F.lit(""))).alias("key"))
-    rows = asked.join(said, "key", "left").withColumn("code", F.when(c("key") == "", "INVALID_QUERY").otherwise(F.coalesce("code", F.lit("FETCH_FAILED"))))
-    hits = cache_hits(rows.filter("code = 'ok'").select("key", c("request_id").alias("event_id"), "ms"), ttl_ms)
+    rows = asked.join(said.drop("results"), "key", "left").withColumn("code", F.when(c("key") == "", "INVALID_QUERY").otherwise(F.coalesce("code", F.lit("FETCH_FAILED"))))
     message = F.when(c("code") == "FETCH_FAILED", F.concat(F.lit("DuckDuckGo search request failed: "), F.coalesce("failure", F.lit("Unknown search failure."))))
     for name, text in MESSAGES.items():
         message = message.when(c("code") == name, text)
     good = c("code") == "ok"
-    out = rows.join(hits.select(c("event_id").alias("request_id"), "hit"), "request_id", "left")
-    return out.select("request_id", F.when(good, "ok").otherwise("error").alias("status"), F.when(good, c("results")).otherwise(none).alias("results"), F.when(~good, c("code")).alias("code"), message.alias("message"), F.coalesce("hit", F.lit(False)).alias("cache_hit"))
+    # Requests may share an id, so each carries its own result through the cache instead of being joined to it.
+    timed = good & c("ms").isNotNull()
+    hits = cache_hits(rows.filter(timed).select("key", c("request_id").alias("event_id"), "ms"), ttl_ms).select("key", c("event_id").alias("request_id"), c("hit").alias("cache_hit"))
+    found = hits.unionByName(rows.filter(good & c("ms").isNull()).select("key", "request_id", F.lit(False).alias("cache_hit")))
+    found = found.join(said.select("key", "results"), "key").select("request_id", F.lit("ok").alias("status"), "results", F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("message"), "cache_hit")
+    return found.unionByName(rows.filter(~good).select("request_id", F.lit("error").alias("status"), none.alias("results"), "code", message.alias("message"), F.lit(False).alias("cache_hit")))
 
 
 def in_time(serp: DataFrame) -> DataFrame:

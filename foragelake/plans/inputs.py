@@ -104,10 +104,14 @@ SCRAPED = """SELECT page_id, url, CASE WHEN page_id % 11 = 0 THEN 503 ELSE 200 E
   WHEN 4 THEN concat('{{"data":{{"markdown":5,"html":"<p>', page_id, '</p>","metadata":{{"title":"T', page_id, '","sourceURL":"http://final/', page_id, '"}}}}}}')
   ELSE concat('{{"success":true,"data":{{"markdown":"', repeat('word ', CAST(page_id % 900 AS INT)), 'end","metadata":{{"title":["x"]}}}}}}') END AS body FROM {pages}"""
 
-# Calls of tools: every event starts one, most of them end, some twice.
-CALLS = """SELECT user_id AS session_id, event_id AS call_id, 2 * event_id AS pos, 'start' AS phase, event_id * 1000 AS ms, CAST(NULL AS BOOLEAN) AS failed FROM {events}
-UNION ALL SELECT user_id, event_id, 2 * event_id + 1, 'end', event_id * 1000 + event_id % 700, event_id % 13 = 0 FROM {events} WHERE event_id % 10 <> 3
-UNION ALL SELECT user_id, event_id, 2 * event_id + 3, 'end', event_id * 1000 + 900, true FROM {events} WHERE event_id % 10 = 4"""
+# Calls of tools: the n-th event of a user starts one, and most end, up to six events later; so calls of one tool are nested,
+# crossed, left open, and ended twice.
+CALLS = """SELECT session_id, tool_name, pos, phase, ms, failed FROM (
+  SELECT user_id AS session_id, CASE CAST(n % 2 AS INT) WHEN 0 THEN 'bash' ELSE 'read' END AS tool_name, CAST(8 * n AS BIGINT) AS pos, 'start' AS phase, event_id * 1000 AS ms, CAST(NULL AS BOOLEAN) AS failed FROM {events_n}
+  UNION ALL SELECT user_id, CASE CAST(n % 2 AS INT) WHEN 0 THEN 'bash' ELSE 'read' END, CAST(8 * (n + n * 5 % 7) + 1 + n % 3 AS BIGINT), 'end', event_id * 1000 + event_id % 700, event_id % 13 = 0 FROM {events_n} WHERE n % 9 <> 4
+  UNION ALL SELECT user_id, 'bash', CAST(8 * n + 7 AS BIGINT), 'end', event_id * 1000 + 900, true FROM {events_n} WHERE n % 11 IN (1, 2)) c""".replace(
+    "{events_n}", "(SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM {events}) e"
+)
 
 
 TABLES = ("pages", "conversations", "events", "nation", "documents", "customer")

@@ -94,6 +94,20 @@ IMPORTANT = collapse(_WORDS)
 QUESTIONS = f"qs AS ({I.oracle(I.QUESTIONS)}), t AS (SELECT query_id, query, {IMPORTANT} AS terms FROM qs)"
 OFFICIAL = "CASE WHEN contains(lower(query), 'vitest') THEN 'site:vitest.dev ' || terms WHEN contains(lower(query), 'playwright') THEN 'site:playwright.dev ' || terms WHEN contains(lower(query), 'edge') THEN 'site:learn.microsoft.com ' || terms ELSE terms || ' official docs' END"
 
+# A page is cut at its result elements; each piece has one link and snippet, in any order of attributes.
+_CLASSED = r"[^>]*class=[\"''](?:[^\"'']*\s)?NAME(?:\s[^\"'']*)?[\"''][^>]*>"
+_RESULT, _LINK, _SNIPPET = (f"(?is)<{e}{_CLASSED.replace('NAME', n)}" for e, n in (("[a-z]+", "result"), ("a", "result__a"), ("[a-z]+", "result__snippet")))
+_HREF = r"replace(coalesce(nullif(regexp_extract(link, '(?i)href=\"([^\"]*)\"', 1), ''), nullif(regexp_extract(link, '(?i)href=''([^'']*)''', 1), ''), regexp_extract(link, '(?i)href=([^\s>\"'']+)', 1)), '&amp;', '&')"
+_SERP_OUTCOME = f"""WITH p AS (SELECT doc_id, html, regexp_replace(html, '<!--.*?-->', '', 'gs') AS h FROM ({I.oracle(Q._PAGES)}) x),
+  b AS (SELECT doc_id, i, cut[i] AS piece FROM (SELECT doc_id, string_split_regex(h, '{_RESULT}') AS cut FROM p), range(2, 9) r(i) WHERE i <= len(cut)),
+  e AS (SELECT doc_id, i, regexp_extract(piece, '{_LINK}', 0) AS link, regexp_replace(regexp_extract(piece, '{_LINK}(.*?)</a>', 1), '<[^>]+>', '', 'g') AS title, regexp_extract(piece, '{_SNIPPET}(.*?)</', 1) AS snippet FROM b),
+  u AS (SELECT doc_id, i, {trim('title')} AS title, {trim('snippet')} AS snippet, {_HREF} AS href FROM e),
+  g AS (SELECT doc_id, i, title, snippet, CASE WHEN starts_with(href, '//duckduckgo.com/l/') THEN url_decode(regexp_extract(href, 'uddg=([^&]*)', 1)) ELSE href END AS url FROM u WHERE title <> '' AND href <> ''),
+  n AS (SELECT doc_id, count(*) AS n, arg_min(title, i) AS title, arg_min(url, i) AS url, arg_min(snippet, i) AS snippet, arg_max(url, i) AS last_url FROM g GROUP BY 1),
+  v AS (SELECT doc_id, lower(html) AS low, lower(regexp_replace(html, '<[^>]+>', '', 'g')) AS seen FROM p)
+  SELECT doc_id, coalesce(n, 0)::INTEGER AS n, title, url, snippet, last_url, CASE WHEN n > 0 THEN 'ok' WHEN regexp_matches(seen, 'no results found|no more results|did not match any documents') THEN 'NO_RESULTS'
+    WHEN regexp_matches(low, 'captcha|challenge|verify you are human|are you a robot|unusual traffic') THEN 'BLOCKED' ELSE 'PARSE_FAILED' END AS outcome FROM v LEFT JOIN n USING (doc_id)"""
+
 ORACLE_SQL = {
     "url_canonical": f"{WITH_URLS} SELECT page_id, {canonical('h')} AS canonical, {canonical('fh')} AS with_www, coalesce(h, lower(url)) AS host_key FROM u",
     "url_dedupe": f"{WITH_URLS} SELECT {canonical('h')} AS canonical, min(page_id) AS first_page, arg_min(url, page_id) AS url, count(*) AS n FROM u GROUP BY 1",
@@ -120,15 +134,15 @@ ORACLE_SQL = {
       d AS (SELECT query_id, c, min(i) AS i FROM (SELECT query_id, i, {canonical('fh')} AS c FROM u) WHERE c IS NOT NULL GROUP BY ALL),
       n AS (SELECT query_id, string_agg(c, ' ' ORDER BY i) AS urls FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY i) AS k FROM d) WHERE k <= 3 GROUP BY 1)
       SELECT qs.query_id, coalesce(urls, '') AS urls FROM qs LEFT JOIN n USING (query_id)""",
-    "redirect_unwrap": """SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://a.com/' || page_id WHEN 1 THEN 'https://duckduckgo.com/l/?x=1' ELSE url END AS url,
-      'https://html.duckduckgo.com/html/?q=a+b%26' || page_id AS search_url FROM pages""",
-    "serp_outcome": """SELECT page_id, CASE WHEN page_id % 4 = 0 THEN 1 ELSE 0 END::INTEGER AS n, CASE WHEN page_id % 4 = 0 THEN 'A t' END AS title, CASE WHEN page_id % 4 = 0 THEN 'https://a.com/' || page_id END AS url,
-      CASE WHEN page_id % 4 = 0 THEN 's ' || page_id END AS snippet, CASE page_id % 4 WHEN 0 THEN 'ok' WHEN 1 THEN 'NO_RESULTS' WHEN 2 THEN 'BLOCKED' ELSE 'PARSE_FAILED' END AS outcome FROM pages""",
+    "redirect_unwrap": f"""WITH r AS (SELECT page_id, raw, CASE WHEN starts_with(raw, '//') THEN 'https:' || raw ELSE raw END AS a FROM ({I.oracle(Q._REDIRECTS)}) x)
+      SELECT page_id, CASE WHEN regexp_matches(a, '^https?://duckduckgo[.]com/l/[?]') AND regexp_matches(a, '[?&]uddg=[^&]') THEN url_decode(regexp_extract(a, '[?&]uddg=([^&]*)', 1)) ELSE raw END AS url,
+      'https://html.duckduckgo.com/html/?q=a+b%26' || page_id AS search_url FROM r""",
+    "serp_outcome": _SERP_OUTCOME,
     "search_fallback": f"""SELECT page_id, CASE WHEN u THEN f.backend ELSE p.backend END AS backend, CASE WHEN u THEN f.status ELSE p.status END AS status, CASE WHEN u THEN f.message ELSE p.message END AS message,
       CASE WHEN u THEN p.backend END AS fallback_from, CASE WHEN u THEN p.message END AS fallback_reason FROM ({I.oracle(Q._PRIMARY)}) p LEFT JOIN ({I.oracle(Q._FALLBACK)}) f USING (page_id), LATERAL (SELECT p.status = 'error' AND f.status IS NOT NULL AS u) x""",
     "fetch_fallback": f"""SELECT page_id, CASE WHEN u THEN f.backend ELSE p.backend END AS backend, CASE WHEN u THEN f.status ELSE p.status END AS status, CASE WHEN u THEN f.message ELSE p.message END AS message,
       CASE WHEN u THEN p.backend END AS fallback_from, CASE WHEN u THEN p.message END AS fallback_reason FROM ({I.oracle(Q._PRIMARY)}) p LEFT JOIN ({I.oracle(Q._FALLBACK)}) f USING (page_id), LATERAL (SELECT p.status IN ('error', 'needs_headless') AND f.status IS NOT NULL AS u) x""",
-    "ttl_cache_hits": f"""WITH RECURSIVE a AS (SELECT user_id || '|' || event_type AS key, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
+    "ttl_cache_hits": f"""WITH RECURSIVE a AS (SELECT CAST(to_json([user_id::VARCHAR, event_type]) AS VARCHAR) AS key, event_id, epoch_ms(ts) AS ms, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM events WHERE user_id IS NOT NULL AND event_type IS NOT NULL),
       r AS (SELECT key, event_id, i, false AS hit, ms + {Q.TTL_MS} AS expires FROM a WHERE i = 1
         UNION ALL SELECT a.key, a.event_id, a.i, r.expires > a.ms, CASE WHEN r.expires > a.ms THEN r.expires ELSE a.ms + {Q.TTL_MS} END FROM r JOIN a ON a.key = r.key AND a.i = r.i + 1)
       SELECT key, event_id, hit FROM r""",
@@ -274,8 +288,13 @@ ORACLE_SQL["fanout_passes"] = f"""WITH serp AS ({SERP}), g AS (SELECT query_id,
   n AS (SELECT query_id, provider, provider_pos, min(pass) FILTER (good) AS used, min(pass) FILTER (NOT good) AS missed FROM g GROUP BY ALL)
   SELECT query_id, coalesce(string_agg(provider, ',' ORDER BY used, provider_pos) FILTER (used IS NOT NULL), '') AS providers, coalesce(string_agg(provider, ',' ORDER BY missed, provider_pos) FILTER (used IS NULL), '') AS skipped FROM n GROUP BY 1"""
 ORACLE_SQL["failure_code"] = f"SELECT conv_id, CASE WHEN regexp_matches(lower(message), 'blocked|rate limit|rate-limit|403|429|captcha|challenge') THEN 'BLOCKED' ELSE 'FETCH_FAILED' END AS code FROM ({I.oracle(Q._MESSAGES)}) m"
-ORACLE_SQL["tool_call_times"] = f"""WITH c AS ({I.oracle(I.CALLS)}), g AS (SELECT session_id, call_id, min(pos) FILTER (phase = 'start') AS pos, min(ms) FILTER (phase = 'start') AS started, min(ms) FILTER (phase = 'end') AS ended,
-    arg_min(failed, ms) FILTER (phase = 'end') AS failed FROM c GROUP BY ALL) SELECT session_id, call_id, pos, started, ended, ended - started AS took_ms, failed FROM g"""
+ORACLE_SQL["tool_call_times"] = f"""WITH RECURSIVE c AS ({I.oracle(I.CALLS)}),
+  o AS (SELECT *, row_number() OVER (PARTITION BY session_id, tool_name ORDER BY pos, phase = 'end', ms) AS k FROM c),
+  r AS (SELECT session_id, tool_name, 0::BIGINT AS k, []::BIGINT[] AS open, NULL::BIGINT AS closes, NULL::BIGINT AS ended, NULL::BOOLEAN AS failed FROM (SELECT DISTINCT session_id, tool_name FROM c)
+    UNION ALL SELECT o.session_id, o.tool_name, o.k, CASE WHEN phase = 'start' THEN list_append(open, o.k) ELSE open[:-2] END, CASE WHEN phase = 'end' THEN open[-1] END, o.ms, o.failed
+    FROM r JOIN o ON o.session_id = r.session_id AND o.tool_name = r.tool_name AND o.k = r.k + 1)
+  SELECT o.session_id, o.tool_name, o.pos, o.ms AS started, e.ended, e.ended - o.ms AS took_ms, e.failed FROM o LEFT JOIN (SELECT * FROM r WHERE closes IS NOT NULL) e
+    ON e.session_id = o.session_id AND e.tool_name = o.tool_name AND e.closes = o.k WHERE o.phase = 'start'"""
 
 
 def _parts(version: str) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,15 @@ def html_title(spark, d):
     return I.load(spark, d, I.HTML).select("page_id", H.title(F.col("html")).alias("title"))
 
 
+# Every fifth page gets a style sheet that strict parsers reject, so that it is read the plain way.
+_STYLED = "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN concat('<style>.a {{ b: c; &:hover {{ d: e; }} }}</style>', html) ELSE html END AS html FROM {pages}"
+
+
+def html_readable(spark, d):
+    """Every page by its article: title, byline, text and how it was read."""
+    return I.load(spark, d, _STYLED).select("page_id", H.readable(F.col("html")).alias("r")).select("page_id", "r.*")
+
+
 def html_fallback_text(spark, d):
     return I.load(spark, d, I.HTML).select("page_id", H.text(F.col("html")).alias("text"))
 
@@ -116,19 +127,30 @@ def serp_parse_json(spark, d):
     return S.parse_payloads(I.load(spark, d, _PAYLOADS)).withColumn("rank", F.col("rank").cast("int"))
 
 
-_PAGES = """SELECT page_id, CASE page_id % 4
-  WHEN 0 THEN concat('<div class="result web"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.com%2F', page_id, '&rut=1"> A <b>t</b> </a><a class="result__snippet">s ', page_id, '</a></div><div class="result"><a class="result__a" href="">none</a></div>')
-  WHEN 1 THEN '<p>No results found.</p>' WHEN 2 THEN '<p>Unusual traffic</p>' ELSE '<p>hello</p>' END AS html FROM {pages}"""
+# Result pages whose titles are the beginnings of documents: any element, either quote, several classes, nested, commented.
+_PAGES = """SELECT doc_id, CASE doc_id % 8
+  WHEN 0 THEN concat('<div class="result web"><a class="result__a" href="//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.com%2F', doc_id, '&rut=1"> A <b>', t, '</b> </a><a class="result__snippet">s ', t, '</a></div><div class="result"><a class="result__a" href="">none</a></div>')
+  WHEN 1 THEN concat('<article class=', q, 'x result', q, '><h2 class=big><a href=', q, 'https://b.org/', doc_id, q, ' class=', q, 'y result__a', q, '>', t, '</a></h2><p class=', q, 'result__snippet', q, '>', t, ' end</p></article>')
+  WHEN 2 THEN concat('<SECTION data-k="1" CLASS="result"><span class="result__snippet"></span><a data-x="1" class="result__a" href=https://c.org/', doc_id, '>', t, '</a></SECTION>')
+  WHEN 3 THEN concat('<div class="results"><a class="result__a" href="u">', t, '</a></div>')
+  WHEN 4 THEN concat('<p>No results found.</p>', t)
+  WHEN 5 THEN concat('<p>Unusual traffic</p>', t)
+  WHEN 6 THEN concat('<ul><li class="result"><!-- <a class="result__a" href="z">no</a> --><a class="result__a" href="https://d.org/?a=1&amp;b=', doc_id, '">', t, '</a><li class="result"><a href="/next" class="result__a">', t, ' 2</a><a class="result__snippet">', t, '</a></ul>')
+  ELSE concat('<p>hello ', t, '</p>') END AS html
+FROM (SELECT doc_id, chr(39) AS q, translate(substr(coalesce(text, ''), 1, 80), concat('<>&"', chr(39)), '') AS t FROM {documents}) d"""
 
 
 def serp_outcome(spark, d):
     p = I.load(spark, d, _PAGES).withColumn("hits", S.parse_result_page(F.col("html")))
-    first = F.get("hits", F.lit(0))
-    return p.select("page_id", F.size("hits").alias("n"), first["title"].alias("title"), first["url"].alias("url"), first["snippet"].alias("snippet"), S.page_outcome(F.col("html"), F.size("hits")).alias("outcome"))
+    first, last = F.get("hits", F.lit(0)), F.try_element_at("hits", F.lit(-1))
+    return p.select("doc_id", F.size("hits").alias("n"), first["title"].alias("title"), first["url"].alias("url"), first["snippet"].alias("snippet"), last["url"].alias("last_url"), S.page_outcome(F.col("html"), F.size("hits")).alias("outcome"))
+
+
+_REDIRECTS = "SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.com%2F', page_id) WHEN 1 THEN 'https://duckduckgo.com/l/?x=1' ELSE url END AS raw FROM {pages}"
 
 
 def redirect_unwrap(spark, d):
-    raw = I.load(spark, d, "SELECT page_id, CASE page_id % 3 WHEN 0 THEN concat('//duckduckgo.com/l/?uddg=https%3A%2F%2Fa.com%2F', page_id) WHEN 1 THEN 'https://duckduckgo.com/l/?x=1' ELSE url END AS raw FROM {pages}")
+    raw = I.load(spark, d, _REDIRECTS)
     return raw.select("page_id", U.unwrap_redirect(F.col("raw")).alias("url"), U.search_url(F.concat(F.lit("a b&"), F.col("page_id").cast("string"))).alias("search_url"))
 
 
@@ -434,32 +456,42 @@ def update_notice(spark, d):
     return C.update_notice(I.load(spark, d, _CHANGELOG), I.load(spark, d, _INSTALLED))
 
 
-def _accesses(spark: SparkSession, d: str) -> DataFrame:
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+def _accesses(events: DataFrame) -> DataFrame:
+    """The key is its parts as JSON, so unlike parts never share one; null where a part is."""
+    key = F.when(F.col("user_id").isNotNull() & F.col("event_type").isNotNull(), F.to_json(F.array(F.col("user_id").cast("string"), "event_type")))
+    return events.select(key.alias("key"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
 
 
 def ttl_cache_hits(spark, d):
-    return cache_hits(_accesses(spark, d), TTL_MS)
+    return cache_hits(_accesses(spark.read.parquet(f"{d}/events.parquet")), TTL_MS)
 
 
 def ttl_cache_stream(spark, d):
-    """The same through Structured Streaming, from the event files to a table in the shared folder."""
-    import uuid
-
-    out = f"{shared_dir(spark)}/ttl-{uuid.uuid4().hex}"
-    schema = spark.read.parquet(f"{d}/events.parquet").schema
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 64).parquet(f"{d}/events*.parquet")
-    accesses = events.select(F.concat_ws("|", F.col("user_id").cast("string"), "event_type").alias("key"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
-    job = stream_cache_hits(accesses, TTL_MS).writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}-log").outputMode("append").trigger(availableNow=True).start()
-    job.awaitTermination()
-    spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-    return spark.read.schema("key string, event_id long, hit boolean").parquet(out)
+    """The same through Structured Streaming, from the event files to a table in the shared folder.
+
+    When all files are read, the stream goes on from its checkpoint with one more file: a row without a key, far in the
+    future. It is no access, but lets the watermark pass all others.
+    """
+    folder = f"{shared_dir(spark)}/ttl-{uuid.uuid4().hex}"
+    files = spark.readStream.schema(spark.read.parquet(f"{d}/events.parquet").schema).option("pathGlobFilter", "*.parquet").option("maxFilesPerTrigger", 64)
+    last = _accesses(spark.read.parquet(f"{d}/events.parquet")).agg(F.max("ms").alias("ms"))
+    end = last.select(F.lit(None).cast("string").alias("key"), F.lit(None).cast("long").alias("event_id"), (F.col("ms") + 100 * TTL_MS).alias("ms"))
+    name, provider = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    before = spark.conf.get(name, None)
+    try:
+        spark.conf.set(name, provider)
+        for more in (end.limit(0), end):
+            more.write.mode("append").parquet(f"{folder}/end")
+            ends = spark.readStream.schema("key string, event_id long, ms long").parquet(f"{folder}/end")
+            hits = stream_cache_hits(_accesses(files.parquet(f"{d}/events*.parquet")).unionByName(ends), TTL_MS, delay="1 hour")
+            hits.writeStream.format("parquet").option("path", f"{folder}/hits").option("checkpointLocation", f"{folder}/log").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+    return spark.read.schema("key string, event_id long, hit boolean").parquet(f"{folder}/hits")
 
 
 QUERIES = {f.__name__: f for f in (
-    page_profile, url_canonical, url_dedupe, host_counts, direct_urls, source_profile, html_title, html_fallback_text, entity_decode,
+    page_profile, url_canonical, url_dedupe, host_counts, direct_urls, source_profile, html_title, html_fallback_text, html_readable, entity_decode,
     rendered_cleanup, word_excerpt, fetch_status, query_plan, important_words, serp_parse_json, serp_outcome, redirect_unwrap,
     fanout_merge, fanout_auto, fanout_providers, fanout_weak, search_fallback, fetch_fallback, candidate_topk, evidence_rank,
     evidence_quality, explore_answers, explore_evidence, explore_views, search_views, fetch_views, reader_route, thread_text,

@@ -8,8 +8,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "key string, event_id long, hit boolean"
@@ -25,64 +27,124 @@ def _fold(ms: list[int], ttl_ms: int, expires: int | None) -> tuple[list[bool],
     return hits, expires
 
 
-def cache_hits(accesses: DataFrame, ttl_ms: int) -> DataFrame:
-    """(key, event_id, ms) -> key, event_id, hit. Accesses of a key are in the order of (ms, event_id).
+def cache_hits(accesses: DataFrame, ttl_ms: int, slice_ttls: int = 256) -> DataFrame:
+    """(key, event_id, ms, ...) -> key, event_id, ..., hit. Accesses of a key are in the order of (ms, event_id).
 
     Rows with a null key or time are no accesses and are left out. An access that comes ttl_ms or more after the one
-    before it is a miss whatever happened earlier, so a key falls into segments there, which are folded independently:
-    a hot key is split at its pauses, and an access that is a segment by itself needs no fold. Segments are streamed in
-    sorted batches with one number of state.
+    before it is a miss whatever happened earlier, so a key falls into segments there, which are folded independently.
+    Pauses are looked for in slices of time of slice_ttls times to live, and between slices by their edges, so that the rows
+    of a hot key never meet in one task; only its slices do. An access that is a segment by itself needs no fold. Segments
+    are streamed in sorted batches with one number of state. A key without a pause is one segment: its accesses depend on
+    one another. Other columns are carried along.
     """
+    more = [c for c in accesses.columns if c not in ("key", "event_id", "ms")]
+    rows = accesses.select(F.col("key").cast("string").alias("key"), "event_id", "ms", F.struct(*[F.col(f"`{c}`") for c in more] or [F.lit(0).alias("_")]).alias("more")).filter("key IS NOT NULL AND ms IS NOT NULL")
+    schema = T.StructType([*[rows.schema[c] for c in ("key", "event_id", "more")], T.StructField("hit", T.BooleanType())])
 
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, expires = None, None
         for batch in batches:
             hits = []
-            for k, segment, now in zip(batch["key"].tolist(), batch["segment"].tolist(), batch["ms"].tolist(), strict=True):
+            for k, segment, now in zip(batch["key"].to_pylist(), batch["segment"].to_pylist(), batch["ms"].to_pylist(), strict=True):
                 if (k, segment) != at:
                     at, expires = (k, segment), None
                 hit = expires is not None and expires > now
                 if not hit:
                     expires = now + ttl_ms
                 hits.append(hit)
-            yield pd.DataFrame({"key": batch["key"], "event_id": batch["event_id"], "hit": hits})
-
-    rows = accesses.select(F.col("key").cast("string").alias("key"), "event_id", "ms").filter("key IS NOT NULL AND ms IS NOT NULL")
-    own = Window.partitionBy("key").orderBy("ms", "event_id")
-    rows = rows.withColumn("before", F.lag("ms").over(own)).withColumn("after", F.lead("ms").over(own))
-    begins = F.col("before").isNull() | (F.col("ms") - F.col("before") >= ttl_ms)
-    rows = rows.withColumn("begins", begins).withColumn("segment", F.count_if("begins").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    alone = F.col("begins") & (F.col("after").isNull() | (F.col("after") - F.col("ms") >= ttl_ms))
-    rows = rows.withColumn("alone", alone)
-    misses = rows.filter("alone").select("key", "event_id", F.lit(False).alias("hit"))
-    folded = rows.filter("NOT alone").select("key", "segment", "ms", "event_id").repartition("key", "segment").sortWithinPartitions("key", "segment", "ms", "event_id")
-    return misses.unionByName(folded.mapInPandas(fold, OUT))
+            yield pa.RecordBatch.from_arrays([batch["key"], batch["event_id"], batch["more"], pa.array(hits, pa.bool_())], names=["key", "event_id", "more", "hit"])
+
+    own = Window.partitionBy("key", "slice").orderBy("ms", "event_id")
+    rows = rows.withColumn("slice", F.floor(F.col("ms") / (slice_ttls * ttl_ms)))
+    rows = rows.withColumn("before", F.lag("ms").over(own)).withColumn("after", F.lead("ms").over(own)).withColumn("pause", F.coalesce(F.col("ms") - F.col("before") >= ttl_ms, F.lit(False)))
+    rows = rows.withColumn("pauses", F.count_if("pause").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    along = Window.partitionBy("key").orderBy("slice")
+    edges = rows.groupBy("key", "slice").agg(F.min("ms").alias("first"), F.max("ms").alias("last"), F.max("pauses").alias("inside"))
+    edges = edges.withColumn("last_before", F.lag("last").over(along)).withColumn("first_after", F.lead("first").over(along))
+    edges = edges.withColumn("opens", F.coalesce((F.col("first") - F.col("last_before") >= ttl_ms).cast("long"), F.lit(1).cast("long")))
+    edges = edges.withColumn("earlier", F.sum(F.col("opens") + F.col("inside")).over(along) - F.col("inside"))
+    rows = rows.join(edges.select("key", "slice", "last_before", "first_after", "opens", "earlier"), ["key", "slice"])
+    begins = F.col("pause") | (F.col("before").isNull() & (F.col("opens") == 1))
+    ends = F.coalesce(F.coalesce("after", "first_after") - F.col("ms") >= ttl_ms, F.lit(True))
+    rows = rows.withColumn("segment", F.col("earlier") + F.col("pauses")).withColumn("alone", begins & ends)
+    misses = rows.filter("alone").select("key", "event_id", "more", F.lit(False).alias("hit"))
+    folded = rows.filter("NOT alone").select("key", "segment", "ms", "event_id", "more").repartition("key", "segment").sortWithinPartitions("key", "segment", "ms", "event_id")
+    return misses.unionByName(folded.mapInArrow(fold, schema)).select("key", "event_id", *[F.col(f"more.`{c}`") for c in more], "hit")
+
+
+def _result(key: str, ids: list[int], hits: list[bool]) -> pd.DataFrame:
+    kinds = {"key": "object", "event_id": "Int64", "hit": "bool"}
+    return pd.DataFrame({n: pd.Series(v, dtype=kinds[n]) for n, v in (("key", [key] * len(ids)), ("event_id", ids), ("hit", hits))})
 
 
 class TtlCache(StatefulProcessor):
-    """The same for a stream: the expiry of each key is its state."""
+    """The same for a stream, in event time.
+
+    Accesses of a key wait until the watermark has passed them; then no earlier one can come, and they are judged in the
+    order of (ms, event_id). The state of a key is what waits and the expiry of its entry; a timer clears it.
+    """
 
     def __init__(self, ttl_ms: int):
         self.ttl_ms = ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "ms long, event_id long")
         self.expires = handle.getValueState("expires", "at long")
+        self.timer = handle.getValueState("timer", "at long")
+
+    def _wake(self, at: int) -> None:
+        """One timer a key: the earliest asked for."""
+        old = self.timer.get()[0] if self.timer.exists() else None
+        if old is None or at < old:
+            if old is not None:
+                self.handle.deleteTimer(old)
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ms", "event_id"])
-        old = self.expires.get()[0] if self.expires.exists() else None
-        hits, new = _fold(batch["ms"].tolist(), self.ttl_ms, old)
-        if new is not None:
-            self.expires.update((new,))
-        yield pd.DataFrame({"key": key[0], "event_id": batch["event_id"], "hit": hits})
+        first = None
+        for batch in rows:
+            if key[0] is not None and len(batch):
+                self.waiting.appendList(list(zip(batch["ms"].tolist(), batch["event_id"].tolist(), strict=True)))
+                least = int(batch["ms"].min())
+                first = least if first is None else min(first, least)
+        if first is not None:
+            self._wake(first)
+        yield _result(key[0], [], [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs()
+        self.timer.clear()
+        rows = sorted(self.waiting.get())
+        due = [r for r in rows if r[0] <= now]
+        rest = rows[len(due) :]
+        expires = self.expires.get()[0] if self.expires.exists() else None
+        hits, expires = _fold([ms for ms, _ in due], self.ttl_ms, expires)
+        if rest:
+            self.waiting.put(rest)
+            self._wake(rest[0][0])
+        else:
+            self.waiting.clear()
+        # A timer must lie ahead of the watermark, or it never fires; what waits is ahead of it.
+        if expires is not None and (rest or expires > now):
+            self.expires.update((expires,))
+            if not rest:
+                self._wake(expires)
+        else:
+            self.expires.clear()
+        yield _result(key[0], [i for _, i in due], hits)
 
     def close(self) -> None:
         pass
 
 
-def stream_cache_hits(accesses: DataFrame, ttl_ms: int) -> DataFrame:
-    """cache_hits() of a streaming DataFrame; within a micro-batch accesses are ordered, across them arrival decides.
+def stream_cache_hits(accesses: DataFrame, ttl_ms: int, delay: str) -> DataFrame:
+    """cache_hits() of a streaming DataFrame (key, event_id, ms), in event time.
 
-    The accesses of a key in one micro-batch are held together, so the source should bound what a micro-batch reads.
+    An access is judged when the watermark, `delay` behind the latest time seen, has passed it, so accesses may come in any
+    order within the delay; one that comes later is dropped. Rows with a null key are no accesses, but move the watermark;
+    those with a null time are left out. What comes within the delay for a key is held in its state.
     """
-    return accesses.select(F.col("key").cast("string").alias("key"), "event_id", "ms").groupBy("key").transformWithStateInPandas(TtlCache(ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="None")
+    rows = accesses.select(F.col("key").cast("string").alias("key"), "event_id", "ms", F.timestamp_millis("ms").alias("at")).filter("ms IS NOT NULL").withWatermark("at", delay)
+    return rows.groupBy("key").transformWithStateInPandas(TtlCache(ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
