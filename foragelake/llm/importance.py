@@ -1,11 +1,12 @@
 """Importance resampling towards a target corpus, by inverted postings that are dealt by bucket.
 
-1. Every document becomes postings (bucket, document, count): the features of its words, hashed into buckets.
+1. Documents are read in blocks of a bounded number of postings. A block becomes one posting list for each bucket that it
+   has: places of documents in the block, and how often they have a feature of the bucket.
 2. Both corpora are counted by bucket, after each task has counted its own; what a bucket gains follows from its two
    counts and the two totals.
-3. Postings are shuffled by bucket, where each meets its gain. A bucket that nearly every document has is dealt to
-   `salts` tasks by document, and its gain goes to all of them.
-4. The contributions, count times gain, are added up by document, after each task has added its own.
+3. Posting lists are shuffled by bucket, where each meets its gain. The lists of a bucket are dealt to `salts` tasks by
+   block, so that a bucket which nearly every document has isn't one task's; its gain goes to all of them.
+4. The contributions, counts times gain, are shuffled by block and added up for each document.
 5. The documents with the highest weight plus Gumbel noise are drawn, by a global range sort.
 """
 
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +25,10 @@ from foragelake.llm.common import discard, materialize, table, text_or_empty
 from foragelake.llm.sharding import number_rows
 
 BUCKETS, MOST_WORDS, LEAST_WORDS, PERCENT, SEED = 10_000, 1, 20, 10, 2024
-#: Parts of a bucket at least, and documents for which there is one more.
-SALTS, DOCUMENTS_EACH = 16, 250_000
+#: Postings of a block, after which it ends; its documents at most, so that a place fits in 16 bits.
+POSTINGS_EACH, DOCUMENTS_EACH = 1 << 20, 1 << 16
+#: Parts of a bucket at least, and blocks for which there is one more.
+SALTS, BLOCKS_EACH = 16, 64
 #: Features of a task's words whose bucket is remembered.
 _REMEMBERED = 1 << 17
 
@@ -41,12 +45,26 @@ def features(text: bytes, most: int) -> tuple[int, list[bytes]]:
     return len(words), out
 
 
+_POSTED = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("places", pa.binary()), ("counts", pa.binary()), ("total", pa.int64()), *((n, pa.list_(pa.int64())) for n in ("ids", "words", "features"))])
+_POSTED_DDL = "block long, bucket int, places binary, counts binary, total long, ids array<long>, words array<long>, features array<long>"
+
+
+def _narrow(counts: np.ndarray) -> bytes:
+    """Whole numbers in as few bytes each as the largest needs."""
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
+
+
+def _wide(counts: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(counts, f"<u{len(counts) // n}").astype(np.int64)
+
+
 def _posted(buckets: int, most: int):
-    """One row per bucket of a document, and one with bucket null and its number of words."""
-    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("bucket", pa.int32()), ("count", pa.int64())])
+    """Blocks of documents: a row with bucket null, which has their ids and numbers of words and features, and a row per bucket."""
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[bytes, int] = {}
+        part, k = TaskContext.get().partitionId(), 0
+        ids, words, sums, held, size = [], [], [], [], 0
 
         def bucket(feature: bytes) -> int:
             found = known.get(feature)
@@ -56,36 +74,54 @@ def _posted(buckets: int, most: int):
                 found = known[feature] = zlib.crc32(feature) % buckets
             return found
 
+        def block() -> pa.RecordBatch:
+            nonlocal ids, words, sums, held, size, k
+            number = (part << 32) + k
+            places = np.repeat(np.arange(len(held)), [len(b) for b, _ in held]).astype("<u2")
+            b, n = (np.concatenate([x[i] for x in held]) for i in (0, 1))
+            order = np.argsort(b, kind="stable")
+            b, n, places = b[order], n[order], places[order]
+            starts = np.flatnonzero(np.diff(b, prepend=-1))
+            ends = np.append(starts, len(b))[1:]
+            empty = [None] * len(starts)
+            cols = [
+                [number] * (len(starts) + 1),
+                [None, *b[starts].tolist()],
+                [None, *(places[i:j].tobytes() for i, j in zip(starts, ends, strict=True))],
+                [None, *(_narrow(n[i:j]) for i, j in zip(starts, ends, strict=True))],
+                [None, *np.add.reduceat(n, starts).tolist()] if len(starts) else [None],
+                [ids, *empty],
+                [words, *empty],
+                [sums, *empty],
+            ]
+            ids, words, sums, held, size, k = [], [], [], [], 0, k + 1
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _POSTED, strict=True)], schema=_POSTED)
+
         for batch in batches:
-            size, ids, counts, words = [], [], [], []
-            for text in batch["text"]:
+            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"], strict=True):
                 n, found = features(text.as_py().encode("utf-8", "replace"), most)
-                b, k = np.unique(np.fromiter(map(bucket, found), np.int32, len(found)), return_counts=True)
-                size.append(len(b))
-                ids.append(b)
-                counts.append(k)
+                held.append(np.unique(np.fromiter(map(bucket, found), np.int64, len(found)), return_counts=True))
+                ids.append(i)
                 words.append(n)
-            row = pa.array(np.repeat(np.arange(len(size)), size))
-            for doc, b, k in (
-                (np.arange(len(size)), pa.nulls(len(size), pa.int32()), pa.array(words, pa.int64())),
-                (row, pa.array(np.concatenate(ids) if ids else [], pa.int32()), pa.array(np.concatenate(counts) if counts else [], pa.int64())),
-            ):
-                doc = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(doc), batch["text_key"].take(doc), b, k], schema=schema)
+                sums.append(len(found))
+                size += len(held[-1][0])
+                if size >= POSTINGS_EACH or len(ids) >= DOCUMENTS_EACH:
+                    yield block()
+        if ids:
+            yield block()
 
     return post
 
 
 def postings(docs: DataFrame, buckets: int = BUCKETS, most: int = MOST_WORDS) -> DataFrame:
-    """doc_id, text_key (a hash of id and text), bucket, count: see _posted()."""
-    text = text_or_empty()
-    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", text).alias("text_key"), text.alias("text"))
-    return keyed.mapInArrow(_posted(buckets, most), "doc_id long, text_key long, bucket int, count long")
+    """block, bucket, places, counts, total (of counts), and in rows with bucket null ids, words, features: see _posted()."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(_posted(buckets, most), _POSTED_DDL)
 
 
 def gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """bucket, gain of each bucket in postings of two corpora: at most `buckets` rows."""
-    both = docs.select("bucket", F.col("count").alias("s"), F.lit(0).cast("long").alias("t")).unionByName(target.select("bucket", F.lit(0).cast("long").alias("s"), F.col("count").alias("t")))
+    none = F.lit(0).cast("long")
+    both = docs.select("bucket", F.col("total").alias("s"), none.alias("t")).unionByName(target.select("bucket", none.alias("s"), F.col("total").alias("t")))
     counted = both.filter("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("s").alias("s"), F.sum("t").alias("t"))
     totals = counted.agg(F.coalesce(F.sum("s"), F.lit(0)).alias("S"), F.coalesce(F.sum("t"), F.lit(0)).alias("T")).first()
     ratio = (F.col("t") + 1).cast("double") * F.lit(float(totals["S"] + buckets)) / ((F.col("s") + 1).cast("double") * F.lit(float(totals["T"] + buckets)))
@@ -99,6 +135,17 @@ def noise(doc_id: Column, seed: int = SEED) -> Column:
     return F.floor(F.lit(-1000.0) * F.log(-F.log((h + 0.5) / F.lit(4294967296.0)))).cast("long")
 
 
+def _added(lists: pa.Table, documents: pa.Table) -> pa.Table:
+    """The weights of one block's documents: contributions of its posting lists, added up by place."""
+    block, ids, words, sums = (documents[c][0].as_py() for c in ("of", "ids", "words", "features"))
+    weight = np.zeros(len(ids), np.int64)
+    for places, counts, gain in zip(lists["places"], lists["counts"], lists["gain"].to_pylist(), strict=True):
+        at = np.frombuffer(places.as_py(), "<u2")
+        # A list has each document once.
+        weight[at] += _wide(counts.as_py(), len(at)) * gain
+    return pa.table({"doc_id": pa.array(ids, pa.int64()), "block": [block] * len(ids), "place": range(len(ids)), "n_words": words, "n_features": sums, "weight": weight})
+
+
 def resample(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, most: int = MOST_WORDS, least_words: int = LEAST_WORDS, percent: int = PERCENT, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_features, weight, score, rank (from 1; null: not drawn), one row per document.
 
@@ -112,25 +159,18 @@ def resample(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS, most: i
     ignored, whatever their names.
     """
     posted = materialize(postings(docs, buckets, most), "postings")
-    aim = postings(target.select(F.lit(0).alias("doc_id"), "text"), buckets, most)
-    gain = gains(posted, aim, buckets)
-
-    whole = posted.filter("bucket IS NULL").groupBy("doc_id", "text_key").agg(F.max("count").alias("n_words"), F.count(F.lit(1)).alias("copies"))
-    whole = materialize(whole, "resample-documents")
-    salts = SALTS + whole.count() // DOCUMENTS_EACH
-    dealt = posted.filter("bucket IS NOT NULL").withColumn("salt", F.pmod("text_key", F.lit(salts)))
+    gain = gains(posted, postings(target.select(F.lit(0).alias("doc_id"), "text"), buckets, most), buckets)
+    blocks = posted.filter("bucket IS NULL").select("block", "ids", "words", "features")
+    salts = SALTS + blocks.count() // BLOCKS_EACH
+    dealt = posted.filter("bucket IS NOT NULL").select("block", "bucket", "places", "counts", F.pmod(F.xxhash64("block"), F.lit(salts)).alias("salt"))
     everywhere = gain.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-    given = dealt.join(everywhere.hint("merge"), ["bucket", "salt"]).select("doc_id", "text_key", "count", (F.col("count") * F.col("gain")).alias("adds"))
-    weighed = given.groupBy("doc_id", "text_key").agg(F.sum("count").alias("features"), F.sum("adds").alias("adds"))
-    w, d = weighed.alias("w"), whole.alias("d")
-    same = F.col("w.doc_id").eqNullSafe(F.col("d.doc_id")) & (F.col("w.text_key") == F.col("d.text_key"))
-    # Rows that repeat id and text have been added up together, and share equally.
-    scored = d.join(w, same, "left").select("d.doc_id", "n_words", "copies", F.expr("coalesce(w.features, 0L) div copies").alias("n_features"), F.expr("coalesce(w.adds, 0L) div copies").alias("weight"))
-    scored = scored.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copies")
-    scored = materialize(scored, "resample-scores")
+    given = dealt.join(everywhere.hint("merge"), ["bucket", "salt"]).select("block", "places", "counts", "gain")
+    whole = blocks.select(F.col("block").alias("of"), "ids", "words", "features")
+    added = given.groupBy("block").cogroup(whole.groupBy("of")).applyInArrow(_added, "doc_id long, block long, place long, n_words long, n_features long, weight long")
+    scored = materialize(added.withColumn("score", F.col("weight") + noise(F.col("doc_id"), seed)), "resample-scores")
     eligible = scored.filter(F.col("n_words") >= least_words).withColumn("falling", -F.col("score"))
     drawn = (eligible.count() * percent) // 100
-    ranked = number_rows(eligible, "falling", "doc_id", "copy").drop("falling")
+    ranked = number_rows(eligible, "falling", "doc_id", "block", "place").drop("falling")
     ranked = ranked.withColumn("rank", F.when(F.col("row_number") < drawn, F.col("row_number") + 1).cast("long")).drop("row_number")
     rest = scored.filter(F.col("n_words") < least_words).withColumn("rank", F.lit(None).cast("long"))
     discard(posted)
