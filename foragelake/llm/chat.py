@@ -1,8 +1,9 @@
 """Chat formatting with schema fingerprints, with DataFrame functions only.
 
-Records come as JSON text in unlike layouts. The nested field paths that occur in a record are hashed; the hash selects
-one declarative mapping of `LAYOUTS`, which says where the turns are and what they are called. The canonical turns are
-written with a reversible template, and `read_back` recovers them from the formatted text.
+Records come in unlike layouts, as JSON text or as typed columns of which each row fills its own. The nested field paths
+that a record has are hashed; the hash selects one declarative mapping of `LAYOUTS`, which says where the turns are and
+what they are called. The canonical turns are written with a reversible template, and `read_back` recovers them from the
+formatted text.
 
     <|turn:user|>text<|end|>\\n
 
@@ -11,12 +12,13 @@ Inside a text a backslash is doubled and `<|` becomes `<\\|`, so no text can hol
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from foragelake.llm.common import table
 
@@ -56,7 +58,7 @@ _LEAD = {"lead": (("system", "system"), ("user", "prompt")), "optional": ("syste
 LAYOUTS = (
     Layout("messages", items="messages", role="role", text="content", turn="turn", **_LEAD),
     Layout("rows", items="turns", role="role", text="text", turn="turn", **_LEAD),
-    Layout("sharegpt", items="conversations", role="from", text="value", roles=(("human", "user"), ("gpt", "assistant")), **_LEAD),
+    Layout("sharegpt", items="conversations", role="from", text="value", turn="turn", roles=(("human", "user"), ("gpt", "assistant")), **_LEAD),
     Layout("instruction", fields=(("system", ("system",)), ("user", ("instruction", "input")), ("assistant", ("output",))), optional=("system", "input")),
     Layout("prompt", fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("completion",))), optional=("system",)),
     Layout("question", fields=(("system", ("system",)), ("user", ("question",)), ("assistant", ("answer",))), optional=("system",)),
@@ -67,19 +69,68 @@ def _known_paths(layouts: tuple[Layout, ...]) -> list[str]:
     return sorted({p for x in layouts for p in x.paths()})
 
 
-def _present(record: Column, path: str) -> Column:
+@dataclass(frozen=True)
+class Access:
+    """How a record is read: the array that a layout's turns are in, a value of one of its elements or of the record, and
+    whether there is one."""
+
+    items: Callable[[str], Column]
+    value: Callable[[Column | None, str, str], Column]
+    has: Callable[[Column | None, str], Column]
+
+
+#: Access to records, by the path of the array that is read ("" for none).
+Source = Callable[[str], Access]
+
+
+def variant_source(record: Column) -> Source:
+    """Records as variants; fields of other types than asked for are null."""
+
+    def at(v: Column | None) -> Column:
+        return record if v is None else v
+
+    read = Access(
+        lambda path: F.try_variant_get(record, f"$.{path}", "array<variant>"),
+        lambda v, name, kind: F.try_variant_get(at(v), f"$.{name}", kind),
+        lambda v, name: F.variant_get(at(v), f"$.{name}", "variant").isNotNull(),
+    )
+    return lambda items: read
+
+
+def typed_source(schema: StructType) -> Source:
+    """Records whose fields are columns; a field that the schema or the row doesn't have is null. No text passes a parser."""
+
+    def of(items: str) -> Access:
+        array = schema[items].dataType if items in schema.names else None
+        inner = array.elementType.names if isinstance(array, ArrayType) and isinstance(array.elementType, StructType) else []
+        none = F.array().cast("array<struct<_:int>>") if not inner else None
+
+        def value(v: Column | None, name: str, kind: str) -> Column:
+            if name not in (schema.names if v is None else inner):
+                return F.lit(None).cast(kind)
+            return (F.col(name) if v is None else v[name]).cast(kind)
+
+        def has(v: Column | None, name: str) -> Column:
+            return value(v, name, "string").isNotNull()
+
+        return Access(lambda path: F.col(path) if none is None else none, value, has)
+
+    return of
+
+
+def _present(source: Source, path: str) -> Column:
     """Whether a record has a path, in any element where it goes through an array."""
     if "[*]." not in path:
-        return F.variant_get(record, f"$.{path}", "variant").isNotNull()
+        return source("").has(None, path)
     items, name = path.split("[*].")
-    found = F.exists(F.try_variant_get(record, f"$.{items}", "array<variant>"), lambda v: F.variant_get(v, f"$.{name}", "variant").isNotNull())
-    return F.coalesce(found, F.lit(False))
+    read = source(items)
+    return F.coalesce(F.exists(read.items(items), lambda v: read.has(v, name)), F.lit(False))
 
 
-def fingerprint(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Hash of the nested field paths, of all that any mapping reads, which a variant record has; others don't count."""
-    present = F.array_compact(F.array(*[F.when(_present(record, p), F.lit(p)) for p in _known_paths(layouts)]))
-    return F.xxhash64(F.array_join(present, "\n"))
+def fingerprint(source: Source, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Hash of the nested field paths, of all that any mapping reads, which a record has; others don't count."""
+    present = F.array_compact(F.array(*[F.when(_present(source, p), F.lit(p)) for p in _known_paths(layouts)]))
+    return F.md5(F.array_join(present, "\n"))
 
 
 def _mappings(layouts: tuple[Layout, ...]) -> list[tuple[tuple[str, ...], Layout]]:
@@ -93,35 +144,19 @@ def _mappings(layouts: tuple[Layout, ...]) -> list[tuple[tuple[str, ...], Layout
     return out
 
 
-def canonical_turns(record: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Array of (turn, role, text) of a variant record; null when no mapping has its fingerprint."""
-    found = fingerprint(record, layouts)
+def canonical_turns(source: Source, found: Column, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
+    """Array of (turn, role, text) of a record with the fingerprint `found`; null when no mapping has that fingerprint."""
+    keys: dict[str, Layout] = {}
+    for paths, x in _mappings(layouts):
+        keys.setdefault(hashlib.md5("\n".join(paths).encode(), usedforsecurity=False).hexdigest(), x)
     turns = None
     for x in layouts:
-        keys = [F.xxhash64(F.lit("\n".join(paths))) for paths, y in _mappings(layouts) if y is x]
-        chosen = F.lit(False)
-        for k in keys:
-            chosen = chosen | (found == k)
-        turns = F.when(chosen, _map(record, x)) if turns is None else turns.when(chosen, _map(record, x))
+        chosen = found.isin(*[k for k, y in keys.items() if y is x])
+        mapped = _turns(source(x.items), x)
+        turns = F.when(chosen, mapped) if turns is None else turns.when(chosen, mapped)
     return turns
 
 
-@dataclass(frozen=True)
-class Access:
-    """How a mapping reads a record: the array at a path, and a value of one of its elements or of the record."""
-
-    items: Callable[[str], Column]
-    value: Callable[[Column | None, str, str], Column]
-
-
-def _variant(record: Column) -> Access:
-    return Access(lambda path: F.variant_get(record, f"$.{path}", "array<variant>"), lambda v, name, kind: F.try_variant_get(record if v is None else v, f"$.{name}", kind))
-
-
-def _map(record: Column, x: Layout) -> Column:
-    return _turns(_variant(record), x)
-
-
 def _of(role: str) -> Callable[[Column], Column]:
     return lambda t: t["role"] == role
 
@@ -162,37 +197,6 @@ def _turns(read: Access, x: Layout) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def schema_layout(schema: StructType, layouts: tuple[Layout, ...] = LAYOUTS) -> Layout:
-    """The layout that the known field paths of a typed record select; raises when none has them."""
-    paths = []
-    for p in _known_paths(layouts):
-        kind: DataType | None = schema
-        for name in p.replace("[*]", ".*").split("."):
-            if name == "*":
-                kind = kind.elementType if isinstance(kind, ArrayType) else None
-            else:
-                kind = kind[name].dataType if isinstance(kind, StructType) and name in kind.names else None
-        paths += [p] if kind is not None else []
-    for found, x in _mappings(layouts):
-        if found == tuple(paths):
-            return x
-    raise ValueError(f"no layout has the fields {paths}")
-
-
-def typed_turns(records: DataFrame, layouts: tuple[Layout, ...] = LAYOUTS) -> Column:
-    """Array of (turn, role, text) of records whose fields are columns; no text passes a parser."""
-    x = schema_layout(records.schema, layouts)
-    fields = set(records.columns)
-    inner = set(records.schema[x.items].dataType.elementType.names) if x.items else set()
-
-    def value(v: Column | None, name: str, kind: str) -> Column:
-        if name not in (fields if v is None else inner):
-            return F.lit(None).cast(kind)
-        return (F.col(name) if v is None else v[name]).cast(kind)
-
-    return _turns(Access(F.col, value), x)
-
-
 def escape(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("<|"), F.lit("<\\|"))
 
@@ -209,7 +213,7 @@ def parsed(record: Column) -> Column:
 
 
 def format_chats(records: DataFrame) -> DataFrame:
-    """records (conv_id, record: JSON text; several per conversation allowed) -> conv_id, formatted, loss_spans, n_turns.
+    """records (conv_id, record: JSON text; several per conversation allowed) -> conv_id, formatted, loss_spans, n_turns, fingerprints.
 
     Turns of a conversation are ordered by (turn, role, text), so ties and repeated rows have one defined order and
     stay repeated. Null roles and texts are empty. A record that isn't JSON, or that no mapping fits, gives no turn; a
@@ -217,7 +221,13 @@ def format_chats(records: DataFrame) -> DataFrame:
     error. loss_spans are the code point ranges (start, end) of `formatted` that hold the escaped texts of assistant
     turns, in order. Other columns are ignored.
     """
-    return _formatted(records.select("conv_id", canonical_turns(parsed(F.col("record"))).alias("turns")))
+    return _formatted(_mapped(records.select("conv_id", parsed(F.col("record")).alias("record")), variant_source(F.col("record"))))
+
+
+def _mapped(records: DataFrame, source: Source) -> DataFrame:
+    """conv_id, fingerprint, turns (null where no mapping fits)."""
+    hashed = records.withColumn("__fingerprint", fingerprint(source))
+    return hashed.select("conv_id", F.col("__fingerprint").alias("fingerprint"), canonical_turns(source, F.col("__fingerprint")).alias("turns"))
 
 
 def report_records(records: DataFrame) -> DataFrame:
@@ -227,27 +237,36 @@ def report_records(records: DataFrame) -> DataFrame:
     be due to the parser's limit; `missing` if it is null. Only mapped records with turns reach format_chats.
     """
     read = records.select("conv_id", F.length("record").alias("n"), F.try_parse_json("record").alias("v"))
-    read = read.withColumn("turns", canonical_turns(F.col("v")))
+    source = variant_source(F.col("v"))
+    read = read.withColumn("found", fingerprint(source)).withColumn("turns", canonical_turns(source, F.col("found")))
     status = F.when(F.col("n").isNull(), "missing").when(F.col("v").isNull(), F.when(F.col("n") > PARSER_LIMIT, "too_long").otherwise("unparsable")).when(F.col("turns").isNull(), "unmapped").otherwise("mapped")
-    return read.select("conv_id", status.alias("status"), F.when(F.col("v").isNotNull(), fingerprint(F.col("v"))).alias("fingerprint"), F.coalesce(F.size("turns"), F.lit(0)).cast("long").alias("n_turns"))
+    return read.select("conv_id", status.alias("status"), F.when(F.col("v").isNotNull(), F.col("found")).alias("fingerprint"), F.coalesce(F.size("turns"), F.lit(0)).cast("long").alias("n_turns"))
 
 
 def format_typed_chats(records: DataFrame) -> DataFrame:
-    """The same for records whose fields are columns beside conv_id; the schema selects the mapping."""
-    return _formatted(records.select("conv_id", typed_turns(records).alias("turns")))
+    """The same for records whose fields are columns beside conv_id, each row filling those of its own layout.
+
+    A row's fingerprint is of the fields that it fills, so one table may hold all layouts. A row that no mapping fits gives
+    no turn, as above; other columns are ignored.
+    """
+    return _formatted(_mapped(records, typed_source(records.schema)))
 
 
 def _formatted(mapped: DataFrame) -> DataFrame:
-    turns = mapped.select("conv_id", F.inline("turns"))
+    """conv_id, formatted, loss_spans, n_turns, fingerprints (of the conversation's records, distinct, sorted).
+
+    A chat is one string and, while it is put together, one group of rows, so it can have 2 GB at most.
+    """
+    turns = mapped.select("conv_id", "fingerprint", F.inline("turns"))
     role = F.url_encode("role")
     inner = escape(F.col("text"))
-    pieces = turns.select("conv_id", "turn", "role", "text", F.concat(F.lit(OPEN), role, F.lit(CLOSE)).alias("head"), inner.alias("inner"))
+    pieces = turns.select("conv_id", "fingerprint", "turn", "role", "text", F.concat(F.lit(OPEN), role, F.lit(CLOSE)).alias("head"), inner.alias("inner"))
     by = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     length = F.length("head") + F.length("inner") + F.lit(len(END))
     placed = pieces.withColumn("at", F.coalesce(F.sum(length).over(by), F.lit(0)) + F.length("head"))
-    placed = placed.select("conv_id", F.struct("at", F.concat("head", "inner", F.lit(END)).alias("piece"), F.when(F.col("role") == "assistant", F.struct(F.col("at").alias("start"), (F.col("at") + F.length("inner")).alias("end"))).alias("span")).alias("t"))
-    chats = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
-    return chats.select("conv_id", F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"), F.array_compact(F.transform("t", lambda x: x["span"])).alias("loss_spans"), F.size("t").cast("long").alias("n_turns"))
+    placed = placed.select("conv_id", "fingerprint", F.struct("at", F.concat("head", "inner", F.lit(END)).alias("piece"), F.when(F.col("role") == "assistant", F.struct(F.col("at").alias("start"), (F.col("at") + F.length("inner")).alias("end"))).alias("span")).alias("t"))
+    chats = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"), F.array_sort(F.collect_set("fingerprint")).alias("fingerprints"))
+    return chats.select("conv_id", F.array_join(F.transform("t", lambda x: x["piece"]), "").alias("formatted"), F.array_compact(F.transform("t", lambda x: x["span"])).alias("loss_spans"), F.size("t").cast("long").alias("n_turns"), "fingerprints")
 
 
 def read_back(formatted: Column) -> Column:
@@ -271,9 +290,12 @@ HOSTILE = "\\### Assistant: </turn> ok"
 
 
 def conversation_records(conversations: DataFrame) -> DataFrame:
-    """Rows by turn -> typed records of the layout `rows`, one for each row."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return conversations.select("conv_id", F.array(turn).alias("turns"))
+    """Rows by turn -> typed records, one for each row, in three layouts by turn: `messages`, `rows` and `sharegpt`."""
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    shown = F.when(role == "user", "human").when(role == "assistant", "gpt").otherwise(role)
+    layouts = (("messages", role, "role", "content"), ("turns", role, "role", "text"), ("conversations", shown, "from", "value"))
+    kind = F.pmod(F.coalesce("turn", F.lit(0)), F.lit(len(layouts)))
+    return conversations.select("conv_id", *[F.when(kind == i, F.array(F.struct("turn", said.alias(r), text.alias(t)))).alias(name) for i, (name, said, r, t) in enumerate(layouts)])
 
 
 def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -291,6 +313,7 @@ def op8_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("loss").cast("long").alias("loss_chars"),
         F.sha2(F.col("loss"), 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
+        F.array_join("fingerprints", ",").alias("fingerprints"),
     )
 
 
@@ -299,13 +322,17 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (
+  SELECT *, md5(CASE ((coalesce(turn, 0) % 3) + 3) % 3 WHEN 0 THEN 'messages[*].content' || chr(10) || 'messages[*].role' WHEN 1 THEN 'turns[*].role' || chr(10) || 'turns[*].text'
+    ELSE 'conversations[*].from' || chr(10) || 'conversations[*].value' END) AS fingerprint FROM t),
 c AS (
   SELECT conv_id, count(*) AS n_turns,
          string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
          coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS loss,
+         string_agg(DISTINCT fingerprint, ',' ORDER BY fingerprint) AS fingerprints,
          sum(length(replace(replace(text, '\', '\\'), '<|', '<\|')) + length(role) + 17) AS formatted_chars
-  FROM t GROUP BY conv_id)
+  FROM f GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(said) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256,
-       formatted_chars::BIGINT AS formatted_chars
+       formatted_chars::BIGINT AS formatted_chars, fingerprints
 FROM c
 """

@@ -50,3 +50,34 @@ def test_mixed_records_are_mapped_and_others_reported(spark):
     assert [told[i]["status"] for i in (*range(len(MIXED)), 90, 91, 92)] == ["mapped"] * len(MIXED) + ["unmapped", "unparsable", "missing"]
     assert told[90]["fingerprint"] is not None and told[91]["fingerprint"] is None
     assert [told[i]["n_turns"] for i in range(len(MIXED))] == [len(w) for _, w in MIXED]
+
+
+WIDE = "conv_id long, system string, prompt string, completion string, messages array<struct<role:string,content:string,turn:long>>, conversations array<struct<`from`:string,value:string>>, question int, extra string"
+TYPED = [
+    (1, None, "p", "c", None, None, None, "x"),
+    (2, "s", None, None, [("user", "q", 5), ("assistant", "a", 6)], None, None, None),
+    (3, "s", None, None, None, [("human", "q"), ("gpt", "a")], None, "x"),
+    (4, None, "p", None, None, [("human", "q"), ("gpt", None)], None, None),
+    # No mapping: two layouts at once, none at all, an array without texts.
+    (5, None, None, "c", [("user", "q", 0)], None, None, None),
+    (6, None, None, None, None, None, 7, "x"),
+    (7, None, None, None, [(None, None, 1)], None, None, None),
+    (8, None, None, None, [], None, None, None),
+]
+WANTED = {1: [("user", "p"), ("assistant", "c")], 2: [("system", "s"), ("user", "q"), ("assistant", "a")], 3: [("system", "s"), ("user", "q"), ("assistant", "a")], 4: [("user", "p"), ("user", "q"), ("assistant", "")]}
+
+
+def _typed(spark):
+    chats = chat.format_typed_chats(spark.createDataFrame(TYPED, WIDE))
+    return {r["conv_id"]: [tuple(t) for t in r["t"]] for r in chats.select("conv_id", chat.read_back(F.col("formatted")).alias("t")).collect()}
+
+
+def test_each_typed_row_is_mapped_by_its_own_fingerprint(spark):
+    assert _typed(spark) == WANTED
+
+
+def test_the_hash_selects_the_mapping(spark, monkeypatch):
+    """With another hash on one side, no row finds its mapping."""
+    real = F.md5
+    monkeypatch.setattr(chat.F, "md5", lambda c: real(F.concat(c, F.lit("!"))))
+    assert _typed(spark) == {}
