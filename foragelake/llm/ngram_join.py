@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +38,8 @@ VOTES = 16
 BROADCAST_ROWS = 500_000
 #: Rows of an n-gram in a block of the last search for pairs, and how often at most its rows are repeated for that.
 BLOCK_ROWS, MOST_BLOCKS = 64, 32
+#: An n-gram with more rows than those allow is searched in packed blocks of about so many rows, as many as it takes.
+PACKED_ROWS = 2048
 #: Bits of a hash that say in which cell it is counted, for bounds on what two documents share.
 CELL_BITS = 6
 
@@ -258,14 +261,18 @@ def class_components(docs: DataFrame, signed: DataFrame, ids: DataFrame, width:
     rooted = prefixes.join(roots, F.col("class") == F.col("node"), "left").select("gram", "class", "n", "left", F.coalesce("root", "class").alias("root"))
     rooted = materialize(rooted, "join-rooted")
     # The rows of a frequent n-gram meet in `blocks` squared blocks, each in a task of its own.
-    blocks = F.least(F.ceil(F.sqrt(F.count(F.lit(1)) / BLOCK_ROWS)), F.lit(MOST_BLOCKS)).cast("int")
-    several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks"))
-    several = several.filter("low <> high").select("gram", "blocks")
+    count = F.count(F.lit(1))
+    blocks = F.ceil(F.sqrt(count / BLOCK_ROWS)).cast("int")
+    several = rooted.groupBy("gram").agg(F.min("root").alias("low"), F.max("root").alias("high"), blocks.alias("blocks"), F.ceil(count / PACKED_ROWS).cast("int").alias("packs"))
+    several = several.filter("low <> high").select("gram", "blocks", "packs")
     mixed = materialize(rooted.join(several, "gram"), "join-mixed")
     discard(rooted)
     dealt = mixed
     whole = fragments.join(mixed.select("class").distinct(), "class", "left_semi").groupBy("class").agg(F.flatten(F.collect_list("grams")).alias("grams"))
-    cells = whole.select("class", _cells("grams").alias("cells")).select("class", *[F.get("cells", F.lit(i)).alias(f"cell{i}") for i in range(1 << CELL_BITS)])
+    counted = whole.select("class", _cells("grams").alias("cells"))
+    hot = _met_in_packs(mixed.filter(F.col("blocks") > MOST_BLOCKS).join(counted, "class"), percent)
+    mixed = mixed.filter(F.col("blocks") <= MOST_BLOCKS)
+    cells = counted.select("class", *[F.get("cells", F.lit(i)).alias(f"cell{i}") for i in range(1 << CELL_BITS)])
     mixed = mixed.join(cells, "class")
     own, each = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     # A given number of partitions isn't merged at run time by size, which says little about the work here.
@@ -277,7 +284,7 @@ def class_components(docs: DataFrame, signed: DataFrame, ids: DataFrame, width:
     most = sum((F.least(f"x.cell{i}", f"y.cell{i}") for i in range(1 << CELL_BITS)), F.lit(0))
     for bound in (F.least("x.left", "y.left"), most):
         meet = meet & (bound * 100 >= (F.col("x.n") + F.col("y.n") - bound) * percent)
-    rest = x.join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).distinct()
+    rest = x.join(y, meet).select(F.col("x.class").alias("a"), F.col("y.class").alias("b")).unionByName(hot).distinct()
     more = materialize(_verified(rest, fragments, percent), "join-links")
     discard(dealt, ordered, votes)
     if more.isEmpty():
@@ -285,6 +292,57 @@ def class_components(docs: DataFrame, signed: DataFrame, ids: DataFrame, width:
     return connected(links.unionByName(more))
 
 
+_PACK = pa.schema([("gram", pa.int64()), ("pack", pa.int32()), ("packs", pa.int32()), *((c, pa.binary()) for c in ("class", "root", "n", "left", "cells"))])
+_PACK_DDL = "gram long, pack int, packs int, class binary, root binary, n binary, left binary, cells binary"
+
+
+def _packed(rows: pa.Table) -> pa.Table:
+    """The rows of one pack of an n-gram as one row."""
+    flat = {c: rows[c].to_numpy().astype("<i8").tobytes() for c in ("class", "root", "n", "left")}
+    cells = rows["cells"].combine_chunks().flatten().to_numpy().astype("<i4").tobytes()
+    return pa.Table.from_pylist([{c: rows[c][0].as_py() for c in ("gram", "pack", "packs")} | flat | {"cells": cells}], schema=_PACK)
+
+
+def _candidates(percent: int):
+    """Pairs of two packs that may link: other components, sizes, and what they can share by their cells."""
+
+    def opened(pack: pa.Table) -> tuple[np.ndarray, ...]:
+        row = pack.slice(0, 1).to_pylist()[0]
+        return (*(np.frombuffer(row[c], "<i8") for c in ("class", "root", "n", "left")), np.frombuffer(row["cells"], "<i4").reshape(-1, 1 << CELL_BITS))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        a, ra, na, la, ca = opened(x)
+        b, rb, nb, lb, cb = opened(y)
+        of_a, of_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # Cells added up by eights bound what is shared less closely, and decide on nearly all pairs.
+        coarse_a, coarse_b = (c.reshape(len(c), -1, 8).sum(axis=2) for c in (ca, cb))
+        for k in range(len(a)):
+            fit = np.flatnonzero((rb != ra[k]) & (nb * 100 >= na[k] * percent) & (na[k] * 100 >= nb * percent) & (b != a[k]))
+            for bound in (lambda f: np.minimum(lb[f], la[k]), lambda f: np.minimum(coarse_b[f], coarse_a[k]).sum(axis=1), lambda f: np.minimum(cb[f], ca[k]).sum(axis=1)):  # noqa: B023
+                most = bound(fit)
+                fit = fit[most * 100 >= (na[k] + nb[fit] - most) * percent]
+            of_a.append(np.minimum(a[k], b[fit]))
+            of_b.append(np.maximum(a[k], b[fit]))
+        return pa.table({"a": np.concatenate(of_a), "b": np.concatenate(of_b)})
+
+    return meet
+
+
+def _met_in_packs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of the rows (gram, class, root, n, left, cells, packs) of very frequent n-grams that may link.
+
+    The rows of an n-gram are dealt to `packs` packs, and each pair of packs is a group of its own. So a group is as large
+    as PACKED_ROWS says however frequent the n-gram is; more of them are needed, and they run wherever there is room.
+    """
+    packed = mixed.withColumn("pack", F.pmod(F.xxhash64("class"), F.col("packs")).cast("int"))
+    packed = materialize(packed.groupBy("gram", "pack").applyInArrow(_packed, _PACK_DDL), "join-packs")
+    x = packed.withColumn("i", F.col("pack")).withColumn("j", F.explode(F.sequence(F.col("pack"), F.col("packs") - 1)))
+    y = packed.select(*[F.col(c).alias(f"y_{c}") for c in packed.columns]).withColumn("y_j", F.col("y_pack")).withColumn("y_i", F.explode(F.sequence(F.lit(0), F.col("y_pack"))))
+    y = y.select(*[F.col(f"y_{c}").alias(c) for c in packed.columns if c not in ("gram", "pack", "packs")], "y_gram", "y_i", "y_j")
+    met = x.groupBy("gram", "i", "j").cogroup(y.groupBy("y_gram", "y_i", "y_j"))
+    return met.applyInArrow(_candidates(percent), "a long, b long")
+
+
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
 def _cells(grams: pd.Series) -> pd.Series:
     """How many n-grams have each value of the first CELL_BITS bits of their hashes."""
