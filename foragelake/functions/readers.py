@@ -7,22 +7,25 @@ from pyspark.sql import functions as F
 
 from foragelake.functions.html import READER_CAP
 from foragelake.functions.text import collapse, cut, let, trim
-from foragelake.functions.urls import full_host, host, path, query_value
+from foragelake.functions.standard import standard
+from foragelake.functions.urls import full_host_of, host_of, path_of, value_of
 
 
-def _segments(url: Column) -> Column:
-    return F.filter(F.split(path(url), "/"), lambda s: s != "")
+def _segments(u: Column) -> Column:
+    return F.filter(F.split(path_of(u), "/"), lambda s: s != "")
 
 
 def repo_shape(url: Column) -> Column:
     """blob, issue, pull or repo-root of a repository host's URL; null for others."""
+    return let(standard(url), _shape_of)
 
 
+def _shape_of(u: Column) -> Column:
     def shape(s: Column) -> Column:
         kind, n = F.get(s, F.lit(2)), F.size(s)
         return F.when((n >= 5) & (kind == "blob"), F.lit("blob")).when((n >= 4) & (kind == "issues"), F.lit("issue")).when((n >= 4) & (kind == "pull"), F.lit("pull")).when(n == 2, F.lit("repo-root"))
 
-    return F.when(full_host(url) == "github.com", let(_segments(url), shape))
+    return F.when(full_host_of(u) == "github.com", let(_segments(u), shape))
 
 
 def encode_segment(c: Column) -> Column:
@@ -36,10 +39,14 @@ def encode_segment(c: Column) -> Column:
 
 
 def raw_url(url: Column) -> Column:
-    s = _segments(url)
+    return let(standard(url), _raw_of)
+
+
+def _raw_of(u: Column) -> Column:
+    s = _segments(u)
     names = F.transform(F.slice(s, 4, F.greatest(F.size(s) - 3, F.lit(0))), encode_segment)
     raw = F.concat(F.lit("https://raw.githubusercontent.com/"), F.get(s, F.lit(0)), F.lit("/"), F.get(s, F.lit(1)), F.lit("/"), F.array_join(names, "/"))
-    return F.when(repo_shape(url) == "blob", raw)
+    return F.when(_shape_of(u) == "blob", raw)
 
 
 def thread_text(body: Column, comments: Column) -> Column:
@@ -54,16 +61,24 @@ def listing(readme: Column, entries: Column) -> Column:
 
 
 def is_pdf(url: Column) -> Column:
-    return F.coalesce(F.endswith(F.lower(F.when(host(url).isNotNull(), path(url))), F.lit(".pdf")), F.lit(False))
+    return let(standard(url), _pdf_of)
+
+
+def _pdf_of(u: Column) -> Column:
+    return F.coalesce(F.endswith(F.lower(F.when(host_of(u).isNotNull(), path_of(u))), F.lit(".pdf")), F.lit(False))
 
 
 def pdf_title(url: Column, found: Column) -> Column:
-    name = F.element_at(F.filter(F.split(path(url), "/"), lambda s: s != ""), -1)
+    name = let(standard(url), lambda u: F.try_element_at(_segments(u), F.lit(-1)))
     return F.coalesce(F.nullif(trim(found), F.lit("")), F.try_url_decode(F.replace(name, F.lit("+"), F.lit("%2B"))), F.lit("PDF"))
 
 
 def video_id(url: Column) -> Column:
-    seen = F.struct(host(url).alias("h"), path(url).alias("p"), _segments(url).alias("s"), query_value(url, "v").alias("v"))
+    return let(standard(url), _video_of)
+
+
+def _video_of(u: Column) -> Column:
+    seen = F.struct(host_of(u).alias("h"), path_of(u).alias("p"), _segments(u).alias("s"), value_of(u, "v").alias("v"))
 
     def pick(x: Column) -> Column:
         first = F.get(x["s"], F.lit(0))
@@ -88,19 +103,19 @@ def is_truncated(c: Column) -> Column:
 
 def resolve(url: Column, status: Column, content_type: Column) -> Column:
     """The reader that answers: that of the URL, or, where a plain read is told an unsupported type, that of the type."""
-    by_type = (route(url) == "http") & (status == "unsupported") & F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("application/pdf"))
-    return F.when(by_type, F.lit("pdf")).otherwise(route(url))
+    by_url = route(url)
+    by_type = (by_url == "http") & (status == "unsupported") & F.contains(F.lower(F.coalesce(content_type, F.lit(""))), F.lit("application/pdf"))
+    return F.when(by_type, F.lit("pdf")).otherwise(by_url)
 
 
 def route(url: Column) -> Column:
     """The first reader that takes a URL: github, pdf, youtube, else http; unsupported without http(s)."""
-    return (
-        F.when(repo_shape(url).isNotNull(), F.lit("github"))
-        .when(is_pdf(url), F.lit("pdf"))
-        .when(video_id(url).isNotNull(), F.lit("youtube"))
-        .when(url.rlike("^https?://"), F.lit("http"))
-        .otherwise(F.lit("unsupported"))
-    )
+
+    def first(u: Column) -> Column:
+        special = F.when(_shape_of(u).isNotNull(), F.lit("github")).when(_pdf_of(u), F.lit("pdf")).when(_video_of(u).isNotNull(), F.lit("youtube"))
+        return special.when(url.rlike("^https?://"), F.lit("http")).otherwise(F.lit("unsupported"))
+
+    return let(standard(url), first)
 
 
 def repo_outcome(url: Column, target: Column, http_status: Column, title: Column, body: Column, failure: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from foragelake.functions.standard import standard
 from foragelake.functions.text import NOT_WS, let, trim
 
 URL = r"(?i)^(https?)://(?:[^/?#\s]*@)?(\[[0-9a-f:.]+\]|[^/?#:@\s]+)(?::(\d*))?(?=[/?#]|$)([^?#]*)(\?[^#]*)?(#.*)?$"
@@ -22,11 +23,30 @@ def _part(url: Column, i: int) -> Column:
 
 
 def is_web(url: Column) -> Column:
-    return url.rlike(URL)
+    return F.when(url.isNotNull(), F.coalesce(standard(url).rlike(URL), F.lit(False)))
+
+
+# Functions named `..._of` take a URL that standard() has given, so that others work it out once.
+
+
+def full_host_of(u: Column) -> Column:
+    return F.when(u.rlike(URL), F.lower(_part(u, 2)))
+
+
+def host_of(u: Column) -> Column:
+    return F.regexp_replace(full_host_of(u), r"^www\.", "")
+
+
+def path_of(u: Column) -> Column:
+    return let(F.coalesce(_part(u, 4), F.lit("")), _resolved)
+
+
+def value_of(u: Column, key: str) -> Column:
+    return F.try_url_decode(F.nullif(F.regexp_extract(_part(u, 5), f"[?&]{key}=([^&]*)", 1), F.lit("")))
 
 
 def full_host(url: Column) -> Column:
-    return F.when(is_web(url), F.lower(_part(url, 2)))
+    return let(standard(url), full_host_of)
 
 
 def _resolved(p: Column) -> Column:
@@ -44,12 +64,12 @@ def _resolved(p: Column) -> Column:
 
 
 def path(url: Column) -> Column:
-    return let(_part(url, 4), _resolved)
+    return let(standard(url), path_of)
 
 
 def host(url: Column) -> Column:
     """Lower-case host without a leading www; null where the URL can't be read."""
-    return F.regexp_replace(full_host(url), r"^www\.", "")
+    return let(standard(url), host_of)
 
 
 def host_or_url(url: Column) -> Column:
@@ -57,7 +77,12 @@ def host_or_url(url: Column) -> Column:
 
 
 def query_value(url: Column, key: str) -> Column:
-    return F.try_url_decode(F.nullif(F.regexp_extract(_part(url, 5), f"[?&]{key}=([^&]*)", 1), F.lit("")))
+    return let(standard(url), lambda u: value_of(u, key))
+
+
+def _user(said: Column) -> Column:
+    """User information without an empty password, and none where it is empty."""
+    return F.regexp_replace(said, r"^:?@\z|:(?=@\z)", "")
 
 
 def canonical(url: Column, drop_www: bool = True) -> Column:
@@ -66,7 +91,9 @@ def canonical(url: Column, drop_www: bool = True) -> Column:
     A query that loses a key is written anew, each pair form-encoded; another one stays as it is.
     """
     names = ("scheme", "host", "port", "path", "query")
-    parts = F.struct(*[F.regexp_extract(url, URL, i).alias(n) for i, n in enumerate(names, 1)], F.regexp_extract(url, USER, 1).alias("user"))
+
+    def parts(u: Column) -> Column:
+        return let(F.struct(*[F.regexp_extract(u, URL, i).alias(n) for i, n in enumerate(names, 1)], F.regexp_extract(u, USER, 1).alias("user")), build)
 
     def plain(x: Column) -> Column:
         return F.coalesce(F.try_url_decode(x), x)
@@ -85,11 +112,10 @@ def canonical(url: Column, drop_www: bool = True) -> Column:
         default = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
         shown = F.when((x["port"] == "") | (x["port"] == default), F.lit("")).otherwise(F.concat(F.lit(":"), x["port"]))
         query = let(cleaned(F.split(F.substring(x["query"], 2, 1 << 30), "&")), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
-        user = F.regexp_replace(x["user"], r"^:?@\z|:(?=@\z)", "")
-        whole = F.concat(scheme, F.lit("://"), user, name, shown, _resolved(x["path"]), query)
+        whole = F.concat(scheme, F.lit("://"), _user(x["user"]), name, shown, _resolved(x["path"]), query)
         return F.when(x["scheme"] != "", F.regexp_replace(whole, r"/\z", ""))
 
-    return let(parts, build)
+    return let(standard(url), parts)
 
 
 def direct_urls(question: Column, most: int = 3) -> Column:
@@ -101,7 +127,12 @@ def direct_urls(question: Column, most: int = 3) -> Column:
 
 def profile(url: Column) -> Column:
     """(kind, source_kind, prefers_rendering) of a URL; the first rule that fits."""
-    return let(F.struct(host(url).alias("h"), F.lower(path(url)).alias("p")), lambda x: _profile(x["h"], x["p"]))
+
+
+    def seen(u: Column) -> Column:
+        return let(F.struct(host_of(u).alias("h"), F.lower(path_of(u)).alias("p")), lambda x: _profile(x["h"], x["p"]))
+
+    return let(standard(url), seen)
 
 
 def _profile(h: Column, p: Column) -> Column:
@@ -138,8 +169,11 @@ def source_rank(kind: Column) -> Column:
 
 def candidate_score(url: Column, discussion: Column) -> Column:
     """Order in which search hits are read; lower first. Questions that want a discussion have a scale of their own."""
-    seen = F.struct(profile(url)["kind"].alias("kind"), host(url).alias("h"), discussion.alias("talk"))
-    return let(seen, lambda x: _score(x["kind"], x["h"], x["talk"]))
+
+    def seen(u: Column) -> Column:
+        return let(F.struct(host_of(u).alias("h"), F.lower(path_of(u)).alias("p")), lambda x: _score(_profile(x["h"], x["p"])["kind"], x["h"], discussion))
+
+    return let(standard(url), seen)
 
 
 def _score(kind: Column, h: Column, discussion: Column) -> Column:
@@ -156,11 +190,11 @@ def settings_url(raw: Column) -> Column:
         scheme, port = F.lower(_part(x, 1)), _part(x, 3)
         default = F.when(scheme == "https", F.lit("443")).otherwise(F.lit("80"))
         shown = F.when((port == "") | (port == default), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-        whole = F.concat(scheme, F.lit("://"), full_host(x), shown, path(x), _part(x, 5), _part(x, 6))
-        ok = F.coalesce(is_web(x), F.lit(False))
+        whole = F.concat(scheme, F.lit("://"), _user(F.regexp_extract(x, USER, 1)), full_host_of(x), shown, path_of(x), _part(x, 5), _part(x, 6))
+        ok = F.coalesce(x.rlike(URL), F.lit(False))
         return F.struct(ok.alias("ok"), F.when(ok, F.regexp_replace(whole, r"/\z", "")).alias("value"), F.when(~ok, "Invalid URL. Include http:// or https://.").alias("message"))
 
-    return let(trim(raw), build)
+    return let(standard(trim(raw)), build)
 
 
 def search_url(query: Column) -> Column:
@@ -170,4 +204,4 @@ def search_url(query: Column) -> Column:
 def unwrap_redirect(raw: Column) -> Column:
     """Target of a search engine's redirect link; the raw link where it is none or can't be decoded."""
     absolute = F.when(F.startswith(raw, F.lit("//")), F.concat(F.lit("https:"), raw)).otherwise(raw)
-    return let(absolute, lambda u: F.coalesce(F.when((full_host(u) == "duckduckgo.com") & (path(u) == "/l/"), query_value(u, "uddg")), raw))
+    return let(standard(absolute), lambda u: F.coalesce(F.when((full_host_of(u) == "duckduckgo.com") & (path_of(u) == "/l/"), value_of(u, "uddg")), raw))

@@ -25,7 +25,7 @@ UNION ALL SELECT page_id + {EXTRA} AS page_id, CASE page_id % 16
   WHEN 9 THEN concat('https://community.example.org:443/t/topic', page_id)
   WHEN 10 THEN concat('http://npmjs.com:80/package/p', page_id)
   WHEN 11 THEN 'HTTPS://WWW.Example.com/A%20b?fbclid=2'
-  WHEN 12 THEN concat('not a url ', page_id)
+  WHEN 12 THEN CASE WHEN page_id % 32 = 12 THEN concat('not a url ', page_id) ELSE concat('  http:', chr(92), chr(92), 'Odd.example.com:0080', chr(92), 'é p', page_id, chr(92), '`x`?q=', chr(39), 'ü ', page_id) END
   WHEN 13 THEN concat('https://learn.microsoft.com/en-us/p', page_id, '.pdf')
   WHEN 14 THEN concat('https://www.youtube.com/watch?v=v', page_id, '&t=3')
   ELSE concat('https://github.com/o/r', page_id) END AS url

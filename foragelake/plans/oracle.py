@@ -24,11 +24,16 @@ def part(i: int, x: str = "url") -> str:
     return f"regexp_extract({x}, '{URL}', {i})"
 
 
+#: The few URLs that browsers write differently: backslashes, white space, marks and letters outside of ASCII, zeros of a port.
+_ENCODED = "list_transform(string_split(regexp_replace(replace(trim(url), chr(92), '/'), ':0+(\\d)', ':\\1'), ''), lambda c: CASE WHEN regexp_matches(c, '[^!-~]|[`'']') THEN url_encode(c) ELSE c END)"
+_STANDARD = f"CASE WHEN regexp_matches(url, '^\\s*https?:[\\\\/]+.*[\\\\ ]') THEN array_to_string({_ENCODED}, '') ELSE url END"
+
+
 def parsed(source: str, keep: str = "*") -> str:
     """source with fh (full host), h (host), p (path), lp, port, q (query) of its url."""
-    return f"""SELECT {keep}, CASE WHEN regexp_matches(url, '{URL}') THEN lower({part(2)}) END AS fh,
-  CASE WHEN regexp_matches(url, '{URL}') THEN regexp_replace(lower({part(2)}), '^www\\.', '') END AS h,
-  lower({part(1)}) AS scheme, {part(3)} AS port, CASE WHEN {part(4)} = '' THEN '/' ELSE {part(4)} END AS p, lower({part(4)}) AS lp, {part(5)} AS q FROM ({source}) s"""
+    return f"""SELECT {keep if keep != '*' else '* EXCLUDE (std)'}, CASE WHEN regexp_matches(std, '{URL}') THEN lower({part(2, 'std')}) END AS fh,
+  CASE WHEN regexp_matches(std, '{URL}') THEN regexp_replace(lower({part(2, 'std')}), '^www\\.', '') END AS h,
+  lower({part(1, 'std')}) AS scheme, {part(3, 'std')} AS port, CASE WHEN {part(4, 'std')} = '' THEN '/' ELSE {part(4, 'std')} END AS p, lower({part(4, 'std')}) AS lp, {part(5, 'std')} AS q FROM (SELECT *, {_STANDARD} AS std FROM ({source}) r) s"""
 
 
 TRACKING = "('utm_source','utm_medium','utm_campaign','utm_term','utm_content','utm_name','fbclid','gclid')"

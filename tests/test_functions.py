@@ -38,7 +38,7 @@ def one(spark, value, function):
         ("http://a.com/?q=a%20b&flag", "http://a.com/?q=a%20b&flag"),
         ("http://a.com/?UTM_TERM=1&&gclid", "http://a.com"),
         ("http://a.com:x/", None),
-        ("http:///x", None),
+        ("http:///x", "http://x"),
         ("ftp://a.com", None),
         ("", None),
         (None, None),
