@@ -145,14 +145,33 @@ def provider_order(primary: Column, base: Column, fallback: Column) -> Column:
     return F.array_distinct(F.concat(F.array(primary), base, F.when(fallback == "duckduckgo", F.array(F.lit("duckduckgo"))).otherwise(F.array().cast("array<string>"))))
 
 
+def backend_set(c: Column, usable: Column) -> Column:
+    """Struct (mode, providers, fallback) of how a merged configuration searches: fanout, fallback or single.
+
+    A fanout asks its own providers, else the usable ones, the primary first; it takes the fallback in as one of them
+    instead of keeping it in reserve.
+    """
+    s = c["search"]
+    fans = F.coalesce(s["fanout"]["mode"] != "off", F.lit(False))
+    base = F.when(F.size(s["fanout"]["providers"]) > 0, s["fanout"]["providers"]).otherwise(usable)
+    reserve = F.when(~fans & s["provider"].isin(*HOSTED) & (s["fallback"] == "duckduckgo"), s["fallback"])
+    mode = F.when(fans, F.concat(F.lit("fanout "), s["fanout"]["mode"])).when(reserve.isNotNull(), "fallback").otherwise("single")
+    providers = F.when(fans, provider_order(s["provider"], base, s["fallback"])).otherwise(F.array(s["provider"]))
+    return F.struct(mode.alias("mode"), providers.alias("providers"), reserve.alias("fallback"))
+
+
 def parse_presentation(json: Column) -> Column:
     """Struct (default_mode, tools: map of tool to mode) of a configuration file; unknown modes are as good as absent."""
     kind = "map<string,variant>"
 
     def read(v: Column) -> Column:
-        entries = F.transform(F.map_entries(F.try_variant_get(v, "$.presentation.tools", kind)), lambda e: F.struct(e["key"].alias("key"), _one_of(text(e["value"], "mode"), MODES).alias("value")))
+        # Files of old have their settings at the root.
+        return let(F.coalesce(F.try_variant_get(v, "$.presentation", "variant"), v), settings)
+
+    def settings(v: Column) -> Column:
+        entries = F.transform(F.map_entries(F.try_variant_get(v, "$.tools", kind)), lambda e: F.struct(e["key"].alias("key"), _one_of(text(e["value"], "mode"), MODES).alias("value")))
         tools = F.map_from_entries(F.filter(entries, lambda e: e["value"].isNotNull()))
-        return F.struct(_one_of(text(v, "presentation.defaultMode"), MODES).alias("default_mode"), F.coalesce(tools, F.create_map().cast("map<string,string>")).alias("tools"))
+        return F.struct(_one_of(text(v, "defaultMode"), MODES).alias("default_mode"), F.coalesce(tools, F.create_map().cast("map<string,string>")).alias("tools"))
 
     return let(F.try_parse_json(json), read)
 

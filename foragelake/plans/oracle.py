@@ -302,6 +302,46 @@ ORACLE_SQL["tool_call_times"] = f"""WITH RECURSIVE c AS ({I.oracle(I.CALLS)}),
     ON e.session_id = o.session_id AND e.tool_name = o.tool_name AND e.closes = o.k WHERE o.phase = 'start'"""
 
 
+_FORM = "replace(replace(replace(url_encode(q), '%20', '+'), '~', '%7E'), '%2A', '*')"
+ORACLE_SQL["provider_search"] = f"""WITH a0 AS ({I.oracle(Q._ASKED)}), r AS ({I.oracle(Q._ANSWERED)}),
+  a AS (SELECT *, {trim("coalesce(query, '')")} AS q, CASE provider WHEN 'brave' THEN 'Brave' WHEN 'exa' THEN 'Exa' WHEN 'tavily' THEN 'Tavily' WHEN 'youcom' THEN 'You.com' ELSE 'SearXNG' END AS name FROM a0),
+  b AS (SELECT *, CASE WHEN q = '' THEN 'Query must not be empty.' WHEN provider = 'searxng' AND base_url IS NULL THEN 'SearXNG search provider requires backends.search.baseUrl'
+      WHEN provider <> 'searxng' AND NOT has_key THEN name || ' search requires ' || CASE provider WHEN 'brave' THEN 'PI_WEB_AGENT_BRAVE_API_KEY' WHEN 'exa' THEN 'EXA_API_KEY' WHEN 'tavily' THEN 'TAVILY_API_KEY' ELSE 'YDC_API_KEY' END || '.' END AS bad FROM a),
+  s AS (SELECT b.*, CASE WHEN bad IS NULL THEN CASE provider WHEN 'searxng' THEN (CASE request_id % 3 WHEN 0 THEN 'http://s.example' ELSE 'https://S.example:8080' END) || '/search?q=' || {_FORM} || '&format=json' || CASE WHEN categories IS NULL THEN '' ELSE '&categories=news%2Cit' END || coalesce('&language=' || language, '') || coalesce('&safesearch=' || level, '')
+      WHEN 'brave' THEN 'https://api.search.brave.com/res/v1/web/search?q=' || {_FORM} WHEN 'exa' THEN 'https://api.exa.ai/search' WHEN 'tavily' THEN 'https://api.tavily.com/search' ELSE 'https://api.you.com/v1/agents/search' END END AS request_url,
+    CASE WHEN bad IS NULL AND provider IN ('exa', 'tavily', 'youcom') THEN '{{"query":' || to_json(q)::VARCHAR || ',"' || CASE provider WHEN 'exa' THEN 'numResults' ELSE 'max_results' END || '":10}}' END AS request_body,
+    http_status, failure, CASE WHEN json_valid(body) THEN body END AS j FROM b LEFT JOIN r USING (request_id, provider)),
+  h AS (SELECT *, coalesce(list_filter(CAST(coalesce(json_extract(j, '$.web.results'), json_extract(j, '$.results')) AS JSON[]), lambda x: json_type(x, '$.title') = 'VARCHAR' AND json_type(x, '$.url') = 'VARCHAR'), []) AS hits,
+    CASE WHEN bad IS NULL THEN coalesce(failure, CASE WHEN http_status IS NULL THEN 'no answer' WHEN http_status <> 200 THEN 'HTTP ' || http_status WHEN j IS NULL THEN 'invalid JSON' END) END AS wrong FROM s),
+  k AS (SELECT *, CASE WHEN bad IS NOT NULL THEN CASE WHEN q = '' THEN 'INVALID_QUERY' ELSE 'BACKEND_CONFIG_INVALID' END WHEN wrong IS NOT NULL THEN 'FETCH_FAILED' WHEN len(hits) = 0 THEN 'NO_RESULTS' END AS code FROM h)
+  SELECT request_id, provider, CASE WHEN bad IS NULL THEN CASE WHEN provider IN ('searxng', 'brave') THEN 'GET' ELSE 'POST' END END AS method, request_url, request_body,
+    CASE WHEN bad IS NULL THEN CASE provider WHEN 'brave' THEN 'X-Subscription-Token' WHEN 'exa' THEN 'x-api-key' WHEN 'tavily' THEN 'Authorization' WHEN 'youcom' THEN 'X-API-Key' END END AS key_header,
+    CASE WHEN code IS NULL THEN 'ok' ELSE 'error' END AS status, CASE WHEN code IS NULL THEN len(hits) ELSE 0 END::INTEGER AS n, CASE WHEN code IS NULL THEN json_extract_string(hits[1], '$.title') END AS title, CASE WHEN code IS NULL THEN json_extract_string(hits[1], '$.url') END AS url,
+    CASE WHEN code IS NULL THEN coalesce(json_extract_string(hits[1], '$.description'), json_extract_string(hits[1], '$.text'), json_extract_string(hits[1], '$.snippet'), json_extract_string(hits[1], '$.content')) END AS snippet, code,
+    coalesce(bad, CASE WHEN wrong IS NOT NULL THEN name || ' search request failed: ' || wrong WHEN len(hits) = 0 THEN name || ' returned no usable results for this query.' END) AS message FROM k"""
+ORACLE_SQL["backend_sets"] = f"""WITH x AS ({ORACLE_SQL["config_merge"]}), y AS (SELECT *, coalesce(fanout_mode, 'off') <> 'off' AS fans,
+    list_filter([provider] || string_split(coalesce(nullif(fanout_providers, ''), usable), ',') || CASE WHEN fallback = 'duckduckgo' THEN ['duckduckgo'] ELSE [] END, lambda p: true) AS l FROM x)
+  SELECT config_id, CASE WHEN fans THEN 'fanout ' || fanout_mode WHEN provider <> 'duckduckgo' AND fallback = 'duckduckgo' THEN 'fallback' ELSE 'single' END AS mode,
+    CASE WHEN fans THEN array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]), ',') ELSE provider END AS providers,
+    CASE WHEN NOT fans AND provider <> 'duckduckgo' AND fallback = 'duckduckgo' THEN fallback END AS fallback FROM y"""
+ORACLE_SQL["config_runs"] = f"""WITH x AS ({ORACLE_SQL["config_merge"]}), c AS (SELECT c_custkey AS id, c_custkey // 50 AS session_id, min(c_custkey) OVER (PARTITION BY c_custkey // 50, c_custkey // 3) AS source FROM customer),
+  k AS (SELECT session_id, id, concat_ws('|', provider, coalesce(base_url, '-'), coalesce(x.fallback, '-'), coalesce(categories, '-'), coalesce(language, '-'), coalesce(safesearch::VARCHAR, '-'), coalesce(fanout_mode, '-'), coalesce(fanout_providers, '-'), fetch_provider,
+    coalesce(fetch_base_url, '-'), coalesce(api_key, '-'), coalesce(fetch_fallback, '-'), coalesce(formats, '-'), coalesce(only_main::VARCHAR, '-')) AS said FROM c JOIN x ON x.config_id = c.source),
+  f AS (SELECT *, CASE WHEN lag(said) OVER (PARTITION BY session_id ORDER BY id) IS DISTINCT FROM said THEN 1 ELSE 0 END AS begins FROM k),
+  n AS (SELECT *, sum(begins) OVER (PARTITION BY session_id ORDER BY id) - 1 AS run FROM f)
+  SELECT session_id, run::BIGINT AS run, min(id) AS first_pos, max(id) AS last_pos, count(*) AS uses FROM n GROUP BY 1, 2"""
+ORACLE_SQL["config_status"] = f"""WITH b AS ({I.oracle(Q._BODIES)}), v AS (SELECT config_id, body, CASE WHEN json_valid(body) AND json_type(body) <> 'NULL' THEN body END AS j FROM b),
+  r AS (SELECT *, coalesce(list_contains(CASE WHEN json_type(j) = 'OBJECT' THEN json_keys(j) END, 'presentation'), false) AS rooted FROM v),
+  p AS (SELECT *, CASE WHEN rooted THEN '$.presentation' ELSE '$' END AS root FROM r)
+  SELECT config_id, CASE WHEN body IS NULL THEN 'missing' WHEN j IS NULL THEN 'malformed' WHEN rooted THEN 'ok' ELSE 'legacy' END AS status,
+    CASE WHEN rooted THEN json_extract_string(j, '$.presentation.defaultMode') ELSE json_extract_string(j, '$.defaultMode') END AS default_mode,
+    CASE WHEN rooted THEN json_extract_string(j, '$.presentation.tools.web_search.mode') ELSE json_extract_string(j, '$.tools.web_search.mode') END AS search_mode FROM p"""
+ORACLE_SQL["config_store"] = f"""WITH w AS ({I.oracle(Q._WRITES)}), z AS (SELECT key, max(version) FILTER (kind = 'reset') AS reset FROM w GROUP BY 1),
+  l AS (SELECT w.* FROM w JOIN z USING (key) WHERE z.reset IS NULL OR w.version > z.reset),
+  s AS (SELECT key, max(version) AS version, arg_max(body, version) FILTER (kind = 'presentation') AS p, arg_max(body, version) FILTER (kind = 'backends') AS b, arg_max(body, version) FILTER (kind = 'seen') AS seen FROM l GROUP BY 1)
+  SELECT key, version, json_extract_string(p, '$.defaultMode') AS default_mode, json_extract_string(b, '$.search.provider') AS provider, json_extract_string(b, '$.fetch.baseUrl') AS base_url, NULL AS api_key, json_extract_string(seen, '$.lastChangelogVersion') AS seen FROM s"""
+
+
 def _parts(version: str) -> str:
     return f"list_transform(string_split({version}, '.'), lambda x: x::INTEGER)"
 

@@ -16,9 +16,12 @@ from foragelake.operators import config as B
 from foragelake.operators import evaluation as A
 from foragelake.operators import evidence as E
 from foragelake.operators import records as C
+from foragelake.operators import requests as Q
 from foragelake.operators import search as S
 from foragelake.plans import inputs as I
 from foragelake.plans.explore import explore, steps_of
+from foragelake.sources.configs import commit_writes, file_status, read_store, unchanged_runs
+from foragelake.sources.recorded import record, recorded
 from foragelake.sources.shared import shared_dir, written
 from foragelake.streaming.ttl import cache_hits, stream_cache_hits
 
@@ -383,6 +386,73 @@ def config_summary(spark, d):
     return c.select("config_id", B.backend_summary(F.col("m"), usable).alias("backends"), shown.alias("presentation"))
 
 
+# A search request for each question, and what each service has answered: its own shape, one row without a title, errors.
+_ASKED = f"""SELECT query_id AS request_id, query, CASE query_id % 5 WHEN 0 THEN 'searxng' WHEN 1 THEN 'brave' WHEN 2 THEN 'exa' WHEN 3 THEN 'tavily' ELSE 'youcom' END AS provider,
+  CASE query_id % 3 WHEN 0 THEN 'http://s.example/base' WHEN 1 THEN 'https://S.example:8080/' END AS base_url, query_id % 4 <> 1 AS has_key, CASE WHEN query_id % 2 = 0 THEN 'news,it' END AS categories,
+  CASE WHEN query_id % 3 = 0 THEN 'en' END AS language, CASE WHEN query_id % 4 < 3 THEN CAST(query_id % 4 AS INT) END AS level FROM ({I.QUESTIONS}) q"""
+_ANSWERED = f"""SELECT request_id, provider, CAST(CASE WHEN request_id % 11 = 3 THEN 503 ELSE 200 END AS INT) AS http_status, CASE WHEN request_id % 13 = 5 THEN 'no json' WHEN request_id % 13 = 6 THEN '{{{{"results":[]}}}}'
+  ELSE concat(CASE provider WHEN 'brave' THEN '{{{{"web":{{{{"results":[' ELSE '{{{{"results":[' END, '{{{{"title":null,"url":"http://n"}}}},{{{{"title":"', t, '","url":"http://a/', request_id, '","',
+    CASE provider WHEN 'brave' THEN 'description' WHEN 'exa' THEN 'text' WHEN 'youcom' THEN 'snippet' ELSE 'content' END, '":"about ', t, '"}}}}]', CASE provider WHEN 'brave' THEN '}}}}}}}}' ELSE '}}}}' END) END AS body,
+  CASE WHEN request_id % 17 = 2 THEN 'timed out' END AS failure FROM (SELECT request_id, provider, translate(substr(coalesce(query, ''), 1, 60), concat('"', chr(92), chr(9), chr(10), chr(13)), '     ') AS t FROM ({_ASKED}) a WHERE request_id % 19 <> 7) r"""
+
+
+def provider_search(spark, d):
+    """Every question as a request to one of five services, with answers that were recorded in the shared folder."""
+    options = F.struct(F.split("categories", ",").alias("categories"), F.col("language"), F.col("level").alias("safesearch"))
+    asked = I.load(spark, d, _ASKED).select("request_id", "provider", Q.search_request(F.col("provider"), F.col("query"), F.col("base_url"), options, F.col("has_key")).alias("request"))
+    folder = f"{shared_dir(spark)}/recorded-{uuid.uuid4().hex}"
+    record(I.load(spark, d, _ANSWERED), folder)
+    told = Q.search_answers(asked, recorded(spark, folder)).join(asked, ["request_id", "provider"])
+    first, r = F.get("results", F.lit(0)), F.col("request")
+    return told.select("request_id", "provider", r["method"].alias("method"), r["url"].alias("request_url"), r["body"].alias("request_body"), r["key_header"].alias("key_header"), "status", F.size("results").alias("n"), first["title"].alias("title"), first["url"].alias("url"), first["snippet"].alias("snippet"), "code", "message")
+
+
+def backend_sets(spark, d):
+    """How each merged configuration searches: alone, with a fallback, or as a fanout that takes the fallback in."""
+    c = I.load(spark, d, I.CONFIGS).withColumn("m", B.merge_backends(B.parse_backends(F.col("own")), B.parse_backends(F.col("project"))))
+    keys = {"brave": F.col("brave_key"), "exa": F.col("exa_key"), "youcom": F.lit(" "), "tavily": F.lit(None).cast("string")}
+    found = B.backend_set(F.col("m"), B.usable_providers(F.col("m.search.base_url"), keys))
+    return c.select("config_id", found["mode"].alias("mode"), F.array_join(found["providers"], ",").alias("providers"), found["fallback"].alias("fallback"))
+
+
+def config_runs(spark, d):
+    """Uses of merged configurations in the order of customers: while one stays the same, it is one run."""
+    c = I.load(spark, d, I.CONFIGS).select(F.floor(F.col("config_id") / 50).cast("long").alias("session_id"), F.floor(F.col("config_id") / 3).cast("long").alias("pos"), F.col("config_id"), "own", "project")
+    # Three customers in a row use the files of the first.
+    files = c.groupBy("session_id", "pos").agg(F.min_by(F.struct("own", "project"), "config_id").alias("f"))
+    used = c.select("session_id", "pos", "config_id").join(files, ["session_id", "pos"])
+    merged = used.select("session_id", F.col("config_id").alias("pos"), B.merge_backends(B.parse_backends(F.col("f.own")), B.parse_backends(F.col("f.project"))).alias("config"))
+    return unchanged_runs(merged)
+
+
+_BODIES = """SELECT c_custkey AS config_id, CASE c_custkey % 9 WHEN 1 THEN 'no json' WHEN 2 THEN 'null' WHEN 3 THEN concat('{{"defaultMode":"verbose","tools":{{"web_search":{{"mode":"preview"}}}},"name":"', c_name, '"}}')
+  WHEN 4 THEN '{{"presentation":null,"defaultMode":"verbose"}}' WHEN 5 THEN '[1]' WHEN 6 THEN concat('{{"presentation":{{"defaultMode":"compact","note":"', c_name, '"}},"backends":{{}}}}') WHEN 7 THEN '' WHEN 8 THEN '{{"backends":{{"search":{{"provider":"exa"}}}}}}' END AS body FROM {customer}"""
+
+
+def config_status(spark, d):
+    """Each configuration file: missing, malformed, with its settings at the root, or with a root of their own; and its mode."""
+    p = B.parse_presentation(F.col("body"))
+    return I.load(spark, d, _BODIES).select("config_id", file_status(F.col("body")).alias("status"), p["default_mode"].alias("default_mode"), p["tools"]["web_search"].alias("search_mode"))
+
+
+# Two batches of writes to 26 files a nation, and what one reads back.
+_WRITES = """SELECT concat(CASE WHEN c_custkey % 7 = 6 THEN 's' ELSE 'n' END, c_nationkey) AS key, c_custkey + CASE WHEN c_custkey % 2 = 1 THEN 1000000000 ELSE 0 END AS version, CAST(c_custkey % 2 AS INT) AS batch,
+  CASE c_custkey % 7 WHEN 0 THEN 'reset' WHEN 4 THEN 'backends' WHEN 5 THEN 'backends' WHEN 6 THEN 'seen' ELSE 'presentation' END AS kind,
+  CASE c_custkey % 7 WHEN 0 THEN NULL WHEN 4 THEN concat('{{"search":{{"provider":"exa","note":"', c_name, '"}}}}') WHEN 5 THEN concat('{{"fetch":{{"provider":"firecrawl","apiKey":"secret","baseUrl":"http://f', c_custkey, '"}}}}')
+    WHEN 6 THEN concat('{{"lastChangelogVersion":"1.', c_custkey, '.0"}}') ELSE concat('{{"defaultMode":"', CASE c_custkey % 3 WHEN 0 THEN 'compact' WHEN 1 THEN 'preview' ELSE 'verbose' END, '"}}') END AS body FROM {customer}"""
+
+
+def config_store(spark, d):
+    """Keyed writes in two batches, one of which comes twice; the files that stay, read back."""
+    folder = f"{shared_dir(spark)}/store-{uuid.uuid4().hex}"
+    writes = I.load(spark, d, _WRITES)
+    commit = commit_writes(folder)
+    for batch in (0, 1, 1):
+        commit(writes.filter(F.col("batch") == batch).drop("batch"), batch)
+    files, b = read_store(spark, folder), B.parse_backends(F.col("body"))
+    return files.select("key", "version", B.parse_presentation(F.col("body"))["default_mode"].alias("default_mode"), b["search"]["provider"].alias("provider"), b["fetch"]["base_url"].alias("base_url"), b["fetch"]["api_key"].alias("api_key"), F.get_json_object("body", "$.lastChangelogVersion").alias("seen"))
+
+
 _RELEASES = """SELECT doc_id, concat('# Log', chr(10), chr(10), CASE WHEN doc_id % 7 <> 3 THEN concat('## Unreleased', chr(10)) ELSE '' END, CASE doc_id % 5 WHEN 0 THEN concat('### Breaking', chr(10), '- None.', chr(10)) WHEN 1 THEN concat('### Breaking', chr(13), chr(10), ' -  b ', chr(10)) ELSE '' END,
   CASE WHEN doc_id % 2 = 0 THEN '### Added' ELSE '### Fixed' END, chr(10), CASE WHEN doc_id % 3 = 0 THEN '- ' ELSE 'so ' END, coalesce(text, ''), chr(10), '-', chr(10), '- last', chr(10), '## [1.', doc_id % 20, '.3] - d', chr(10), ' n', doc_id, chr(10), coalesce(text, ''), chr(10), '## [0.1.0]', chr(10), 'end') AS content,
   concat('1.', doc_id % 20, '.3') AS version, concat(CASE WHEN doc_id % 2 = 0 THEN 'v' ELSE '' END, CASE WHEN doc_id % 9 = 0 THEN '7.7.7' ELSE concat('1.', doc_id % 20, '.3') END) AS tag FROM {documents}"""
@@ -497,5 +567,6 @@ QUERIES = {f.__name__: f for f in (
     evidence_quality, explore_answers, explore_evidence, explore_views, search_views, fetch_views, reader_route, thread_text,
     repo_listing, tool_call_verdict, tool_call_times, config_merge, presentation_modes, scrape_outcome, reader_resolve, fanout_passes,
     failure_code, search_tool, settings_url, repo_read, config_override, config_summary, release_texts, message_texts, evaluation_report,
-    failure_report, changelog_sections, update_notice, ttl_cache_hits, ttl_cache_stream,
+    failure_report, changelog_sections, update_notice, provider_search, backend_sets,
+    config_runs, config_status, config_store, ttl_cache_hits, ttl_cache_stream,
 )}
