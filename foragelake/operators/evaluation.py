@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from foragelake.functions.text import let, trim
 from foragelake.operators.config import text
 
-DEPTH = 3
+#: The parser takes no deeper documents.
+DEEPEST = 1000
 
 
 def iso_text(ts: Column) -> Column:
@@ -27,27 +28,41 @@ def _lines(items: Column) -> Column:
 def message_text(json: Column) -> Column:
     """All text of a message document, lines joined; empty where there is none, or the document is null or no JSON.
 
-    A string is its own text, a list that of its items (to a depth of DEPTH lists), an object its `text`, else its
+    A string is its own text, a list that of its items (lists in lists at any depth), an object its `text`, else its
     `content`, else the `text` of each item in the list `content`, else all that of an object `message` with such a list.
     """
-    return F.coalesce(let(F.try_parse_json(json), lambda v: _said(v, DEPTH)), F.lit(""))
+    opened = F.length(json) - F.length(F.replace(json, F.lit("["), F.lit("")))
+
+    def said(v: Column) -> Column:
+        levels = F.sequence(F.lit(1), F.greatest(F.least(opened, F.lit(DEEPEST)), F.lit(1)))
+        # A list is read like its items in its place, so each step takes one level of lists out of lists.
+        flat = F.aggregate(levels, _list(v, "$"), lambda s, _: F.when(F.exists(s, _is_list), F.flatten(F.transform(s, _items))).otherwise(s))
+        return F.when(_is_list(v), _lines(F.transform(flat, lambda x: F.coalesce(_said(x), F.lit(""))))).otherwise(_said(v))
+
+    return F.coalesce(let(F.try_parse_json(json), said), F.lit(""))
+
+
+def _is_list(v: Column) -> Column:
+    return F.coalesce(F.startswith(F.schema_of_variant(v), F.lit("ARRAY")), F.lit(False))
+
+
+def _items(v: Column) -> Column:
+    return F.when(_is_list(v), _list(v, "$")).otherwise(F.array(v))
 
 
 def _list(v: Column, path: str) -> Column:
     return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
-def _said(v: Column, depth: int) -> Column:
+def _said(v: Column) -> Column:
     inner = F.transform(_list(v, "$.content"), lambda x: F.coalesce(text(x, "text"), F.lit("")))
     nested = F.try_variant_get(v, "$.message", "variant")
     # A message whose list `content` stands beside a text of its own gives that text.
     below = F.coalesce(text(nested, "text"), _lines(F.transform(_list(nested, "$.content"), lambda x: F.coalesce(text(x, "text"), F.lit("")))))
     has_list = F.try_variant_get(nested, "$.content", "array<variant>").isNotNull()
-    is_list = F.startswith(F.schema_of_variant(v), F.lit("ARRAY"))
-    listed = _lines(F.transform(_list(v, "$"), lambda x: F.coalesce(_said(x, depth - 1), F.lit("")))) if depth else F.lit("")
     plain = F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
     own_list = F.when(F.try_variant_get(v, "$.content", "array<variant>").isNotNull(), _lines(inner))
-    return F.when(is_list, listed).otherwise(F.coalesce(plain, text(v, "text"), text(v, "content"), own_list, F.when(has_list, below), F.lit("")))
+    return F.coalesce(plain, text(v, "text"), text(v, "content"), own_list, F.when(has_list, below), F.lit(""))
 
 
 def judge_failures(cases: DataFrame) -> DataFrame:

@@ -200,6 +200,10 @@ def with_fallback(primary: DataFrame, fallback: DataFrame, key: str, also: tuple
 def top_candidates(hits: DataFrame, *keys: str, most: int = MOST_CANDIDATES) -> DataFrame:
     """The first hits to read: each URL once (its first row), by score and then position. Needs keys, pos, query."""
     each = hits.groupBy(*keys, "url").agg(F.min_by(F.struct("title", "snippet", "query"), "pos").alias("r"), F.min("pos").alias("pos"))
-    scored = each.select(*keys, "url", "r.title", "r.snippet", "pos", candidate_score(F.col("url"), wants_discussion(F.coalesce("r.query", F.lit("")))).alias("score"))
+    # Hits are many more than URLs, so each URL is looked at once, on both scales.
+    url = F.col("url")
+    facts = hits.select("url").distinct().select(url.alias("__url"), candidate_score(url, F.lit(False)).alias("plain"), candidate_score(url, F.lit(True)).alias("talk"))
+    score = F.when(wants_discussion(F.coalesce("r.query", F.lit(""))), F.col("talk")).otherwise(F.col("plain"))
+    scored = each.join(facts, url.eqNullSafe(F.col("__url"))).select(*keys, "url", "r.title", "r.snippet", "pos", score.alias("score"))
     order = Window.partitionBy(*keys).orderBy("score", "pos")
     return scored.withColumn("candidate", F.row_number().over(order)).filter(F.col("candidate") <= most)

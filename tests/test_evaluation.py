@@ -118,3 +118,13 @@ def test_keyless_search_on_odd_rows(spark):
     got = {r["request_id"]: (r["code"], r["cache_hit"], len(r["results"])) for r in S.keyless_search(asked, told).collect()}
     assert got == {1: (None, False, 1), 2: (None, True, 1), 3: (None, False, 1), 4: ("INVALID_QUERY", False, 0), 5: (None, False, 1), 6: ("FETCH_FAILED", False, 0), 7: ("BLOCKED", False, 0), 8: ("BLOCKED", False, 0)}
     assert S.keyless_search(asked.limit(0), told.limit(0)).count() == 0
+
+
+def test_lists_in_lists_at_any_depth_keep_their_text(spark):
+    deep = "x"
+    for _ in range(40):
+        deep = [deep, []]
+    docs = [deep, [[["a", [{"text": "b"}, ["c", [], ""]]]], "d"], [{"content": [{"text": "e"}, {"text": 5}]}, [[{"message": {"content": [{"text": "f"}]}}]]], [], [[[]]]]
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)], "i int, j string")
+    found = {r["i"]: r["t"] for r in rows.select("i", A.message_text(F.col("j")).alias("t")).collect()}
+    assert found == {0: "x", 1: "a\nb\nc\nd", 2: "e\nf", 3: "", 4: ""}

@@ -210,3 +210,36 @@ def test_every_kind_of_end_is_met(both):
     _, _, wanted = both
     assert {a["action"] for a, _ in wanted.values()} == {"answer", "research-again", "escalate-headless"}
     assert {a["search_passes"] for a, _ in wanted.values()} >= {0, 1} and any(len(a["reasons"]) > 1 for a, _ in wanted.values())
+
+
+def test_views_say_what_the_answers_hold(spark):
+    """Both texts of every question against plain strings made from its answer."""
+    from foragelake.plans.queries import QUERIES, _research
+    from tests.conftest import SF
+
+    labels = {"http": "web_fetch", "headless": "web_fetch_headless"}
+    answers = {r["query_id"]: r for r in _research(spark, SF)[0].collect()}
+    shown = {r["query_id"]: r for r in QUERIES["explore_views"](spark, SF).collect()}
+    assert answers.keys() == shown.keys() and answers
+    seen = set()
+    for i, a in answers.items():
+        findings, sources = a["findings"], a["sources"]
+        some = bool(findings or sources)
+        internal = f"Internal research: web_search ×{a['search_passes']}, web_fetch ×{a['fetched_pages']}, web_fetch_headless ×{a['headless_attempts']}"
+        lines = [f"- [{labels.get(sources[k]['method'] if k < len(sources) else None, None) or V_LABEL(sources, k)}] {f}" for k, f in enumerate(findings)] if some else ["No usable evidence found."]
+        listed = [f"- [{labels.get(s['method']) or V_LABEL([s], 0)}] {s['title']}: {s['url']}" for s in sources]
+        compact = f"Reviewed {len(sources)} sources · synthesized answer with {len(findings)} findings" if some else "No usable evidence found"
+        preview = "\n".join([*lines, "\n" + internal])
+        verbose = "\n".join(["Findings", *lines, "", "Sources", *listed, "\nInternal tools\n" + internal, *(["\nCaveat\n" + a["caveat"]] if a["caveat"] is not None else [])])
+        text = "\n\n".join(p for p in ("\n\n".join(findings), "Sources:\n" + "\n".join(f"- {s['title']}: {s['url']}" for s in sources) if sources else "", a["caveat"] or "") if p)
+        assert shown[i]["shown"] == {0: preview, 1: verbose}.get(i % 3, compact)
+        assert shown[i]["model_text"] == (text if some else "No usable evidence found.")
+        seen.add((some, a["caveat"] is None, i % 3))
+    assert len(seen) >= 4
+
+
+def V_LABEL(sources, k):
+    """What other readers are called; a finding without a source of its own is the research's."""
+    from foragelake.functions.views import LABELS
+
+    return LABELS.get(sources[k]["method"], "web_explore") if k < len(sources) else "web_explore"
