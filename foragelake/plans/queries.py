@@ -73,12 +73,14 @@ def html_title(spark, d):
 
 
 # Every fifth page gets a style sheet that strict parsers reject, so that it is read the plain way.
-_STYLED = "SELECT page_id, CASE WHEN page_id % 5 = 0 THEN concat('<style>.a {{ b: c; &:hover {{ d: e; }} }}</style>', html) ELSE html END AS html FROM {pages}"
+_STYLED = f"SELECT page_id, content_type, CASE WHEN page_id % 5 = 0 THEN concat('<style>.a {{{{ b: c; &:hover {{{{ d: e; }}}} }}}}</style>', html) ELSE html END AS html FROM ({I.HTML}) h"
 
 
 def html_readable(spark, d):
-    """Every page by its article: title, byline, text and how it was read."""
-    return I.load(spark, d, _STYLED).select("page_id", H.readable(F.col("html")).alias("r")).select("page_id", "r.*")
+    """Every page by its article: title, byline, text, how it was read, and what the gates say about that text."""
+    c = F.col
+    p = I.load(spark, d, _STYLED).select("page_id", "content_type", "html", H.readable(c("html")).alias("r"))
+    return p.select("page_id", "r.*", H.fetch_status(c("content_type"), c("html"), c("r.text")).alias("status"), T.is_bot_check(c("r.title"), c("r.text")).alias("bot_check"))
 
 
 def html_fallback_text(spark, d):

@@ -97,14 +97,25 @@ def test_tree_shapes():
 
 
 def test_readable_query_reads_every_page(spark):
+    from foragelake.plans.inputs import HTML, load
+
     rows = {r["page_id"]: r for r in QUERIES["html_readable"](spark, SF).collect()}
-    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", "html").collect()}
+    pages = {r["page_id"]: (r["html"], r["content_type"]) for r in load(spark, SF, HTML).collect()}
     assert rows.keys() == pages.keys()
-    for i, page in pages.items():
-        assert (rows[i]["mode"] == "fallback") == (i % 5 == 0)
-        assert rows[i]["title"] and 0 < len(rows[i]["text"]) <= 4000
+    seen = set()
+    for i, (page, kind) in pages.items():
+        r, text = rows[i], rows[i]["text"]
+        assert (r["mode"] == "fallback") == (i % 5 == 0) and len(text) <= 4000
         if i % 5:
-            assert rows[i]["text"][:4] in page and "track(0)" not in rows[i]["text"]
+            assert text[:4] in page and "track(0)" not in text
+        low = (f"<style>.a {{ b: c; &:hover {{ d: e; }} }}</style>{page}" if i % 5 == 0 else page).lower()
+        shell = "<script" in low and ('id="app"' in low or 'id="root"' in low)
+        size, whole = len(" ".join(text.split())), len(" ".join(low.split()))
+        weak = 0 < size < 120 and (size / whole < 0.02 or any(x in low for x in ("enable javascript", "javascript required", "please turn on javascript")))
+        assert r["status"] == ("unsupported" if "text/html" not in kind else "needs_headless" if shell or len(text) < 40 or weak else "ok"), i
+        assert r["bot_check"] == ("just a moment" in f"{r['title'] or ''}\n{text}".lower() or "checking your browser" in text.lower())
+        seen.add((r["status"], r["bot_check"], r["mode"]))
+    assert len(seen) >= 5
     assert spark.range(1).select(H.readable(F.lit(None).cast("string"))["text"].alias("t")).first()["t"] is None
 
 
