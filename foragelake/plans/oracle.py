@@ -324,6 +324,19 @@ ORACLE_SQL["backend_sets"] = f"""WITH x AS ({ORACLE_SQL["config_merge"]}), y AS
   SELECT config_id, CASE WHEN fans THEN 'fanout ' || fanout_mode WHEN provider <> 'duckduckgo' AND fallback = 'duckduckgo' THEN 'fallback' ELSE 'single' END AS mode,
     CASE WHEN fans THEN array_to_string(list_transform(list_filter(range(1, len(l) + 1), lambda i: list_position(l, l[i]) = i), lambda i: l[i]), ',') ELSE provider END AS providers,
     CASE WHEN NOT fans AND provider <> 'duckduckgo' AND fallback = 'duckduckgo' THEN fallback END AS fallback FROM y"""
+_LACKS = """CASE NAME WHEN 'searxng' THEN CASE WHEN coalesce(base_url, '') = '' THEN 'missing baseUrl' END WHEN 'brave' THEN CASE WHEN trim(coalesce(brave_key, '')) = '' THEN 'missing PI_WEB_AGENT_BRAVE_API_KEY' END
+  WHEN 'exa' THEN CASE WHEN trim(coalesce(exa_key, '')) = '' THEN 'missing EXA_API_KEY' END WHEN 'youcom' THEN 'missing YDC_API_KEY' WHEN 'tavily' THEN 'missing TAVILY_API_KEY' END"""
+ORACLE_SQL["health_report"] = f"""WITH x AS ({ORACLE_SQL["config_merge"]}), k AS (SELECT config_id, brave_key, exa_key FROM ({I.oracle(I.CONFIGS)}) q), p AS ({I.oracle(Q._PROBES)}),
+  a AS (SELECT x.*, brave_key, exa_key, http_status, CASE WHEN ms > 3000 THEN 'This operation was aborted' ELSE failure END AS wrong, CASE WHEN json_valid(body) THEN body END AS j FROM x JOIN k USING (config_id) JOIN p USING (config_id)),
+  b AS (SELECT *, coalesce({_LACKS.replace("NAME", "provider")}, wrong, CASE WHEN http_status <> 200 AND provider <> 'searxng' THEN 'HTTP ' || http_status END, CASE WHEN j IS NULL THEN 'invalid JSON' END,
+      CASE WHEN http_status <> 200 OR coalesce(json_type(j, CASE WHEN provider = 'brave' THEN '$.web.results' ELSE '$.results' END), '') <> 'ARRAY' THEN 'unexpected response' END) AS why,
+    coalesce(CASE WHEN coalesce(fetch_base_url, '') = '' THEN 'missing baseUrl' END, wrong, CASE WHEN http_status <> 200 THEN 'HTTP ' || http_status END) AS bad,
+    string_split(coalesce(fanout_providers, 'duckduckgo,searxng,brave,youcom,exa,tavily'), ',') AS asked FROM a)
+  SELECT config_id, concat_ws(chr(10), 'search backend: ' || provider || CASE WHEN provider = 'duckduckgo' THEN '' WHEN why IS NULL THEN ' ok' ELSE ' warning (' || why || ')' END, 'search fallback: ' || fallback,
+    CASE WHEN fanout_mode <> 'off' THEN 'search fanout: ' || fanout_mode || ' (' || array_to_string(asked, ', ') || ')' END,
+    CASE WHEN fanout_mode <> 'off' THEN nullif(array_to_string(list_filter(list_transform(asked, lambda n: 'search fanout provider ' || n || ' warning (' || ({_LACKS.replace("NAME", "n")}) || ')'), lambda l: l IS NOT NULL), chr(10)), '') END,
+    'fetch backend: ' || CASE WHEN fetch_provider = 'http' THEN 'http' WHEN bad IS NULL THEN 'firecrawl ok' ELSE 'firecrawl warning (' || bad || ')' END, 'fetch fallback: ' || fetch_fallback,
+    'headless backend: local-browser (managed Chromium fallback configured)') AS report FROM b"""
 ORACLE_SQL["config_runs"] = f"""WITH x AS ({ORACLE_SQL["config_merge"]}), c AS (SELECT c_custkey AS id, c_custkey // 50 AS session_id, min(c_custkey) OVER (PARTITION BY c_custkey // 50, c_custkey // 3) AS source FROM customer),
   k AS (SELECT session_id, id, concat_ws('|', provider, coalesce(base_url, '-'), coalesce(x.fallback, '-'), coalesce(categories, '-'), coalesce(language, '-'), coalesce(safesearch::VARCHAR, '-'), coalesce(fanout_mode, '-'), coalesce(fanout_providers, '-'), fetch_provider,
     coalesce(fetch_base_url, '-'), coalesce(api_key, '-'), coalesce(fetch_fallback, '-'), coalesce(formats, '-'), coalesce(only_main::VARCHAR, '-')) AS said FROM c JOIN x ON x.config_id = c.source),

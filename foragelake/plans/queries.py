@@ -18,6 +18,7 @@ from foragelake.operators import evidence as E
 from foragelake.operators import records as C
 from foragelake.operators import requests as Q
 from foragelake.operators import search as S
+from foragelake.operators.health import health_lines
 from foragelake.plans import inputs as I
 from foragelake.plans.explore import explore, steps_of
 from foragelake.sources.configs import commit_writes, file_status, read_store, unchanged_runs
@@ -417,6 +418,19 @@ def backend_sets(spark, d):
     return c.select("config_id", found["mode"].alias("mode"), F.array_join(found["providers"], ",").alias("providers"), found["fallback"].alias("fallback"))
 
 
+# What each configuration's search and fetch services answered to a probe, and how long that took.
+_PROBES = """SELECT c_custkey AS config_id, CAST(c_custkey % 13 * 300 AS BIGINT) AS ms, CAST(CASE WHEN c_custkey % 7 = 0 THEN 500 ELSE 200 END AS INT) AS http_status,
+  CASE c_custkey % 6 WHEN 0 THEN '{{"web":{{"results":[]}},"results":[]}}' WHEN 1 THEN '{{}}' WHEN 2 THEN 'oops' ELSE '{{"web":{{"results":[1]}},"results":[{{}}]}}' END AS body, CASE WHEN c_custkey % 11 = 3 THEN 'fetch failed' END AS failure FROM {customer}"""
+
+
+def health_report(spark, d):
+    """The lines on every merged configuration's services, from probes that were recorded."""
+    c = I.load(spark, d, I.CONFIGS).withColumn("m", B.merge_backends(B.parse_backends(F.col("own")), B.parse_backends(F.col("project")))).join(I.load(spark, d, _PROBES), "config_id")
+    keys = {"brave": F.col("brave_key"), "exa": F.col("exa_key"), "youcom": F.lit(" "), "tavily": F.lit(None).cast("string")}
+    probe = F.struct("ms", "http_status", "body", "failure")
+    return c.select("config_id", F.array_join(health_lines(F.col("m"), keys, probe, probe), "\n").alias("report"))
+
+
 def config_runs(spark, d):
     """Uses of merged configurations in the order of customers: while one stays the same, it is one run."""
     c = I.load(spark, d, I.CONFIGS).select(F.floor(F.col("config_id") / 50).cast("long").alias("session_id"), F.floor(F.col("config_id") / 3).cast("long").alias("pos"), F.col("config_id"), "own", "project")
@@ -569,6 +583,6 @@ QUERIES = {f.__name__: f for f in (
     evidence_quality, explore_answers, explore_evidence, explore_views, search_views, fetch_views, reader_route, thread_text,
     repo_listing, tool_call_verdict, tool_call_times, config_merge, presentation_modes, scrape_outcome, reader_resolve, fanout_passes,
     failure_code, search_tool, settings_url, repo_read, config_override, config_summary, release_texts, message_texts, evaluation_report,
-    failure_report, changelog_sections, update_notice, provider_search, backend_sets,
+    failure_report, changelog_sections, update_notice, provider_search, backend_sets, health_report,
     config_runs, config_status, config_store, ttl_cache_hits, ttl_cache_stream,
 )}
