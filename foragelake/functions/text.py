@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 WS = r"[\s\x{0b}\x{a0}\x{feff}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_WS = WS.replace("[", "[^", 1)
+#: White space but the plain blank.
+ODD_WS = WS.replace(r"\s", r"\t\n\f\r", 1)
 
 # Fixed values.
 STOP_WORDS = ("find", "current", "tell", "me", "how", "to", "the", "and", "with", "for", "in", "a", "an")
@@ -32,7 +34,8 @@ def trim(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
+    # A single blank stays as it is, so that most of a text needs no replacement.
+    return F.trim(F.regexp_replace(c, f"{WS}{{2,}}|{ODD_WS}", " "))
 
 
 def cut(c: Column, n: int) -> Column:
@@ -45,7 +48,12 @@ def summary(c: Column, n: int = 180) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of words; null where there is none."""
-    return let(collapse(c), lambda bare: F.when(bare != "", F.size(F.split(bare, " ")).cast("long")))
+    return let(collapse(c), words_of)
+
+
+def words_of(bare: Column) -> Column:
+    """The same of a collapsed text."""
+    return F.when(bare != "", (F.length(bare) - F.length(F.replace(bare, F.lit(" "), F.lit(""))) + 1).cast("long"))
 
 
 def excerpt(c: Column, n: int = 240) -> Column:

@@ -101,3 +101,33 @@ def session_section() -> Column:
         F.lit("Tool order:\n"), F.when(tools == "", "  none").otherwise(tools), F.lit("\n\nNotes:\n"), _bullets(notes),
         F.lit("\n\nFinal answer:\n\n"), F.when(answer == "", "(empty)").otherwise(answer), F.lit("\n"),
     )
+
+
+def run_reports(runs: DataFrame, sessions: DataFrame, failures: DataFrame) -> DataFrame:
+    """runs (run_id, started, finished, place), sessions (run_id, at, section, verdict), failures (run_id, at, section, verdict)
+    -> run_id, stamp (for the file's name), markdown, json (what the run came to, for other programs).
+
+    A run is what one report is about, so its sections are put together in one row; sections of other runs are left out.
+    Sections go by `at`, ties by their text. A run without failure cases says so; one without sessions has none.
+    """
+    c = F.col
+
+    def gathered(df: DataFrame, name: str) -> DataFrame:
+        each = F.array_sort(F.collect_list(F.struct("at", "section", "verdict")))
+        return df.groupBy("run_id").agg(each.alias(name))
+
+    none = F.array().cast("array<struct<at:bigint,section:string,verdict:string>>")
+    rows = runs.join(gathered(sessions, "s"), "run_id", "left").join(gathered(failures, "f"), "run_id", "left")
+    rows = rows.withColumn("s", F.coalesce("s", none)).withColumn("f", F.coalesce("f", none))
+
+    def sections(name: str, between: str) -> Column:
+        return F.array_join(F.transform(name, lambda x: x["section"]), between)
+
+    def counted(name: str) -> Column:
+        verdicts = ("pass", "mixed", "fail")
+        return F.struct(F.size(name).alias("cases"), *[F.size(F.filter(name, lambda x: x["verdict"] == v)).alias(v) for v in verdicts])  # noqa: B023
+
+    failed = F.concat(F.lit("## Search failure cases\n\n"), F.when(F.size("f") == 0, "None.\n").otherwise(sections("f", "\n")))
+    markdown = F.concat(F.lit("# live web eval\n\nStarted: "), c("started"), F.lit("\nFinished: "), c("finished"), F.lit("\nCWD: "), c("place"), F.lit("\n\n"), sections("s", "\n---\n\n"), F.lit("\n\n---\n\n"), failed, F.lit("\n"))
+    told = F.to_json(F.struct(c("started").alias("startedAt"), c("finished").alias("finishedAt"), c("place").alias("cwd"), counted("s").alias("prompts"), counted("f").alias("searchFailureCases")))
+    return rows.select("run_id", file_stamp(c("started")).alias("stamp"), markdown.alias("markdown"), told.alias("json"))

@@ -492,3 +492,11 @@ Verdict: **' || CASE WHEN notes = '' THEN 'pass' ELSE 'fail' END || '**
 Notes:
 - ' || CASE WHEN notes = '' THEN 'none' ELSE notes END || '
 ' AS section FROM n"""
+_COUNTED = "'\"cases\":' || coalesce(NAME.n, 0) || ',\"pass\":' || coalesce(NAME.ok, 0) || ',\"mixed\":' || coalesce(NAME.mixed, 0) || ',\"fail\":' || coalesce(NAME.bad, 0)"
+_COUNTS = "count(*) AS n, count(*) FILTER (verdict = 'pass') AS ok, count(*) FILTER (verdict = 'mixed') AS mixed, count(*) FILTER (verdict = 'fail') AS bad"
+ORACLE_SQL["evaluation_runs"] = f"""WITH e AS ({ORACLE_SQL["evaluation_report"]}), w AS ({ORACLE_SQL["tool_call_verdict"]}), g AS ({ORACLE_SQL["failure_report"]}),
+  s AS (SELECT session_id // 5 AS run_id, min(started) AS started, max(started) AS finished, string_agg(section, chr(10) || '---' || chr(10) || chr(10) ORDER BY session_id) AS said, {_COUNTS} FROM e JOIN w USING (session_id) GROUP BY 1),
+  f AS (SELECT conv_id // 500 AS run_id, string_agg(section, chr(10) ORDER BY conv_id) AS said, {_COUNTS} FROM g WHERE conv_id % 3 = 0 GROUP BY 1)
+  SELECT run_id, replace(replace(started, ':', '-'), '.', '-') AS stamp, concat('# live web eval', chr(10), chr(10), 'Started: ', started, chr(10), 'Finished: ', finished, chr(10), 'CWD: /runs/', run_id, chr(10), chr(10), s.said, chr(10), chr(10), '---', chr(10), chr(10),
+    '## Search failure cases', chr(10), chr(10), coalesce(f.said, 'None.' || chr(10)), chr(10)) AS markdown,
+    '{{"startedAt":"' || started || '","finishedAt":"' || finished || '","cwd":"/runs/' || run_id || '","prompts":{{' || {_COUNTED.replace("NAME", "s")} || '}},"searchFailureCases":{{' || {_COUNTED.replace("NAME", "f")} || '}}}}' AS json FROM s LEFT JOIN f USING (run_id)"""

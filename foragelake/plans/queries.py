@@ -104,7 +104,9 @@ def rendered_cleanup(spark, d):
 
 def word_excerpt(spark, d):
     t = F.col("text")
-    return I.load(spark, d, "SELECT doc_id, text FROM {documents}").select("doc_id", T.word_count(t).alias("words"), T.excerpt(t).alias("short"), T.excerpt(t, 500).alias("long"), T.summary(t, 120).alias("support"))
+    # Collapsed once, for the count and for the support.
+    texts = I.load(spark, d, "SELECT doc_id, text FROM {documents}").select("doc_id", "text", T.collapse(t).alias("bare"))
+    return texts.select("doc_id", T.words_of(F.col("bare")).alias("words"), T.excerpt(t).alias("short"), T.excerpt(t, 500).alias("long"), T.cut(F.col("bare"), 120).alias("support"))
 
 
 def fetch_status(spark, d):
@@ -516,6 +518,16 @@ def failure_report(spark, d):
     return out.select("conv_id", "verdict", A.failure_section().alias("section"))
 
 
+def evaluation_runs(spark, d):
+    """One report for each five sessions and the failure cases of five hundred conversations: Markdown and JSON."""
+    told, log = evaluation_report(spark, d), I.load(spark, d, I.LOG)
+    m = C.verdict(C.tool_metrics(log).withColumn("final_answer", F.when(F.col("session_id") % 9 == 0, " ").otherwise(" done ")))
+    sessions = told.join(m.select("session_id", "verdict"), "session_id").select(F.floor(F.col("session_id") / 5).cast("long").alias("run_id"), F.col("session_id").alias("at"), "section", "verdict", "started")
+    runs = sessions.groupBy("run_id").agg(F.min("started").alias("started"), F.max("started").alias("finished")).withColumn("place", F.concat(F.lit("/runs/"), F.col("run_id").cast("string")))
+    failures = failure_report(spark, d).filter("conv_id % 3 = 0").select(F.floor(F.col("conv_id") / 500).cast("long").alias("run_id"), F.col("conv_id").alias("at"), "section", "verdict")
+    return A.run_reports(runs, sessions.drop("started"), failures)
+
+
 _MESSAGES = "SELECT conv_id, concat(text, CASE conv_id % 6 WHEN 0 THEN ' HTTP 429' WHEN 1 THEN ' Request BLOCKED' WHEN 2 THEN ' solve the Captcha' WHEN 3 THEN ' rate-limit' WHEN 4 THEN ' time-out' ELSE '' END) AS message FROM {conversations} WHERE turn = 0"
 
 
@@ -582,7 +594,7 @@ QUERIES = {f.__name__: f for f in (
     fanout_merge, fanout_auto, fanout_providers, fanout_weak, search_fallback, fetch_fallback, candidate_topk, evidence_rank,
     evidence_quality, explore_answers, explore_evidence, explore_views, search_views, fetch_views, reader_route, thread_text,
     repo_listing, tool_call_verdict, tool_call_times, config_merge, presentation_modes, scrape_outcome, reader_resolve, fanout_passes,
-    failure_code, search_tool, settings_url, repo_read, config_override, config_summary, release_texts, message_texts, evaluation_report,
+    failure_code, search_tool, settings_url, repo_read, config_override, config_summary, release_texts, message_texts, evaluation_report, evaluation_runs,
     failure_report, changelog_sections, update_notice, provider_search, backend_sets, health_report,
     config_runs, config_status, config_store, ttl_cache_hits, ttl_cache_stream,
 )}
