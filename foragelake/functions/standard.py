@@ -25,13 +25,13 @@ DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def _encoded(part: Column, ascii_: str) -> Column:
+    """Runs of characters that stay, and runs that are written as the bytes they have in UTF-8."""
+    kept = "".join(f"\\x{c:02x}" for c in range(0x21, 0x7F) if chr(c) not in ascii_)
+
     def piece(p: Column) -> Column:
-        return F.when(p.rlike(r"^[\x21-\x7e]"), p).otherwise(F.regexp_replace(F.hex(p.cast("binary")), "(..)", "%$1"))
+        return F.when(p.rlike(f"^[{kept}]"), p).otherwise(F.regexp_replace(F.hex(p), "(..)", "%$1"))
 
-    out = F.array_join(F.transform(F.regexp_extract_all(part, F.lit(r"([\x21-\x7e]+|[^\x21-\x7e]+)"), F.lit(1)), piece), "")
-    for c in ascii_:
-        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
-    return out
+    return F.array_join(F.transform(F.regexp_extract_all(part, F.lit(f"([{kept}]+|[^{kept}]+)"), F.lit(1)), piece), "")
 
 
 def _adapted(delta: Column, points: Column, first: Column) -> Column:
