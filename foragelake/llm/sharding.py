@@ -1,6 +1,7 @@
 """Sharding by a Feistel permutation with cycle walking over global row numbers.
 
-Rows are numbered 0..n-1 in the order of (doc_id, text). A keyed Feistel network permutes the smallest even-bit domain
+Rows are numbered 0..n-1 in the order of (doc_id, checksum of the text, size); rows alike in all three in any order. A
+keyed Feistel network permutes the smallest even-bit domain
 that holds n, and walks its cycle until it lands below n: a bijection of 0..n-1. Row number r at place p goes to shard
 p mod shards, slot p div shards. So shard and slot of any row, and the row of any shard and slot, can be computed
 without a table, counts of shards differ by one at most, and slots have no gaps.
