@@ -159,13 +159,14 @@ def is_script_shell(html: Column) -> Column:
 
 
 def is_weak(html: Column, body: Column) -> Column:
-    sizes = F.struct(F.length(collapse(body)).alias("n"), F.length(collapse(html)).alias("whole"), html.rlike(f"(?i){JS_REQUIRED}").alias("asks"))
+    """A short text of a page that is much longer or asks for scripts. Only pages with a short text are looked at whole."""
 
-    def weak(x: Column) -> Column:
-        sparse = (x["whole"] > 0) & (x["n"] / x["whole"] < 0.02)
-        return (x["n"] > 0) & (x["n"] < 120) & (sparse | x["asks"])
+    def weak(n: Column) -> Column:
+        short = (n > 0) & (n < 120)
+        sparse = let(F.length(collapse(html)), lambda whole: (whole > 0) & (n / whole < 0.02))
+        return short & F.when(short, sparse | html.rlike(f"(?i){JS_REQUIRED}"))
 
-    return let(sizes, weak)
+    return let(F.length(collapse(body)), weak)
 
 
 def fetch_status(content_type: Column, html: Column, body: Column) -> Column:

@@ -9,8 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foragelake.functions.text import let
-
 #: Nothing to strip, encode or compute: a name whose last label begins with a letter, a short port, characters that stay.
 PLAIN = r"^(?i:https?)://(?:[A-Za-z0-9-]+\.)*[A-Za-z][A-Za-z0-9-]*(?::(?:0|[1-9]\d{0,3}))?(?:[/?#][\x21\x23-\x26\x28-\x3b\x3d\x3f-\x5b\x5d-\x5f\x61-\x7a\x7c\x7e]*)?\z"
 PARTS = r"(?is)^(https?):[/\\]*([^/\\?#]*)([^?#]*)(\?[^#]*)?(#.*)?\z"
@@ -24,149 +22,115 @@ BASE, T_MIN, T_MAX, SKEW, DAMP, BIAS, FIRST = 36, 1, 26, 38, 700, 72, 128
 DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 
 
-def _encoded(part: Column, ascii_: str) -> Column:
-    """Runs of characters that stay, and runs that are written as the bytes they have in UTF-8."""
-    kept = "".join(f"\\x{c:02x}" for c in range(0x21, 0x7F) if chr(c) not in ascii_)
+# The long way is SQL text, made when this module is imported: built from Column objects anew for each use, it would take
+# longer than most queries. Each function below gives the text of an expression of the texts that it is given.
 
-    def piece(p: Column) -> Column:
-        return F.when(p.rlike(f"^[{kept}]"), p).otherwise(F.regexp_replace(F.hex(p), "(..)", "%$1"))
 
-    return F.array_join(F.transform(F.regexp_extract_all(part, F.lit(f"([{kept}]+|[^{kept}]+)"), F.lit(1)), piece), "")
+def _let(value: str, name: str, body: str) -> str:
+    """body, in which name stands for value."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def _adapted(delta: Column, points: Column, first: Column) -> Column:
-    """The bias after a delta. A delta of a host is divided a few times at most until it is small."""
-    d = F.when(first, F.floor(delta / DAMP)).otherwise(F.floor(delta / 2))
-    start = F.struct((d + F.floor(d / points)).cast("long").alias("d"), F.lit(0).cast("long").alias("k"))
-    limit = (BASE - T_MIN) * T_MAX // 2
+def _encoded(part: str, ascii_: str) -> str:
+    """Runs of characters that stay, and runs that are written as the bytes they have in UTF-8."""
+    kept = "".join(f"\\x{c:02x}" for c in range(0x21, 0x7F) if chr(c) not in ascii_)
+    piece = f"CASE WHEN rlike(w, r'^[{kept}]') THEN w ELSE regexp_replace(hex(w), '(..)', '%$1') END"
+    return f"array_join(transform(regexp_extract_all({part}, r'([{kept}]+|[^{kept}]+)', 1), w -> {piece}), '')"
 
-    def shrink(s: Column, _: Column) -> Column:
-        small = F.struct(F.floor(s["d"] / (BASE - T_MIN)).cast("long").alias("d"), (s["k"] + BASE).cast("long").alias("k"))
-        return F.when(s["d"] > limit, small).otherwise(s)
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(7)), start, shrink, lambda s: s["k"] + F.floor((BASE - T_MIN + 1) * s["d"] / (s["d"] + SKEW)))
+def _adapted(delta: str, points: str, first: str) -> str:
+    """The bias after a delta. A delta of a host is divided a few times at most until it is small."""
+    d = f"CASE WHEN {first} THEN {delta} div {DAMP} ELSE {delta} div 2 END"
+    start = f"transform(array({d}), d -> named_struct('d', d + d div {points}, 'k', 0L))[0]"
+    step = f"CASE WHEN a.d > {(BASE - T_MIN) * T_MAX // 2} THEN named_struct('d', a.d div {BASE - T_MIN}, 'k', a.k + {BASE}L) ELSE a END"
+    return f"aggregate(sequence(1, 7), {start}, (a, i) -> {step}, a -> a.k + ({BASE - T_MIN + 1} * a.d) div (a.d + {SKEW}))"
 
 
-def _digits(delta: Column, bias: Column) -> Column:
+def _digits(delta: str, bias: str) -> str:
     """A delta as a number of variable length."""
-    start = F.struct(delta.cast("long").alias("q"), F.lit("").alias("out"), F.lit(False).alias("done"))
-
-    def digit(n: Column) -> Column:
-        return F.substr(F.lit(DIGITS), (n + 1).cast("int"), F.lit(1))
-
-    def step(s: Column, i: Column) -> Column:
-        t = F.greatest(F.lit(T_MIN), F.least(F.lit(T_MAX), i * BASE - bias))
-        last = s["q"] < t
-        more = F.struct(F.floor((s["q"] - t) / (BASE - t)).cast("long").alias("q"), F.concat(s["out"], digit(t + F.pmod(s["q"] - t, BASE - t))).alias("out"), F.lit(False).alias("done"))
-        end = F.struct(s["q"].alias("q"), F.concat(s["out"], digit(s["q"])).alias("out"), F.lit(True).alias("done"))
-        return F.when(s["done"], s).when(last, end).otherwise(more)
+    t = f"greatest({T_MIN}L, least({T_MAX}L, i * {BASE} - {bias}))"
+    more = f"named_struct('q', (g.q - t) div ({BASE} - t), 'out', concat(g.out, substr('{DIGITS}', CAST(t + (g.q - t) % ({BASE} - t) + 1 AS INT), 1)), 'done', false)"
+    last = f"named_struct('q', g.q, 'out', concat(g.out, substr('{DIGITS}', CAST(g.q + 1 AS INT), 1)), 'done', true)"
+    step = f"CASE WHEN g.done THEN g ELSE {_let(t, 't', f'CASE WHEN g.q < t THEN {last} ELSE {more} END')} END"
+    return f"aggregate(sequence(1, 12), named_struct('q', {delta}, 'out', '', 'done', false), (g, i) -> {step}, g -> g.out)"
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(12)), start, step, lambda s: s["out"])
 
-
-def punycode(label: Column) -> Column:
+def _punycode(label: str) -> str:
     """A label of a host with characters outside of ASCII, as ASCII.
 
     Those characters are inserted in the order of (code point, place). The delta of one is how far the insertion moves on:
     whole turns through the label for each code point skipped, and the characters passed in the last turn.
     """
-
-    def made(chars: Column) -> Column:
-        points = F.transform(chars, lambda c, i: F.struct(F.conv(F.hex(F.encode(c, "UTF-32")), 16, 10).cast("long").alias("p"), i.cast("long").alias("i")))
-
-        def fold(points: Column) -> Column:
-            basic = F.filter(points, lambda x: x["p"] < FIRST)
-            rest = F.array_sort(F.filter(points, lambda x: x["p"] >= FIRST))
-            start = F.struct(
-                F.lit(FIRST).cast("long").alias("n"), F.lit(BIAS).cast("long").alias("bias"), F.size(basic).cast("long").alias("h"), F.size(basic).cast("long").alias("b"),
-                F.lit(0).cast("long").alias("at"), F.lit("").alias("out"),
-            )
-
-            def insert(s: Column, x: Column) -> Column:
-                place = F.size(F.filter(points, lambda y: (y["i"] < x["i"]) & (y["p"] <= x["p"]))).cast("long")
-                return let(F.struct((place - s["at"] + (x["p"] - s["n"]) * (s["h"] + 1)).alias("delta"), place.alias("place"), s.alias("s"), x["p"].alias("p")), after)
-
-            def after(v: Column) -> Column:
-                s = v["s"]
-                return F.struct(
-                    v["p"].alias("n"), _adapted(v["delta"], s["h"] + 1, s["h"] == s["b"]).cast("long").alias("bias"), (s["h"] + 1).alias("h"), s["b"].alias("b"),
-                    (v["place"] + 1).alias("at"), F.concat(s["out"], _digits(v["delta"], s["bias"])).alias("out"),
-                )
-
-            kept = F.array_join(F.transform(F.filter(chars, lambda c: c.rlike(r"^[\x00-\x7f]\z")), lambda c: c), "")
-            return F.concat(F.lit("xn--"), kept, F.when(kept != "", "-").otherwise(""), F.aggregate(rest, start, insert, lambda s: s["out"]))
-
-        return let(points, fold)
-
-    return let(F.split(label, ""), made)
-
-
-def _number(part: Column) -> Column:
+    after = "named_struct('n', c.p, 'bias', {bias}, 'h', s.h + 1, 'b', s.b, 'at', v.place + 1, 'out', concat(s.out, {digits}))"
+    after = after.format(bias=_adapted("v.delta", "(s.h + 1)", "s.h = s.b"), digits=_digits("v.delta", "s.bias"))
+    moved = "named_struct('delta', place - s.at + (c.p - s.n) * (s.h + 1), 'place', place)"
+    step = _let("CAST(size(filter(points, y -> y.i < c.i AND y.p <= c.p)) AS BIGINT)", "place", _let(moved, "v", after))
+    basic = f"CAST(size(filter(points, y -> y.p < {FIRST})) AS BIGINT)"
+    start = f"named_struct('n', {FIRST}L, 'bias', {BIAS}L, 'h', {basic}, 'b', {basic}, 'at', 0L, 'out', '')"
+    rest = f"aggregate(array_sort(filter(points, y -> y.p >= {FIRST})), {start}, (s, c) -> {step}, s -> s.out)"
+    kept = f"array_join(transform(filter(points, y -> y.p < {FIRST}), y -> chr(y.p)), '')"
+    points = f"transform(split({label}, ''), (x, i) -> named_struct('p', CAST(conv(hex(encode(x, 'UTF-32')), 16, 10) AS BIGINT), 'i', CAST(i AS BIGINT)))"
+    return _let(points, "points", _let(kept, "kept", f"concat('xn--', kept, CASE WHEN kept <> '' THEN '-' ELSE '' END, {rest})"))
+
+
+def _number(part: str) -> str:
     """A part of an IPv4 address: hexadecimal, octal or decimal; null if it is no number."""
-    digits = F.regexp_extract(part, r"^0x([0-9a-f]*)\z", 1)
-    sixteen = F.when(digits == "", 0).otherwise(F.when(F.length(digits) <= 12, F.conv(digits, 16, 10).cast("long")).otherwise(1 << 40))
-    eight = F.when(part.rlike(r"^0[0-7]*\z"), F.when(F.length(part) <= 15, F.conv(part, 8, 10).cast("long")).otherwise(1 << 40))
-    ten = F.when(part.rlike(r"^[1-9][0-9]*\z"), F.coalesce(part.try_cast("long"), F.lit(1 << 40)))
-    return F.when(part.rlike(r"^0x[0-9a-f]*\z"), sixteen).otherwise(F.coalesce(eight, ten)).cast("long")
+    sixteen = f"CASE WHEN length({part}) = 2 THEN 0L WHEN length({part}) <= 14 THEN CAST(conv(substr({part}, 3), 16, 10) AS BIGINT) ELSE {1 << 40}L END"
+    eight = f"CASE WHEN length({part}) <= 15 THEN CAST(conv({part}, 8, 10) AS BIGINT) ELSE {1 << 40}L END"
+    ten = f"coalesce(try_cast({part} AS BIGINT), {1 << 40}L)"
+    return f"CASE WHEN rlike({part}, r'^0x[0-9a-f]*\\z') THEN {sixteen} WHEN rlike({part}, r'^0[0-7]*\\z') THEN {eight} WHEN rlike({part}, r'^[1-9][0-9]*\\z') THEN {ten} END"
 
 
-def _address(name: Column) -> Column:
+def _address(name: str) -> str:
     """A host that ends in a number, as an IPv4 address; null if it isn't one."""
-    parts = F.transform(F.split(F.regexp_replace(name, r"\.\z", ""), r"\."), _number)
-
-    def joined(n: Column) -> Column:
-        count = F.size(n)
-        good = (count <= 4) & ~F.exists(n, lambda x: x.isNull()) & ~F.exists(F.slice(n, 1, count - 1), lambda x: x > 255) & (F.element_at(n, -1) < F.pow(F.lit(256.0), 5 - count))
-        total = F.aggregate(F.transform(F.slice(n, 1, count - 1), lambda x, i: x * F.pow(F.lit(256.0), 3 - i).cast("long")), F.element_at(n, -1), lambda s, x: s + x)
-        return F.when(good, let(total, lambda t: F.concat_ws(".", *[F.pmod(F.shiftright(t, k), F.lit(256)).cast("string") for k in (24, 16, 8, 0)])))
+    parts = f"transform(split(regexp_replace({name}, r'\\.\\z', ''), r'\\.'), z -> {_number('z')})"
+    front = "slice(n, 1, size(n) - 1)"
+    good = f"size(n) <= 4 AND NOT exists(n, z -> z IS NULL) AND NOT exists({front}, z -> z > 255) AND element_at(n, -1) < shiftleft(1L, 8 * (5 - size(n)))"
+    total = f"aggregate(transform({front}, (z, i) -> shiftleft(z, 8 * (3 - i))), element_at(n, -1), (e, z) -> e + z)"
+    shown = "concat_ws('.', " + ", ".join(f"CAST(shiftright(t, {k}) & 255 AS STRING)" for k in (24, 16, 8, 0)) + ")"
+    return _let(parts, "n", f"CASE WHEN {good} THEN {_let(total, 't', shown)} END")
 
-    return let(parts, joined)
 
-
-def _host(raw: Column) -> Column:
+def _host(raw: str) -> str:
     """A host in its written form; null if it can't be one. Letters are lower-cased, but not composed anew."""
-    decoded = F.when(F.contains(raw, F.lit("%")), F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))).otherwise(raw)
-    wide = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
-    narrow = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F))
-    low = F.translate(F.lower(F.translate(decoded, wide + "。．｡­​⁠", narrow + "...")), "", "")
+    decoded = f"CASE WHEN contains({raw}, '%') THEN try_url_decode(replace({raw}, '+', '%2B')) ELSE {raw} END"
+    wide = "".join(f"\\u{c:04x}" for c in (*range(0xFF01, 0xFF5F), 0x3002, 0xFF0E, 0xFF61, 0xAD, 0x200B, 0x2060))
+    narrow = "".join(f"\\u{c - 0xFEE0:04x}" for c in range(0xFF01, 0xFF5F)) + "..."
+    low = f"lower(translate({decoded}, '{wide}', '{narrow}'))"
+    ascii_ = f"array_join(transform(split(h, r'\\.'), l -> CASE WHEN rlike(l, r'[^\\x00-\\x7f]') THEN {_punycode('l')} ELSE l END), '.')"
+    named = f"CASE WHEN rlike(h, r'{FORBIDDEN}') OR h = '' THEN NULL WHEN rlike(h, r'(^|\\.)([0-9]+|0x[0-9a-f]*)\\.?\\z') THEN {_address('h')} ELSE {ascii_} END"
+    return f"CASE WHEN rlike({raw}, r'(?i)^\\[[0-9a-f:.]+\\]\\z') THEN lower({raw}) ELSE {_let(low, 'h', named)} END"
 
-    def label(x: Column) -> Column:
-        return F.when(x.rlike(r"[^\x00-\x7f]"), punycode(x)).otherwise(x)
 
-    def named(x: Column) -> Column:
-        ascii_ = F.array_join(F.transform(F.split(x, r"\."), label), ".")
-        numeric = x.rlike(r"(^|\.)([0-9]+|0x[0-9a-f]*)\.?\z")
-        return F.when(x.rlike(FORBIDDEN) | (x == ""), None).when(numeric, _address(x)).otherwise(ascii_)
+def _serialised(raw: str) -> str:
+    names = ("scheme", "authority", "path", "query", "fragment")
+    parts = "named_struct(" + ", ".join(f"'{n}', regexp_extract(bare, r'{PARTS}', {i})" for i, n in enumerate(names, 1)) + ")"
+    rest = r"regexp_extract(x.authority, r'(?s)^(?:.*@)?(.*)\z', 1)"
+    host = _host(r"regexp_extract(rest, r'(?s)^(\[[^\]]*\]|[^:]*)(?::\d*)?\z', 1)")
+    cut = rf"named_struct('user', regexp_extract(x.authority, r'(?s)^(.*)@', 1), 'host', {host}, 'port', regexp_replace(regexp_extract(rest, r':(\d*)\z', 1), '^0+(?=[0-9])', ''))"
+    word = r"regexp_extract(o.user, r'(?s)^[^:]*:(.*)\z', 1)"
+    shown = f"concat({_encoded("substring_index(o.user, ':', 1)", IN_USER)}, {_let(word, 'k', f"CASE WHEN k <> '' THEN concat(':', {_encoded('k', IN_USER)}) ELSE '' END")})"
+    user = f"CASE WHEN o.user IN ('', ':') THEN '' ELSE concat({shown}, '@') END"
+    path = _let(_encoded(r"replace(x.path, '\\', '/')", IN_PATH), "m", "CASE WHEN m = '' THEN '/' ELSE m END")
+    whole = f"concat(lower(x.scheme), '://', {user}, o.host, CASE WHEN o.port = '' THEN '' ELSE concat(':', o.port) END, {path}, {_encoded('x.query', IN_QUERY)}, {_encoded('x.fragment', IN_FRAGMENT)})"
+    made = f"CASE WHEN x.scheme <> '' AND (o.port = '' OR try_cast(o.port AS BIGINT) <= 65535) THEN {whole} END"
+    bare = rf"regexp_replace(regexp_replace({raw}, r'^[\x00-\x20]+|[\x00-\x20]+\z', ''), r'[\t\n\r]', '')"
+    return _let(bare, "bare", _let(parts, "x", _let(rest, "rest", _let(cut, "o", made))))
 
-    return F.when(raw.rlike(r"(?i)^\[[0-9a-f:.]+\]\z"), F.lower(raw)).otherwise(let(low, named))
 
+_LONG_WAY, _LABEL = (f"u -> {text}" for text in (_serialised("u"), _punycode("u")))
 
-def _serialised(raw: Column) -> Column:
-    def split(x: Column) -> Column:
-        names = ("scheme", "authority", "path", "query", "fragment")
-        return let(F.struct(*[F.regexp_extract(x, PARTS, i).alias(n) for i, n in enumerate(names, 1)]), cut)
 
-    def cut(x: Column) -> Column:
-        user = F.regexp_extract(x["authority"], r"(?s)^(.*)@", 1)
-        rest = F.regexp_extract(x["authority"], r"(?s)^(?:.*@)?(.*)\z", 1)
-        host, port = F.regexp_extract(rest, r"(?s)^(\[[^\]]*\]|[^:]*)(?::\d*)?\z", 1), F.regexp_extract(rest, r":(\d*)\z", 1)
-        fields = {"scheme": F.lower(x["scheme"]), "user": user, "host": _host(host), "port": F.regexp_replace(port, "^0+(?=[0-9])", ""), "path": x["path"], "query": x["query"], "fragment": x["fragment"]}
-        return let(F.struct(*[c.alias(n) for n, c in fields.items()]), write)
+def _applied(text: str, c: Column) -> Column:
+    return F.get(F.call_function("transform", F.array(c), F.expr(text)), F.lit(0))
 
-    def write(x: Column) -> Column:
-        name, word = F.substring_index(x["user"], ":", 1), F.regexp_extract(x["user"], r"(?s)^[^:]*:(.*)\z", 1)
-        shown = F.concat(_encoded(name, IN_USER), F.when(word != "", F.concat(F.lit(":"), _encoded(word, IN_USER))).otherwise(""))
-        user = F.when(x["user"].isin("", ":"), "").otherwise(F.concat(shown, F.lit("@")))
-        port = F.when(x["port"] == "", "").otherwise(F.concat(F.lit(":"), x["port"]))
-        path = _encoded(F.replace(x["path"], F.lit("\\"), F.lit("/")), IN_PATH)
-        whole = F.concat(x["scheme"], F.lit("://"), user, x["host"], port, F.when(path == "", "/").otherwise(path), _encoded(x["query"], IN_QUERY), _encoded(x["fragment"], IN_FRAGMENT))
-        return F.when((x["scheme"] != "") & ((x["port"] == "") | (x["port"].try_cast("long") <= 65535)), whole)
 
-    return let(F.regexp_replace(F.regexp_replace(raw, r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), r"[\t\n\r]", ""), split)
+def punycode(label: Column) -> Column:
+    return _applied(_LABEL, label)
 
 
 def standard(url: Column) -> Column:
     """A URL in the form that browsers give it, but for letter case of scheme and host and for dot segments of the path,
     which plain URLs may still have; null if it isn't an http(s) URL. Addresses of version 6 stay as they are written, and
     hosts aren't composed (NFC) before they are encoded."""
-    return F.when(url.rlike(PLAIN), url).otherwise(_serialised(url))
+    return F.when(url.rlike(PLAIN), url).otherwise(_applied(_LONG_WAY, url))
