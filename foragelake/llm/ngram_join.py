@@ -311,6 +311,9 @@ def _candidates(percent: int):
         return (*(np.frombuffer(row[c], "<i8") for c in ("class", "root", "n", "left")), np.frombuffer(row["cells"], "<i4").reshape(-1, 1 << CELL_BITS))
 
     def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not len(x) or not len(y):
+            # A pack to which no row was dealt isn't there.
+            return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
         a, ra, na, la, ca = opened(x)
         b, rb, nb, lb, cb = opened(y)
         of_a, of_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
