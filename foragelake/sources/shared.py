@@ -20,6 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Rows of a narrow table that one task holds.
+ROWS = 50_000
+
+
+def dealt(df: DataFrame, *keys: str, rows: int = ROWS) -> DataFrame:
+    """df, shuffled by keys into tasks of about `rows` rows. Adaptive execution merges partitions by their compressed bytes,
+    which say little about the memory of sorts and windows over narrow rows; a number that is given stays as it is."""
+    return df.repartition(max(1, -(-df.count() // rows)), *keys)
+
+
 def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """df, written to the shared folder and read back: later uses read it instead of computing it again."""
     spark = df.sparkSession
