@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -77,9 +76,9 @@ def result_rows(page: str) -> list[tuple[str, str, str]]:
 _HITS = T.ArrayType(T.StructType([T.StructField(n, T.StringType()) for n in ("title", "url", "snippet")]))
 
 
-@F.pandas_udf(_HITS)
-def _hits(pages: pd.Series) -> pd.Series:
-    return pd.Series([None if p is None else [dict(zip(("title", "url", "snippet"), r, strict=True)) for r in result_rows(p)] for p in pages], dtype=object)
+@F.udf(_HITS, useArrow=False)
+def _hits(page: str | None) -> list[tuple[str, str, str]] | None:
+    return None if page is None else result_rows(page)
 
 
 def parse_result_page(html: Column) -> Column:

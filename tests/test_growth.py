@@ -18,3 +18,10 @@ def test_dealt_rows_stay_apart(spark):
 def test_calls_are_dealt_by_session(spark):
     plan = QUERIES["tool_call_times"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_pages_come_in_small_batches(spark):
+    """An Arrow batch holds 10,000 pages whatever their length, a batch of plain functions a hundred."""
+    for name in ("page_profile", "fetch_views", "html_title", "html_readable", "serp_outcome"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan, name
