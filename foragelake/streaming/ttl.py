@@ -6,6 +6,7 @@ An access hits while the entry that the last miss stored is younger than the tim
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import pandas as pd
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 OUT = "key string, event_id long, hit boolean"
+#: States of a stream, over which its keys are spread.
+BUCKETS = 4096
 
 
 def _fold(ms: list[int], ttl_ms: int, expires: int | None) -> tuple[list[bool], int | None]:
@@ -72,16 +75,17 @@ def cache_hits(accesses: DataFrame, ttl_ms: int, slice_ttls: int = 256) -> DataF
     return misses.unionByName(folded.mapInArrow(fold, schema)).select("key", "event_id", *[F.col(f"more.`{c}`") for c in more], "hit")
 
 
-def _result(key: str, ids: list[int], hits: list[bool]) -> pd.DataFrame:
+def _result(keys: list[str], ids: list[int], hits: list[bool]) -> pd.DataFrame:
     kinds = {"key": "object", "event_id": "Int64", "hit": "bool"}
-    return pd.DataFrame({n: pd.Series(v, dtype=kinds[n]) for n, v in (("key", [key] * len(ids)), ("event_id", ids), ("hit", hits))})
+    return pd.DataFrame({n: pd.Series(v, dtype=kinds[n]) for n, v in (("key", keys), ("event_id", ids), ("hit", hits))})
 
 
 class TtlCache(StatefulProcessor):
     """The same for a stream, in event time.
 
-    Accesses of a key wait until the watermark has passed them; then no earlier one can come, and they are judged in the
-    order of (ms, event_id). The state of a key is what waits and the expiry of its entry; a timer clears it.
+    A state holds a bucket of keys, since each call to it takes about as long as judging hundreds of accesses. Accesses wait
+    until the watermark has passed them; then no earlier one can come, and they are judged in the order of (ms, event_id),
+    each key by itself. The state of a bucket is what waits and the expiries of its keys' entries; a timer clears it.
     """
 
     def __init__(self, ttl_ms: int):
@@ -89,62 +93,72 @@ class TtlCache(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ms long, event_id long")
-        self.expires = handle.getValueState("expires", "at long")
+        self.waiting = handle.getListState("waiting", "key string, ms long, event_id long")
+        self.expires = handle.getListState("expires", "key string, at long")
         self.timer = handle.getValueState("timer", "at long")
 
     def _wake(self, at: int) -> None:
-        """One timer a key: the earliest asked for."""
-        old = self.timer.get()[0] if self.timer.exists() else None
-        if old is None or at < old:
+        """One timer a bucket: the earliest asked for."""
+        old = self.timer.get()
+        if old is None or at < old[0]:
             if old is not None:
-                self.handle.deleteTimer(old)
+                self.handle.deleteTimer(old[0])
             self.handle.registerTimer(at)
             self.timer.update((at,))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for batch in rows:
-            if key[0] is not None and len(batch):
-                self.waiting.appendList(list(zip(batch["ms"].tolist(), batch["event_id"].tolist(), strict=True)))
+            batch = batch[batch["key"].notna()]
+            if len(batch):
+                ids = [None if i is None else int(i) for i in batch["event_id"]]
+                self.waiting.appendList(list(zip(batch["key"].tolist(), batch["ms"].tolist(), ids, strict=True)))
                 least = int(batch["ms"].min())
                 first = least if first is None else min(first, least)
         if first is not None:
             self._wake(first)
-        yield _result(key[0], [], [])
+        yield _result([], [], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
         self.timer.clear()
-        rows = sorted(self.waiting.get())
-        due = [r for r in rows if r[0] <= now]
-        rest = rows[len(due) :]
-        expires = self.expires.get()[0] if self.expires.exists() else None
-        hits, expires = _fold([ms for ms, _ in due], self.ttl_ms, expires)
+        rows, held = list(self.waiting.get()), dict(self.expires.get())
+        due = sorted((r for r in rows if r[1] <= now), key=lambda r: (r[0], r[1], r[2] is not None, r[2] or 0))
+        rest = [r for r in rows if r[1] > now]
+        hits = []
+        for k, group in groupby(due, key=lambda r: r[0]):
+            judged, held[k] = _fold([r[1] for r in group], self.ttl_ms, held.get(k))
+            hits += judged
         if rest:
             self.waiting.put(rest)
-            self._wake(rest[0][0])
-        else:
+            self._wake(min(r[1] for r in rest))
+        elif rows:
             self.waiting.clear()
-        # A timer must lie ahead of the watermark, or it never fires; what waits is ahead of it.
-        if expires is not None and (rest or expires > now):
-            self.expires.update((expires,))
+        # An entry that the watermark has passed may still count for what waits, as that came before.
+        kept = {r[0] for r in rest}
+        stay = [(k, at) for k, at in held.items() if at > now or k in kept]
+        if stay:
+            self.expires.put(stay)
+            # A timer must lie ahead of the watermark, or it never fires; what waits is ahead of it.
             if not rest:
-                self._wake(expires)
-        else:
+                self._wake(max(at for _, at in stay))
+        elif held:
             self.expires.clear()
-        yield _result(key[0], [i for _, i in due], hits)
+        yield _result([r[0] for r in due], [r[2] for r in due], hits)
 
     def close(self) -> None:
         pass
 
 
-def stream_cache_hits(accesses: DataFrame, ttl_ms: int, delay: str) -> DataFrame:
+def stream_cache_hits(accesses: DataFrame, ttl_ms: int, delay: str, buckets: int = BUCKETS) -> DataFrame:
     """cache_hits() of a streaming DataFrame (key, event_id, ms), in event time.
 
     An access is judged when the watermark, `delay` behind the latest time seen, has passed it, so accesses may come in any
     order within the delay; one that comes later is dropped. Rows with a null key are no accesses, but move the watermark;
-    those with a null time are left out. What comes within the delay for a key is held in its state.
+    those with a null time are left out. What comes within the delay for a bucket of keys is held in its state. The number of
+    buckets is part of a query's state, so it stays with its checkpoint.
     """
     rows = accesses.select(F.col("key").cast("string").alias("key"), "event_id", "ms", F.timestamp_millis("ms").alias("at")).filter("ms IS NOT NULL").withWatermark("at", delay)
-    return rows.groupBy("key").transformWithStateInPandas(TtlCache(ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="EventTime")
+    # Ids are texts on the way, as pandas would make floats of a column with nulls.
+    bucket = F.when(F.col("key").isNotNull(), F.pmod(F.xxhash64("key"), F.lit(buckets)))
+    return rows.withColumn("event_id", F.col("event_id").cast("string")).withColumn("bucket", bucket).groupBy("bucket").transformWithStateInPandas(TtlCache(ttl_ms), outputStructType=OUT, outputMode="Append", timeMode="EventTime")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from foragelake.plans.queries import QUERIES
 from foragelake.sources.shared import dealt
+from foragelake.streaming.ttl import stream_cache_hits
 from tests.conftest import SF
 
 
@@ -25,3 +26,27 @@ def test_pages_come_in_small_batches(spark):
     for name in ("page_profile", "fetch_views", "html_title", "html_readable", "serp_outcome"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan, name
+
+
+def test_stream_calls_follow_buckets(spark, tmp_path):
+    """A state for each key took seconds for thousands of keys; keys of one bucket share one, and are judged apart."""
+    rows = [(f"k{i % 300}", (1 << 53) + 1 + i, 1000 + (i // 300) * 40 + i % 7) for i in range(900)] + [("k0", None, 1055)]
+    spark.createDataFrame(rows, "key string, event_id long, ms long").repartition(1).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([(None, None, 10_000_000)], "key string, event_id long, ms long").repartition(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema("key string, event_id long, ms long").parquet(f"{tmp_path}/in")
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        query = stream_cache_hits(source, 60, "0 seconds", buckets=4).writeStream.format("memory").queryName("few_states").option("checkpointLocation", f"{tmp_path}/log").outputMode("append").trigger(availableNow=True).start()
+        query.awaitTermination()
+    finally:
+        spark.conf.unset(name)
+    timers = sum(s["customMetrics"]["numRegisteredTimers"] for p in query.recentProgress for s in p["stateOperators"])
+    found = {r["event_id"]: r["hit"] for r in spark.table("few_states").collect()}
+    wanted, held = {}, {}
+    for key, event, ms in sorted(rows, key=lambda r: (r[0], r[2], r[1] or 0)):
+        wanted[event] = held.get(key, -1) > ms
+        if not wanted[event]:
+            held[key] = ms + 60
+    assert found == wanted
+    assert 0 < timers < 30, timers
