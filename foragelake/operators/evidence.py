@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foragelake.functions.text import conflict_flags, is_bot_check, summary, trim
+from foragelake.functions.text import collapse, conflict_flags, cut, is_bot_check
 from foragelake.functions.urls import host_or_url, profile, source_rank
 
 READERS = ("github", "pdf", "youtube")
 PASSES, RENDERS, DIRECT = 3, 2, 3
+SUMMARY, SUPPORT = 180, 120
+COUNTS = ("total", "official", "community", "thread", "primary_content", "strong", "docs", "api", "distinct_hosts")
 # Caveats in the order in which they are told, and the messages that stand for them.
 REASONS = {
     "community-only": "the strongest readable sources were mostly community/practical context",
@@ -25,45 +27,70 @@ LOW_VALUE = {"bot-check": "Fetched page showed a bot-check or security verificat
 COMMUNITY_PREFIX = "Community/practical context: "
 
 
-def read_outcome(direct: bool = False) -> Column:
-    """Struct (evidence, low_value) of a row with status, method, final_url, page_title, text and hit_title.
+def page_facts(fetches: DataFrame) -> DataFrame:
+    """What each fetched page is worth, whatever question reads it.
 
-    A reader's text is primary content in full; other pages give a summary. Package pages give no evidence in a search
-    pass; a link of the question may, and blank text never does there.
+    page (its URL), final_url, status, method, page_title, f_message; source_kind as evidence, host, caution, praise, forum,
+    prefers_rendering; found and linked: whether it is evidence for a search and for a question that links it; low_value;
+    said and primary: its words. A reader's text is primary content in full; other pages give a summary. Package pages give
+    no evidence in a search; as a link of the question they may, and blank text never does there.
     """
-    ok = (F.col("status") == "ok") & F.col("text").isNotNull()
-    blank = trim(F.col("text")) == ""
-    bot = is_bot_check(F.col("page_title"), F.col("text"))
-    kind = profile(F.col("final_url"))["source_kind"]
-    primary = F.col("method").isin(*READERS) & (F.lit(direct) | ~blank)
-    usable = ok & ~bot & (~blank if direct else (primary | (kind != "package-page")))
-    fallback = F.col("final_url") if direct else F.col("hit_title")
-    evidence = F.struct(
-        F.coalesce("page_title", fallback).alias("title"),
-        F.col("final_url").alias("url"),
-        F.when(primary, F.lit("primary-content")).otherwise(kind).alias("source_kind"),
-        F.col("method").alias("method"),
-        F.when(primary, F.col("text")).otherwise(summary(F.col("text"))).alias("summary"),
-        F.when(primary, F.col("text")).otherwise(summary(F.col("text"), 120)).alias("support"),
-    )
-    low = F.when(ok & bot, F.lit("bot-check")).when(ok & ~usable, F.lit("low-value-page"))
-    return F.struct(F.when(usable, evidence).alias("evidence"), low.alias("low_value"))
+    c, final = F.col, F.coalesce("final_url", "url")
+    rows = fetches.select(
+        c("url").alias("page"), final.alias("final_url"), "status", "method", c("title").alias("page_title"), c("message").alias("f_message"), "text",
+        profile(final).alias("p"), host_or_url(final).alias("host"), collapse(c("text")).alias("bare"), is_bot_check(c("title"), c("text")).alias("bot"),
+    )
+    kept = ("page", "final_url", "status", "method", "page_title", "f_message", "host")
+    ok, blank = (c("status") == "ok") & c("text").isNotNull(), c("bare") == ""
+    primary = c("method").isin(*READERS) & ~blank
+    found = ok & ~c("bot") & (primary | (c("p.source_kind") != "package-page"))
+    rows = rows.select(
+        *kept, primary.alias("primary"), found.alias("found"), (ok & ~c("bot") & ~blank).alias("linked"),
+        F.when(ok & c("bot"), F.lit("bot-check")).when(ok & ~found, F.lit("low-value-page")).alias("low_value"),
+        F.when(primary, F.lit("primary-content")).otherwise(c("p.source_kind")).alias("source_kind"),
+        (c("p.kind") == "forum-thread").alias("forum"), "p.prefers_rendering", F.when(primary, c("text")).otherwise(cut(c("bare"), SUMMARY)).alias("said"),
+    )
+    caution, praise = conflict_signs(c("said"), c("primary"))
+    used = c("found") | c("linked")
+    return rows.withColumns({"caution": F.when(used, caution), "praise": F.when(used, praise)})
+
+
+def support(said: Column, primary: Column) -> Column:
+    return F.when(primary, said).otherwise(cut(said, SUPPORT))
+
+
+def conflict_signs(said: Column, primary: Column) -> tuple[Column, Column]:
+    """conflict_flags() of a page's summary and support; those of primary content are the same text."""
+    return conflict_flags(F.when(primary, said).otherwise(F.concat_ws("\n", said, support(said, primary))))
+
+
+def best_evidence(evidence: DataFrame, *keys: str) -> DataFrame:
+    """Each URL's best row by source rank (ties: the earlier): keys, url, first (the URL's first place), r (the other columns)."""
+    rows = evidence.filter("source_kind <> 'package-page'").withColumn("source_rank", source_rank(F.col("source_kind")))
+    row = F.struct(*[x for x in rows.columns if x not in (*keys, "url", "ordinal")])
+    return rows.groupBy(*keys, "url").agg(F.min_by(row, F.struct("source_rank", "ordinal")).alias("r"), F.min("ordinal").alias("first"))
+
+
+def ranked_evidence(best: DataFrame, *keys: str) -> DataFrame:
+    """Rows of best_evidence() in the order of rank and first place: + pos."""
+    order = Window.partitionBy(*keys).orderBy("r.source_rank", "first")
+    return best.withColumn("pos", F.row_number().over(order) - 1).select(*keys, "pos", "url", "r.*").drop("source_rank")
 
 
 def rank_evidence(evidence: DataFrame, *keys: str) -> DataFrame:
     """Each URL's best row by source rank (ties: the earlier), ordered by rank and the URL's first place: + pos."""
-    rows = evidence.filter("source_kind <> 'package-page'").withColumn("source_rank", source_rank(F.col("source_kind")))
-    row = F.struct("title", "source_kind", "method", "summary", "support", "source_rank")
-    best = rows.groupBy(*keys, "url").agg(F.min_by(row, F.struct("source_rank", "ordinal")).alias("r"), F.min("ordinal").alias("first"))
-    order = Window.partitionBy(*keys).orderBy("r.source_rank", "first")
-    return best.withColumn("pos", F.row_number().over(order) - 1).select(*keys, "pos", "r.title", "url", "r.source_kind", "r.method", "r.summary", "r.support")
+    return ranked_evidence(best_evidence(evidence, *keys), *keys)
 
 
-def quality(ranked: DataFrame, gaps: DataFrame, low_values: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
-    """Counts, flags and ordered caveat reasons for each row of groups (keys)."""
+def unreadable_flags(message: Column) -> dict[str, Column]:
+    """Whether a gap's message tells of a link or of a thread that could not be read."""
+    return {"direct": message.rlike(f"(?i){DIRECT_UNREADABLE}"), "threads": message.rlike(f"(?i){THREAD_UNREADABLE}")}
+
+
+def evidence_facts(ranked: DataFrame, *keys: str) -> DataFrame:
+    """Counts and flags of the evidence (source_kind, host, caution, praise) of each group."""
     k = F.col("source_kind")
-    caution, praise = conflict_flags(F.concat_ws("\n", "summary", "support"))
-    facts = ranked.groupBy(*keys).agg(
+    return ranked.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(k.isin("official-docs", "official-api")).alias("official"),
         F.count_if(k == "community").alias("community"),
@@ -72,15 +99,16 @@ def quality(ranked: DataFrame, gaps: DataFrame, low_values: DataFrame, groups: D
         F.count_if(k.isin("official-docs", "official-api", "official-discussion")).alias("strong"),
         F.count_if(k == "official-docs").alias("docs"),
         F.count_if(k == "official-api").alias("api"),
-        F.count_distinct(host_or_url(F.col("url"))).alias("distinct_hosts"),
-        (F.bool_or(caution) & F.bool_or(praise)).alias("conflict"),
+        # A group has few hosts; a distinct count would shuffle the rows once more.
+        F.size(F.collect_set("host")).cast("long").alias("distinct_hosts"),
+        (F.bool_or("caution") & F.bool_or("praise")).alias("conflict"),
     )
-    unread = gaps.groupBy(*keys).agg(F.bool_or(F.col("message").rlike(f"(?i){DIRECT_UNREADABLE}")).alias("direct"), F.bool_or(F.col("message").rlike(f"(?i){THREAD_UNREADABLE}")).alias("threads"))
-    bots = low_values.groupBy(*keys).agg(F.bool_or(F.col("kind") == "bot-check").alias("bot"))
-    on = list(keys)
-    out = groups.select(*keys).join(facts, on, "left").join(unread, on, "left").join(bots, on, "left")
-    counts = ("total", "official", "community", "thread", "primary_content", "strong", "docs", "api", "distinct_hosts")
-    out = out.fillna(0, list(counts)).fillna(False, ["conflict", "direct", "threads", "bot"])
+
+
+def judged(facts: DataFrame) -> DataFrame:
+    """Groups with what evidence_facts() has (null: no evidence) and the flags direct, threads and bot (null: false) -> + only_community,
+    low_diversity and ordered caveat reasons."""
+    out = facts.fillna(0, list(COUNTS)).fillna(False, ["conflict", "direct", "threads", "bot"])
     only = (F.col("total") > 0) & (F.col("official") == 0) & (F.col("primary_content") == 0)
     narrow = (F.col("total") > 1) & (F.col("distinct_hosts") <= 1) & (F.col("primary_content") == 0)
     tests = dict(zip(REASONS, (only, narrow, F.col("direct"), F.col("threads"), F.col("conflict"), F.col("bot")), strict=True))
@@ -88,6 +116,16 @@ def quality(ranked: DataFrame, gaps: DataFrame, low_values: DataFrame, groups: D
     return out.withColumn("only_community", only).withColumn("low_diversity", narrow).withColumn("reasons", reasons)
 
 
+def quality(ranked: DataFrame, gaps: DataFrame, low_values: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """Counts, flags and ordered caveat reasons for each row of groups (keys)."""
+    caution, praise = conflict_flags(F.concat_ws("\n", "summary", "support"))
+    facts = evidence_facts(ranked.withColumns({"host": host_or_url(F.col("url")), "caution": caution, "praise": praise}), *keys)
+    unread = gaps.groupBy(*keys).agg(*[F.bool_or(f).alias(n) for n, f in unreadable_flags(F.col("message")).items()])
+    bots = low_values.groupBy(*keys).agg(F.bool_or(F.col("kind") == "bot-check").alias("bot"))
+    on = list(keys)
+    return judged(groups.select(*keys).join(facts, on, "left").join(unread, on, "left").join(bots, on, "left"))
+
+
 def next_step(pass_index: Column, suggested: Column, attempts: Column, strong: Column | None = None) -> Column:
     """answer, answer-with-caveat, search-again or headless, from a row of quality()."""
     strong = F.col("strong") if strong is None else strong
@@ -121,11 +159,10 @@ def _sentence(reason: Column) -> Column:
 
 
 def finding(kind: Column, text: Column) -> Column:
-    from foragelake.functions.text import collapse
-
     return F.concat(F.when(kind.isin("community", "issue-thread"), F.lit(COMMUNITY_PREFIX)).otherwise(F.lit("")), collapse(text))
 
 
-def unreadable_message(url: Column) -> Column:
-    start = F.when(profile(url)["kind"] == "forum-thread", F.lit(THREAD_UNREADABLE)).otherwise(F.lit(DIRECT_UNREADABLE))
+def unreadable_message(url: Column, forum: Column | None = None) -> Column:
+    forum = profile(url)["kind"] == "forum-thread" if forum is None else forum
+    start = F.when(forum, F.lit(THREAD_UNREADABLE)).otherwise(F.lit(DIRECT_UNREADABLE))
     return F.concat(start, F.lit(": "), url)

@@ -196,13 +196,26 @@ def with_fallback(primary: DataFrame, fallback: DataFrame, key: str, also: tuple
     return both.select(key, *pick.values(), F.when(use, F.col("p.backend")).alias("fallback_from"), F.when(use, F.col("p.message")).alias("fallback_reason"))
 
 
-def top_candidates(hits: DataFrame, *keys: str, most: int = MOST_CANDIDATES) -> DataFrame:
-    """The first hits to read: each URL once (its first row), by score and then position. Needs keys, pos, query."""
-    each = hits.groupBy(*keys, "url").agg(F.min_by(F.struct("title", "snippet", "query"), "pos").alias("r"), F.min("pos").alias("pos"))
-    # Hits are many more than URLs, so each URL is looked at once, on both scales.
+def url_scores(urls: DataFrame) -> DataFrame:
+    """+ plain and talk: the order in which a URL is read, on both scales."""
     url = F.col("url")
-    facts = hits.select("url").distinct().select(url.alias("__url"), candidate_score(url, F.lit(False)).alias("plain"), candidate_score(url, F.lit(True)).alias("talk"))
-    score = F.when(wants_discussion(F.coalesce("r.query", F.lit(""))), F.col("talk")).otherwise(F.col("plain"))
-    scored = each.join(facts, url.eqNullSafe(F.col("__url"))).select(*keys, "url", "r.title", "r.snippet", "pos", score.alias("score"))
+    return urls.withColumns({"plain": candidate_score(url, F.lit(False)), "talk": candidate_score(url, F.lit(True))})
+
+
+def top_candidates(hits: DataFrame, *keys: str, most: int = MOST_CANDIDATES) -> DataFrame:
+    """The first hits to read: each URL once (its first row), by score and then position. Needs keys, pos, query.
+
+    Hits that have the columns of url_scores() and whether their query wants a discussion (`discussion`) need no query.
+    """
+    if "plain" not in hits.columns:
+        # Hits are many more than URLs, so each URL is looked at once.
+        facts = url_scores(hits.select("url").distinct()).withColumnRenamed("url", "__url")
+        hits = hits.join(facts, F.col("url").eqNullSafe(F.col("__url"))).drop("__url")
+    if "discussion" not in hits.columns:
+        hits = hits.withColumn("discussion", wants_discussion(F.coalesce("query", F.lit(""))))
+    rows = hits.select(*keys, "url", "title", "snippet", "pos", F.when(F.col("discussion"), F.col("talk")).otherwise(F.col("plain")).alias("score"))
+    # One shuffle for both steps.
+    each = rows.repartition(*keys).groupBy(*keys, "url").agg(F.min_by(F.struct("title", "snippet", "score"), "pos").alias("r"), F.min("pos").alias("pos"))
+    scored = each.select(*keys, "url", "r.title", "r.snippet", "pos", "r.score")
     order = Window.partitionBy(*keys).orderBy("score", "pos")
     return scored.withColumn("candidate", F.row_number().over(order)).filter(F.col("candidate") <= most)

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from foragelake.plans.queries import QUERIES
+from foragelake.operators.search import top_candidates
+from foragelake.plans import explore as X
+from foragelake.plans.queries import QUERIES, research_inputs
 from foragelake.sources.shared import dealt
 from foragelake.streaming.ttl import stream_cache_hits
 from tests.conftest import SF
@@ -50,3 +52,29 @@ def test_stream_calls_follow_buckets(spark, tmp_path):
             held[key] = ms + 60
     assert found == wanted
     assert 0 < timers < 30, timers
+
+
+def test_research_judges_pages_once(spark, monkeypatch):
+    """Candidates are many times the pages: the patterns of texts, and the texts, stay with the pages."""
+    held = {}
+
+    def kept(df, tag, *more, write=X.written):
+        held[tag] = df.columns, df._jdf.queryExecution().optimizedPlan().toString()
+        return write(df, tag, *more)
+
+    monkeypatch.setattr(X, "written", kept)
+    _, evidence = X.explore(*research_inputs(spark, SF))
+    assert evidence.count() and set(evidence.columns) >= {"summary", "support"}
+    for mark in ("just a moment", "not recommended"):
+        assert {tag for tag, (_, plan) in held.items() if mark in plan} <= {"pages", "direct", "more"}, mark
+    assert not {"text", "said", "summary", "support"} & {c for tag in ("direct", "reads", "best", "more") for c in held[tag][0]}
+    assert "user experience" in held["steps"][1] and "user experience" not in held["reads"][1]
+
+
+def test_plans_and_candidates_are_worked_out_once(spark):
+    """Spark would work out a plan's array once more, to skip questions without one; a query goes not with each hit."""
+    plan = X.steps_of(spark.sql("SELECT id AS query_id, concat('how to ', id) AS query FROM range(3)"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "size(" not in plan and plan.count("Generate") == 1
+    hits = spark.sql("SELECT id AS query_id, id AS pos, 't' AS title, concat('https://a.b/', id % 3) AS url, 's' AS snippet, repeat('long query ', 99) AS query FROM range(9)")
+    plan = top_candidates(hits.withColumn("query_id", hits.query_id % 2), "query_id")._jdf.queryExecution().optimizedPlan().toString()
+    assert "query" not in plan.split("Aggregate", 1)[1].split("\n")[0].replace("query_id", "")
