@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foragelake.functions.text import collapse, conflict_flags, cut, is_bot_check
-from foragelake.functions.urls import host_or_url, profile, source_rank
+from foragelake.functions.text import collapse, conflict_flags, cut, is_bot_check, summary
+from foragelake.functions.urls import host_or_url, place, profile, source_rank
 
 READERS = ("github", "pdf", "youtube")
 PASSES, RENDERS, DIRECT = 3, 2, 3
@@ -38,17 +38,18 @@ def page_facts(fetches: DataFrame) -> DataFrame:
     c, final = F.col, F.coalesce("final_url", "url")
     rows = fetches.select(
         c("url").alias("page"), final.alias("final_url"), "status", "method", c("title").alias("page_title"), c("message").alias("f_message"), "text",
-        profile(final).alias("p"), host_or_url(final).alias("host"), collapse(c("text")).alias("bare"), is_bot_check(c("title"), c("text")).alias("bot"),
+        place(final).alias("at"), summary(c("text"), SUMMARY).alias("short"), is_bot_check(c("title"), c("text")).alias("bot"),
     )
+    rows = rows.select("*", "at.host", c("at.profile").alias("p")).drop("at")
     kept = ("page", "final_url", "status", "method", "page_title", "f_message", "host")
-    ok, blank = (c("status") == "ok") & c("text").isNotNull(), c("bare") == ""
+    ok, blank = (c("status") == "ok") & c("text").isNotNull(), c("short") == ""
     primary = c("method").isin(*READERS) & ~blank
     found = ok & ~c("bot") & (primary | (c("p.source_kind") != "package-page"))
     rows = rows.select(
         *kept, primary.alias("primary"), found.alias("found"), (ok & ~c("bot") & ~blank).alias("linked"),
         F.when(ok & c("bot"), F.lit("bot-check")).when(ok & ~found, F.lit("low-value-page")).alias("low_value"),
         F.when(primary, F.lit("primary-content")).otherwise(c("p.source_kind")).alias("source_kind"),
-        (c("p.kind") == "forum-thread").alias("forum"), "p.prefers_rendering", F.when(primary, c("text")).otherwise(cut(c("bare"), SUMMARY)).alias("said"),
+        (c("p.kind") == "forum-thread").alias("forum"), "p.prefers_rendering", F.when(primary, c("text")).otherwise(c("short")).alias("said"),
     )
     caution, praise = conflict_signs(c("said"), c("primary"))
     used = c("found") | c("linked")

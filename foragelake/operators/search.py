@@ -8,7 +8,7 @@ from pyspark.sql import types as T
 
 from foragelake.functions.tags import SPACE, parse
 from foragelake.functions.text import trim, wants_discussion
-from foragelake.functions.urls import candidate_score, canonical, host, unwrap_redirect
+from foragelake.functions.urls import candidate_scores, canonical, host, unwrap_redirect
 from foragelake.streaming.ttl import cache_hits
 
 FANOUT_TIMEOUT_MS, LEAST_RESULTS, MOST_CANDIDATES, SEARCH_TTL_MS = 8000, 3, 4, 30_000
@@ -198,8 +198,7 @@ def with_fallback(primary: DataFrame, fallback: DataFrame, key: str, also: tuple
 
 def url_scores(urls: DataFrame) -> DataFrame:
     """+ plain and talk: the order in which a URL is read, on both scales."""
-    url = F.col("url")
-    return urls.withColumns({"plain": candidate_score(url, F.lit(False)), "talk": candidate_score(url, F.lit(True))})
+    return urls.withColumn("__scores", candidate_scores(F.col("url"))).select(*urls.columns, "__scores.plain", "__scores.talk")
 
 
 def top_candidates(hits: DataFrame, *keys: str, most: int = MOST_CANDIDATES) -> DataFrame:
