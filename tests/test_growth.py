@@ -78,3 +78,7 @@ def test_plans_and_candidates_are_worked_out_once(spark):
     hits = spark.sql("SELECT id AS query_id, id AS pos, 't' AS title, concat('https://a.b/', id % 3) AS url, 's' AS snippet, repeat('long query ', 99) AS query FROM range(9)")
     plan = top_candidates(hits.withColumn("query_id", hits.query_id % 2), "query_id")._jdf.queryExecution().optimizedPlan().toString()
     assert "query" not in plan.split("Aggregate", 1)[1].split("\n")[0].replace("query_id", "")
+
+
+def test_answers_are_counted_without_words(spark):
+    assert "said" not in QUERIES["explore_answers"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
