@@ -160,7 +160,12 @@ def _sentence(reason: Column) -> Column:
 
 
 def finding(kind: Column, text: Column) -> Column:
-    return F.concat(F.when(kind.isin("community", "issue-thread"), F.lit(COMMUNITY_PREFIX)).otherwise(F.lit("")), collapse(text))
+    return finding_of(kind, collapse(text))
+
+
+def finding_of(kind: Column, bare: Column) -> Column:
+    """The same of a collapsed text."""
+    return F.concat(F.when(kind.isin("community", "issue-thread"), F.lit(COMMUNITY_PREFIX)).otherwise(F.lit("")), bare)
 
 
 def unreadable_message(url: Column, forum: Column | None = None) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from foragelake.operators.search import top_candidates
 from foragelake.plans import explore as X
-from foragelake.plans.queries import QUERIES, research_inputs
+from foragelake.plans.queries import QUERIES, _research_tables, research_inputs
 from foragelake.sources.shared import dealt
 from foragelake.streaming.ttl import stream_cache_hits
 from tests.conftest import SF
@@ -82,3 +82,27 @@ def test_plans_and_candidates_are_worked_out_once(spark):
 
 def test_answers_are_counted_without_words(spark):
     assert "said" not in QUERIES["explore_answers"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_list_is_read_once_for_all_searches_that_found_it(spark, monkeypatch):
+    """Searches are many times the lists; shared ones give what a copy for each search gives."""
+    lists = _research_tables(spark, SF)
+    held = {}
+
+    def kept(df, tag, *more, write=X.written):
+        held[tag] = write(df, tag, *more)
+        return held[tag]
+
+    monkeypatch.setattr(X, "written", kept)
+    shared = [sorted(map(str, df.collect())) for df in X.explore(**lists)]
+    found, reads = lists["searches"].select("found").distinct().count(), held["reads"].count()
+    assert "step" not in held["reads"].columns and 0 < reads <= found * 2 * 4
+    apart = [sorted(map(str, df.collect())) for df in X.explore(*research_inputs(spark, SF))]
+    assert shared == apart and held["reads"].count() > 2 * reads
+
+
+def test_words_are_collapsed_with_their_page(spark):
+    """Not once more for each question that is told them: the pattern stands below the join with what is told."""
+    plan = QUERIES["explore_views"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    spots = [line for line in plan.split("\n") if "regexp_replace(said" in line]
+    assert spots and not any("pos" in line for line in spots), spots

@@ -203,3 +203,27 @@ def test_requests_that_share_an_id(spark):
     answers = spark.createDataFrame([("q", page, None), ("r", None, "HTTP 429")], "query string, html string, failure string")
     found = sorted((r["request_id"], r["status"], r["code"] or "", r["cache_hit"], len(r["results"])) for r in keyless_search(requests, answers).collect())
     assert found == [(1, "ok", "", False, 1), (1, "ok", "", False, 1), (1, "ok", "", True, 1), (2, "error", "BLOCKED", False, 0), (2, "error", "INVALID_QUERY", False, 0), (3, "ok", "", False, 1)]
+
+
+def test_short_ways_say_what_the_long_ones_say(spark):
+    """White space of any character, pages whose elements are looked for first, and routes told by host and ending."""
+    from foragelake.functions import readers as R
+    from foragelake.functions import text as T
+
+    chars = [chr(i) for i in range(1, 0x10000) if not 0xD800 <= i < 0xE000]
+    texts = [f" a{x}b {x}{x} c{x}" for x in chars]
+    old = F.trim(F.regexp_replace("t", f"{T.WS}{{2,}}|{T.ODD_WS}", " "))
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    rows = df.select("t", T.collapse(F.col("t")).alias("new"), old.alias("old")).collect()
+    assert all(r["new"] == r["old"] for r in rows)
+    assert all(H._squeezed(r["t"]) == H._SPACES.sub(" ", r["t"]).strip(" ") for r in rows)
+    pages = ["", "<TITLE>a\x85b</TITLE><BODY id=x>c\x1c\ufeff d<SVG>e</svg> f</Body>g", "<title>x", "<script></script><div ID=\"APP\">y", "<main>a<style>b</style >c</style>d</main>", "z" * 5000, None]
+    df = spark.createDataFrame([(p,) for p in pages], "html string")
+    read = df.select(H.fetched(F.col("html")).alias("r"), H.plain(F.col("html")).alias("p"), H.is_script_shell(F.col("html")).alias("s")).collect()
+    for r in read:
+        assert r["r"]["title"] == r["p"]["title"] and r["r"]["text"] == (r["p"]["text"] and r["p"]["text"][: H.PAGE_CAP]) and r["r"]["shell"] == r["s"]
+    urls = ["https://www.github.com/a/b", "https://github.com/a", "http://x.y/a%2Epdf", "http://x.y/a/../b.PDF?q", "http://x.y/.%2e/c%2epdf", "https://youtu.be/v", "https://www.youtube.com/shorts/v", "https://m.youtube.com/watch?v=1", "nothing", "HTTPS://X.Y", None]
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    u = F.col("u")
+    long = F.when(R.repo_shape(u).isNotNull(), "github").when(R.is_pdf(u), "pdf").when(R.video_id(u).isNotNull(), "youtube").when(u.rlike("^https?://"), "http").otherwise("unsupported")
+    assert [r for r in df.select(R.route(u).alias("r")).collect()] == [r for r in df.select(long.alias("r")).collect()]
