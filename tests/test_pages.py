@@ -227,3 +227,22 @@ def test_short_ways_say_what_the_long_ones_say(spark):
     u = F.col("u")
     long = F.when(R.repo_shape(u).isNotNull(), "github").when(R.is_pdf(u), "pdf").when(R.video_id(u).isNotNull(), "youtube").when(u.rlike("^https?://"), "http").otherwise("unsupported")
     assert [r for r in df.select(R.route(u).alias("r")).collect()] == [r for r in df.select(long.alias("r")).collect()]
+
+
+def test_a_reading_goes_straight_into_judgements(spark):
+    """A reading comes from Python, and no lambda's body may hold it; the text in a column of its own says the same."""
+    from foragelake.functions import text as T
+
+    pages = [ARTICLE, NESTED, "<body>Please enable JavaScript.</body>", "<body>" + "\u00a0 " * 500 + "word " * 90 + "</body>", "<body>short</body>" + " " * 9 + "<b>" * 4000, "", None]
+    df = spark.createDataFrame([(p,) for p in pages], "html string").withColumn("kind", F.lit("text/html"))
+    html = F.col("html")
+
+    def judged(rows, text, page=html):
+        return rows.select(T.summary(text).alias("s"), H.is_weak(page, text).alias("w"), H.fetch_status(F.col("kind"), page, text).alias("f"), T.is_bot_check(F.lit("t"), text).alias("b"), T.excerpt(text).alias("e"), T.word_count(text).alias("n"))
+
+    held = df.withColumn("text", H.text(html)).localCheckpoint()
+    found = judged(df, H.text(html))
+    assert found.collect() == judged(held, F.col("text")).collect()
+    assert found._jdf.queryExecution().executedPlan().toString().count("BatchEvalPython") == 1
+    same = F.udf(lambda p: p, "string", useArrow=False)
+    assert judged(held, F.col("text"), same(html)).collect() == judged(held, F.col("text")).collect()
